@@ -49,11 +49,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_table(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder as a table in buckets of ``key``: joins by it don't move its rows again."""
+    spark = df.sparkSession
+    name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    atexit.register(_remove, spark, path)
+    return spark.table(name)
+
+
 def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``bound`` rows; reads no more than it needs to tell."""
     return df.limit(bound + 1).count() <= bound
