@@ -127,9 +127,11 @@ class WordHasher(dict):
         self.limit, self.digest = limit, xxhash.xxh3_64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = found = self.digest(word)
+        found = self.digest(word)
+        if len(word) <= 64:  # long ones are rare and would fill the memory
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = found
         return found
 
     def array(self, words: list[bytes]) -> np.ndarray:
