@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     chat_format,
@@ -13,8 +14,10 @@ from . import (
     language_model,
     line_dedup,
     near_dedup,
+    personal_data,
     quality_classifier,
     quality_rules,
+    sentence_pieces,
 )
 
 
@@ -38,6 +41,11 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.interpolated_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.find_personal_data(docs, personal_data.fit(docs))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -51,6 +59,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces, and whether the ids decode to the text."""
+    pieces = sentence_pieces.Pieces.load()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentence_pieces.decode(sentence_pieces.encode(docs, pieces), pieces)
+    same = F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), same)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
@@ -65,8 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_language_model": op4_language_model,
+    "op5_personal_data": op5_personal_data,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
