@@ -30,6 +30,8 @@ WINDOW = 10
 ANCHORS = 3
 #: Terms up to which the test vocabulary goes to the tasks as one array (8 bytes each).
 VOCABULARY = 1_000_000
+#: Windows that go to the tasks at once (about 200 bytes each).
+BLOCK = 200_000
 
 #: ASCII letters and digits and all other characters make words; A-Z are lower-cased.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -47,10 +49,12 @@ class _Terms(WordHasher):
         self.terms = None if terms is None else set(terms.tolist())
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
         found = self.digest(word)
-        self[word] = found = found if self.terms is None or found in self.terms else 0
+        found = found if self.terms is None or found in self.terms else 0
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -112,19 +116,15 @@ def anchors(windows: DataFrame, docs: DataFrame, count: int = ANCHORS) -> DataFr
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: doc_id, fp (of the text), n_words, and lists of terms and of their positions, ascending."""
+    """The index: doc_id, fp (the text's hash), n_words, and lists of terms and of their positions, ascending."""
     vocabulary = _vocabulary(terms)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hasher = _Terms(vocabulary)
         for batch in it:
-            n, prints, found, ends, at = [], [], [], [], []
+            n, found, ends, at = [], [], [], []
             for text in batch.column("text"):
-                text = text.as_py()
-                h = hasher.array(match_words(text))
-                prints.append(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1)
+                h = hasher.array(match_words(text.as_py()))
                 n.append(len(h))
                 place = np.flatnonzero(h)
                 place = place[np.argsort(h[place], kind="stable")]
@@ -132,117 +132,145 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 found.append(term.view(np.int64))
                 at.append(place.astype(np.int32))
                 ends.append(np.append(first[1:], len(place)).astype(np.int32) if len(term) else np.empty(0, np.int32))
-            cols = [batch.column("doc_id"), pa.array(prints, pa.int64()), pa.array(n, pa.int64())]
+            cols = [batch.column("doc_id"), batch.column("fp"), pa.array(n, pa.int64())]
             cols += [list_array(found, pa.int64()), list_array(ends, pa.int32()), list_array(at, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_words", "terms", "ends", "positions"])
 
     schema = "doc_id long, fp long, n_words long, terms array<long>, ends array<int>, positions array<int>"
-    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+    return batches(_printed(docs), run, schema)
 
 
-def _lists(index: DataFrame, anchored: DataFrame) -> DataFrame:
-    """doc_id, fp and, for each posting of an anchor, its positions and the windows that it anchors."""
-    part = F.col("i")
-    start = F.when(part > 0, F.get("ends", part - 1)).otherwise(0)
-    rows = index.filter(F.size("terms") > 0).select("doc_id", "fp", "positions", "ends", F.posexplode("terms").alias("i", "term"))
-    rows = rows.select("doc_id", "fp", "term", F.slice("positions", start + 1, F.get("ends", part) - start).alias("at"))
-    refs = anchored.groupBy("term").agg(F.collect_list(F.struct("win", "len", "slot", "off", "of")).alias("refs"))
-    # beyond the broadcast bound the index is joined by term, which AQE may split where it is skewed
-    if few(refs):
-        refs = F.broadcast(refs)
-    return rows.join(refs, "term")
+def _printed(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and text; doc_id and fp together name a text, also where an id is null or comes again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
 
 
 def candidates(index: DataFrame, anchored: DataFrame, slop: int = 0) -> DataFrame:
     """(doc_id, fp, wins, starts, lengths): windows all of whose anchors are in place.
 
-    With a ``slop`` the anchors may each be that many words from their places (proximity matches).
+    With a ``slop`` the other anchors may each be that many words from their places (proximity matches).
+    The windows go to the index in blocks of at most BLOCK, one scan of the index for each block.
     """
+    other = F.struct("slot", "term", "off")
+    rows = anchored.groupBy("win", "len").agg(F.array_sort(F.collect_list(other)).alias("anchors"))
+    blocks = max(1, -(-rows.count() // BLOCK))
+    found = None
+    for k in range(blocks):
+        part = rows.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k)
+        by_rarest: dict[int, list] = {}
+        for r in part.toLocalIterator():  # a block is bounded
+            first, *rest = ((a["term"], a["off"]) for a in r["anchors"])
+            by_rarest.setdefault(first[0], []).append((r["win"], r["len"], first[1], rest))
+        one = batches(index.filter(F.size("terms") > 0), _intersection(by_rarest, slop), CANDIDATES)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+CANDIDATES = "doc_id long, fp long, wins array<long>, starts array<long>, lengths array<long>"
+
+
+def _intersection(by_rarest: dict[int, list], slop: int):
+    """A task's function: in each document, lists of the windows that start from the terms it has."""
+    rarest = np.array(sorted(by_rarest), np.int64)
+
+    def places(left: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not slop:
+            return left[np.isin(left, at, assume_unique=True)]
+        near = np.searchsorted(at, left - slop)
+        return left[(near < len(at)) & (at[np.minimum(near, len(at) - 1)] <= left + slop)]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            wins, starts, lengths = [], [], []
-            for lists in batch.column("lists").to_pylist():
-                slots: dict[int, dict[int, np.ndarray]] = {}
-                of: dict[int, tuple[int, int]] = {}
-                for x in lists:
-                    at = np.array(x["at"], np.int64)
-                    for r in x["refs"]:
-                        slots.setdefault(r["win"], {})[r["slot"]] = at - r["off"]
-                        of[r["win"]] = r["of"], r["len"]
+            rows, wins, starts, lengths = [], [], [], []
+            for i in range(batch.num_rows):
+                terms, ends, at = (batch.column(c)[i].values.to_numpy() for c in ("terms", "ends", "positions"))
+                here = terms.view(np.uint64)  # the order of the list
                 w, s, n = [], [], []
-                for win, by_slot in slots.items():
-                    if len(by_slot) < of[win][0]:
-                        continue
-                    left = by_slot[1]
-                    for k in range(2, of[win][0] + 1):
-                        if slop:
-                            near = np.searchsorted(by_slot[k], left - slop)
-                            left = left[(near < len(by_slot[k])) & (by_slot[k][np.minimum(near, len(by_slot[k]) - 1)] <= left + slop)]
-                        else:
-                            left = left[np.isin(left, by_slot[k], assume_unique=True)]
-                    if not slop:
-                        left = left[left >= 0]
-                    w += [win] * len(left)
-                    s += left.tolist()
-                    n += [of[win][1]] * len(left)
-                wins.append(np.array(w, np.int64)), starts.append(np.array(s, np.int64)), lengths.append(np.array(n, np.int64))
-            cols = [batch.column("doc_id"), batch.column("fp"), *(list_array(x, pa.int64()) for x in (wins, starts, lengths))]
-            out = pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "wins", "starts", "lengths"])
-            yield out.filter(pa.array([len(x) > 0 for x in wins], pa.bool_()))
-
-    # a document's lists are bounded by its length and the windows of its rarest terms
-    grouped = _lists(index, anchored).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("at", "refs")).alias("lists"))
-    return batches(grouped, run, "doc_id long, fp long, wins array<long>, starts array<long>, lengths array<long>")
+                for term in np.intersect1d(terms, rarest, assume_unique=True):
+                    lists = {}
+
+                    def positions(term: int) -> np.ndarray:
+                        if term not in lists:
+                            k = int(np.searchsorted(here, np.int64(term).astype(np.uint64)))
+                            there = k < len(here) and terms[k] == term
+                            lists[term] = at[ends[k - 1] if k else 0 : ends[k]].astype(np.int64) if there else np.empty(0, np.int64)
+                        return lists[term]
+
+                    for win, length, off, rest in by_rarest[int(term)]:
+                        left = positions(int(term)) - off
+                        for other, by in rest:
+                            left = places(left, positions(other) - by)
+                            if not len(left):
+                                break
+                        if not slop:
+                            left = left[left >= 0]
+                        w += [win] * len(left)
+                        s += left.tolist()
+                        n += [length] * len(left)
+                if w:
+                    rows.append(i), wins.append(w), starts.append(s), lengths.append(n)
+            picked = batch.select(["doc_id", "fp"]).take(pa.array(rows, pa.int64()))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (wins, starts, lengths)]
+            yield pa.RecordBatch.from_arrays([*picked.columns, *lists], ["doc_id", "fp", "wins", "starts", "lengths"])
+
+    return run
 
 
 def phrase_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, fp, n_hit, wins) of the texts in which candidate windows stand, word for word."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hasher = WordHasher()
         for batch in it:
-            rows: dict[str, list] = {"doc_id": [], "fp": [], "n_hit": [], "wins": []}
+            rows, hits, true_wins = [], [], []
             for i, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                fp = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
-                if fp != batch.column("fp")[i].as_py():
-                    continue  # another row with this doc_id
-                h = hasher.array(match_words(text))
+                h = hasher.array(match_words(text.as_py()))
                 hit, true = np.zeros(len(h), bool), set()
-                wins, starts = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("wins", "starts"))
-                lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
+                wins, starts, lengths = (batch.column(c)[i].values.to_numpy() for c in ("wins", "starts", "lengths"))
                 for n in np.unique(lengths):
                     of = (lengths == n) & (starts + n <= len(h))
+                    if not of.any():
+                        continue
                     w, s = wins[of], starts[of]
-                    grams = gram_hashes(h, int(n))
-                    same = grams[s].view(np.int64) == w if len(w) else np.empty(0, bool)
+                    same = gram_hashes(h, int(n))[s].view(np.int64) == w
                     true.update(w[same].tolist())
                     edge = np.zeros(len(h) + 1, np.int64)
                     np.add.at(edge, s[same], 1)
                     np.add.at(edge, s[same] + n, -1)
                     hit |= np.cumsum(edge[:-1]) > 0
                 if true:
-                    rows["doc_id"].append(batch.column("doc_id")[i].as_py()), rows["fp"].append(fp)
-                    rows["n_hit"].append(int(hit.sum())), rows["wins"].append(sorted(true))
-            kinds = {"doc_id": pa.int64(), "fp": pa.int64(), "n_hit": pa.int64(), "wins": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kinds.items()], list(kinds))
+                    rows.append(i), hits.append(int(hit.sum())), true_wins.append(sorted(true))
+            picked = batch.select(["doc_id", "fp"]).take(pa.array(rows, pa.int64()))
+            cols = [*picked.columns, pa.array(hits, pa.int64()), pa.array(true_wins, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_hit", "wins"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = semi_by_id(texts.withColumnRenamed("id", "doc_id"), found.select("doc_id").distinct()).withColumnRenamed("doc_id", "id")
-    both = found.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
-    return batches(both, run, "doc_id long, fp long, n_hit long, wins array<long>").dropDuplicates(["doc_id", "fp"])
+    texts = semi_by_id(_printed(docs), found.select("doc_id").distinct()).dropDuplicates(["doc_id", "fp"])
+    texts = texts.select(F.col("doc_id").alias("id"), F.col("fp").alias("f"), "text")
+    both = found.dropDuplicates(["doc_id", "fp"]).join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("f")))
+    return batches(both.drop("id", "f"), run, "doc_id long, fp long, n_hit long, wins array<long>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, for every row of ``docs``."""
+def _search(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, hits, items): the index of ``docs``, phrase_hits() of all windows, and the items' windows."""
     windows, items = test_windows(benchmark, size)
     anchored = materialize(anchors(windows, docs), "decontamination-anchors")
     index = materialize(postings(docs, anchored.select("term").distinct()), "decontamination-index")
     found = materialize(candidates(index, anchored), "decontamination-candidates")
-    hits = materialize(phrase_hits(docs, found), "decontamination-hits")
+    return index, materialize(phrase_hits(docs, found), "decontamination-hits"), items
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` whose text has no window of the benchmark."""
+    _, hits, _ = _search(docs, benchmark, size)
+    gone = hits.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
+    gone = F.broadcast(gone) if few(gone) else gone
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_fp"))
+    return docs.join(gone, same, "left_anti")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, for every row of ``docs``."""
+    index, hits, items = _search(docs, benchmark, size)
     # an item's windows are many, a document's items few: items are gathered as sets, each hit window once
     by_win = items.groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     named = join_lookup(hits.select("doc_id", "fp", F.explode("wins").alias("win")), by_win, "win", "inner")
