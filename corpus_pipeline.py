@@ -31,7 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go from the texts; so does a document all of whose lines go."""
-    out = line_dedup.dedup_lines(docs).filter("n_deleted = 0 OR n_deleted < n_lines")
+    has_word = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    out = line_dedup.dedup_lines(docs).filter((F.col("n_deleted") == 0) | has_word)
     changed = {"n_chars": F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
     return out.withColumns(changed if "n_chars" in docs.columns else {}).select(*docs.columns)
 

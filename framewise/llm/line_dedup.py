@@ -9,8 +9,10 @@ place); matches are extended both ways, line by line, and the later run is delet
 always a run of NOISE words or more that stands, line for line, in an earlier place; the first of all
 places stays.
 
-Only the first place of a fingerprint is joined with the others, never all pairs; its minimum is
-aggregated before the shuffle, so a passage in many documents costs one row for each place.
+Only the first place of a fingerprint is joined with the others, never all pairs, and a document has
+one row for each of its fingerprints however often they come in it. A place within a run that is
+deleted already, for a match with the same document, is not extended once more; this keeps texts of
+one line over and over linear.
 
 Defined results: white space between words doesn't count in comparing lines; lines without words are
 passed over (and go if they stand within a deleted run); a null text stays null; rows with a null
@@ -25,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, few, list_array, materialize
+from .common import batches, few, list_array, materialize, mix64
 
 NOISE, GUARANTEE = 20, 40
-_CUT = re.compile(rb"(?<=[.!?])[ \t]+|[\r\n]+")
+_CUT = re.compile(rb"[.!?][ \t]+|[\r\n]+")
 
 
 def split_lines(raw: bytes) -> list[bytes]:
@@ -42,67 +45,100 @@ def split_lines(raw: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def line_hashes(raw: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """All pieces; and of those with words: their numbers, hashes and word counts."""
+def line_hashes(pieces: list[bytes]) -> tuple[list[int], list[int], list[int]]:
+    """Of the pieces with words: their numbers, hashes and word counts."""
     import xxhash
 
-    pieces, at, h, n = split_lines(raw), [], [], []
     digest = xxhash.xxh3_64_intdigest
+    at, h, n = [], [], []
     for k, piece in enumerate(pieces):
         words = piece.split()
         if words:
             at.append(k), h.append(digest(b" ".join(words))), n.append(len(words))
-    return pieces, np.array(at, np.int32), np.array(h, np.uint64), np.array(n, np.int64)
+    return at, h, n
 
 
-def fingerprints(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the selected grams of lines with hashes ``h`` and word counts ``n``."""
-    from .common import mix64
+def fingerprints(h: np.ndarray, n: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the selected grams in several documents at once.
 
-    if n.sum() < NOISE:
-        return np.empty(0, np.int32), np.empty(0, np.uint64)
+    h, n: hashes and word counts of all lines; ends: where each document's lines end.
+    """
+    if not len(h):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     upto = np.concatenate([[0], np.cumsum(n)])
+    own = np.repeat(ends, np.diff(ends, prepend=0))  # the end of each line's document
     end = np.searchsorted(upto, upto[:-1] + NOISE)  # the line after the gram
-    grams = int((end <= len(n)).sum())
-    end, start = end[:grams], np.arange(grams)
-    g, size = np.zeros(grams, np.uint64), end - start
+    is_gram = end <= own
+    start = np.flatnonzero(is_gram)
+    end = end[start]
+    g, size = np.zeros(len(start), np.uint64), end - start
+    if not len(start):
+        return start, g
     with np.errstate(over="ignore"):
         for k in range(int(size.max())):
-            on = size > k
+            on = np.flatnonzero(size > k)
             g[on] = mix64(g[on]) + h[start[on] + k]
-    g = mix64(g + size.astype(np.uint64))
-    # the last gram that fits into the first GUARANTEE words from each line on; its own gram always does
-    fits = np.searchsorted(upto[end], upto[start] + GUARANTEE, side="right") - 1
-    last = np.maximum(start, np.minimum(fits, grams - 1))
-    best = start.copy()
-    for k in range(1, int((last - start).max()) + 1):
-        on = np.flatnonzero(start + k <= last)
-        better = g[on + k] <= g[best[on]]
-        best[on[better]] = on[better] + k
+        g = mix64(g + size.astype(np.uint64))
+    # the last gram of the document that fits into the first GUARANTEE words from each gram's line on
+    reach = np.minimum(upto[start] + GUARANTEE, upto[own[start]])
+    last = np.maximum(np.arange(len(start)), np.searchsorted(upto[end], reach, side="right") - 1)
+    best, place = np.arange(len(start)), np.arange(len(start))
+    for k in range(1, int((last - place).max()) + 1):
+        on = np.flatnonzero(place + k <= last)
+        better = on[g[on + k] < g[best[on]]]
+        best[better] = better + k
     chosen = np.unique(best)
-    return chosen.astype(np.int32), g[chosen]
+    return start[chosen], g[chosen]
+
+
+INDEX = "doc_id long, fp long, lines binary, at array<int>, grams array<long>, first array<int>, grams_once array<long>, again array<boolean>"
 
 
 def line_index(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (of the text), n_lines, lines (hashes), at and grams (the fingerprints)."""
+    """doc_id, fp (the text's hash), lines (hashes), at and grams (the fingerprints); and each distinct gram
+    with its first place and whether it comes again in the document."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in it:
-            prints, counts, lines, at, grams = [], [], [], [], []
+            h, n, ends = [], [], []
             for text in batch.column("text"):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                _, _, h, n = line_hashes(raw)
-                prints.append(xxhash.xxh3_64_intdigest(raw) >> 1), counts.append(len(h)), lines.append(h.tobytes())
-                places, found = fingerprints(h, n)
-                at.append(places), grams.append(found.view(np.int64))
-            cols = [batch.column("doc_id"), pa.array(prints, pa.int64()), pa.array(counts, pa.int64()), pa.array(lines, pa.binary())]
+                _, hashes, counts = line_hashes(split_lines(raw))
+                h += hashes
+                n += counts
+                ends.append(len(h))
+            lines, ends = np.array(h, np.uint64), np.array(ends, np.int64)
+            places, grams = fingerprints(lines, np.array(n, np.int64), ends)
+            first = np.concatenate([[0], ends[:-1]])
+            cut = np.searchsorted(places, ends)[:-1]
+            places -= np.repeat(first, np.diff(np.searchsorted(places, ends), prepend=0))
+            cols = [batch.column("doc_id"), batch.column("fp")]
+            cols.append(pa.array([lines[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()))
+            at, grams = np.split(places, cut), np.split(grams.view(np.int64), cut)
+            once = [np.unique(g, return_index=True, return_counts=True) for g in grams]
             cols += [list_array(at, pa.int32()), list_array(grams, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_lines", "lines", "at", "grams"])
-
-    known = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return batches(known, run, "doc_id long, fp long, n_lines long, lines binary, at array<int>, grams array<long>")
+            cols += [list_array([a[u[1]] for a, u in zip(at, once, strict=True)], pa.int32()), list_array([u[0] for u in once], pa.int64())]
+            cols.append(list_array([u[2] > 1 for u in once], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "lines", "at", "grams", "first", "grams_once", "again"])
+
+    known = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
+    return batches(known, run, INDEX)
+
+
+def _matches(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of ``x`` that are equal to runs of ``y`` around each (place in x, place in y)."""
+    runs, gone = [], np.zeros(len(x), bool)
+    for at, at0 in seeds:
+        if gone[at]:
+            continue
+        back, on = 0, 0
+        while at - back > 0 and at0 - back > 0 and x[at - back - 1] == y[at0 - back - 1]:
+            back += 1
+        while at + on < len(x) and at0 + on < len(y) and x[at + on] == y[at0 + on]:
+            on += 1
+        runs.append((at - back, at + on))
+        gone[at - back : at + on] = True
+    return runs
 
 
 def repeated_runs(index: DataFrame) -> DataFrame:
@@ -111,65 +147,67 @@ def repeated_runs(index: DataFrame) -> DataFrame:
     def extend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             runs = []
-            for own, other, shift, seeds in zip(*(batch.column(c) for c in ("lines", "lines0", "shift", "seeds")), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (own, other))
-                shift = shift.as_py()  # place in the later text less the place in the first one
-                lo, hi = max(0, shift), min(len(x), len(y) + shift)
-                same = np.concatenate([[False], x[lo:hi] == y[lo - shift : hi - shift], [False]])
-                edge = np.flatnonzero(same[1:] != same[:-1])
-                starts, ends = edge[::2] + lo, edge[1::2] + lo
-                of = np.unique(np.searchsorted(starts, np.array(seeds.as_py()), side="right") - 1)
-                runs.append([{"start": int(starts[k]), "end": int(ends[k])} for k in of if k >= 0])
+            for row in batch.to_pylist():
+                x, y = (np.frombuffer(row[c], np.uint64) for c in ("lines", "lines0"))
+                at, grams = np.array(row["at"]), np.array(row["grams"], np.int64)
+                seeds = []
+                for s in row["seeds"]:
+                    places = at[grams == s["gram"]].tolist()
+                    seeds += [(p, s["at0"]) for p in places if not row["own"] or p > s["at0"]]
+                runs.append([{"start": a, "end": b} for a, b in _matches(x, y, sorted(seeds))])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(runs, kind)], ["doc_id", "fp", "runs"])
 
-    rows = index.select("doc_id", "fp", F.explode(F.arrays_zip("at", "grams")).alias("g"))
-    rows = rows.select("doc_id", "fp", F.col("g.at").alias("at"), F.col("g.grams").alias("gram"))
+    rows = index.select("doc_id", "fp", F.explode(F.arrays_zip("first", "grams_once", "again")).alias("g"))
+    rows = rows.select("doc_id", "fp", F.col("g.first").alias("at"), F.col("g.grams_once").alias("gram"), F.col("g.again").alias("again"))
     place = F.struct("doc_id", "fp", "at")
-    first = rows.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p < q").select("gram", "p")
-    later = rows.join(first, "gram").filter(place > F.col("p"))
-    seeds = later.groupBy("doc_id", "fp", F.col("p.doc_id").alias("d0"), F.col("p.fp").alias("f0"), (F.col("at") - F.col("p.at")).alias("shift"))
-    seeds = seeds.agg(F.array_sort(F.collect_set("at")).alias("seeds"))
-    lines = index.select("doc_id", "fp", "lines").dropDuplicates(["doc_id", "fp"])
+    first = rows.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("again").alias("r"))
+    first = first.filter("p < q OR r").select("gram", "p")
+    later = rows.join(first, "gram").filter((place > F.col("p")) | F.col("again"))
+    anchor = [F.col("p.doc_id").alias("d0"), F.col("p.fp").alias("f0")]
+    seeds = later.groupBy("doc_id", "fp", *anchor).agg(F.collect_set(F.struct("gram", F.col("p.at").alias("at0"))).alias("seeds"))
+    lines = index.select("doc_id", "fp", "lines", "at", "grams").dropDuplicates(["doc_id", "fp"])
     named = lines.select(F.col("doc_id").alias("d0"), F.col("fp").alias("f0"), F.col("lines").alias("lines0"))
     pairs = seeds.join(lines, ["doc_id", "fp"]).join(named, ["d0", "f0"])
-    schema = "doc_id long, fp long, runs array<struct<start: int, end: int>>"
-    found = batches(pairs.select("doc_id", "fp", "shift", "seeds", "lines", "lines0"), extend, schema)
+    own = ((F.col("doc_id") == F.col("d0")) & (F.col("fp") == F.col("f0"))).alias("own")
+    found = batches(
+        pairs.select("doc_id", "fp", own, "seeds", "at", "grams", "lines", "lines0"),
+        extend,
+        "doc_id long, fp long, runs array<struct<start: int, end: int>>",
+    )
     return found.groupBy("doc_id", "fp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with later repeated runs taken out of ``text``, and n_lines and n_deleted (lines with words)."""
+    """``docs`` with later repeated runs taken out of ``text``, and n_deleted: how many lines with words went."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in it:
-            texts, lines, gone = [], [], []
-            for text, fps, runs in zip(batch.column("text").to_pylist(), *(batch.column(c).to_pylist() for c in ("_fps", "_runs")), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                pieces, at, _, _ = line_hashes(raw)
-                own = xxhash.xxh3_64_intdigest(raw) >> 1
-                cuts = next((r for f, r in zip(fps or [], runs or [], strict=True) if f == own), None)
+            cut = batch.column("_runs").is_valid()  # other texts pass as they are
+            texts, gone = [], np.zeros(batch.num_rows, np.int64)
+            for k in np.flatnonzero(cut.to_numpy(zero_copy_only=False)):
+                pieces = split_lines(batch.column("text")[k].as_py().encode("utf-8", "surrogatepass"))
+                at, _, _ = line_hashes(pieces)
                 keep, words = np.ones(len(pieces), bool), np.ones(len(at), bool)
-                for c in cuts or []:
+                for c in batch.column("_runs")[k].as_py():
                     keep[at[c["start"]] : at[c["end"] - 1] + 1] = False
                     words[c["start"] : c["end"]] = False
-                lines.append(len(at)), gone.append(int((~words).sum()))
-                texts.append(b"".join(p for p, k in zip(pieces, keep, strict=True) if k).decode("utf-8", "surrogatepass") if cuts else text)
-            cols = [c for c in batch.schema.names if c not in ("text", "_fps", "_runs")]
-            out = [batch.column(c) for c in cols] + [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, [*cols, "text", "_lines", "_gone"])
+                gone[k] = int((~words).sum())
+                texts.append(b"".join(p for p, kept in zip(pieces, keep, strict=True) if kept).decode("utf-8", "surrogatepass"))
+            text = pc.replace_with_mask(batch.column("text"), cut, pa.array(texts, pa.string()))
+            names = [c for c in batch.schema.names if c not in ("text", "_runs")]
+            cols = [*(batch.column(c) for c in names), text, pa.array(gone)]
+            yield pa.RecordBatch.from_arrays(cols, [*names, "text", "_gone"])
 
     index = materialize(line_index(docs), "line-dedup-index")
-    runs = repeated_runs(index).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("fp", "runs")).alias("r"))
-    runs = materialize(runs.select("_id", F.col("r.fp").alias("_fps"), F.col("r.runs").alias("_runs")), "line-dedup-runs")
-    size = runs.agg(F.count(F.lit(1)), F.sum(F.aggregate("_runs", F.lit(0), lambda a, r: a + F.size(r)))).first()
-    # 16 bytes for each document and 8 for each run, checked; beyond that texts are dealt by doc_id
-    if few(runs, 400_000) and (size[1] or 0) <= 1_000_000:
+    runs = materialize(repeated_runs(index).toDF("_id", "_fp", "_runs"), "line-dedup-runs")
+    size = runs.agg(F.sum(F.size("_runs"))).first()[0] or 0
+    # 24 bytes for each document and 8 for each run, checked; beyond that texts are dealt by id
+    if few(runs, 400_000) and size <= 1_000_000:
         runs = F.broadcast(runs)
-    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "_fps", "_runs")]
-    out = batches(joined, run, ", ".join([*rest, "text string", "_lines long", "_gone long"]))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    return out.select(*own, F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_deleted"))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_fp"))
+    joined = docs.join(runs, same, "left").drop("_id", "_fp")
+    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "_runs")]
+    out = batches(joined, run, ", ".join([*rest, "text string", "_gone long"]))
+    own = [c for c in docs.columns if c != "n_deleted"]
+    return out.select(*own, F.col("_gone").alias("n_deleted"))

@@ -70,7 +70,7 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_deleted", "text")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
