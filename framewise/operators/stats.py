@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewise.functions.arrays import bin_index, finite_or_null
 from framewise.functions.text import range_label
@@ -53,7 +54,7 @@ def student_t_two_sided(t: float, df: float) -> float:
     return 1 - front * fraction(1 - x, b, a) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation of n pairs; a row for each group, so few."""
 
@@ -130,12 +131,17 @@ def histogram(df: DataFrame, x: str, edges: int = 50, by: list[str] | None = Non
     return both.select(*by, "bin", "n", (F.col("n") / (F.col("_all") * width)).alias("density"))
 
 
-def density(df: DataFrame, x: str, y: str, by: str, bins: int = 512) -> DataFrame:
+#: Nodes of the density grid for each whitened standard deviation, and deviations that it covers on each side.
+NODES, REACH = 32, 16
+
+
+def density(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """Two-dimensional Gaussian density of each group at its own points, scaled to 0..1; for groups of more than 10 rows.
 
-    Scott's bandwidth with the full covariance. The group is first summed up on a grid of bins x bins
-    cells in whitened coordinates, and points are evaluated against occupied cells, a bounded number,
-    so no group is gathered and the work is linear in the rows. Cells are small against the bandwidth.
+    Scott's bandwidth with the full covariance, in whitened coordinates. Points are counted in the
+    cells of a fixed grid, a group's counts are smoothed on the grid, and each point is interpolated
+    between the nodes of its cell; so no group's points are gathered and the work is linear in them.
+    Points more than REACH deviations from the mean have the density that they have by themselves.
     """
     m = df.groupBy(by).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
@@ -145,24 +151,41 @@ def density(df: DataFrame, x: str, y: str, by: str, bins: int = 512) -> DataFram
     h = F.pow(F.col("_n"), F.lit(-1 / 6))
     sx = F.sqrt("_vx")
     sy = F.sqrt(F.col("_vy") - F.col("_c") * F.col("_c") / F.col("_vx"))
-    u = (F.col(x) - F.col("_mx")) / sx
-    v = (F.col(y) - F.col("_my") - F.col("_c") / F.col("_vx") * (F.col(x) - F.col("_mx"))) / sy
-    cell = 16.0 / bins
-    pts = df.join(m, by).withColumns({"_u": u / h, "_v": v / h, "_h": h})
-    at = {"_cu": F.floor(F.col("_u") * F.col("_h") / cell), "_cv": F.floor(F.col("_v") * F.col("_h") / cell)}
-    cells = pts.withColumns(at).groupBy(by, "_cu", "_cv").agg(F.count(F.lit(1)).alias("k"), F.avg("_u").alias("u"), F.avg("_v").alias("v"))
-    grid = cells.groupBy(by).agg(F.collect_list(F.struct("u", "v", "k")).alias("_grid"))  # bins * bins cells at most
-
-    def evaluate(u: pd.Series, v: pd.Series, g: pd.Series) -> pd.Series:
-        out = np.empty(len(u))
-        for k, (a, b, cells) in enumerate(zip(u, v, g, strict=True)):
-            c = np.array([(r["u"], r["v"], r["k"]) for r in cells])
-            out[k] = (c[:, 2] * np.exp(-0.5 * ((a - c[:, 0]) ** 2 + (b - c[:, 1]) ** 2))).sum()
-        return pd.Series(out)
-
-    kernel = F.pandas_udf(evaluate, "double")
+    u = (F.col(x) - F.col("_mx")) / sx * NODES
+    v = (F.col(y) - F.col("_my") - F.col("_c") / F.col("_vx") * (F.col(x) - F.col("_mx"))) / sy * NODES
     scale = 2 * math.pi * F.col("_n") * h * h * sx * sy
-    dense = pts.join(grid, by).withColumn("density", kernel("_u", "_v", "_grid") / scale)
+    pts = df.join(m, by).withColumns({"_u": u, "_v": v, "_h": h * NODES, "_scale": scale})
+    pts = pts.withColumns({"_cu": F.floor("_u").cast("int"), "_cv": F.floor("_v").cast("int")})
+    cells = pts.groupBy(by, "_cu", "_cv").agg(
+        F.count(F.lit(1)).alias("k"), F.avg("_u").alias("u"), F.avg("_v").alias("v"), F.first("_h").alias("h")
+    )
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        edge = NODES * REACH
+        inside = (pdf["_cu"].abs() < edge - 1) & (pdf["_cv"].abs() < edge - 1)
+        near, far = pdf[inside], pdf[~inside]
+        out = pdf[[by, "_cu", "_cv"]].copy()
+        for c in ("d00", "d01", "d10", "d11"):
+            out[c] = pdf["k"].astype(float)
+        if len(near):
+            grid = np.zeros((2 * edge, 2 * edge))
+            cu, cv = near["_cu"].to_numpy() + edge, near["_cv"].to_numpy() + edge
+            fu, fv, k = near["u"] - near["_cu"], near["v"] - near["_cv"], near["k"]
+            for du, dv, w in ((0, 0, (1 - fu) * (1 - fv)), (0, 1, (1 - fu) * fv), (1, 0, fu * (1 - fv)), (1, 1, fu * fv)):
+                np.add.at(grid, (cu + du, cv + dv), (w * k).to_numpy())
+            step = np.arange(2 * edge)
+            kernel = np.exp(-0.5 * ((step[:, None] - step[None, :]) / near["h"].iloc[0]) ** 2)
+            grid = kernel @ grid @ kernel
+            for c, du, dv in (("d00", 0, 0), ("d01", 0, 1), ("d10", 1, 0), ("d11", 1, 1)):
+                out.loc[near.index, c] = grid[cu + du, cv + dv]
+        assert len(out) == len(near) + len(far)
+        return out
+
+    kind = df.schema[by].dataType.simpleString()
+    nodes = cells.groupBy(by).applyInPandas(smooth, f"`{by}` {kind}, _cu int, _cv int, d00 double, d01 double, d10 double, d11 double")
+    fu, fv = F.col("_u") - F.col("_cu"), F.col("_v") - F.col("_cv")
+    between = (F.col("d00") * (1 - fv) + F.col("d01") * fv) * (1 - fu) + (F.col("d10") * (1 - fv) + F.col("d11") * fv) * fu
+    dense = pts.join(nodes, [by, "_cu", "_cv"]).withColumn("density", between / F.col("_scale"))
     lim = dense.groupBy(by).agg(F.min("density").alias("_lo"), F.max("density").alias("_hi"))
     scaled = (F.col("density") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9)
     return dense.join(lim, by).select(by, x, y, "density", scaled.alias("scaled"))

@@ -181,7 +181,8 @@ def training_metrics(x: np.ndarray, shape: tuple[int, ...]) -> dict[str, float]:
 def metric_bundle(before: DataFrame, after: DataFrame) -> DataFrame:
     """Metrics of each chunk before and after correction; improvements are positive where correction helped."""
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame(columns=[c.split()[0] for c in BUNDLE.split(", ")])
         i, o = training_metrics(*_series(a)), training_metrics(*_series(b))
@@ -193,7 +194,8 @@ def metric_bundle(before: DataFrame, after: DataFrame) -> DataFrame:
         return pd.DataFrame([row])
 
     cols = ["chunk_id", "vol", "shape", "data"]
-    return before.select(*cols).groupBy("chunk_id").cogroup(after.select(*cols).groupBy("chunk_id")).applyInPandas(run, BUNDLE)
+    both = before.select(*cols, F.lit(0).alias("side")).unionByName(after.select(*cols, F.lit(1).alias("side")))
+    return both.groupBy("chunk_id").applyInPandas(run, BUNDLE)
 
 
 def psc_report(psc: DataFrame, by: str) -> DataFrame:
