@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from framewise.operators.ranks import seeded_rank
+from framewise.operators.ranks import ordered_rank, seeded, seeded_rank
 from framewise.params import Split
 
 
@@ -77,10 +78,6 @@ def balanced_sample(df: DataFrame, by: str, key: str, n: int, seed: int = 42) ->
 
     The rank within a group is limited before the exchange, so no task holds a whole group.
     """
-    from pyspark.sql.window import Window
-
-    from framewise.operators.ranks import seeded
-
     order = Window.partitionBy(by).orderBy(seeded(key, seed), key)
     return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
@@ -93,8 +90,6 @@ def slice_status(start: Column, end: Column, volumes: Column) -> Column:
 
 def zip_pairs(a: DataFrame, b: DataFrame, seed: int, key_a: str, key_b: str) -> DataFrame:
     """Pairs (key_a in order, key_b in seeded order) by place, as many as the shorter side has."""
-    from framewise.operators.ranks import ordered_rank
-
     left = ordered_rank(a.select(key_a), [key_a])
     right = seeded_rank(b.select(key_b), key_b, seed)
     return left.join(right, "rank").select("rank", key_a, key_b)
@@ -106,12 +101,11 @@ def epoch_queue(a: DataFrame, key: str, per_epoch: int, cycle: int = 0, seed: in
     What is left at the end of the pass is dropped; the next cycle shuffles anew. A pool smaller than
     an epoch is gone through as often as needed, by the place modulo the pool's size.
     """
-    per_cycle = 1
     ranked = seeded_rank(a.select(key), key, f"{seed}#{cycle}")
     n = a.count()
     if n and n < per_epoch:
-        slots = a.sparkSession.range(per_epoch).withColumn("rank", F.col("id") % n + 1)
-        return slots.join(ranked, "rank").select(key, F.lit(cycle).cast("long").alias("epoch"), F.col("id").alias("slot"))
+        slots = a.sparkSession.range(per_epoch).select(F.col("id").alias("_slot"), (F.col("id") % n + 1).alias("rank"))
+        return slots.join(ranked, "rank").select(key, F.lit(cycle).cast("long").alias("epoch"), F.col("_slot").alias("slot"))
     per_cycle = max(1, n // per_epoch)
     place = F.col("rank") - 1
     used = ranked.filter(place < per_cycle * per_epoch)
@@ -129,8 +123,6 @@ def batches(ranked: DataFrame, size: int, drop_last: bool, rank: str = "rank") -
 
 def loader(a: DataFrame, b: DataFrame | None, split: str, key: str, batch: int, epoch: int = 0, seed: int = 42) -> DataFrame:
     """The rows that a split's loader gives: train pairs a shuffled queue with b, val pairs in order, test is a alone."""
-    from framewise.operators.ranks import ordered_rank
-
     if split not in ("train", "val", "test"):
         raise ValueError(f"unknown split {split}")
     if split == "test":

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from framewise.functions.arrays import bin_index, finite_or_null
 from framewise.functions.text import range_label
@@ -163,7 +164,7 @@ def density(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         edge = NODES * REACH
         inside = (pdf["_cu"].abs() < edge - 1) & (pdf["_cv"].abs() < edge - 1)
-        near, far = pdf[inside], pdf[~inside]
+        near = pdf[inside]
         out = pdf[[by, "_cu", "_cv"]].copy()
         for c in ("d00", "d01", "d10", "d11"):
             out[c] = pdf["k"].astype(float)
@@ -178,7 +179,6 @@ def density(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
             grid = kernel @ grid @ kernel
             for c, du, dv in (("d00", 0, 0), ("d01", 0, 1), ("d10", 1, 0), ("d11", 1, 1)):
                 out.loc[near.index, c] = grid[cu + du, cv + dv]
-        assert len(out) == len(near) + len(far)
         return out
 
     kind = df.schema[by].dataType.simpleString()
@@ -193,8 +193,6 @@ def density(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 def running_best(df: DataFrame, order: list[str], value: str, by: list[str]) -> DataFrame:
     """Rows whose value is strictly above all before it in their group."""
-    from pyspark.sql.window import Window
-
     before = F.max(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("_best", before).filter(F.col("_best").isNull() | (F.col(value) > F.col("_best"))).drop("_best")
 

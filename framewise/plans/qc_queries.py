@@ -39,7 +39,7 @@ _VOXELS = f"""
 {VECTORS_SQL}, l AS (SELECT run_key, CAST(unnest(range(len(x))) AS INTEGER) AS voxel, unnest(x) AS x FROM v),
 s AS (SELECT run_key, voxel, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std_pop, stddev_samp(x) AS std_samp FROM l GROUP BY ALL)"""
 
-VOXELS = f"WITH {_VOXELS} SELECT run_key, voxel, n, round(mean, 4) AS mean, round(std_pop, 4) AS std_pop, round(std_samp, 4) AS std_samp FROM s"
+VOXELS = f"WITH {_VOXELS} SELECT run_key, voxel, n, round(mean, 4) + 0.0 AS mean, round(std_pop, 4) + 0.0 AS std_pop, round(std_samp, 4) + 0.0 AS std_samp FROM s"
 
 
 def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def intensity_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INTENSITY = f"""
 WITH {VECTORS_SQL}, z AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 THEN list_concat([0.0::DOUBLE], x[2:]) ELSE x END AS x FROM v)
-SELECT vec_id, round(list_min(x), 4) AS intensity_min, round(list_max(x), 4) AS intensity_max, round(list_avg(x), 4) AS intensity_mean,
+SELECT vec_id, round(list_min(x), 4) + 0.0 AS intensity_min, round(list_max(x), 4) + 0.0 AS intensity_max, round(list_avg(x), 4) + 0.0 AS intensity_mean,
        vec_id % 7 = 0 AS has_nan, vec_id % 7 <> 0 AND vec_id % 11 = 0 AS has_inf FROM z
 """
 
@@ -414,8 +414,8 @@ WITH v AS (SELECT label::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY la
 i AS (SELECT chunk_id, count(*)::INTEGER AS n_vols, min(list_min(x)) AS a, max(list_max(x)) AS b, avg(list_avg(x)) AS m, stddev_pop(list_avg(x)) AS s FROM v GROUP BY chunk_id),
 p AS (SELECT b.chunk_id, b.vol, unnest(a.x) AS x, unnest(b.x) AS y FROM v a JOIN v b ON a.chunk_id = b.chunk_id AND b.vol = a.vol + 1),
 d AS (SELECT chunk_id, vol, sqrt(avg((x-y)*(x-y))) AS d FROM p GROUP BY ALL), e AS (SELECT chunk_id, avg(d) AS dm, max(d) AS dx FROM d GROUP BY chunk_id)
-SELECT chunk_id, n_vols, '(4, 4, 4, ' || n_vols || ')' AS shape, false AS has_nan, false AS has_inf, round(a, 3) AS intensity_min, round(b, 3) AS intensity_max,
-       round(m, 3) AS intensity_mean, round(dm, 3) AS dvars_mean, round(dx, 3) AS dvars_max, round(m, 3) AS gs_mean, round(s, 3) AS gs_std FROM i JOIN e USING (chunk_id)
+SELECT chunk_id, n_vols, '(4, 4, 4, ' || n_vols || ')' AS shape, false AS has_nan, false AS has_inf, round(a, 3) + 0.0 AS intensity_min, round(b, 3) + 0.0 AS intensity_max,
+       round(m, 3) + 0.0 AS intensity_mean, round(dm, 3) + 0.0 AS dvars_mean, round(dx, 3) + 0.0 AS dvars_max, round(m, 3) + 0.0 AS gs_mean, round(s, 3) + 0.0 AS gs_std FROM i JOIN e USING (chunk_id)
 """
 
 

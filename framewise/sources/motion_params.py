@@ -14,7 +14,7 @@ def read_motion_parameters(spark: SparkSession, path: str, lenient: bool = False
     A file is read whole, since only then its lines have an order; runs have some hundred lines. A
     file with a line that has not six numbers gives no rows; with ``lenient`` such lines have nulls.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "#.*$", ""), r"\s+", " ")))
     rows = files.select("path", F.posexplode(F.filter(lines, lambda x: x != "")).alias("vol", "line"))
     parts = F.transform(F.split("line", " "), lambda x: x.try_cast("double"))

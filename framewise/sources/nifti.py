@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from framewise.sources.listing import binary_files
+
 # Fixed values of the format: header length, magic, voxel offset and type codes.
 HEADER, MAGIC, OFFSET = 348, b"n+1\0", 352
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -81,8 +83,7 @@ def read_volumes(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataFr
                     row = {"path": where, "vol": t, "shape": list(data.shape[:3]), "data": data[..., t].ravel(), "affine": affine.ravel(), "load_error": None}
                     yield pd.DataFrame([row])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select("path", "content").mapInPandas(run, VOLUMES)
+    return binary_files(spark, path, glob).select("path", "content").mapInPandas(run, VOLUMES)
 
 
 def encode_chunks(volumes: DataFrame, affine: np.ndarray) -> DataFrame:
