@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Rows up to which a table of a few fixed-width columns is broadcast (about 16 bytes each).
 BROADCAST_ROWS = 200_000
+#: Texts that go to a Python task at once.
+ARROW_ROWS = 2_000
 #: Copies of the small side, and parts of each key of the large side, when it is not broadcast.
 SALTS = 16
 
@@ -79,7 +81,7 @@ def join_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left") -
     if few(small):
         return big.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)))
-    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_part"))
     return left.join(right, on, how).drop("_salt", "_part", "_key")
 
@@ -120,7 +122,7 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
 class WordHasher(dict):
     """64-bit hashes of words, remembered; ``limit`` bounds the memory of a task."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         import xxhash
 
         super().__init__()
@@ -163,7 +165,13 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` by another name, for one place to change the way batches are dealt."""
+    """``mapInArrow`` with batches of at most ARROW_ROWS rows, since rows hold whole texts.
+
+    The session's setting is lowered to that if it is higher; it is read when the query runs.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
     return df.mapInArrow(f, schema)
 
 
