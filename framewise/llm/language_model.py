@@ -37,7 +37,7 @@ class Interpolation:
     parts: int = 7
     test: int = 2  # documents of this fold don't train
     held: int = 3  # of those that train, this fold fits the weights
-    block_tokens: int = 3_000_000
+    block_tokens: int = 1_200_000
     slice_bytes: int = 24_000_000  # of text for each slice
     rounds: int = 60
     steps: int = 8  # cells for each factor of two, in the table that the weights are fitted to
@@ -96,20 +96,18 @@ class _Block:
 
     def __init__(self, row: dict):
         words = np.frombuffer(row["words"], np.uint64)
-        h = words[_numbers(row["tokens"])]
-        before = np.concatenate([[END], h[:-1]])  # a text's first token follows the end of the one before
-        with np.errstate(over="ignore"):
-            pair = mix64(mix64(before) + h)
+        self.h = words[_numbers(row["tokens"])]
         self.ids, self.ends = row["doc_ids"], np.array(row["ends"], np.int64)
-        folds = np.array(row["folds"], np.int64)
-        self.fold = np.repeat(folds, np.diff(self.ends, prepend=0))
-        self.folds = folds
-        self.words, self.word = np.unique(mix64(h), return_inverse=True)
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
-        self.context = np.concatenate([[np.searchsorted(self.words, mix64(np.array([END])))[0]], self.word[:-1]])
-
-    def kinds(self):
-        return (0, self.words, self.word), (1, self.pairs, self.pair)
+        self.folds = np.array(row["folds"], np.int64)
+        self.fold = np.repeat(self.folds, np.diff(self.ends, prepend=0))
+
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, and each token's place among them."""
+        if kind == 0:
+            return np.unique(mix64(self.h), return_inverse=True)
+        before = np.concatenate([[END], self.h[:-1]])  # a text's first token follows the end of the one before
+        with np.errstate(over="ignore"):
+            return np.unique(mix64(mix64(before) + self.h), return_inverse=True)
 
 
 def _requests(blocks: DataFrame, slices: int, p: Interpolation) -> DataFrame:
@@ -120,7 +118,8 @@ def _requests(blocks: DataFrame, slices: int, p: Interpolation) -> DataFrame:
             for row in batch.to_pylist():
                 b = _Block(row)
                 kept, held = (b.fold != p.test) & (b.fold != p.held), b.fold == p.held
-                for kind, keys, inv in b.kinds():
+                for kind in (0, 1):
+                    keys, inv = b.keys(kind)
                     n = [np.bincount(inv[on], minlength=len(keys)).astype(np.uint32) for on in (kept, held)]
                     cut = [0, *np.searchsorted(keys, edges), len(keys)]
                     at = [k for k in range(slices) if cut[k] < cut[k + 1]]
@@ -155,12 +154,18 @@ def _answers(requests: DataFrame) -> DataFrame:
 
 def _counts(b: _Block, answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """c(v), c(w) and c(vw) of every token w after v."""
-    found = {}
-    rows = answers.sort_by("slice")
+    rows = answers.select(["kind", "slice", column]).sort_by("slice")
+    kinds = rows.column("kind").to_pylist()
+    out = []
     for kind in (0, 1):
-        raw = [_numbers(x.as_py()) for k, x in zip(rows.column("kind").to_pylist(), rows.column(column), strict=True) if k == kind]
-        found[kind] = np.concatenate(raw).astype(np.float64)
-    return found[0][b.context], found[0][b.word], found[1][b.pair]
+        raw = [_numbers(x.as_py()) for k, x in zip(kinds, rows.column(column), strict=True) if k == kind]
+        keys, inv = b.keys(kind)
+        found = np.concatenate(raw)
+        if kind == 0:
+            end = found[np.searchsorted(keys, mix64(np.array([END])))[0]]
+            out.append(np.concatenate([[end], found[inv[:-1]]]).astype(np.float64))
+        out.append(found[inv].astype(np.float64))
+    return out[0], out[1], out[2]
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
