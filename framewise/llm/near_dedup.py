@@ -6,10 +6,8 @@ classes into buckets; within a bucket, classes are compared with hubs and not wi
 Candidate pairs pass a check of the whole signatures and then an exact check of the whole sets, and
 connected components come from alternating large-star and small-star steps.
 
-No link between different texts is lost to the buckets' hubs: a bucket whose classes are not yet all
-in one component gets more hubs, sixteen times as many in each round, until every pair of its
-classes has been compared or is in one component. Work thus follows the number of classes, except in
-buckets full of classes that are alike in a band but not linked.
+No link between different texts is lost to the buckets' hubs. Where a bucket's classes are not all in
+one component after that, an exact join by their rarest shingles finds the pairs that can still be linked.
 
 With BANDS bands of ROWS minima a pair of the least similarity 0.8 is missed by all bands with a
 probability of (1 - 0.8^ROWS)^BANDS, here 3e-6, and one of similarity 0.9 with 1e-12.
@@ -162,10 +160,13 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDup) -> DataFrame:
     reps = materialize(reps, "near-dedup-classes")
     sigs = reps.select("rep", "sig")
     slots = reps.select("rep", F.explode("bands").alias("key"))
-    order = F.xxhash64("rep", "key")  # each bucket has its own order of hubs
-    hubs = slots.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep"))).alias("h"), F.count(F.lit(1)).alias("n"))
-    hubs = hubs.filter("n > 1").select("key", F.col("h.rep").alias("hub"), "n")
-    members = materialize(slots.join(hubs, "key"), "near-dedup-buckets")
+    sizes = slots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialize(slots.join(sizes, "key"), "near-dedup-buckets")
+    # hubs are the classes that share most bands with others: what copies were made from, not a copy
+    central = members.groupBy("rep").agg((-F.sum("n")).alias("o"))
+    members = members.join(central, "rep")
+    hubs = members.groupBy("key").agg(F.min(F.struct("o", "rep")).alias("h")).select("key", F.col("h.rep").alias("hub"))
+    members = materialize(members.join(hubs, "key"), "near-dedup-buckets")
     pair = lambda df, x, y: df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     cand = materialize(_alike(pair(members, "hub", "rep"), sigs, p), "near-dedup-pairs")
     # the best pair of each class first; what is then still open after that
@@ -176,26 +177,50 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDup) -> DataFrame:
     if not rest.isEmpty():
         edges = materialize(edges.unionByName(_confirmed(rest, docs, p)), "near-dedup-links")
         comps = materialize(connected_components(edges, "a", "b"), "near-dedup-components")
-    # more hubs for buckets of three and more that are not in one component
-    ranks = Window.partitionBy("key").orderBy(order, "rep")
-    lo, hi = 2, 16
-    left = members.filter("n > 2").select("key", "rep")
-    while True:
-        left = _with_component(left.select(*(c for c in left.columns if c != "comp")), "rep", comps, "comp")
-        split = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        left = left.join(split, "key", "left_semi")
-        if lo == 2:
-            left = left.withColumn("rank", F.row_number().over(ranks))
-        left = materialize(left.filter(F.col("rank") >= lo) if lo > 2 else left, "near-dedup-buckets")
-        if left.filter(F.col("rank") > lo).isEmpty():
-            return comps
-        hub = left.filter(F.col("rank").between(lo, hi)).select("key", F.col("rep").alias("hub"), F.col("rank").alias("hr"), F.col("comp").alias("hc"))
-        more = left.join(hub, "key").filter("rank > hr AND comp <> hc")
-        cand = materialize(_alike(pair(more, "hub", "rep"), sigs, p).select("a", "b"), "near-dedup-pairs")
-        if not cand.isEmpty():
-            edges = materialize(edges.unionByName(_confirmed(cand, docs, p)), "near-dedup-links")
-            comps = materialize(connected_components(edges, "a", "b"), "near-dedup-components")
-        lo, hi = hi + 1, hi * 16
+    more = _unsettled(docs, members.filter("n > 2").select("key", "rep"), comps, p)
+    if more is not None:
+        edges = materialize(edges.unionByName(_confirmed(_alike(more, sigs, p).select("a", "b"), docs, p)), "near-dedup-links")
+        comps = materialize(connected_components(edges, "a", "b"), "near-dedup-components")
+    return comps
+
+
+def _unsettled(docs: DataFrame, members: DataFrame, comps: DataFrame, p: NearDup) -> DataFrame | None:
+    """Pairs (a, b) that may still be linked, of classes that share a bucket but not a component; None if there are none.
+
+    Each class lists its shingles, the rarest among these classes first. Linked sets share a shingle in
+    their first places, and what can follow that place bounds their overlap; other pairs are not made.
+    At least one class of a pair is outside its bucket's largest component, so only such classes are
+    joined with the others.
+    """
+    rows = _with_component(members, "rep", comps, "comp")
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rows = rows.join(split.select("key", "main"), "key")
+    ids = rows.groupBy("rep", "comp").agg(F.max((F.col("comp") != F.col("main")).cast("int")).alias("small"))
+    ids = materialize(ids, "near-dedup-unsettled")
+    if ids.isEmpty():
+        return None
+
+    def shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in it:
+            found = [shingle_set(hasher, t.as_py(), p.words).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(found, pa.int64())], ["rep", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = batches(semi_by_id(texts, ids.select(F.col("rep").alias("doc_id"))), shingles, "rep long, set array<long>")
+    tokens = materialize(sets.select("rep", F.size("set").alias("n"), F.explode("set").alias("token")), "near-dedup-shingles")
+    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("rep", "n").orderBy("df", "token"))
+    first = tokens.join(rare, "token").withColumn("i", place)
+    first = first.filter(100 * (F.col("n") - F.col("i") + 1) >= p.percent * F.col("n")).join(ids, "rep")
+    first = materialize(first.filter("df > 1").select("rep", "comp", "small", "token", "n", "i"), "near-dedup-shingles")
+    left = first.filter("small = 1").select("token", *(F.col(c).alias(f"{c}1") for c in ("rep", "comp", "small", "n", "i")))
+    reach = 1 + F.least(F.col("n1") - F.col("i1"), F.col("n") - F.col("i"))
+    enough = (100 + p.percent) * reach >= p.percent * (F.col("n1") + F.col("n"))
+    once = (F.col("small") == 0) | (F.col("rep1") < F.col("rep"))
+    pairs = left.join(first, "token").filter((F.col("comp1") != F.col("comp")) & once & enough)
+    return pairs.select(F.least("rep1", "rep").alias("a"), F.greatest("rep1", "rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
