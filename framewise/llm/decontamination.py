@@ -163,7 +163,8 @@ def candidates(index: DataFrame, anchored: DataFrame, slop: int = 0) -> DataFram
             by_rarest.setdefault(first[0], []).append((r["win"], r["len"], first[1], rest))
         one = batches(index.filter(F.size("terms") > 0), _intersection(by_rarest, slop), CANDIDATES)
         found = one if found is None else found.unionByName(one)
-    return found
+    every = [F.flatten(F.collect_list(c)).alias(c) for c in ("wins", "starts", "lengths")]
+    return found.groupBy("doc_id", "fp").agg(*every)  # a text's windows of all blocks
 
 
 CANDIDATES = "doc_id long, fp long, wins array<long>, starts array<long>, lengths array<long>"
@@ -246,7 +247,7 @@ def phrase_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     texts = semi_by_id(_printed(docs), found.select("doc_id").distinct()).dropDuplicates(["doc_id", "fp"])
     texts = texts.select(F.col("doc_id").alias("id"), F.col("fp").alias("f"), "text")
-    both = found.dropDuplicates(["doc_id", "fp"]).join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("f")))
+    both = found.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("f")))
     return batches(both.drop("id", "f"), run, "doc_id long, fp long, n_hit long, wins array<long>")
 
 
