@@ -159,6 +159,40 @@ def chunk_metrics(df: DataFrame) -> DataFrame:
     return df.select("chunk_id", "vol", "shape", "data").groupBy("chunk_id").applyInPandas(run, METRICS)
 
 
+CHECKS = "chunk_id string, vol int, n_brain long, n_outside long, n_nonzero long, signal double, zero boolean, fits boolean"
+
+
+def volume_checks(df: DataFrame, mask: np.ndarray) -> DataFrame:
+    """What a verification report needs of each masked series: n_volumes, n_brain_voxels, n_outside,
+    n_nonzero_outside_brain (of the first volume only), mean_signal_brain, n_zero_volumes and dims_match.
+
+    Volumes are looked at one by one; only a few numbers of each are exchanged.
+    """
+    keep = np.asarray(mask) > 0.5
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for name, vol, shape, data in zip(pdf["chunk_id"], pdf["vol"], pdf["shape"], pdf["data"], strict=True):
+                v, fits = np.asarray(data, np.float64), tuple(shape) == keep.shape
+                brain = keep.ravel() if fits else np.zeros(len(v), bool)
+                signal = float(np.abs(v[brain]).mean()) if brain.any() else None
+                out.append((name, vol, int(brain.sum()), int((~brain).sum()), int(np.count_nonzero(v[~brain])), signal, not v[brain].any(), fits))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHECKS.split(", ")])
+
+    each = df.select("chunk_id", "vol", "shape", "data").mapInPandas(run, CHECKS)
+    first = lambda c: F.min_by(c, "vol").alias
+    return each.groupBy("chunk_id").agg(
+        F.count(F.lit(1)).alias("n_volumes"),
+        first("n_brain")("n_brain_voxels"),
+        first("n_outside")("n_outside"),
+        first("n_nonzero")("n_nonzero_outside_brain"),
+        F.avg("signal").alias("mean_signal_brain"),
+        F.count_if("zero").alias("n_zero_volumes"),
+        F.bool_and("fits").alias("dims_match"),
+    )
+
+
 BUNDLE = "chunk_id string, " + ", ".join(
     [f"{m}_{k} double" for m in ("dvars", "tsnr", "gs_std") for k in ("input", "corrected", "improvement")]
     + ["smoothness_input double", "smoothness_corrected double", "smoothness_ratio double"]
@@ -211,6 +245,15 @@ def psc_report(psc: DataFrame, by: str) -> DataFrame:
     )
 
 
+def correct(df: DataFrame, make_predict: Callable, shape: tuple[int, int, int], batch_size: int = 4) -> DataFrame:
+    """Volumes of one shape through a model: ``make_predict`` returns a function of (batch, values) to the same, once for each worker."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+
+    model = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[int(np.prod(shape))]])
+    return df.select("chunk_id", "vol", "shape", model("data").alias("data"))
+
+
 def extract_chunks(volumes: DataFrame, chunks: DataFrame, key: str = "run_key") -> DataFrame:
     """Volumes of each chunk as rows (chunk_id, vol from 0, shape, data): volumes are dealt by run once."""
     held = chunks.select(key, "chunk_id", "chunk_start", "chunk_end")

@@ -441,6 +441,54 @@ l AS (SELECT chunk_id, vol, unnest(range(64)) AS k, unnest(x) AS x FROM v) SELEC
 """
 
 
+def volume_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verification numbers of runs masked by even places; every run's first volume has leaked at place 1."""
+    import numpy as np
+
+    mask = (np.arange(64).reshape(4, 4, 4) % 2 == 0).astype(float)
+    m = volumes.apply_mask(_volumes(spark, sf_dir), mask)
+    leak = F.transform("data", lambda x, k: F.when((k == 1) & (F.col("vol") == 0), F.lit(1.0)).otherwise(x).cast("float"))
+    return rounded(volumes.volume_checks(m.withColumn("data", leak), mask))
+
+
+CHECKS = """
+WITH v AS (SELECT label::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS vol, embedding::DOUBLE[] AS x FROM embeddings),
+l AS (SELECT chunk_id, vol, unnest(range(64)) AS k, unnest(x) AS x FROM v), s AS (SELECT chunk_id, vol, avg(abs(x)) AS s FROM l WHERE k % 2 = 0 GROUP BY ALL)
+SELECT chunk_id, count(*) AS n_volumes, 32::BIGINT AS n_brain_voxels, 32::BIGINT AS n_outside, 1::BIGINT AS n_nonzero_outside_brain, round(avg(s), 4) AS mean_signal_brain,
+       0::BIGINT AS n_zero_volumes, true AS dims_match FROM s GROUP BY chunk_id
+"""
+
+
+def psc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range, deviation, asymmetry and coverage of normalised runs, odd and even ones as domains."""
+    raw = _volumes(spark, sf_dir).withColumn("data", F.transform("data", lambda x: (x + F.lit(2).cast("float")).cast("float")))
+    psc = volumes.percent_signal_change(raw).withColumn("domain", (F.col("chunk_id").cast("int") % 2).cast("string"))
+    return rounded(volumes.psc_report(psc, "domain"), digits=3)
+
+
+PSC_REPORT = """
+WITH v AS (SELECT label::VARCHAR AS chunk_id, vec_id, embedding AS x FROM embeddings),
+l AS (SELECT chunk_id, vec_id, unnest(range(len(x))) AS k, (unnest(x) + 2::FLOAT)::DOUBLE AS x FROM v), m AS (SELECT chunk_id, k, avg(x) AS m FROM l GROUP BY ALL),
+p AS (SELECT (chunk_id::INTEGER % 2)::VARCHAR AS domain, (x - m) / (abs(m) + 1e-6) AS p FROM l JOIN m USING (chunk_id, k)),
+q AS (SELECT domain, avg(p) AS a, stddev_pop(p) AS s FROM p GROUP BY domain)
+SELECT domain, round(min(p), 3) AS min, round(max(p), 3) AS max, round(any_value(s), 3) AS std, round(avg(pow((p - a) / s, 3)), 3) AS asymmetry, 1.0::DOUBLE AS coverage FROM p JOIN q USING (domain) GROUP BY domain
+"""
+
+
+def minmax_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals scaled to 0..1 by priority."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    lim = o.groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    scaled = arrays.min_max(F.col("o_totalprice"), F.col("lo"), F.col("hi"))
+    return rounded(o.join(lim, "o_orderpriority").select("o_orderkey", scaled.alias("scaled")))
+
+
+MINMAX = """
+WITH l AS (SELECT o_orderpriority, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY ALL)
+SELECT o_orderkey, round((o_totalprice - lo) / (hi - lo + 1e-9), 4) AS scaled FROM orders JOIN l USING (o_orderpriority)
+"""
+
+
 def chunk_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volumes of each run's second chunk of five."""
     v = _volumes(spark, sf_dir).withColumnRenamed("chunk_id", "run_key")
@@ -499,5 +547,8 @@ QUERIES = {
     "chunk_metrics": (chunk_metrics, METRICS),
     "metric_bundle": (metric_bundle, None),
     "mask_volumes": (mask_volumes, MASK),
+    "volume_checks": (volume_checks, CHECKS),
+    "psc_report": (psc_report, PSC_REPORT),
+    "minmax_scaled": (minmax_scaled, MINMAX),
     "chunk_extraction": (chunk_extraction, EXTRACTION),
 }

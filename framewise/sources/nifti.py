@@ -86,6 +86,15 @@ def read_volumes(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataFr
     return binary_files(spark, path, glob).select("path", "content").mapInPandas(run, VOLUMES)
 
 
+def read_mask(spark: SparkSession, path: str) -> np.ndarray:
+    """One mask file as booleans: values above 0.5."""
+    row = spark.read.format("binaryFile").load(path).select("content").first()
+    if row is None:
+        raise FileNotFoundError(path)
+    data, _ = parse(bytes(row["content"]))
+    return data > 0.5
+
+
 def encode_chunks(volumes: DataFrame, affine: np.ndarray) -> DataFrame:
     """(chunk_id, n_vols, content): each chunk as the bytes of a file, ready for a binary sink or an object store."""
 

@@ -59,3 +59,13 @@ def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     a = read_csv(spark, f"{folder}/{split}_corrupted_{kind}.csv", CORRUPTED).withColumn("domain", F.lit("A_corrupted"))
     b = read_csv(spark, f"{folder}/{split}_motion_free.csv", MOTION_FREE).withColumn("domain", F.lit("B_motion_free"))
     return a.unionByName(b, allowMissingColumns=True).withColumn("split", F.lit(split))
+
+
+def resolve_paths(root: str | None, split: str, corrupted: str | None = None, motion_free: str | None = None) -> tuple[str, str]:
+    """The two domains' metric tables: both given, or both by the root's convention."""
+    if corrupted and motion_free:
+        return corrupted, motion_free
+    if not root:
+        raise ValueError("give a root folder, or both tables")
+    base = f"{root.rstrip('/')}/{split}_qc/analysis_output"
+    return f"{base}/corrupted/{split}_chunk_metrics.csv", f"{base}/motion_free/{split}_chunk_metrics.csv"

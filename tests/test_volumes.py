@@ -96,6 +96,22 @@ def test_nifti_round_trip(spark, chunk, tmp_path):
         listing.list_files(spark, str(tmp_path), "*.none", required=True)
 
 
+def test_mask_file_and_paths(spark, tmp_path):
+    (tmp_path / "m.nii.gz").write_bytes(nifti.render(np.array([[[0.4, 0.6], [1.0, 0.5]]], np.float32), np.eye(4)))
+    assert nifti.read_mask(spark, str(tmp_path / "m.nii.gz")).tolist() == [[[False, True], [True, False]]]
+    assert tables.resolve_paths(None, "val", "a", "b") == ("a", "b")
+    assert tables.resolve_paths("/r/", "val")[0].startswith("/r/val_qc/")
+    with pytest.raises(ValueError):
+        tables.resolve_paths(None, "val")
+
+
+def test_model_seam(spark, chunk):
+    def make():
+        return lambda x: x * 0.5
+
+    assert np.allclose(back(volumes.correct(frame(spark, chunk), make, (4, 5, 3))), chunk * 0.5)
+
+
 def test_csv_schema_keeps_zeros_and_fails_on_bad_values(spark, tmp_path):
     (tmp_path / "a.csv").write_text("subject_id,split\n001,train\n")
     assert tables.read_csv(spark, str(tmp_path / "a.csv"), tables.SUBJECT_SPLIT).first().subject_id == "001"
