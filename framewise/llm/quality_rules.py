@@ -27,7 +27,7 @@ class HostRules:
 
     min_words: int = 50
     max_repeat: int = 50  # per 100 words
-    symbols: tuple[int, int] = (10, 50)  # strict, lenient: per 100 words
+    symbols: tuple[int, int] = (10, 30)  # strict, lenient: per 100 words
     dup_lines: tuple[int, int] = (20, 50)  # strict, lenient: per 100 lines with a word
     word_chars: tuple[int, int] = (1200, 2000)  # strict, lenient: per 100 words
     suspect: float = 0.4  # shrunk failure rates from which hosts are suspect, or rejected
@@ -169,7 +169,7 @@ c AS (
 f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 20 * n_lines OR 100 * word_chars > 1200 * n_words AS strict,
-         100 * n_symbols > 50 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * word_chars > 2000 * n_words AS lenient
+         100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * word_chars > 2000 * n_words AS lenient
   FROM c),
 h AS (SELECT source, count(*) AS n, count_if(base_failed OR strict) AS k FROM f GROUP BY source),
 p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
