@@ -55,10 +55,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    vocabulary = sentence_pieces.Pieces.load()
-    both = sentence_pieces.decode(sentence_pieces.encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    same = F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), same)
+    out = sentence_pieces.encode(docs.select("doc_id", "text"), sentence_pieces.Pieces.load(), check=True)
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "lossless")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -61,11 +61,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces, and whether the ids decode to the text."""
-    pieces = sentence_pieces.Pieces.load()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentence_pieces.decode(sentence_pieces.encode(docs, pieces), pieces)
-    same = F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), same)
+    out = sentence_pieces.encode(docs, sentence_pieces.Pieces.load(), check=True)
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "lossless")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A text is cut into units where a space follows another character, since no piece of such a vocabulary
 goes on past that. Within a unit an agenda holds the candidate merges of neighbours, by the score of the
 piece they make and then from the left. A candidate that comes up is skipped, for good, if the keyed hash
-of (seed, variant, unit, place, length) falls below the dropout rate; so one text can have many
+of (seed, variant, unit, place, piece) falls below the dropout rate; so one text can have many
 segmentations, and the same seed always gives the same one. Units take their variant from the document
 and from their place in it, which lets tasks remember segmentations. Characters that the vocabulary lacks,
 the space mark itself among them, become byte pieces, so that decoding gives back every text.
@@ -41,10 +41,15 @@ class Dropout:
 
 @dataclass(frozen=True)
 class Pieces:
-    """A vocabulary: scores and ids of the pieces that merges make, ids of byte pieces, and each id's bytes."""
+    """A vocabulary. Symbols are numbered by rank: best score first, then by id, as merges are done.
 
-    ids: dict[str, int]
-    scores: dict[str, float]
+    symbols: rank of each single character; merges: rank of the piece that two neighbouring symbols
+    make, by ``left << 32 | right``; ids: each rank's id; bytes_: ids of byte pieces; raw: each id's bytes.
+    """
+
+    symbols: dict[str, int]
+    merges: dict[int, int]
+    ids: tuple[int, ...]
     bytes_: tuple[int, ...]
     raw: tuple[bytes, ...]
     unit: str
@@ -55,7 +60,7 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids, scores, by, raw = {}, {}, [0] * 256, []
+        scores, ids, by, raw = {}, {}, [0] * 256, []
         for k in range(sp.get_piece_size()):
             piece = sp.id_to_piece(k)
             if sp.is_byte(k):
@@ -68,74 +73,204 @@ class Pieces:
                 raw.append(piece.replace(SPACE, " ").encode())
         if any(SPACE in p.lstrip(SPACE) for p in ids) or 0 in by[1:]:
             raise ValueError("the vocabulary has pieces across spaces, or no byte pieces")
+        if not all(c in ids for p in ids for c in p):
+            raise ValueError("the vocabulary lacks a character of one of its pieces")
+        order = sorted(ids, key=lambda p: (-scores[p], ids[p]))
+        rank = {p: k for k, p in enumerate(order)}
+        merges = {rank[p[:k]] << 32 | rank[p[k:]]: rank[p] for p in order for k in range(1, len(p)) if p[:k] in rank and p[k:] in rank}
+        symbols = {" " if p == SPACE else p: k for p, k in rank.items() if len(p) == 1}
         # a line feed that no longer piece has can be a unit of its own
         feed = any("\n" in p and len(p) > 1 for p in ids)
-        return Pieces(ids, scores, tuple(by), tuple(raw), r" *[^ ]+| +" if feed else r" *[^ \n]+| +|\n")
+        unit = r" *[^ ]+| +" if feed else r" *[^ \n]+| +|\n"
+        return Pieces(symbols, merges, tuple(ids[p] for p in order), tuple(by), tuple(raw), unit)
 
 
-def segment(unit: str, variant: int, pieces: Pieces, drop: Dropout) -> tuple[int, ...]:
-    """Ids of a unit. Symbols are linked by their starts; an agenda entry is stale if its ends have changed."""
-    scores = pieces.scores
-    chars = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in unit]
-    n = len(chars)
-    text: list[str | None] = chars[:]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    key = zlib.crc32(f"{drop.seed},{variant},{unit}".encode("utf-8", "surrogatepass"))
-    limit = int(drop.rate * 2**32)
-    agenda: list[tuple[float, int, str]] = []
+#: Longer units have their agenda in a heap; shorter ones are merged many at once. The merges are the same.
+SHORT = 32
+#: Texts that are segmented together.
+TEXTS = 500
+_NONE = np.int64(1 << 40)
+
+
+def _key(unit: str, variant: int, drop: Dropout) -> int:
+    return zlib.crc32(unit.encode("utf-8", "surrogatepass"), drop.seed * 1_000_003 + variant & 0xFFFFFFFF)
+
+
+def _skipped(key, start, made, limit: int):
+    """The candidate's keyed hash is below the limit; start is its place in the unit, made the piece's rank. Numbers or arrays."""
+    low = 0xFFFFFFFF
+    h = (key ^ (start * 0x9E3779B1 + made * 0x85EBCA77)) & low
+    h = (h ^ (h >> 15)) * 0x2C1B3C6D & low
+    return ((h ^ (h >> 12)) * 0x297A2D39 & low) < limit
+
+
+def _merged(symbols: list[int], merges: dict[int, int], key: int, limit: int) -> tuple[list[int], list[int]]:
+    """Symbols and their starts. Entries are (rank, start, left, right); one is stale if its symbols have changed."""
+    n = len(symbols)
+    live, after, before = symbols[:], list(range(1, n + 1)), list(range(-1, n - 1))
+    agenda: list[tuple[int, int, int, int]] = []
 
     def propose(a: int, b: int) -> None:
-        if a >= 0 and b < n:
-            made = text[a] + text[b]
-            if made in scores:
-                heapq.heappush(agenda, (-scores[made], a, made))
+        if a >= 0 and b < n and (made := merges.get(live[a] << 32 | live[b])) is not None:
+            heapq.heappush(agenda, (made, a, live[a], live[b]))
 
     for k in range(n - 1):
         propose(k, k + 1)
+    gone = -2
     while agenda:
-        _, a, made = heapq.heappop(agenda)
-        if text[a] is None or (b := after[a]) >= n or text[a] + text[b] != made:
+        made, a, left, right = heapq.heappop(agenda)
+        b = after[a]
+        if live[a] != left or b >= n or live[b] != right or (limit and _skipped(key, a, made, limit)):
             continue
-        if limit and zlib.crc32(b"%d,%d" % (a, len(made)), key) * 2654435761 % 2**32 < limit:
-            continue
-        text[a], text[b], after[a] = made, None, after[b]
+        live[a], live[b], after[a] = made, gone, after[b]
         if after[b] < n:
             before[after[b]] = a
         propose(before[a], a)
         propose(a, after[a])
+    starts = [k for k in range(n) if live[k] != gone]
+    return [live[k] for k in starts], starts
+
+
+def segment(unit: str, variant: int, pieces: Pieces, drop: Dropout) -> tuple[int, ...]:
+    """Ids of one unit."""
+    symbols = [pieces.symbols.get(c, -1) for c in unit]  # -1: not in the vocabulary, in no merge
+    limit = int(drop.rate * 2**32)
+    return _ids(unit, *_merged(symbols, pieces.merges, _key(unit, variant, drop), limit), pieces)
+
+
+def _ids(unit: str, merged: list[int], starts: list[int], pieces: Pieces) -> tuple[int, ...]:
     out: list[int] = []
-    for s in text:
-        if s is None:
-            continue
-        if s in pieces.ids:
-            out.append(pieces.ids[s])
+    for x, at in zip(merged, starts, strict=True):
+        if x >= 0:
+            out.append(pieces.ids[x])
         else:
-            out += (pieces.bytes_[x] for x in s[-1].encode("utf-8", "surrogatepass"))  # one character, perhaps marked
+            out += (pieces.bytes_[byte] for byte in unit[at].encode("utf-8", "surrogatepass"))
     return tuple(out)
 
 
+class _PairRanks:
+    """Ranks of pairs for whole arrays: hash tables in a cascade, each holding what collided in the one before."""
+
+    BITS = 19
+
+    def __init__(self, merges: dict[int, int]):
+        keys, values = np.array(list(merges), np.uint64), np.array(list(merges.values()), np.int64)
+        self.levels = []
+        rng = np.random.default_rng(1)
+        while len(keys):
+            factor = rng.integers(1, 2**62, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            held, ranks = np.full(1 << self.BITS, np.iinfo(np.uint64).max), np.full(1 << self.BITS, _NONE)
+            at = self._slot(keys, factor)
+            held[at], ranks[at] = keys, values
+            self.levels.append((factor, held, ranks))
+            rest = held[at] != keys
+            keys, values = keys[rest], values[rest]
+
+    def _slot(self, keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys * factor) >> np.uint64(64 - self.BITS)
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_NONE where the two symbols make no piece."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        out = np.full(keys.shape, _NONE)
+        for factor, held, ranks in self.levels:
+            at = self._slot(keys, factor)
+            out = np.where(held[at] == keys, ranks[at], out)
+        return out
+
+
 class Segmenter:
-    """Segmentations of units by variant, remembered within a bound."""
+    """Segmentations of units by variant, remembered in two generations: what is used stays, within a bound."""
 
-    def __init__(self, pieces: Pieces, drop: Dropout, limit: int = 400_000):
-        self.pieces, self.drop, self.limit = pieces, drop, limit
+    def __init__(self, pieces: Pieces, drop: Dropout, limit: int = 500_000):
+        self.pieces, self.drop, self.limit = pieces, drop, max(1, limit // (2 * drop.variants))
         self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(drop.variants)]
+        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(drop.variants)]
         self.units = re.compile(pieces.unit).findall
-
-    def ids(self, text: str, start: int = 0) -> np.ndarray:
-        found, v, variants = [], start % self.drop.variants, self.drop.variants
-        for unit in self.units(text):
+        self.pairs, self.ids_of = _PairRanks(pieces.merges), np.array(pieces.ids)
+        self.table = np.full(0x110000, -1, np.int64)
+        for c, k in pieces.symbols.items():
+            self.table[ord(c)] = k
+
+    def _many(self, units: list[str], variant: int) -> list[tuple[int, ...]]:
+        """Ids of short units. One step takes the best candidate of every unit and merges or skips it."""
+        size = np.array([len(u) for u in units])
+        order = np.argsort(size, kind="stable")
+        out: list[tuple[int, ...]] = [()] * len(units)
+        for part in np.array_split(order, max(1, len(order) // 5_000)):
+            self._block([units[k] for k in part], variant, part.tolist(), out)
+        return out
+
+    def _block(self, units: list[str], variant: int, places: list[int], out: list[tuple[int, ...]]) -> None:
+        n, width = np.array([len(u) for u in units]), max(map(len, units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        # symbols stay at the place of their first character; -1 is not in the vocabulary, -2 is merged away or
+        # no symbol. The last column stands for what is before the first and after the last symbol.
+        sym = np.full((len(units), width + 1), -2)
+        sym[np.arange(width + 1) < n[:, None]] = self.table[codes]
+        after = np.broadcast_to(np.arange(1, width + 2), sym.shape).copy()
+        before = np.broadcast_to(np.arange(-1, width), sym.shape).copy()
+        rank = np.full(sym.shape, _NONE)
+        rank[:, :-1] = self.pairs.get(sym[:, :-1], sym[:, 1:])
+        key = np.array([_key(u, variant, self.drop) for u in units], np.int64)
+        limit = int(self.drop.rate * 2**32)
+        row = np.arange(len(units))
+        while len(row):
+            now = rank[row]
+            k = now.argmin(axis=1)
+            made = now[np.arange(len(row)), k]
+            open_ = made != _NONE
+            row, k, made = row[open_], k[open_], made[open_]
+            skip = _skipped(key[row], k, made, limit) if limit else np.zeros(len(row), bool)
+            rank[row[skip], k[skip]] = _NONE
+            r, k, made = row[~skip], k[~skip], made[~skip]
+            b = after[r, k]
+            c = after[r, b]
+            sym[r, k], sym[r, b], rank[r, b] = made, -2, _NONE
+            after[r, k], before[r, c] = c, k
+            rank[r, k] = self.pairs.get(made, sym[r, c])
+            p = before[r, k]
+            rank[r, p] = self.pairs.get(sym[r, p], made)
+        live = sym > -2
+        ends = np.cumsum(live.sum(axis=1)).tolist()
+        flat = self.ids_of[np.maximum(sym[live], 0)].tolist()
+        unknown = (sym == -1).any(axis=1).tolist()
+        begin = 0
+        for i, (place, end) in enumerate(zip(places, ends, strict=True)):
+            if unknown[i]:
+                at = np.flatnonzero(live[i])
+                out[place] = _ids(units[i], sym[i, at].tolist(), at.tolist(), self.pieces)
+            else:
+                out[place] = tuple(flat[begin:end])
+            begin = end
+
+    def _learn(self, units: set[str], v: int) -> dict[str, tuple[int, ...]]:
+        """Segmentations of units that are not known; they replace the older generation when there are many."""
+        again = {u: got for u in units if (got := self.older[v].get(u)) is not None}
+        new = [u for u in units if u not in again]
+        short = [u for u in new if len(u) <= SHORT]
+        made = again | dict(zip(short, self._many(short, v), strict=True)) if short else again
+        if len(self.known[v]) + len(made) > self.limit:
+            self.older[v], self.known[v] = self.known[v], {}
+        self.known[v].update(made)
+        return made | {u: segment(u, v, self.pieces, self.drop) for u in new if len(u) > SHORT}
+
+    def ids(self, texts: list[str], firsts: list[int]) -> list[np.ndarray]:
+        """Ids of whole texts; firsts: the variant of each text's first unit."""
+        variants = self.drop.variants
+        split = [self.units(t) for t in texts]
+        found: list[list[tuple[int, ...]]] = [[()] * len(u) for u in split]
+        for v in range(variants):
+            # every so many units have the same variant
+            own = [u[(v - f) % variants :: variants] for u, f in zip(split, firsts, strict=True)]
             known = self.known[v]
-            got = known.get(unit)
-            if got is None:
-                got = segment(unit, v, self.pieces, self.drop)
-                if len(unit) <= 64:
-                    if len(known) >= self.limit // variants:
-                        known.clear()
-                    known[unit] = got
-            found.append(got)
-            v = v + 1 if v + 1 < variants else 0
-        return np.fromiter(chain.from_iterable(found), np.int32)
+            missing = {u for units in own for u in units if u not in known}
+            made = self._learn(missing, v) if missing else {}
+            for out, units, f in zip(found, own, firsts, strict=True):
+                got = list(map(known.get, units))
+                out[(v - f) % variants :: variants] = [made[u] if g is None else g for g, u in zip(got, units, strict=True)] if made else got
+        return [np.fromiter(chain.from_iterable(x), np.int32) for x in found]
 
 
 def _rest(df: DataFrame, made: list[str]) -> tuple[list[str], list[str]]:
@@ -143,24 +278,35 @@ def _rest(df: DataFrame, made: list[str]) -> tuple[list[str], list[str]]:
     return [f.name for f in kept], [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
 
 
-def encode(docs: DataFrame, pieces: Pieces, drop: Dropout = Dropout()) -> DataFrame:
-    """``docs`` with ``ids``."""
-    names, rest = _rest(docs, ["ids"])
+def text_of(ids: np.ndarray, pieces: Pieces) -> bytes:
+    return b"".join(map(pieces.raw.__getitem__, ids.tolist()))
+
+
+def encode(docs: DataFrame, pieces: Pieces, drop: Dropout = Dropout(), check: bool = False) -> DataFrame:
+    """``docs`` with ``ids``; with ``check`` also ``lossless``: whether they decode to the text."""
+    made = ["ids", "lossless"] if check else ["ids"]
+    names, rest = _rest(docs, made)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(pieces, drop)
         for batch in it:
-            rows = []
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                start = zlib.crc32(str(doc.as_py()).encode()) if doc.is_valid else 0
-                rows.append(segmenter.ids(text.as_py(), start) if text.is_valid else None)
+            texts = batch.column("text").to_pylist()
+            firsts = [0 if d is None else zlib.crc32(str(d).encode()) % drop.variants for d in batch.column("doc_id").to_pylist()]
+            rows: list[np.ndarray | None] = []
+            for at in range(0, len(texts), TEXTS):
+                rows += segmenter.ids([t or "" for t in texts[at : at + TEXTS]], firsts[at : at + TEXTS])
+            rows = [None if t is None else r for t, r in zip(texts, rows, strict=True)]
             ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)])
             flat = np.concatenate([np.empty(0, np.int32), *(r for r in rows if r is not None)])
             mask = pa.array([r is None for r in rows], pa.bool_())
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=mask)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), ids], [*names, "ids"])
+            cols = [*(batch.column(c) for c in names), ids]
+            if check:
+                same = (t is None or text_of(r, pieces) == t.encode("utf-8", "surrogatepass") for t, r in zip(texts, rows, strict=True))
+                cols.append(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, [*names, *made])
 
-    return batches(docs, run, ", ".join([*rest, "ids array<int>"]))
+    return batches(docs, run, ", ".join([*rest, "ids array<int>", *(["lossless boolean"] if check else [])]))
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
@@ -168,12 +314,9 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     names, rest = _rest(encoded, ["decoded"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = pieces.raw
         for batch in it:
-            texts = []
-            for ids in batch.column("ids"):
-                found = b"".join(map(raw.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else None
-                texts.append(None if found is None else found.decode("utf-8", "surrogatepass"))
+            found = (text_of(ids.values.to_numpy(), pieces) if ids.is_valid else None for ids in batch.column("ids"))
+            texts = [None if x is None else x.decode("utf-8", "surrogatepass") for x in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
     return batches(encoded, run, ", ".join([*rest, "decoded string"]))
