@@ -75,17 +75,17 @@ def train(texts: list[str], labels: list[int], p: SubwordClassifier = SubwordCla
     shift = float(np.log(p.prior / (1 - p.prior)))
     if len(set(labels)) < 2:
         return Trained(np.zeros(p.table), shift)
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, np.ndarray] = {}
     bags = []
     for text in texts:
         words = words_of(text)
-        found = [repeat_slot(p)] * repeats(words)
         for w in words:
             if w not in known:
-                known[w] = word_features(w, p)
-            found += known[w]
-        slot, n = np.unique(np.array(found, np.int64), return_counts=True)
-        bags.append((slot, (n / (n.sum() + p.rest))[:, None]))
+                known[w] = np.array(word_features(w, p), np.int32)
+        found = np.concatenate([np.full(repeats(words), repeat_slot(p), np.int32), *(known[w] for w in words)])
+        slot, n = np.unique(found, return_counts=True)
+        bags.append((slot, (n / (n.sum() + p.rest)).astype(np.float32)[:, None]))
+    del known
     rng = np.random.default_rng(p.seed)
     vectors = rng.uniform(-1 / p.dim, 1 / p.dim, (p.table, p.dim))
     out, bias = np.zeros((p.dim, 2)), np.zeros(2)
