@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -164,6 +165,15 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out + np.uint64(n))
 
 
+def _release() -> None:
+    """Give freed memory back to the system, since Python workers live on through a session's tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches of at most ARROW_ROWS rows, since rows hold whole texts.
 
@@ -172,7 +182,12 @@ def batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(df.sparkSession.conf.get(name)) > ARROW_ROWS:
         df.sparkSession.conf.set(name, str(ARROW_ROWS))
-    return df.mapInArrow(f, schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(it)
+        _release()
+
+    return df.mapInArrow(run, schema)
 
 
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:

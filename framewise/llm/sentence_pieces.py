@@ -20,7 +20,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +137,11 @@ def segment(unit: str, variant: int, pieces: Pieces, drop: Dropout) -> tuple[int
     return _ids(unit, *_merged(symbols, pieces.merges, _key(unit, variant, drop), limit), pieces)
 
 
+def _packed(ids: tuple[int, ...]) -> bytes:
+    """Remembered segmentations are the bytes of 32-bit ids, a third of a tuple's size."""
+    return np.array(ids, np.int32).tobytes()
+
+
 def _ids(unit: str, merged: list[int], starts: list[int], pieces: Pieces) -> tuple[int, ...]:
     out: list[int] = []
     for x, at in zip(merged, starts, strict=True):
@@ -185,24 +189,24 @@ class Segmenter:
 
     def __init__(self, pieces: Pieces, drop: Dropout, limit: int = 500_000):
         self.pieces, self.drop, self.limit = pieces, drop, max(1, limit // (2 * drop.variants))
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(drop.variants)]
-        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(drop.variants)]
+        self.known: list[dict[str, bytes]] = [{} for _ in range(drop.variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(drop.variants)]
         self.units = re.compile(pieces.unit).findall
-        self.pairs, self.ids_of = _PairRanks(pieces.merges), np.array(pieces.ids)
+        self.pairs, self.ids_of = _PairRanks(pieces.merges), np.array(pieces.ids, np.int32)
         self.table = np.full(0x110000, -1, np.int64)
         for c, k in pieces.symbols.items():
             self.table[ord(c)] = k
 
-    def _many(self, units: list[str], variant: int) -> list[tuple[int, ...]]:
-        """Ids of short units. One step takes the best candidate of every unit and merges or skips it."""
+    def _many(self, units: list[str], variant: int) -> list[bytes]:
+        """Packed ids of short units. One step takes the best candidate of every unit and merges or skips it."""
         size = np.array([len(u) for u in units])
         order = np.argsort(size, kind="stable")
-        out: list[tuple[int, ...]] = [()] * len(units)
+        out = [b""] * len(units)
         for part in np.array_split(order, max(1, len(order) // 5_000)):
             self._block([units[k] for k in part], variant, part.tolist(), out)
         return out
 
-    def _block(self, units: list[str], variant: int, places: list[int], out: list[tuple[int, ...]]) -> None:
+    def _block(self, units: list[str], variant: int, places: list[int], out: list[bytes]) -> None:
         n, width = np.array([len(u) for u in units]), max(map(len, units))
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         # symbols stay at the place of their first character; -1 is not in the vocabulary, -2 is merged away or
@@ -233,19 +237,19 @@ class Segmenter:
             p = before[r, k]
             rank[r, p] = self.pairs.get(sym[r, p], made)
         live = sym > -2
-        ends = np.cumsum(live.sum(axis=1)).tolist()
-        flat = self.ids_of[np.maximum(sym[live], 0)].tolist()
+        ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
+        flat = self.ids_of[np.maximum(sym[live], 0)].tobytes()
         unknown = (sym == -1).any(axis=1).tolist()
         begin = 0
         for i, (place, end) in enumerate(zip(places, ends, strict=True)):
             if unknown[i]:
                 at = np.flatnonzero(live[i])
-                out[place] = _ids(units[i], sym[i, at].tolist(), at.tolist(), self.pieces)
+                out[place] = _packed(_ids(units[i], sym[i, at].tolist(), at.tolist(), self.pieces))
             else:
-                out[place] = tuple(flat[begin:end])
+                out[place] = flat[begin:end]
             begin = end
 
-    def _learn(self, units: set[str], v: int) -> dict[str, tuple[int, ...]]:
+    def _learn(self, units: set[str], v: int) -> dict[str, bytes]:
         """Segmentations of units that are not known; they replace the older generation when there are many."""
         again = {u: got for u in units if (got := self.older[v].get(u)) is not None}
         new = [u for u in units if u not in again]
@@ -254,13 +258,13 @@ class Segmenter:
         if len(self.known[v]) + len(made) > self.limit:
             self.older[v], self.known[v] = self.known[v], {}
         self.known[v].update(made)
-        return made | {u: segment(u, v, self.pieces, self.drop) for u in new if len(u) > SHORT}
+        return made | {u: _packed(segment(u, v, self.pieces, self.drop)) for u in new if len(u) > SHORT}
 
     def ids(self, texts: list[str], firsts: list[int]) -> list[np.ndarray]:
         """Ids of whole texts; firsts: the variant of each text's first unit."""
         variants = self.drop.variants
         split = [self.units(t) for t in texts]
-        found: list[list[tuple[int, ...]]] = [[()] * len(u) for u in split]
+        found = [[b""] * len(u) for u in split]
         for v in range(variants):
             # every so many units have the same variant
             own = [u[(v - f) % variants :: variants] for u, f in zip(split, firsts, strict=True)]
@@ -270,7 +274,7 @@ class Segmenter:
             for out, units, f in zip(found, own, firsts, strict=True):
                 got = list(map(known.get, units))
                 out[(v - f) % variants :: variants] = [made[u] if g is None else g for g, u in zip(got, units, strict=True)] if made else got
-        return [np.fromiter(chain.from_iterable(x), np.int32) for x in found]
+        return [np.frombuffer(b"".join(x), np.int32) for x in found]
 
 
 def _rest(df: DataFrame, made: list[str]) -> tuple[list[str], list[str]]:
