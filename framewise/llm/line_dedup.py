@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, few, list_array, materialize, mix64
 
-NOISE, GUARANTEE = 20, 40
+NOISE, GUARANTEE = 15, 25
 _CUT = re.compile(rb"[.!?][ \t]+|[\r\n]+")
 
 
