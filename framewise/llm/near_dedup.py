@@ -179,7 +179,8 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDup) -> DataFrame:
         comps = materialize(connected_components(edges, "a", "b"), "near-dedup-components")
     more = _unsettled(docs, members.filter("n > 2").select("key", "rep"), comps, p)
     if more is not None:
-        edges = materialize(edges.unionByName(_confirmed(_alike(more, sigs, p).select("a", "b"), docs, p)), "near-dedup-links")
+        more = materialize(_alike(more, sigs, p).select("a", "b"), "near-dedup-pairs")
+        edges = materialize(edges.unionByName(_confirmed(more, docs, p)), "near-dedup-links")
         comps = materialize(connected_components(edges, "a", "b"), "near-dedup-components")
     return comps
 
