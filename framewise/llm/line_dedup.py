@@ -1,28 +1,30 @@
-"""Repeated runs of lines, found by winnowing, and their deletion where they come again.
+"""Repeated runs of words, found by winnowing, and their deletion where they come again.
 
-A line ends at a line feed or at the end of a sentence, so that passages within long paragraphs are
-found too. A gram is the shortest run of whole lines from a line on that has NOISE words. Of all
-grams that fit into the first GUARANTEE words from any line on, the one with the least hash is a
-fingerprint: two places that share a run of lines of GUARANTEE words or more share a fingerprint at
-the same place of the run. Each fingerprint's places are joined with its first place, by (doc_id,
-place); matches are extended both ways, line by line, and the later run is deleted. What is deleted is
-always a run of NOISE words or more that stands, line for line, in an earlier place; the first of all
-places stays.
+A gram is a run of NOISE words. Of all grams that fit into the first GUARANTEE words from any word on, the
+one with the least hash is a fingerprint: two places that share a run of GUARANTEE words or more share a
+fingerprint at the same place of the run, whatever the line breaks and punctuation. Each fingerprint's
+places are joined with its first place, by (doc_id, place); matches are extended both ways, word by word,
+and the later run is deleted; the first of all places stays.
+
+A text is deleted in pieces. A piece is one word, but the first two words of a line are one piece, since a
+single word at a line's start often is the same by chance; a line ends at a line feed or at the end of a
+sentence. Of a run the whole pieces go, if they have NOISE words or more: all but a line's first or
+second word where the run begins or ends at it.
 
 Only the first place of a fingerprint is joined with the others, never all pairs, and a document has
 one row for each of its fingerprints however often they come in it. A place within a run that is
 deleted already, for a match with the same document, is not extended once more; this keeps texts of
 one line over and over linear.
 
-Defined results: white space between words doesn't count in comparing lines; lines without words are
-passed over (and go if they stand within a deleted run); a null text stays null; rows with a null
-doc_id stay as they are; rows with equal doc_id and text are one document; other columns stay; an
-empty table gives no rows.
+Defined results: white space between words doesn't count in comparing; lines without words go if they
+stand within a deleted run; a null text stays null; rows with a null doc_id stay as they are; rows with
+equal doc_id and text are one document; other columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,98 +33,128 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, few, list_array, materialize, mix64
+from .common import WordHasher, batches, few, materialize, mix64
 
 NOISE, GUARANTEE = 15, 25
 _CUT = re.compile(rb"[.!?][ \t]+|[\r\n]+")
+_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 
 
-def split_lines(raw: bytes) -> list[bytes]:
-    """The text in pieces, each with its line feed or the blanks that follow it; joined they are the text."""
-    ends = [m.end() for m in _CUT.finditer(raw)]
-    if not ends or ends[-1] < len(raw):
-        ends.append(len(raw))
-    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+def _layout(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words, ends of the lines, each word's line, and which words begin a line; the text's end does so too."""
+    spans = np.array([m.span() for m in _WORD.finditer(raw)], np.int64).reshape(-1, 2)
+    ends = np.array([*(m.end() for m in _CUT.finditer(raw)), len(raw)])
+    line = np.searchsorted(ends, spans[:, 0], side="right")
+    return spans, ends, line, np.append(np.diff(line, prepend=-1) > 0, True)
 
 
-def line_hashes(pieces: list[bytes]) -> tuple[list[int], list[int], list[int]]:
-    """Of the pieces with words: their numbers, hashes and word counts."""
-    import xxhash
+def _begins_piece(opens: np.ndarray) -> np.ndarray:
+    return opens | ~np.concatenate([[False], opens[:-1]])
 
-    digest = xxhash.xxh3_64_intdigest
-    at, h, n = [], [], []
-    for k, piece in enumerate(pieces):
-        words = piece.split()
-        if words:
-            at.append(k), h.append(digest(b" ".join(words))), n.append(len(words))
-    return at, h, n
+
+def split_lines(raw: bytes) -> list[bytes]:
+    """The text in pieces, each with the white space that follows it; joined they are the text."""
+    spans, ends, line, opens = _layout(raw)
+    begin = np.where(opens[:-1], np.where(line > 0, ends[line - 1], 0), spans[:, 0])[_begins_piece(opens)[:-1]]
+    at = [0, *begin[1:].tolist(), len(raw)]
+    return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
-def fingerprints(h: np.ndarray, n: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ahead(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The best of so many values from each place on; fewer at the end."""
+    x, have = x.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        x[:-step] = best(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def fingerprints(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the selected grams in several documents at once.
 
-    h, n: hashes and word counts of all lines; ends: where each document's lines end.
+    h: hashes of all words; ends: where each document's words end.
     """
-    if not len(h):
+    n = len(h)
+    if n < NOISE:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    upto = np.concatenate([[0], np.cumsum(n)])
-    own = np.repeat(ends, np.diff(ends, prepend=0))  # the end of each line's document
-    end = np.searchsorted(upto, upto[:-1] + NOISE)  # the line after the gram
-    is_gram = end <= own
-    start = np.flatnonzero(is_gram)
-    end = end[start]
-    g, size = np.zeros(len(start), np.uint64), end - start
-    if not len(start):
-        return start, g
+    # hashes of 1, 2, 4, .. words; of NOISE words by two runs that overlap
+    g, have = h, 1
     with np.errstate(over="ignore"):
-        for k in range(int(size.max())):
-            on = np.flatnonzero(size > k)
-            g[on] = mix64(g[on]) + h[start[on] + k]
-        g = mix64(g + size.astype(np.uint64))
-    # the last gram of the document that fits into the first GUARANTEE words from each gram's line on
-    reach = np.minimum(upto[start] + GUARANTEE, upto[own[start]])
-    last = np.maximum(np.arange(len(start)), np.searchsorted(upto[end], reach, side="right") - 1)
-    best, place = np.arange(len(start)), np.arange(len(start))
-    for k in range(1, int((last - place).max()) + 1):
-        on = np.flatnonzero(place + k <= last)
-        better = on[g[on + k] < g[best[on]]]
-        best[better] = better + k
-    chosen = np.unique(best)
-    return start[chosen], g[chosen]
+        while have < NOISE:
+            step = min(have, NOISE - have)
+            g = mix64(g[:-step]) + g[step:]
+            have += step
+        g = mix64(g)
+    m = len(g)
+    valid = np.arange(m) + NOISE <= np.repeat(ends, np.diff(ends, prepend=0))[:m]
+    # NOISE - 1 places without a gram are between the grams of two documents: no window reaches over them
+    window = GUARANTEE - NOISE + 1
+    assert window <= NOISE
+    g[~valid] = np.iinfo(np.uint64).max
+    least = _ahead(g, window, np.minimum)
+    least[~valid] = 0
+    # a gram is selected if it is the least of some window that holds it
+    most = _ahead(least[::-1], window, np.maximum)[::-1]
+    chosen = np.flatnonzero(valid & (most == g))
+    return chosen, g[chosen]
+
 
+def _words(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, and where each text's end."""
+    h = [hasher.array(t.split()) for t in texts]
+    return np.concatenate([np.empty(0, np.uint64), *h]), np.cumsum([len(x) for x in h], dtype=np.int64)
 
-INDEX = "doc_id long, fp long, lines binary, at array<int>, grams array<long>, first array<int>, grams_once array<long>, again array<boolean>"
 
+def _split(places: np.ndarray, grams: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Fingerprints of each text, with places counted from its start."""
+    upto = np.searchsorted(places, ends)
+    places = places - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(upto, prepend=0))
+    return np.split(places, upto[:-1]), np.split(grams, upto[:-1])
 
-def line_index(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the text's hash), lines (hashes), at and grams (the fingerprints); and each distinct gram
-    with its first place and whether it comes again in the document."""
+
+INDEX = "doc_id long, fp long, gram long, at long, again boolean"
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
+
+
+def word_index(docs: DataFrame) -> DataFrame:
+    """Each distinct fingerprint of a document with its first place and whether it comes again in the
+    document; fp is the text's hash."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in it:
-            h, n, ends = [], [], []
-            for text in batch.column("text"):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                _, hashes, counts = line_hashes(split_lines(raw))
-                h += hashes
-                n += counts
-                ends.append(len(h))
-            lines, ends = np.array(h, np.uint64), np.array(ends, np.int64)
-            places, grams = fingerprints(lines, np.array(n, np.int64), ends)
-            first = np.concatenate([[0], ends[:-1]])
-            cut = np.searchsorted(places, ends)[:-1]
-            places -= np.repeat(first, np.diff(np.searchsorted(places, ends), prepend=0))
-            cols = [batch.column("doc_id"), batch.column("fp")]
-            cols.append(pa.array([lines[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()))
-            at, grams = np.split(places, cut), np.split(grams.view(np.int64), cut)
-            once = [np.unique(g, return_index=True, return_counts=True) for g in grams]
-            cols += [list_array(at, pa.int32()), list_array(grams, pa.int64())]
-            cols += [list_array([a[u[1]] for a, u in zip(at, once, strict=True)], pa.int32()), list_array([u[0] for u in once], pa.int64())]
-            cols.append(list_array([u[2] > 1 for u in once], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "lines", "at", "grams", "first", "grams_once", "again"])
-
-    known = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
-    return batches(known, run, INDEX)
+            if not batch.num_rows:
+                continue
+            h, ends = _words([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], hasher)
+            places, grams = fingerprints(h, ends)
+            doc = np.searchsorted(ends, places, side="right")
+            order = np.lexsort((grams, doc))  # equal ones stay in the order of places
+            places, grams, doc = places[order], grams[order], doc[order]
+            new = np.append((np.diff(doc) != 0) | (grams[1:] != grams[:-1]), True) if len(doc) else np.empty(0, bool)
+            first = np.flatnonzero(np.roll(new, 1))
+            doc, again = doc[first], ~new[first]
+            at = places[first] - np.concatenate([[0], ends[:-1]])[doc]
+            cols = [batch.column(c).take(pa.array(doc)) for c in ("doc_id", "fp")]
+            cols += [pa.array(grams[first].view(np.int64)), pa.array(at), pa.array(again)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "gram", "at", "again"])
+
+    return batches(_known(docs), run, INDEX)
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values from the start on are equal; looks at twice as many each time."""
+    n, done, step = min(len(a), len(b)), 0, 32
+    while done < n:
+        other = a[done : min(done + step, n)] != b[done : min(done + step, n)]
+        k = int(other.argmax())
+        if other[k]:
+            return done + k
+        done, step = min(done + step, n), 2 * step
+    return n
 
 
 def _matches(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -131,76 +163,101 @@ def _matches(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]) -> list
     for at, at0 in seeds:
         if gone[at]:
             continue
-        back, on = 0, 0
-        while at - back > 0 and at0 - back > 0 and x[at - back - 1] == y[at0 - back - 1]:
-            back += 1
-        while at + on < len(x) and at0 + on < len(y) and x[at + on] == y[at0 + on]:
-            on += 1
-        runs.append((at - back, at + on))
-        gone[at - back : at + on] = True
+        back, on = _same(x[:at][::-1], y[:at0][::-1]), _same(x[at:], y[at0:])
+        if on >= NOISE:  # else only the grams' hashes are equal
+            runs.append((at - back, at + on))
+            gone[at - back : at + on] = True
     return runs
 
 
-def repeated_runs(index: DataFrame) -> DataFrame:
-    """(doc_id, fp, runs): the later runs of lines, as (start, end) numbers of lines with words, end exclusive."""
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, runs): the later runs, as (start, end) numbers of words, end exclusive."""
 
     def extend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in it:
-            runs = []
-            for row in batch.to_pylist():
-                x, y = (np.frombuffer(row[c], np.uint64) for c in ("lines", "lines0"))
-                at, grams = np.array(row["at"]), np.array(row["grams"], np.int64)
-                seeds = []
-                for s in row["seeds"]:
-                    places = at[grams == s["gram"]].tolist()
-                    seeds += [(p, s["at0"]) for p in places if not row["own"] or p > s["at0"]]
-                runs.append([{"start": a, "end": b} for a, b in _matches(x, y, sorted(seeds))])
+            if not batch.num_rows:
+                continue
+            (h, ends), (h0, ends0) = (_words([t.encode("utf-8", "surrogatepass") for t in batch.column(c).to_pylist()], hasher) for c in ("text", "text0"))
+            at, grams = _split(*fingerprints(h, ends), ends)
+            xs, ys, runs = np.split(h, ends[:-1]), np.split(h0, ends0[:-1]), []
+            for k, (own, found) in enumerate(zip(batch.column("own").to_pylist(), batch.column("seeds").to_pylist(), strict=True)):
+                first = {s["gram"]: s["at0"] for s in found}
+                places = zip(at[k].tolist(), grams[k].view(np.int64).tolist(), strict=True)
+                seeds = [(p, first[g]) for p, g in places if g in first and (not own or p > first[g])]
+                runs.append([{"start": a, "end": b} for a, b in _matches(xs[k], ys[k], seeds)])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(runs, kind)], ["doc_id", "fp", "runs"])
 
-    rows = index.select("doc_id", "fp", F.explode(F.arrays_zip("first", "grams_once", "again")).alias("g"))
-    rows = rows.select("doc_id", "fp", F.col("g.first").alias("at"), F.col("g.grams_once").alias("gram"), F.col("g.again").alias("again"))
+    # one exchange, for the first places and for the join with them: the filter is what the join would infer on one side
+    rows = word_index(docs).filter("gram IS NOT NULL AND doc_id IS NOT NULL AND fp IS NOT NULL").repartition("gram")
     place = F.struct("doc_id", "fp", "at")
     first = rows.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("again").alias("r"))
     first = first.filter("p < q OR r").select("gram", "p")
     later = rows.join(first, "gram").filter((place > F.col("p")) | F.col("again"))
     anchor = [F.col("p.doc_id").alias("d0"), F.col("p.fp").alias("f0")]
-    seeds = later.groupBy("doc_id", "fp", *anchor).agg(F.collect_set(F.struct("gram", F.col("p.at").alias("at0"))).alias("seeds"))
-    lines = index.select("doc_id", "fp", "lines", "at", "grams").dropDuplicates(["doc_id", "fp"])
-    named = lines.select(F.col("doc_id").alias("d0"), F.col("fp").alias("f0"), F.col("lines").alias("lines0"))
-    pairs = seeds.join(lines, ["doc_id", "fp"]).join(named, ["d0", "f0"])
+    seeds = later.groupBy("doc_id", "fp", *anchor).agg(F.collect_set(F.struct("gram", F.col("p.at").cast("int").alias("at0"))).alias("seeds"))
+    texts = _known(docs).dropDuplicates(["doc_id", "fp"])
+    named = texts.select(F.col("doc_id").alias("d0"), F.col("fp").alias("f0"), F.col("text").alias("text0"))
+    pairs = seeds.join(texts, ["doc_id", "fp"]).join(named, ["d0", "f0"])
     own = ((F.col("doc_id") == F.col("d0")) & (F.col("fp") == F.col("f0"))).alias("own")
     found = batches(
-        pairs.select("doc_id", "fp", own, "seeds", "at", "grams", "lines", "lines0"),
+        pairs.select("doc_id", "fp", own, "seeds", "text", "text0"),
         extend,
         "doc_id long, fp long, runs array<struct<start: int, end: int>>",
     )
+    found = found.filter(F.size("runs") > 0)
     return found.groupBy("doc_id", "fp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
 
 
+def _counts(raw: bytes) -> Counter:
+    return Counter(b" ".join(w) for p in split_lines(raw) if (w := p.split()))
+
+
+def cut_runs(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The text without the runs of words, and how many of its pieces with words don't stand in it any more."""
+    spans, ends, line, opens = _layout(raw)
+    begins = _begins_piece(opens)
+    gone = np.zeros(len(spans), bool)
+    for a, b in runs:
+        a, b = a + (not begins[a]), b - (not begins[b])
+        if b - a >= NOISE:
+            gone[a:b] = True
+    flips = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+    if not len(flips):
+        return raw, 0
+    kept, at, whole = [], 0, True
+    for a, b in flips.reshape(-1, 2).tolist():
+        whole &= bool(opens[a] and opens[b])
+        high = int(ends[line[b - 1]]) if opens[b] else int(spans[b, 0])
+        if opens[a]:
+            low = int(ends[line[a] - 1]) if line[a] else 0
+        else:  # what stands before the run in its line keeps the white space after the run
+            low, high = int(spans[a - 1, 1]), int(spans[b - 1, 1])
+        kept.append(raw[at:low])
+        at = high
+    text = b"".join([*kept, raw[at:]])
+    # parts of lines that come together make other pieces
+    return text, int(gone[begins[:-1]].sum()) if whole else (_counts(raw) - _counts(text)).total()
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with later repeated runs taken out of ``text``, and n_deleted: how many lines with words went."""
+    """``docs`` with later repeated runs taken out of ``text``, and n_deleted: how many pieces with words went."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             cut = batch.column("_runs").is_valid()  # other texts pass as they are
             texts, gone = [], np.zeros(batch.num_rows, np.int64)
             for k in np.flatnonzero(cut.to_numpy(zero_copy_only=False)):
-                pieces = split_lines(batch.column("text")[k].as_py().encode("utf-8", "surrogatepass"))
-                at, _, _ = line_hashes(pieces)
-                keep, words = np.ones(len(pieces), bool), np.ones(len(at), bool)
-                for c in batch.column("_runs")[k].as_py():
-                    keep[at[c["start"]] : at[c["end"] - 1] + 1] = False
-                    words[c["start"] : c["end"]] = False
-                gone[k] = int((~words).sum())
-                texts.append(b"".join(p for p, kept in zip(pieces, keep, strict=True) if kept).decode("utf-8", "surrogatepass"))
+                raw = batch.column("text")[k].as_py().encode("utf-8", "surrogatepass")
+                raw, gone[k] = cut_runs(raw, [(c["start"], c["end"]) for c in batch.column("_runs")[k].as_py()])
+                texts.append(raw.decode("utf-8", "surrogatepass"))
             text = pc.replace_with_mask(batch.column("text"), cut, pa.array(texts, pa.string()))
             names = [c for c in batch.schema.names if c not in ("text", "_runs")]
             cols = [*(batch.column(c) for c in names), text, pa.array(gone)]
             yield pa.RecordBatch.from_arrays(cols, [*names, "text", "_gone"])
 
-    index = materialize(line_index(docs), "line-dedup-index")
-    runs = materialize(repeated_runs(index).toDF("_id", "_fp", "_runs"), "line-dedup-runs")
+    runs = materialize(repeated_runs(docs).toDF("_id", "_fp", "_runs"), "line-dedup-runs")
     size = runs.agg(F.sum(F.size("_runs"))).first()[0] or 0
     # 24 bytes for each document and 8 for each run, checked; beyond that texts are dealt by id
     if few(runs, 400_000) and size <= 1_000_000:

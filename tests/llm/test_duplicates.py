@@ -134,6 +134,38 @@ def test_first_place_stays_and_context_is_kept(spark):
     assert got == {1: rows[1][1], 2: rows[2][1], 3: "Own three.\nAfter three."}
 
 
+def left_words(texts, words):
+    """Each text's words without those in a run of so many words that stands in an earlier place; looks at words only."""
+    first, out = set(), {}
+    for i in sorted(texts):
+        w = texts[i].split()
+        gone = set()
+        for a in range(len(w) - words + 1):
+            key = tuple(w[a : a + words])
+            gone |= set(range(a, a + words)) if key in first else set()
+            first.add(key)
+        out[i] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def test_passages_within_sentences(spark):
+    """Passages inside one sentence, in bar-separated text, across the ends of sentences and in other line breaks."""
+    rnd = random.Random(7)
+
+    def some(n, sep=" "):
+        return sep.join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+
+    inside, bars, across, least = some(60), some(60, " | "), some(30) + ". " + some(15) + "? " + some(30), some(25)
+    texts = {k: f"{some(40)} {p} {some(40)}" for k, p in enumerate([inside, bars, across, least, inside, bars, across, least, some(60)])}
+    texts[9] = f"{some(9)} {across[20:]} {some(50)} {inside[:200].replace(' ', chr(10))} {some(30)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text.split() for r in line_dedup.dedup_lines(df).collect()}
+    want = left_words(texts, line_dedup.GUARANTEE)
+    assert all(got[k] == want[k] for k in range(9))
+    # a line's first two words are one piece
+    assert len(want[9]) <= len(got[9]) <= len(want[9]) + 4 and sum(map(len, want.values())) < sum(len(t.split()) for t in texts.values()) - 250
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == odd.count() and got[0].__fields__.count("n_deleted") == 1
