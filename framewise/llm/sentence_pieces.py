@@ -3,13 +3,14 @@
 A text is cut into units where a space follows another character, since no piece of such a vocabulary
 goes on past that. Within a unit an agenda holds the candidate merges of neighbours, by the score of the
 piece they make and then from the left. A candidate that comes up is skipped, for good, if the keyed hash
-of (seed, variant, unit, place, piece) falls below the dropout rate; so one text can have many
-segmentations, and the same seed always gives the same one. Units take their variant from the document
-and from their place in it, which lets tasks remember segmentations. Characters that the vocabulary lacks,
+of (seed, variant, place, piece) falls below the dropout rate. The variant is a hash of the document's id
+and the unit's place in the text, so each place of each document is segmented on its own, and the same
+seed always gives the same result. Tasks remember the merges of units without dropout, which hold
+wherever none of them is skipped; elsewhere the agenda is run. Characters that the vocabulary lacks,
 the space mark itself among them, become byte pieces, so that decoding gives back every text.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids and decodes to
-itself; repeated rows each get a row; a null doc_id is variant 0; other columns stay; an empty table
+itself; repeated rows each get a row; the hash of a null doc_id is the text's; other columns stay; an empty table
 gives no rows.
 """
 
@@ -35,7 +36,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 class Dropout:
     rate: float = 0.1
     seed: int = 13
-    variants: int = 4
 
 
 @dataclass(frozen=True)
@@ -91,16 +91,27 @@ TEXTS = 500
 _NONE = np.int64(1 << 40)
 
 
-def _key(unit: str, variant: int, drop: Dropout) -> int:
-    return zlib.crc32(unit.encode("utf-8", "surrogatepass"), drop.seed * 1_000_003 + variant & 0xFFFFFFFF)
+_LOW = 0xFFFFFFFF
 
 
-def _skipped(key, start, made, limit: int):
-    """The candidate's keyed hash is below the limit; start is its place in the unit, made the piece's rank. Numbers or arrays."""
-    low = 0xFFFFFFFF
-    h = (key ^ (start * 0x9E3779B1 + made * 0x85EBCA77)) & low
-    h = (h ^ (h >> 15)) * 0x2C1B3C6D & low
-    return ((h ^ (h >> 12)) * 0x297A2D39 & low) < limit
+def _mixed(h):
+    """A hash of 32-bit values; numbers or arrays."""
+    h = (h ^ (h >> 15)) * 0x2C1B3C6D & _LOW
+    return (h ^ (h >> 12)) * 0x297A2D39 & _LOW
+
+
+def _key(variant, drop: Dropout):
+    return _mixed((variant + drop.seed * 1_000_003) & _LOW)
+
+
+def _candidate(start, made):
+    """A candidate's part of the keyed hash; start is its place in the unit, made the piece's rank. Numbers or arrays."""
+    return (start * 0x9E3779B1 + made * 0x85EBCA77) & _LOW
+
+
+def _skipped(key, candidate, limit: int):
+    """The candidate's keyed hash is below the limit. Numbers or arrays."""
+    return _mixed(key ^ candidate) < limit
 
 
 def _merged(symbols: list[int], merges: dict[int, int], key: int, limit: int) -> tuple[list[int], list[int]]:
@@ -119,7 +130,7 @@ def _merged(symbols: list[int], merges: dict[int, int], key: int, limit: int) ->
     while agenda:
         made, a, left, right = heapq.heappop(agenda)
         b = after[a]
-        if live[a] != left or b >= n or live[b] != right or (limit and _skipped(key, a, made, limit)):
+        if live[a] != left or b >= n or live[b] != right or (limit and _skipped(key, _candidate(a, made), limit)):
             continue
         live[a], live[b], after[a] = made, gone, after[b]
         if after[b] < n:
@@ -134,11 +145,11 @@ def segment(unit: str, variant: int, pieces: Pieces, drop: Dropout) -> tuple[int
     """Ids of one unit."""
     symbols = [pieces.symbols.get(c, -1) for c in unit]  # -1: not in the vocabulary, in no merge
     limit = int(drop.rate * 2**32)
-    return _ids(unit, *_merged(symbols, pieces.merges, _key(unit, variant, drop), limit), pieces)
+    return _ids(unit, *_merged(symbols, pieces.merges, _key(variant, drop), limit), pieces)
 
 
 def _packed(ids: tuple[int, ...]) -> bytes:
-    """Remembered segmentations are the bytes of 32-bit ids, a third of a tuple's size."""
+    """The bytes of 32-bit ids, a third of a tuple's size."""
     return np.array(ids, np.int32).tobytes()
 
 
@@ -185,28 +196,31 @@ class _PairRanks:
 
 
 class Segmenter:
-    """Segmentations of units by variant, remembered in two generations: what is used stays, within a bound."""
+    """Segmentations of units. Those without dropout are remembered with their merges, in two generations: what is used stays, within a bound."""
 
     def __init__(self, pieces: Pieces, drop: Dropout, limit: int = 500_000):
-        self.pieces, self.drop, self.limit = pieces, drop, max(1, limit // (2 * drop.variants))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(drop.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(drop.variants)]
+        self.pieces, self.drop, self.limit = pieces, drop, max(1, limit // 2)
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
         self.units = re.compile(pieces.unit).findall
         self.pairs, self.ids_of = _PairRanks(pieces.merges), np.array(pieces.ids, np.int32)
         self.table = np.full(0x110000, -1, np.int64)
         for c, k in pieces.symbols.items():
             self.table[ord(c)] = k
 
-    def _many(self, units: list[str], variant: int) -> list[bytes]:
-        """Packed ids of short units. One step takes the best candidate of every unit and merges or skips it."""
-        size = np.array([len(u) for u in units])
-        order = np.argsort(size, kind="stable")
+    def _many(self, units: list[str], variant: int | np.ndarray, merges: list[bytes] | None = None) -> list[bytes]:
+        """Packed ids of short units. One step takes the best candidate of every unit and merges or skips it.
+
+        With a list for ``merges`` there is no dropout, and each unit's candidates are put there.
+        """
+        key = _key(np.broadcast_to(np.asarray(variant, np.int64), len(units)), self.drop)
+        order = np.argsort([len(u) for u in units], kind="stable")
         out = [b""] * len(units)
         for part in np.array_split(order, max(1, len(order) // 5_000)):
-            self._block([units[k] for k in part], variant, part.tolist(), out)
+            self._block([units[k] for k in part], key[part], part.tolist(), out, merges)
         return out
 
-    def _block(self, units: list[str], variant: int, places: list[int], out: list[bytes]) -> None:
+    def _block(self, units: list[str], key: np.ndarray, places: list[int], out: list[bytes], merges: list[bytes] | None) -> None:
         n, width = np.array([len(u) for u in units]), max(map(len, units))
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         # symbols stay at the place of their first character; -1 is not in the vocabulary, -2 is merged away or
@@ -217,8 +231,8 @@ class Segmenter:
         before = np.broadcast_to(np.arange(-1, width), sym.shape).copy()
         rank = np.full(sym.shape, _NONE)
         rank[:, :-1] = self.pairs.get(sym[:, :-1], sym[:, 1:])
-        key = np.array([_key(u, variant, self.drop) for u in units], np.int64)
-        limit = int(self.drop.rate * 2**32)
+        limit = 0 if merges is not None else int(self.drop.rate * 2**32)
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         row = np.arange(len(units))
         while len(row):
             now = rank[row]
@@ -226,9 +240,11 @@ class Segmenter:
             made = now[np.arange(len(row)), k]
             open_ = made != _NONE
             row, k, made = row[open_], k[open_], made[open_]
-            skip = _skipped(key[row], k, made, limit) if limit else np.zeros(len(row), bool)
+            skip = _skipped(key[row], _candidate(k, made), limit) if limit else np.zeros(len(row), bool)
             rank[row[skip], k[skip]] = _NONE
             r, k, made = row[~skip], k[~skip], made[~skip]
+            if merges is not None:
+                done.append((r, _candidate(k, made)))
             b = after[r, k]
             c = after[r, b]
             sym[r, k], sym[r, b], rank[r, b] = made, -2, _NONE
@@ -249,32 +265,53 @@ class Segmenter:
                 out[place] = flat[begin:end]
             begin = end
 
-    def _learn(self, units: set[str], v: int) -> dict[str, bytes]:
-        """Segmentations of units that are not known; they replace the older generation when there are many."""
-        again = {u: got for u in units if (got := self.older[v].get(u)) is not None}
-        new = [u for u in units if u not in again]
-        short = [u for u in new if len(u) <= SHORT]
-        made = again | dict(zip(short, self._many(short, v), strict=True)) if short else again
-        if len(self.known[v]) + len(made) > self.limit:
-            self.older[v], self.known[v] = self.known[v], {}
-        self.known[v].update(made)
-        return made | {u: _packed(segment(u, v, self.pieces, self.drop)) for u in new if len(u) > SHORT}
+        if merges is not None:
+            of, cand = (np.concatenate(x) for x in zip(*done))
+            order = np.argsort(of, kind="stable")
+            upto = np.searchsorted(of[order], np.arange(len(units) + 1)) * 4
+            packed = cand[order].astype(np.uint32).tobytes()
+            for place, a, b in zip(places, upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+                merges[place] = packed[a:b]
+
+    def _learn(self, units: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """What is not known of short units; it replaces the older generation when there is much."""
+        made = {u: got for u in units if (got := self.older.get(u)) is not None}
+        if new := [u for u in units if u not in made]:
+            merges = [b""] * len(new)
+            made |= zip(new, zip(self._many(new, 0, merges), merges, strict=True), strict=True)
+        if len(self.known) + len(made) > self.limit:
+            self.older, self.known = self.known, {}
+        self.known.update(made)
+        return made
 
     def ids(self, texts: list[str], firsts: list[int]) -> list[np.ndarray]:
-        """Ids of whole texts; firsts: the variant of each text's first unit."""
-        variants = self.drop.variants
+        """Ids of whole texts; firsts: the hash of each text's document."""
         split = [self.units(t) for t in texts]
-        found = [[b""] * len(u) for u in split]
-        for v in range(variants):
-            # every so many units have the same variant
-            own = [u[(v - f) % variants :: variants] for u, f in zip(split, firsts, strict=True)]
-            known = self.known[v]
-            missing = {u for units in own for u in units if u not in known}
-            made = self._learn(missing, v) if missing else {}
-            for out, units, f in zip(found, own, firsts, strict=True):
-                got = list(map(known.get, units))
-                out[(v - f) % variants :: variants] = [made[u] if g is None else g for g, u in zip(got, units, strict=True)] if made else got
-        return [np.frombuffer(b"".join(x), np.int32) for x in found]
+        sizes = np.array([len(u) for u in split], np.int64)
+        units = [u for own in split for u in own]
+        ends = np.cumsum(sizes)
+        place = np.arange(len(units)) - np.repeat(ends - sizes, sizes)
+        variant = _mixed((np.repeat(np.array(firsts, np.int64), sizes) + place * 0x9E3779B1) & _LOW)
+        known, empty = self.known, (b"", b"")
+        missing = {u for u in units if u not in known and len(u) <= SHORT}
+        made = self._learn(missing) if missing else {}
+        got = [known.get(u) or made.get(u, empty) for u in units]
+        out = [g[0] for g in got]
+        limit = int(self.drop.rate * 2**32)
+        if limit:
+            merges = [g[1] for g in got]
+            counts = np.array([len(m) // 4 for m in merges], np.int64)
+            keys = np.repeat(_key(variant, self.drop), counts)
+            skip = _skipped(keys, np.frombuffer(b"".join(merges), np.uint32).astype(np.int64), limit)
+            again = np.unique(np.repeat(np.arange(len(units)), counts)[skip])
+            if len(again):
+                at = again.tolist()
+                for k, packed in zip(at, self._many([units[k] for k in at], variant[again]), strict=True):
+                    out[k] = packed
+        for k, u in enumerate(units):
+            if len(u) > SHORT:
+                out[k] = _packed(segment(u, int(variant[k]), self.pieces, self.drop))
+        return [np.frombuffer(b"".join(out[b - n : b]), np.int32) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def _rest(df: DataFrame, made: list[str]) -> tuple[list[str], list[str]]:
@@ -295,7 +332,8 @@ def encode(docs: DataFrame, pieces: Pieces, drop: Dropout = Dropout(), check: bo
         segmenter = Segmenter(pieces, drop)
         for batch in it:
             texts = batch.column("text").to_pylist()
-            firsts = [0 if d is None else zlib.crc32(str(d).encode()) % drop.variants for d in batch.column("doc_id").to_pylist()]
+            named = zip(batch.column("doc_id").to_pylist(), texts, strict=True)
+            firsts = [zlib.crc32(((t or "") if d is None else str(d)).encode("utf-8", "surrogatepass")) for d, t in named]
             rows: list[np.ndarray | None] = []
             for at in range(0, len(texts), TEXTS):
                 rows += segmenter.ids([t or "" for t in texts[at : at + TEXTS]], firsts[at : at + TEXTS])

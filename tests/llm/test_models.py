@@ -321,6 +321,20 @@ def test_many_units_at_once_are_as_one_by_one(pieces, texts, monkeypatch):
     assert a == b
 
 
+@needs_model
+def test_every_place_of_a_unit_varies(spark, pieces):
+    """A passage in many documents has more than a few segmentations, and a unit's merges are dropped at the rate."""
+    text = "an internationalization of the passage"
+    df = spark.createDataFrame([(k, text) for k in range(200)], "doc_id long, text string")
+    ids = [tuple(r.ids) for r in sentence_pieces.encode(df, pieces).collect()]
+    assert len(set(ids)) > 30
+    unit, drop = " a", sentence_pieces.Dropout(rate=0.1)  # one merge
+    got = sentence_pieces.Segmenter(pieces, drop).ids([unit * 4000], [5])[0]
+    places = [sentence_pieces._mixed((5 + k * 0x9E3779B1) & 0xFFFFFFFF) for k in range(4000)]
+    assert got.tolist() == [i for v in places for i in sentence_pieces.segment(unit, v, pieces, drop)]
+    assert 0.08 < len(got) / 4000 - 1 < 0.12
+
+
 @needs_model
 def test_pieces_round_trip_and_vary(spark, odd, none, pieces):
     df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
