@@ -2,7 +2,7 @@
 
 A chunk table has one row for each volume: chunk_id, vol, shape (of three axes, C order) and data
 (array<float>). Kernels that need one volume run batch by batch; those that need a chunk's whole series
-run on one chunk at a time, which is bounded by the chunk's fixed number of volumes.
+are grouped sums by voxel and windows over volumes, so a chunk may have any number of volumes.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 VOLUME = "chunk_id string, vol int, shape array<int>, data array<float>"
 #: Shape that volumes are resampled to for models.
@@ -30,12 +31,6 @@ def _each(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], schema: str = VO
     return df.select("chunk_id", "vol", "shape", "data").mapInPandas(run, schema)
 
 
-def _series(pdf: pd.DataFrame) -> tuple[np.ndarray, tuple[int, ...]]:
-    """(T, voxels) of a chunk in the order of volumes, and the volumes' shape."""
-    pdf = pdf.sort_values("vol")
-    return np.stack([np.asarray(d, np.float32) for d in pdf["data"]]), tuple(int(s) for s in pdf["shape"].iloc[0])
-
-
 def axis_weights(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For m samples at half-pixel centres of n values: lower index, upper index and weight of the upper."""
     at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
@@ -110,19 +105,26 @@ def apply_mask(df: DataFrame, mask: np.ndarray) -> DataFrame:
     return _each(df, one)
 
 
+def _voxels(df: DataFrame, *by: str) -> DataFrame:
+    """One row for each voxel of each volume: ``by``, vol, k and x as a double."""
+    return df.select(*by, "vol", F.posexplode("data").alias("k", "x")).withColumn("x", F.col("x").cast("double"))
+
+
 def percent_signal_change(df: DataFrame, level: float = 0.01, epsilon: float = 1e-6) -> DataFrame:
     """(chunk_id, vol, shape, data, mean_data): (x - mean) / (|mean| + epsilon) where the mean over time
-    exceeds ``level`` of the largest mean, 0 elsewhere; and the mean."""
+    exceeds ``level`` of the largest mean, 0 elsewhere; and the mean.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, _ = _series(pdf)
-        mean = x.mean(axis=0, dtype=np.float64)
-        out = np.where(mean > level * mean.max(), (x - mean) / (np.abs(mean) + epsilon), 0).astype(np.float32)
-        pdf = pdf.sort_values("vol")
-        return pdf.assign(data=list(out), mean_data=[mean.astype(np.float32)] * len(pdf))
+    Means are grouped sums by voxel, so a chunk may have any number of volumes.
+    """
+    mean = _voxels(df, "chunk_id").groupBy("chunk_id", "k").agg(F.avg("x").alias("m"))
+    mean = mean.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("_mean"))
+
+    def psc(x, m):
+        on = m > level * F.array_max("_mean")
+        return F.when(on, (x.cast("double") - m) / (F.abs(m) + epsilon)).otherwise(0.0).cast("float")
 
-    chunks = df.select("chunk_id", "vol", "shape", "data").groupBy("chunk_id")
-    return chunks.applyInPandas(run, VOLUME + ", mean_data array<float>")
+    both = df.select("chunk_id", "vol", "shape", "data").join(mean, "chunk_id")
+    return both.select("chunk_id", "vol", "shape", F.zip_with("data", "_mean", psc).alias("data"), F.col("_mean").cast("array<float>").alias("mean_data"))
 
 
 def undo_percent_signal_change(df: DataFrame, epsilon: float = 1e-6) -> DataFrame:
@@ -131,32 +133,48 @@ def undo_percent_signal_change(df: DataFrame, epsilon: float = 1e-6) -> DataFram
     return df.select("chunk_id", "vol", "shape", back.alias("data"))
 
 
-METRICS = (
-    "chunk_id string, n_vols int, shape string, has_nan boolean, has_inf boolean, intensity_min double, intensity_max double, "
-    "intensity_mean double, dvars_mean double, dvars_max double, tsnr_mean double, tsnr_median double, gs_mean double, gs_std double, load_error string"
-)
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def _signals(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` with each volume's mean (signal) and its root mean square change from the one before (change; null for the first)."""
+    before = F.lag("data").over(Window.partitionBy(*by).orderBy("vol"))
+    squares = F.zip_with("data", "_before", lambda x, y: (x - y) * (x - y))
+    return df.withColumn("_before", before).select("*", _mean(F.col("data")).alias("signal"), F.sqrt(_mean(squares)).alias("change")).drop("_before")
+
+
+def _or_null(c: Column) -> Column:
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def chunk_metrics(df: DataFrame) -> DataFrame:
     """One row of QC metrics for each chunk; NaN and infinities count as 0 after they have been flagged."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, shape = _series(pdf)
-        nan, inf = bool(np.isnan(x).any()), bool(np.isinf(x).any())
-        x = np.where(np.isfinite(x), x, 0).astype(np.float64)
-        change = np.sqrt((np.diff(x, axis=0) ** 2).mean(axis=1)) if len(x) > 1 else np.array([np.nan])
-        mean, std = x.mean(axis=0), x.std(axis=0)
-        tsnr = np.divide(mean, std, out=np.zeros_like(mean), where=std > 0)
-        inside = tsnr[mean > 0.1 * mean.mean()]
-        signal = x.mean(axis=1)
-        row = {"chunk_id": pdf["chunk_id"].iloc[0], "n_vols": len(x), "shape": str((*shape, len(x))), "has_nan": nan, "has_inf": inf}
-        row |= {"intensity_min": x.min(), "intensity_max": x.max(), "intensity_mean": x.mean()}
-        row |= {"dvars_mean": change.mean(), "dvars_max": change.max()}
-        row |= {"tsnr_mean": inside.mean() if len(inside) else np.nan, "tsnr_median": np.median(inside) if len(inside) else np.nan}
-        row |= {"gs_mean": signal.mean(), "gs_std": signal.std(), "load_error": None}
-        return pd.DataFrame([row])
-
-    return df.select("chunk_id", "vol", "shape", "data").groupBy("chunk_id").applyInPandas(run, METRICS)
+    infinite = lambda x: F.abs(x) == float("inf")
+    clean = F.transform(F.col("data").cast("array<double>"), lambda x: F.when(F.isnan(x) | infinite(x), 0.0).otherwise(x))
+    flags = [F.exists("data", F.isnan).alias("nan"), F.exists("data", infinite).alias("inf")]
+    v = df.select("chunk_id", "vol", "shape", *flags, clean.alias("data"))
+    n = F.count(F.lit(1)).cast("int")
+    each = _signals(v, "chunk_id").groupBy("chunk_id").agg(
+        n.alias("n_vols"),
+        F.concat(F.lit("("), F.array_join(F.concat(F.min_by("shape", "vol"), F.array(n)).cast("array<string>"), ", "), F.lit(")")).alias("shape"),
+        F.bool_or("nan").alias("has_nan"),
+        F.bool_or("inf").alias("has_inf"),
+        F.min(F.array_min("data")).alias("intensity_min"),
+        F.max(F.array_max("data")).alias("intensity_max"),
+        F.avg("signal").alias("intensity_mean"),
+        F.avg("change").alias("dvars_mean"),
+        F.max("change").alias("dvars_max"),
+        F.avg("signal").alias("gs_mean"),
+        F.stddev_pop("signal").alias("gs_std"),
+    )
+    voxels = _voxels(v, "chunk_id").groupBy("chunk_id", "k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    level = voxels.groupBy("chunk_id").agg((0.1 * F.avg("m")).alias("level"))
+    tsnr = F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0)
+    inside = voxels.join(level, "chunk_id").filter("m > level").withColumn("t", tsnr)
+    inside = inside.groupBy("chunk_id").agg(F.avg("t").alias("tsnr_mean"), F.median("t").alias("tsnr_median"))
+    names = "chunk_id n_vols shape has_nan has_inf intensity_min intensity_max intensity_mean dvars_mean dvars_max tsnr_mean tsnr_median gs_mean gs_std".split()
+    return each.join(inside, "chunk_id", "left").select(*names, F.lit(None).cast("string").alias("load_error"))
 
 
 CHECKS = "chunk_id string, vol int, n_brain long, n_outside long, n_nonzero long, signal double, zero boolean, fits boolean"
@@ -193,12 +211,6 @@ def volume_checks(df: DataFrame, mask: np.ndarray) -> DataFrame:
     )
 
 
-BUNDLE = "chunk_id string, " + ", ".join(
-    [f"{m}_{k} double" for m in ("dvars", "tsnr", "gs_std") for k in ("input", "corrected", "improvement")]
-    + ["smoothness_input double", "smoothness_corrected double", "smoothness_ratio double"]
-)
-
-
 def training_metrics(x: np.ndarray, shape: tuple[int, ...]) -> dict[str, float]:
     """DVARS, tSNR (sample deviation), global signal deviation (sample) and smoothness of (T, voxels)."""
     x = x.astype(np.float64)
@@ -215,21 +227,25 @@ def training_metrics(x: np.ndarray, shape: tuple[int, ...]) -> dict[str, float]:
 def metric_bundle(before: DataFrame, after: DataFrame) -> DataFrame:
     """Metrics of each chunk before and after correction; improvements are positive where correction helped."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=[c.split()[0] for c in BUNDLE.split(", ")])
-        i, o = training_metrics(*_series(a)), training_metrics(*_series(b))
-        row: dict[str, object] = {"chunk_id": a["chunk_id"].iloc[0]}
-        for m, better in (("dvars", -1), ("tsnr", 1), ("gs_std", -1)):
-            row |= {f"{m}_input": i[m], f"{m}_corrected": o[m], f"{m}_improvement": better * (o[m] - i[m])}
-        row |= {"smoothness_input": i["smoothness"], "smoothness_corrected": o["smoothness"]}
-        row["smoothness_ratio"] = o["smoothness"] / (i["smoothness"] + 1e-8)
-        return pd.DataFrame([row])
-
-    cols = ["chunk_id", "vol", "shape", "data"]
-    both = before.select(*cols, F.lit(0).alias("side")).unionByName(after.select(*cols, F.lit(1).alias("side")))
-    return both.groupBy("chunk_id").applyInPandas(run, BUNDLE)
+    i, o = _training(before, "input"), _training(after, "corrected")
+    out = ["chunk_id"]
+    for m, better in (("dvars", -1), ("tsnr", 1), ("gs_std", -1)):
+        a, b = F.col(f"{m}_input"), F.col(f"{m}_corrected")
+        out += [_or_null(a).alias(f"{m}_input"), _or_null(b).alias(f"{m}_corrected"), _or_null(better * (b - a)).alias(f"{m}_improvement")]
+    a, b = F.col("smoothness_input"), F.col("smoothness_corrected")
+    out += [_or_null(a).alias("smoothness_input"), _or_null(b).alias("smoothness_corrected"), _or_null(b / (a + 1e-8)).alias("smoothness_ratio")]
+    return i.join(o, "chunk_id").select(*out)
+
+
+def _training(df: DataFrame, side: str) -> DataFrame:
+    """``training_metrics`` of each chunk, with names that end in ``side``."""
+    v = df.select("chunk_id", "vol", F.col("data").cast("array<double>").alias("data"))
+    each = _signals(v, "chunk_id").groupBy("chunk_id").agg(F.avg("change").alias(f"dvars_{side}"), F.stddev_samp("signal").alias(f"gs_std_{side}"))
+    voxels = _voxels(v, "chunk_id").groupBy("chunk_id", "k").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    on = (F.abs("m") > 0) & ~F.isnan("m")
+    t = F.when(on & F.col("s").isNotNull(), F.abs("m") / F.greatest("s", F.lit(1e-6)))
+    tsnr = voxels.groupBy("chunk_id").agg(F.when(F.bool_or(on), F.avg(t)).otherwise(0.0).alias(f"tsnr_{side}"))
+    return each.join(tsnr, "chunk_id").join(smoothness(df).withColumnRenamed("smoothness", f"smoothness_{side}"), "chunk_id")
 
 
 def psc_report(psc: DataFrame, by: str) -> DataFrame:

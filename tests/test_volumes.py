@@ -62,6 +62,18 @@ def test_metrics(spark, chunk):
     assert (r.tsnr_mean, r.tsnr_median) == pytest.approx((t.mean(), np.median(t)))
 
 
+def test_series_of_a_chunk_is_not_stacked(spark, chunk):
+    """No kernel holds a whole chunk in one Python group, and the values are those of the whole series."""
+    v, half = frame(spark, chunk), frame(spark, chunk * 0.5)
+    for df in (volumes.percent_signal_change(v), volumes.chunk_metrics(v), volumes.metric_bundle(v, half)):
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    r = volumes.metric_bundle(v, half).first()
+    i, o = (volumes.training_metrics(x.reshape(len(x), -1).astype(np.float32), chunk.shape[1:]) for x in (chunk, chunk * 0.5))
+    for m in ("dvars", "tsnr", "gs_std", "smoothness"):
+        assert (r[f"{m}_input"], r[f"{m}_corrected"]) == pytest.approx((i[m], o[m]))
+    assert r.dvars_improvement == pytest.approx(i["dvars"] - o["dvars"]) and r.tsnr_improvement == pytest.approx(o["tsnr"] - i["tsnr"])
+
+
 def test_mask_checks_shapes(spark, chunk):
     mask = np.zeros((4, 5, 3))
     mask[1] = 1
