@@ -38,12 +38,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id; and one row of each id."""
+    """One document of each group of near duplicates stays, the one with the smallest id; and one row of each id and text."""
     kept = _without(docs, near_dedup.near_duplicates(docs).filter("NOT kept"))
     again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # of rows equal in both, the one whose columns have the least hash
+    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(least).select("r.*")
     return _without(kept, again).unionByName(once)
 
 

@@ -394,3 +394,12 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, none):
             if name == "near duplicates" and frame is odd:
                 assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, None, 5, 6, 7, 9, 10}
                 assert out.filter("doc_id = 6").count() == 1
+
+
+def test_texts_under_one_id_stay(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six"), (1, "one two three four five six"), (2, "no copy of any other text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cp.near_duplicates(spark, df, sf_dir)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(set(rows))
