@@ -47,29 +47,26 @@ def words(text: Column) -> Column:
 def _repeat_words(w: Column) -> Column:
     """Words covered by 3-word windows that the text has twice or more.
 
-    Each window's hash is shifted to make room for its place, so that one sort of 64-bit numbers
-    puts equal windows side by side; the covered words are summed over the sorted places.
+    Windows are sorted by their 64-bit hashes and places, which puts equal ones side by side; the covered
+    words are summed over the sorted places.
     """
     n = F.size(w)
-    bits = F.ceil(F.log2(n.cast("double") + 1)).cast("int")
 
-    def starts(packed: Column, bits: Column) -> Column:
-        key = lambda x: F.call_function("shiftrightunsigned", x, bits)
-        at = lambda j: F.get(packed, j)
-        place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
-        same = lambda x, j: (key(at(j - 1)) == key(x)) | (key(at(j + 1)) == key(x))
-        return F.array_sort(F.transform(F.filter(packed, same), place))
+    def starts(sorted_: Column) -> Column:
+        at = lambda j: F.get(sorted_, j)["h"]
+        same = lambda x, j: F.coalesce(at(j - 1) == x["h"], F.lit(False)) | F.coalesce(at(j + 1) == x["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(sorted_, same), lambda x: x["i"]))
 
     hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    pack = lambda b: F.sort_array(
-        F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", hashed(i), b).bitwiseOR(i.cast("long")))
+    windows = F.sort_array(
+        F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(hashed(i).alias("h"), i.cast("long").alias("i")))
     )
     covered = lambda s: F.aggregate(
         F.transform(s, lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get(s, j + 1), x + 3) - x)),
         F.lit(0).cast("long"),
         lambda a, b: a + b,
     )
-    found = let(bits, lambda b: let(pack(b), lambda p: let(starts(p, b), covered)))
+    found = let(windows, lambda p: let(starts(p), covered))
     return F.when(n >= 3, found).otherwise(F.lit(0).cast("long"))
 
 

@@ -117,3 +117,14 @@ def test_json_layouts(spark):
     for k, _, layout, want in rows:
         assert got[k].layout == layout
         assert (got[k].turns if want is None else [tuple(t) for t in got[k].turns]) == want
+
+
+def test_repeat_words_use_whole_hashes(spark, monkeypatch):
+    """Windows whose hashes differ in the highest bits only are different."""
+    from pyspark.sql import functions as F
+
+    full = F.xxhash64
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: F.shiftleft(full(*c).bitwiseAND(0xFFF), 52))
+    df = spark.createDataFrame([(1, "a b c d e f g h", "s"), (2, "a b c x a b c", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.document_counts(df).collect()}
+    assert got == {1: 0, 2: 6}
