@@ -2,10 +2,13 @@
 
 A layout is recognised by its fingerprint: the hash of its sorted nested field paths, among the
 paths that some layout uses (others are ignored, so extra columns or fields don't matter). Each
-fingerprint selects a declarative mapping to canonical turns ``(role, text)``. The formatted text
-marks turns with control strings; control strings inside texts are escaped reversibly.
+fingerprint selects a declarative mapping to canonical turns ``(role, text)``. Rows of turns keep their
+roles as they are; other layouts' names of roles are mapped to ours. The formatted text marks turns with
+control strings; control strings inside texts are escaped reversibly. The loss mask is places in the
+formatted text, and what is under it is read from there.
 
-Defined results: null texts and roles are empty; rows of one conversation are ordered by turn, then
+Defined results: null texts and roles are empty; a JSON record's array has a field if any of its elements
+has it, and an empty one has them all; rows of one conversation are ordered by turn, then
 role, then text (a null turn is first); repeated rows are turns of their own; an unknown layout raises
 ``ValueError`` (a table) or gives null turns (a JSON record); an empty table gives no rows.
 
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import let
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 #: Each layout: its field paths ("[]" stands for the elements of an array) and how turns come of them.
@@ -76,14 +81,18 @@ def layout_of(schema: T.StructType) -> str:
 
 
 def _role(c: Column) -> Column:
-    out = F.coalesce(c.cast("string"), F.lit(""))
+    out = _text(c)
     for old, new in ROLES.items():
         out = F.when(out == old, new).otherwise(out)
     return out
 
 
+def _text(c: Column | str) -> Column:
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
+
+
 def _turn(role: Column, text: Column) -> Column:
-    return F.struct(_role(role).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+    return F.struct(_role(role).alias("role"), _text(text).alias("text"))
 
 
 def _mapped(layout: dict, get, items) -> Column:
@@ -103,7 +112,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     layout = LAYOUTS[layout_of(df.schema)]
     if "rows" in layout:
         role, text, turn = layout["rows"]
-        row = F.struct(F.col(turn).alias("turn"), _role(F.col(role)).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+        row = F.struct(F.col(turn).alias("turn"), _text(role).alias("role"), _text(text).alias("text"))
         out = df.groupBy(F.col(id_col).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("t"))
         return out.select("conv_id", F.transform("t", lambda t: F.struct(t["role"], t["text"])).alias("turns"))
     items = lambda path, role, text: F.transform(path, lambda m: _turn(m[role], m[text]))
@@ -122,8 +131,9 @@ def canonical_turns_json(df: DataFrame, record: str, id_col: str = "conv_id") ->
     get = lambda p: F.try_variant_get(v, f"$.{p}", "string")
 
     def items(path: str, role: str, text: str) -> Column:
-        made = F.try_variant_get(v, f"$.{path}", f"array<struct<`{role}`: string, `{text}`: string>>")
-        return F.coalesce(F.transform(made, lambda m: _turn(m[role], m[text])), F.array())
+        field = lambda m, name: F.try_variant_get(m, f"$.{name}", "string")
+        made = F.transform(_elements(v, path), lambda m: _turn(field(m, role), field(m, text)))
+        return F.coalesce(made, F.array())
 
     turns, name = F.lit(None), F.lit(None).cast("string")
     for digest, layout in FINGERPRINTS.items():
@@ -133,8 +143,16 @@ def canonical_turns_json(df: DataFrame, record: str, id_col: str = "conv_id") ->
     return df.select(F.col(id_col).alias("conv_id"), name.alias("layout"), turns.alias("turns"))
 
 
+def _elements(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, f"$.{path}", "array<variant>")
+
+
 def _has(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, "$." + path.replace("[]", "[0]"), "variant").isNotNull()
+    if "[]." not in path:
+        return F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
+    path, name = path.split("[].")
+    every = _elements(v, path)
+    return (F.size(every) == 0) | F.exists(every, lambda m: F.try_variant_get(m, f"$.{name}", "variant").isNotNull())
 
 
 def escape(text: Column) -> Column:
@@ -157,30 +175,35 @@ def _unescape_role(role: Column) -> Column:
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """(conv_id, segments, formatted): ``formatted`` is the segments' text in one string.
-
-    ``segments`` is the loss mask: an array of (text, loss), in order, without gaps; ``loss`` is true
-    for the escaped text of assistants and false for everything else.
-    """
-    parts = lambda t: F.array(
-        F.struct(F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")),
-        F.struct(F.lit(END + "\n").alias("text"), F.lit(False).alias("loss")),
+    """(conv_id, formatted, loss_mask). The mask is an array of (turn, start, end): which turn, from 0 on, and
+    from where to where in it, in characters after its start mark; it covers the escaped texts of assistants."""
+
+    def part(t: Column) -> Column:
+        head, body = F.concat(_escape_role(t["role"]), F.lit("\n")), escape(t["text"])
+        return F.struct(F.concat(F.lit(START), head, body, F.lit(END + "\n")).alias("text"), F.length(head).alias("start"), F.length(body).alias("n"), (t["role"] == "assistant").alias("loss"))
+
+    place = lambda p, k: F.struct(k.alias("turn"), p["start"].alias("start"), (p["start"] + p["n"]).alias("end"), p["loss"].alias("loss"))
+    made = let(
+        F.transform("turns", part),
+        lambda p: F.struct(
+            F.array_join(p["text"], "").alias("formatted"),
+            F.transform(F.filter(F.transform(p, place), lambda m: m["loss"]), lambda m: F.struct(m["turn"], m["start"], m["end"])).alias("loss_mask"),
+        ),
     )
-    out = turns.select("conv_id", F.flatten(F.transform("turns", parts)).alias("segments"))
-    return out.withColumn("formatted", F.array_join(F.col("segments.text"), ""))
+    return turns.select("conv_id", made.alias("m")).select("conv_id", "m.formatted", "m.loss_mask")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_texts) from the output of format_chat() alone."""
+    """(conv_id, formatted, turns, loss_texts) from the output of format_chat() alone."""
     cut = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30)  # nothing stands before the first mark
     body = lambda x: F.regexp_replace(x, r"<\|im_end\|>\n\z", "")
     turn = lambda x: F.struct(
         _unescape_role(F.substring_index(x, "\n", 1)).alias("role"),
         unescape(F.regexp_replace(body(x), r"\A[^\n]*\n", "")).alias("text"),
     )
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    return formatted.select("conv_id", "formatted", F.transform(cut, turn).alias("turns"), loss.alias("loss_texts"))
+    under = lambda c: lambda m: unescape(F.substr(F.get(c, m["turn"]), m["start"] + 1, m["end"] - m["start"]))
+    read = let(cut, lambda c: F.struct(F.transform(c, turn).alias("turns"), F.transform("loss_mask", under(c)).alias("loss_texts")))
+    return formatted.select("conv_id", "formatted", read.alias("r")).select("conv_id", "formatted", "r.turns", "r.loss_texts")
 
 
 def chat_digest(back: DataFrame) -> DataFrame:

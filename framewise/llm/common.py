@@ -7,11 +7,13 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows up to which a table of a few fixed-width columns is broadcast (about 16 bytes each).
@@ -36,8 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+#: What the enclosing scratch() blocks have written.
+_made: list[list[tuple[SparkSession, str, str | None]]] = []
+
+
+def _remove(spark: SparkSession, path: str, name: str | None = None) -> None:
     try:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -45,6 +53,50 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _written(spark: SparkSession, path: str, name: str | None = None) -> None:
+    if _made:
+        _made[-1].append((spark, path, name))
+    else:
+        atexit.register(_remove, spark, path, name)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what materialize() and shared_table() wrote within, but for what keep() was called with."""
+    own: list[tuple[SparkSession, str, str | None]] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._shared_path)  # what materialize() returned, itself
+        return df
+
+    _made.append(own)
+    try:
+        yield keep
+    finally:
+        _made.pop()
+        for spark, path, name in own:
+            if path in kept:
+                _written(spark, path, name)
+            else:
+                _remove(spark, path, name)
+
+
+@contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of what runs within as soon as it has run."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -52,9 +104,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _written(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
 def shared_table(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
@@ -62,9 +117,39 @@ def shared_table(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
-    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
-    atexit.register(_remove, spark, path)
-    return spark.table(name)
+    with _freed_shuffles(spark):
+        df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    _written(spark, path, name)
+    out = spark.table(name)
+    out._shared_path = path
+    return out
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """These names, each with underscores after it until no column has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(columns: list[str], *names: str) -> list[str]:
+    """The columns that have none of these names, in any case."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
+def named(column: str) -> "F.Column":
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def let(value: "F.Column", body) -> "F.Column":
+    """``body(value)``, with ``value`` computed once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
@@ -78,20 +163,25 @@ def join_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left") -
     ``small`` is broadcast only if it has at most BROADCAST_ROWS rows. Beyond that it is copied
     SALTS times and every key of ``big`` is split over as many parts.
     """
-    right = small.withColumnRenamed(key, "_key")
+    k, salt, part = fresh([*big.columns, *small.columns], "_key", "_salt", "_part")
+    right = small.withColumnRenamed(key, k)
     if few(small):
-        return big.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)))
-    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_part"))
-    return left.join(right, on, how).drop("_salt", "_part", "_key")
+        return big.join(F.broadcast(right), named(key).eqNullSafe(F.col(k)), how).drop(k)
+    left = big.withColumn(salt, F.pmod(F.xxhash64(*map(named, big.columns)), F.lit(SALTS)))
+    right = right.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    on = named(key).eqNullSafe(F.col(k)) & (F.col(salt) == F.col(part))
+    return left.join(right, on, how).drop(salt, part, k)
 
 
-def semi_by_id(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is in ``ids`` (nulls match); ``ids`` is broadcast only if few."""
-    ids = ids.select(F.col(key).alias("_key"))
+def semi_by_id(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is in ``ids`` (nulls match), or is not with ``left_anti``.
+
+    Ids are numbers of 64 bits, so those that are broadcast are 32 MB at most.
+    """
+    (k,) = fresh(docs.columns, "_key")
+    ids = ids.select(F.col(key).cast("long").alias(k))
     right = F.broadcast(ids) if few(ids, 10 * BROADCAST_ROWS) else ids
-    return docs.join(right, docs[key].eqNullSafe(F.col("_key")), "left_semi")
+    return docs.join(right, docs[key].cast("long").eqNullSafe(F.col(k)), how)
 
 
 def bounded_sample(df: DataFrame, by: str, per_class: int, order: str = "doc_id") -> DataFrame:
@@ -100,11 +190,12 @@ def bounded_sample(df: DataFrame, by: str, per_class: int, order: str = "doc_id"
     A hash threshold from each value's row count comes before the ranking, so that no window
     partition holds more than about twice the bound.
     """
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    u = (F.pmod(F.xxhash64(F.col(order).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("_u")
-    rank = Window.partitionBy(by).orderBy("_u", order)
-    near = join_lookup(df.select("*", u), counts, by).filter(F.col("_u") * F.col("_n") <= 2.0 * per_class + 50)
-    return near.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= per_class).drop("_u", "_n", "_r")
+    n, u, r = fresh(df.columns, "_n", "_u", "_r")
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias(n))
+    spread = (F.pmod(F.xxhash64(F.col(order).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias(u)
+    rank = Window.partitionBy(by).orderBy(u, order)
+    near = join_lookup(df.select("*", spread), counts, by).filter(F.col(u) * F.col(n) <= 2.0 * per_class + 50)
+    return near.withColumn(r, F.row_number().over(rank)).filter(F.col(r) <= per_class).drop(u, n, r)
 
 
 def train_fold(column: str, parts: int) -> "F.Column":
@@ -174,7 +265,13 @@ def _release() -> None:
         pass
 
 
-def batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def adding(df: DataFrame, dropped: list[str], added: str) -> T.StructType:
+    """The schema of ``df`` without the dropped columns and with those of the DDL ``added``."""
+    kept = [f for f in df.schema if f.name not in dropped]
+    return T.StructType([*kept, *T.StructType.fromDDL(added).fields])
+
+
+def batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with batches of at most ARROW_ROWS rows, since rows hold whole texts.
 
     The session's setting is lowered to that if it is higher; it is read when the query runs.
@@ -183,11 +280,14 @@ def batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     if int(df.sparkSession.conf.get(name)) > ARROW_ROWS:
         df.sparkSession.conf.set(name, str(ARROW_ROWS))
 
+    names = df.columns
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(it)
+        yield from f(pa.RecordBatch.from_arrays(x.columns, names) for x in it)
         _release()
 
-    return df.mapInArrow(run, schema)
+    # plain names on the way, since mapInArrow can't resolve names with dots
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
 
 
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_lookup, materialize
+from .common import join_lookup, let, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -35,11 +35,6 @@ class HostRules:
     max_strength: float = 1e6
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)``, with ``value`` computed once for each row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
