@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_sample
+from .common import batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -33,7 +33,7 @@ Span = tuple[str, int, int]
 # Fixed patterns of the kinds.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
@@ -65,12 +65,25 @@ def _emails(text: str) -> list[Span]:
     return out
 
 
+def _ips(text: str) -> list[Span]:
+    """Leftmost matches: of numbers with single dots between them, one four after another. Linear, also in a million digits."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        numbers, at = m[0].split("."), m.start()
+        for k in range(0, len(numbers) - 3, 4):
+            four = numbers[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in four):
+                out.append(("ip", at, end))
+            at = end + 1
+    return out
+
+
 def base_spans(text: str, strict: bool = True) -> list[Span]:
     """The rules' spans by kind, then place. Not strict: card numbers need no valid check digit."""
     if not _TRIGGER.search(text):
         return []
-    out = _emails(text)
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
+    out = _emails(text) + _ips(text)
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
         if 13 <= len(digits) <= 19 and (not strict or luhn(digits)):
@@ -340,20 +353,32 @@ def _looks_right(kind: str, text: str) -> bool:
     return {"ip": 4 <= digits <= 12 and len(re.findall("[0-9]+", text)) == 4, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
 
 
-def model_spans(texts: list[str], net: Network) -> list[list[Span]]:
-    """The model's spans in whole texts."""
-    t, out = net.t, [[] for _ in texts]
-    jobs, windows = [], []  # (text, start, end, first window); (job, start, classes)
+def model_spans(texts: list[str], net: Network, most: int = 300_000) -> list[list[Span]]:
+    """The model's spans in whole texts; texts are read together up to so many characters near triggers."""
+    out: list[list[Span]] = [[] for _ in texts]
+    group: list[tuple[int, int, int]] = []
+    size = 0
     for k, text in enumerate(texts):
-        classes = None
-        for a, b in stretches(text, t):
-            classes = char_classes(text) if classes is None else classes
-            jobs.append((k, a, b))
-            for at in range(a, max(a + 1, b - t.step), t.step):
-                row = np.zeros(t.window, np.int64)
-                part = classes[at : min(b, at + t.window)]
-                row[: len(part)] = part
-                windows.append((len(jobs) - 1, at - a, row))
+        for a, b in stretches(text, net.t):
+            group.append((k, a, b))
+            size += b - a
+            if size >= most:
+                _read(texts, group, net, out)
+                group, size = [], 0
+    _read(texts, group, net, out)
+    return out
+
+
+def _read(texts: list[str], jobs: list[tuple[int, int, int]], net: Network, out: list[list[Span]]) -> None:
+    """Adds the spans of stretches (text, start, end) to ``out``."""
+    t, windows = net.t, []  # (job, start, classes)
+    for job, (k, a, b) in enumerate(jobs):
+        classes = char_classes(texts[k][a:b])
+        for at in range(0, max(1, b - a - t.step), t.step):
+            row = np.zeros(t.window, np.int64)
+            part = classes[at : at + t.window]
+            row[: len(part)] = part
+            windows.append((job, at, row))
     sums = [np.zeros((b - a, TAGS)) for _, a, b in jobs]
     ramp = 1.0 + np.minimum(np.arange(t.window), np.arange(t.window)[::-1])
     for at in range(0, len(windows), 512):
@@ -377,7 +402,6 @@ def model_spans(texts: list[str], net: Network) -> list[list[Span]]:
             kind = KINDS[path[s] // 2]
             if p[np.arange(s, e), path[s:e]].mean() >= 0.8 and _looks_right(kind, texts[k][a + s : a + e]):
                 out[k].append((kind, a + int(s), a + int(e)))
-    return out
 
 
 def _written(spans: list[Span]) -> str:
@@ -409,6 +433,6 @@ def find_personal_data(docs: DataFrame, net: Network | None) -> DataFrame:
 def fit(docs: DataFrame, t: Tagger = Tagger()) -> Network | None:
     """Train on a bounded sample of the texts that have a digit or an @."""
     known = docs.filter(F.octet_length("text") <= t.max_bytes).filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
-    chosen = bounded_sample(known.select("doc_id", "text", F.lit(0).alias("part")), "part", t.sample)
-    rows = sorted((r["doc_id"], r["text"]) for r in chosen.select("doc_id", "text").toLocalIterator())
+    chosen = known.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").limit(t.sample)  # one pass
+    rows = sorted((r["doc_id"], r["text"]) for r in chosen.collect())
     return train([x[1] for x in rows], t)

@@ -208,6 +208,18 @@ def test_base_spans():
             text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
             assert personal_data.base_spans(text) == plain_spans(text), text
     assert personal_data.base_spans("4111 1111 1111 1111") == [("card", 0, 19)]
+    for _ in range(2000):
+        text = ".".join("".join(rnd.choice("0129. x") for _ in range(rnd.randint(0, 3))) for _ in range(rnd.randint(0, 14)))
+        assert personal_data.base_spans(text) == plain_spans(text), text
+
+
+def test_base_spans_are_linear():
+    import time
+
+    for text in ("1" * 1_000_000, "1." * 500_000, "1.1.1." * 170_000 + "x", "a" * 1_000_000 + "@", "+1" + "(" * 1_000_000, "@" + "a" * 1_000_000):
+        start = time.process_time()
+        personal_data.base_spans(text)
+        assert time.process_time() - start < 5
 
 
 def test_gradients():
