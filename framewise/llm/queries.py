@@ -62,7 +62,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces, and whether the ids decode to the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sentence_pieces.encode(docs, sentence_pieces.Pieces.load(), check=True)
+    out = sentence_pieces.encode(docs, sentence_pieces.session_pieces(spark), check=True)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "lossless")
 
 

@@ -19,17 +19,20 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches
+from .common import adding, batches, without
 
 SPACE = "▁"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary that queries use where the session doesn't name one by SETTING.
+MODEL, SETTING = "/opt/tokenizers/piece_bpe_32k.model", "framewise.sentencepiece.model"
 
 
 @dataclass(frozen=True)
@@ -95,18 +98,19 @@ _LOW = 0xFFFFFFFF
 
 
 def _mixed(h):
-    """A hash of 32-bit values; numbers or arrays."""
+    """A hash of 32-bit values; numbers or arrays of such."""
     h = (h ^ (h >> 15)) * 0x2C1B3C6D & _LOW
     return (h ^ (h >> 12)) * 0x297A2D39 & _LOW
 
 
 def _key(variant, drop: Dropout):
-    return _mixed((variant + drop.seed * 1_000_003) & _LOW)
+    return _mixed((variant + (drop.seed * 1_000_003 & _LOW)) & _LOW)
 
 
 def _candidate(start, made):
     """A candidate's part of the keyed hash; start is its place in the unit, made the piece's rank. Numbers or arrays."""
-    return (start * 0x9E3779B1 + made * 0x85EBCA77) & _LOW
+    h = (start * 0x9E3779B1 + made * 0x85EBCA77) & _LOW
+    return h.astype(np.uint32) if isinstance(h, np.ndarray) else h
 
 
 def _skipped(key, candidate, limit: int):
@@ -196,24 +200,29 @@ class _PairRanks:
 
 
 class Segmenter:
-    """Segmentations of units. Those without dropout are remembered with their merges, in two generations: what is used stays, within a bound."""
+    """Segmentations of units. Those without dropout are remembered with their merges, up to ``limit`` units; then memory starts anew."""
 
-    def __init__(self, pieces: Pieces, drop: Dropout, limit: int = 500_000):
-        self.pieces, self.drop, self.limit = pieces, drop, max(1, limit // 2)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+    def __init__(self, pieces: Pieces, drop: Dropout, limit: int = 300_000):
+        self.pieces, self.drop, self.limit = pieces, drop, limit
         self.units = re.compile(pieces.unit).findall
         self.pairs, self.ids_of = _PairRanks(pieces.merges), np.array(pieces.ids, np.int32)
         self.table = np.full(0x110000, -1, np.int64)
         for c, k in pieces.symbols.items():
             self.table[ord(c)] = k
+        self._forget()
+
+    def _forget(self) -> None:
+        """number: each short unit's; ids and merges: the lists of all units, one after another, with their ends from 0 on."""
+        self.number: dict[str, int] = {}
+        self.ids_store, self.ids_ends = array("i"), array("q", [0])
+        self.merge_store, self.merge_ends = array("I"), array("q", [0])
 
     def _many(self, units: list[str], variant: int | np.ndarray, merges: list[bytes] | None = None) -> list[bytes]:
         """Packed ids of short units. One step takes the best candidate of every unit and merges or skips it.
 
         With a list for ``merges`` there is no dropout, and each unit's candidates are put there.
         """
-        key = _key(np.broadcast_to(np.asarray(variant, np.int64), len(units)), self.drop)
+        key = _key(np.broadcast_to(np.asarray(variant, np.uint32), len(units)), self.drop)
         order = np.argsort([len(u) for u in units], kind="stable")
         out = [b""] * len(units)
         for part in np.array_split(order, max(1, len(order) // 5_000)):
@@ -232,7 +241,7 @@ class Segmenter:
         rank = np.full(sym.shape, _NONE)
         rank[:, :-1] = self.pairs.get(sym[:, :-1], sym[:, 1:])
         limit = 0 if merges is not None else int(self.drop.rate * 2**32)
-        done: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.uint32))]
         row = np.arange(len(units))
         while len(row):
             now = rank[row]
@@ -264,59 +273,67 @@ class Segmenter:
             else:
                 out[place] = flat[begin:end]
             begin = end
-
         if merges is not None:
             of, cand = (np.concatenate(x) for x in zip(*done))
             order = np.argsort(of, kind="stable")
-            upto = np.searchsorted(of[order], np.arange(len(units) + 1)) * 4
-            packed = cand[order].astype(np.uint32).tobytes()
-            for place, a, b in zip(places, upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            upto = (np.searchsorted(of[order], np.arange(len(units) + 1)) * 4).tolist()
+            packed = cand[order].tobytes()
+            for place, a, b in zip(places, upto, upto[1:]):
                 merges[place] = packed[a:b]
 
-    def _learn(self, units: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """What is not known of short units; it replaces the older generation when there is much."""
-        made = {u: got for u in units if (got := self.older.get(u)) is not None}
-        if new := [u for u in units if u not in made]:
-            merges = [b""] * len(new)
-            made |= zip(new, zip(self._many(new, 0, merges), merges, strict=True), strict=True)
-        if len(self.known) + len(made) > self.limit:
-            self.older, self.known = self.known, {}
-        self.known.update(made)
-        return made
+    def _learn(self, units: list[str]) -> None:
+        merges = [b""] * len(units)
+        ids = self._many(units, 0, merges)
+        for packed, store, ends in ((ids, self.ids_store, self.ids_ends), (merges, self.merge_store, self.merge_ends)):
+            ends.extend((ends[-1] + np.cumsum([len(x) // 4 for x in packed])).tolist())
+            store.frombytes(b"".join(packed))
 
     def ids(self, texts: list[str], firsts: list[int]) -> list[np.ndarray]:
         """Ids of whole texts; firsts: the hash of each text's document."""
+        if len(self.number) > self.limit:
+            self._forget()
         split = [self.units(t) for t in texts]
         sizes = np.array([len(u) for u in split], np.int64)
         units = [u for own in split for u in own]
         ends = np.cumsum(sizes)
         place = np.arange(len(units)) - np.repeat(ends - sizes, sizes)
-        variant = _mixed((np.repeat(np.array(firsts, np.int64), sizes) + place * 0x9E3779B1) & _LOW)
-        known, empty = self.known, (b"", b"")
-        missing = {u for u in units if u not in known and len(u) <= SHORT}
-        made = self._learn(missing) if missing else {}
-        got = [known.get(u) or made.get(u, empty) for u in units]
-        out = [g[0] for g in got]
+        variant = _mixed(((np.repeat(np.array(firsts, np.int64), sizes) + place * 0x9E3779B1) & _LOW).astype(np.uint32))
+        known = self.number
+        if new := [u for u in set(units) if u not in known and len(u) <= SHORT]:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self._learn(new)
+        # the last number stands for long units, which have neither merges nor ids yet
+        number = np.fromiter(map(known.get, units, repeat(len(known))), np.int64, len(units))
+        start, length = self._lists(self.ids_ends, number)
         limit = int(self.drop.rate * 2**32)
+        again = np.empty(0, np.int64)
         if limit:
-            merges = [g[1] for g in got]
-            counts = np.array([len(m) // 4 for m in merges], np.int64)
-            keys = np.repeat(_key(variant, self.drop), counts)
-            skip = _skipped(keys, np.frombuffer(b"".join(merges), np.uint32).astype(np.int64), limit)
-            again = np.unique(np.repeat(np.arange(len(units)), counts)[skip])
-            if len(again):
-                at = again.tolist()
-                for k, packed in zip(at, self._many([units[k] for k in at], variant[again]), strict=True):
-                    out[k] = packed
-        for k, u in enumerate(units):
-            if len(u) > SHORT:
-                out[k] = _packed(segment(u, int(variant[k]), self.pieces, self.drop))
-        return [np.frombuffer(b"".join(out[b - n : b]), np.int32) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-
-
-def _rest(df: DataFrame, made: list[str]) -> tuple[list[str], list[str]]:
-    kept = [f for f in df.schema if f.name not in made]
-    return [f.name for f in kept], [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+            at, counts = self._lists(self.merge_ends, number)
+            upto = np.cumsum(counts)
+            cand = np.frombuffer(self.merge_store, np.uint32)[np.repeat(at - upto + counts, counts) + np.arange(counts.sum())]
+            skip = np.flatnonzero(_skipped(np.repeat(_key(variant, self.drop), counts), cand, limit))
+            again = np.unique(np.searchsorted(upto, skip, side="right"))
+        long_ = np.flatnonzero(number == len(known))
+        made = self._many([units[k] for k in again.tolist()], variant[again]) if len(again) else []
+        made += [_packed(segment(units[k], int(variant[k]), self.pieces, self.drop)) for k in long_.tolist()]
+        own, sizes_own = np.concatenate([again, long_]), np.array([len(x) // 4 for x in made], np.int64)
+        start[own], length[own] = len(self.ids_store) + np.cumsum(sizes_own) - sizes_own, sizes_own
+        store = np.concatenate([np.array(self.ids_store, np.int32), np.frombuffer(b"".join(made), np.int32)])
+        upto = np.cumsum(length)
+        flat = store[np.repeat(start - upto + length, length) + np.arange(length.sum())]
+        cut = np.concatenate([[0], upto])[np.concatenate([[0], ends])].tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
+
+    @staticmethod
+    def _lists(ends: array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the lists with these numbers; the one after the last is empty."""
+        ends = np.array(ends, np.int64)
+        ends = np.append(ends, ends[-1])
+        return ends[number], np.diff(ends)[number]
+
+
+def session_pieces(spark: SparkSession) -> Pieces:
+    return Pieces.load(spark.conf.get(SETTING, MODEL))
 
 
 def text_of(ids: np.ndarray, pieces: Pieces) -> bytes:
@@ -324,9 +341,9 @@ def text_of(ids: np.ndarray, pieces: Pieces) -> bytes:
 
 
 def encode(docs: DataFrame, pieces: Pieces, drop: Dropout = Dropout(), check: bool = False) -> DataFrame:
-    """``docs`` with ``ids``; with ``check`` also ``lossless``: whether they decode to the text."""
+    """``docs`` with ``ids``; with ``check`` also ``lossless``: whether they decode to the text. They replace columns with such names in any case."""
     made = ["ids", "lossless"] if check else ["ids"]
-    names, rest = _rest(docs, made)
+    names = without(docs.columns, *made)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(pieces, drop)
@@ -348,12 +365,13 @@ def encode(docs: DataFrame, pieces: Pieces, drop: Dropout = Dropout(), check: bo
                 cols.append(pa.array(same, pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, [*names, *made])
 
-    return batches(docs, run, ", ".join([*rest, "ids array<int>", *(["lossless boolean"] if check else [])]))
+    gone = [c for c in docs.columns if c not in names]
+    return batches(docs, run, adding(docs, gone, "ids array<int>" + ", lossless boolean" * check))
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """``encoded`` with ``decoded``: the text of ``ids``."""
-    names, rest = _rest(encoded, ["decoded"])
+    names = without(encoded.columns, "decoded")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -361,4 +379,4 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
             texts = [None if x is None else x.decode("utf-8", "surrogatepass") for x in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return batches(encoded, run, ", ".join([*rest, "decoded string"]))
+    return batches(encoded, run, adding(encoded, [c for c in encoded.columns if c not in names], "decoded string"))
