@@ -203,33 +203,9 @@ def train_fold(column: str, parts: int) -> "F.Column":
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
 
 
-def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+def words_of(text: str | None) -> list[bytes]:
     """Runs of characters other than the six ASCII white spaces; ``bytes.split`` cuts at exactly those."""
-    if not text:
-        return []
-    raw = text.encode("utf-8", "surrogatepass")
-    return (raw.lower() if lower else raw).split()
-
-
-class WordHasher(dict):
-    """64-bit hashes of words, remembered; ``limit`` bounds the memory of a task."""
-
-    def __init__(self, limit: int = 250_000):
-        import xxhash
-
-        super().__init__()
-        self.limit, self.digest = limit, xxhash.xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.digest(word)
-        if len(word) <= 64:  # long ones are rare and would fill the memory
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = found
-        return found
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -239,9 +215,67 @@ def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser (a public-domain bijection of 64-bit values)."""
     with np.errstate(over="ignore"):
         x = x + MIX[0]
-        x = (x ^ (x >> np.uint64(30))) * MIX[1]
-        x = (x ^ (x >> np.uint64(27))) * MIX[2]
-    return x ^ (x >> np.uint64(31))
+        if not isinstance(x, np.ndarray):
+            x = (x ^ (x >> np.uint64(30))) * MIX[1]
+            x = (x ^ (x >> np.uint64(27))) * MIX[2]
+            return x ^ (x >> np.uint64(31))
+        x ^= x >> np.uint64(30)
+        x *= MIX[1]
+        x ^= x >> np.uint64(27)
+        x *= MIX[2]
+        x ^= x >> np.uint64(31)
+    return x
+
+
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes whose words are hashed together, and bytes from which a word is hashed by itself.
+HASHED, LONG = 4_000_000, 512
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all texts' words (runs of other bytes than the six white spaces), and where each text's words end."""
+    hashes, ends, group, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], 0
+    count = 0
+    for k, raw in enumerate(raws):
+        group.append(raw)
+        size += len(raw)
+        if size >= HASHED or k == len(raws) - 1:
+            h, upto = _hashed(group)
+            hashes.append(h), ends.append(upto + count)
+            group, size, count = [], 0, count + len(h)
+    return np.concatenate(hashes), np.concatenate(ends)
+
+
+def _hashed(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    buffer = b" ".join([b"", *raws, b" " * 8])
+    blank = SPACE[np.frombuffer(buffer, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    # eight bytes from each place on
+    eight = np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mix64((eight[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * MIX[1])
+        rest, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(rest):
+            left = size[rest] - k
+            h[rest] = mix64(h[rest] ^ (eight[start[rest] + k] & _FIRST[np.minimum(left, 8)]))
+            rest, k = rest[left > 8], k + 8
+    if (long := np.flatnonzero(size > LONG)).size:
+        import xxhash
+
+        h[long] = [xxhash.xxh3_64_intdigest(buffer[a : a + n]) for a, n in zip(start[long].tolist(), size[long].tolist())]
+    return h, np.searchsorted(start, np.cumsum([len(r) + 1 for r in raws]))
+
+
+def encoded(texts: pa.Array, table: bytes | None = None) -> list[bytes]:
+    """The texts' bytes, translated by the table; nulls are empty."""
+    raws = ((t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist())
+    return [r.translate(table) for r in raws] if table else list(raws)
+
+
+#: Lower-cases A-Z.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -6,60 +6,57 @@ fingerprint at the same place of the run, whatever the line breaks and punctuati
 places are joined with its first place, by (doc_id, place); matches are extended both ways, word by word,
 and the later run is deleted; the first of all places stays.
 
-A text is deleted in pieces. A piece is one word, but the first two words of a line are one piece, since a
-single word at a line's start often is the same by chance; a line ends at a line feed or at the end of a
-sentence. Of a run the whole pieces go, if they have NOISE words or more: all but a line's first or
-second word where the run begins or ends at it.
+A run whose fingerprints first stand in other contexts is only partly covered by these matches. So each
+document also gives the windows of GUARANTEE words that hold a repeated fingerprint and that its matches
+leave open, and of equal windows all but the first go as well. That makes the result exact for runs of
+GUARANTEE words or more: a word goes if it is in such a run that stands in an earlier place too. (The first
+place of a window either is the first place of its fingerprint, and the match extends over it, or it is
+itself open: its matches are with earlier places, where the window isn't.) Shorter runs, of NOISE words or
+more, go if a fingerprint falls in them.
+
+A word goes with its run, except a line's first or second word where the run begins or ends at it, since
+a single word at a line's start often is the same by chance; a line ends at a line feed or at the end of a
+sentence.
 
 Only the first place of a fingerprint is joined with the others, never all pairs, and a document has
-one row for each of its fingerprints however often they come in it. A place within a run that is
-deleted already, for a match with the same document, is not extended once more; this keeps texts of
-one line over and over linear.
+one row for each of its fingerprints however often they come in it. A place within a run that is deleted
+already is extended only if the word before or after that run is equal too; this keeps texts of one line
+over and over linear. Documents that are first for many others are copied to as many tasks.
 
 Defined results: white space between words doesn't count in comparing; lines without words go if they
 stand within a deleted run; a null text stays null; rows with a null doc_id stay as they are; rows with
-equal doc_id and text are one document; other columns stay; an empty table gives no rows.
+equal doc_id and text are one document; other columns stay, but for one named n_deleted in any case, which
+is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, batches, few, materialize, mix64
+from .common import SPACE, adding, batches, encoded, few, fresh, let, materialize, mix64, named, scratch, without, word_hashes
 
 NOISE, GUARANTEE = 15, 25
+#: Matches with one document that go to one task.
+MATCHES = 500
 _CUT = re.compile(rb"[.!?][ \t]+|[\r\n]+")
-_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 
 
 def _layout(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of the words, ends of the lines, each word's line, and which words begin a line; the text's end does so too."""
-    spans = np.array([m.span() for m in _WORD.finditer(raw)], np.int64).reshape(-1, 2)
+    blank = np.concatenate([[True], SPACE[np.frombuffer(raw, np.uint8)], [True]])
+    spans = np.flatnonzero(blank[1:] != blank[:-1]).reshape(-1, 2)
     ends = np.array([*(m.end() for m in _CUT.finditer(raw)), len(raw)])
     line = np.searchsorted(ends, spans[:, 0], side="right")
     return spans, ends, line, np.append(np.diff(line, prepend=-1) > 0, True)
 
 
-def _begins_piece(opens: np.ndarray) -> np.ndarray:
-    return opens | ~np.concatenate([[False], opens[:-1]])
-
-
-def split_lines(raw: bytes) -> list[bytes]:
-    """The text in pieces, each with the white space that follows it; joined they are the text."""
-    spans, ends, line, opens = _layout(raw)
-    begin = np.where(opens[:-1], np.where(line > 0, ends[line - 1], 0), spans[:, 0])[_begins_piece(opens)[:-1]]
-    at = [0, *begin[1:].tolist(), len(raw)]
-    return [raw[a:b] for a, b in zip(at, at[1:])]
-
-
 def _ahead(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """The best of so many values from each place on; fewer at the end."""
     x, have = x.copy(), 1
@@ -100,19 +97,6 @@ def fingerprints(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return chosen, g[chosen]
 
 
-def _words(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' words, and where each text's end."""
-    h = [hasher.array(t.split()) for t in texts]
-    return np.concatenate([np.empty(0, np.uint64), *h]), np.cumsum([len(x) for x in h], dtype=np.int64)
-
-
-def _split(places: np.ndarray, grams: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Fingerprints of each text, with places counted from its start."""
-    upto = np.searchsorted(places, ends)
-    places = places - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(upto, prepend=0))
-    return np.split(places, upto[:-1]), np.split(grams, upto[:-1])
-
-
 INDEX = "doc_id long, fp long, gram long, at long, again boolean"
 
 
@@ -125,11 +109,10 @@ def word_index(docs: DataFrame) -> DataFrame:
     document; fp is the text's hash."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in it:
             if not batch.num_rows:
                 continue
-            h, ends = _words([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], hasher)
+            h, ends = word_hashes(encoded(batch.column("text")))
             places, grams = fingerprints(h, ends)
             doc = np.searchsorted(ends, places, side="right")
             order = np.lexsort((grams, doc))  # equal ones stay in the order of places
@@ -159,76 +142,144 @@ def _same(a: np.ndarray, b: np.ndarray) -> int:
 
 def _matches(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of ``x`` that are equal to runs of ``y`` around each (place in x, place in y)."""
-    runs, gone = [], np.zeros(len(x), bool)
+    runs: list[tuple[int, int]] = []
+    own = np.full(len(x), -1)
     for at, at0 in seeds:
-        if gone[at]:
-            continue
+        if own[at] >= 0:
+            a, b = runs[own[at]]
+            before, after = at0 - (at - a) - 1, at0 + (b - at)
+            if not (a > 0 and before >= 0 and x[a - 1] == y[before]) and not (b < len(x) and after < len(y) and x[b] == y[after]):
+                continue
         back, on = _same(x[:at][::-1], y[:at0][::-1]), _same(x[at:], y[at0:])
         if on >= NOISE:  # else only the grams' hashes are equal
+            own[at - back : at + on] = len(runs)
             runs.append((at - back, at + on))
-            gone[at - back : at + on] = True
     return runs
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, runs): the later runs, as (start, end) numbers of words, end exclusive."""
+def _open(h: np.ndarray, ends: np.ndarray, places: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of GUARANTEE words that hold a gram at one of the places and that no run covers.
 
-    def extend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            (h, ends), (h0, ends0) = (_words([t.encode("utf-8", "surrogatepass") for t in batch.column(c).to_pylist()], hasher) for c in ("text", "text0"))
-            at, grams = _split(*fingerprints(h, ends), ends)
-            xs, ys, runs = np.split(h, ends[:-1]), np.split(h0, ends0[:-1]), []
-            for k, (own, found) in enumerate(zip(batch.column("own").to_pylist(), batch.column("seeds").to_pylist(), strict=True)):
-                first = {s["gram"]: s["at0"] for s in found}
-                places = zip(at[k].tolist(), grams[k].view(np.int64).tolist(), strict=True)
-                seeds = [(p, first[g]) for p, g in places if g in first and (not own or p > first[g])]
-                runs.append([{"start": a, "end": b} for a, b in _matches(xs[k], ys[k], seeds)])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(runs, kind)], ["doc_id", "fp", "runs"])
+    h: hashes of all words of several texts; ends: where each text's words end; runs: (start, end) rows.
+    """
+    inside, covered = np.zeros(len(h) + 1, bool), np.zeros(len(h) + 2, np.int32)
+    begin = np.concatenate([[0], ends])[np.searchsorted(ends, places, side="right")]
+    for back in range(GUARANTEE - NOISE + 1):
+        inside[np.maximum(places - back, begin)] = True
+    np.add.at(covered, runs[:, 0], 1)
+    np.add.at(covered, np.maximum(runs[:, 1] - GUARANTEE + 1, runs[:, 0]), -1)
+    s = np.flatnonzero(inside & (np.cumsum(covered[:-1]) == 0))
+    s = s[s + GUARANTEE <= np.concatenate([ends, [0]])[np.searchsorted(ends, s, side="right")]]
+    with np.errstate(over="ignore"):
+        w = h[s]
+        for k in range(1, GUARANTEE):
+            w = mix64(w) + h[s + k]
+    return s, mix64(w)
 
-    # one exchange, for the first places and for the join with them: the filter is what the join would infer on one side
-    rows = word_index(docs).filter("gram IS NOT NULL AND doc_id IS NOT NULL AND fp IS NOT NULL").repartition("gram")
+
+def _seeds(rows: DataFrame) -> DataFrame:
+    """(doc_id, fp, d0, f0, seeds): the repeated grams of each document, by the document where they stand first."""
     place = F.struct("doc_id", "fp", "at")
     first = rows.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("again").alias("r"))
     first = first.filter("p < q OR r").select("gram", "p")
     later = rows.join(first, "gram").filter((place > F.col("p")) | F.col("again"))
     anchor = [F.col("p.doc_id").alias("d0"), F.col("p.fp").alias("f0")]
-    seeds = later.groupBy("doc_id", "fp", *anchor).agg(F.collect_set(F.struct("gram", F.col("p.at").cast("int").alias("at0"))).alias("seeds"))
+    return later.groupBy("doc_id", "fp", *anchor).agg(F.collect_set(F.struct("gram", F.col("p.at").cast("int").alias("at0"))).alias("seeds"))
+
+
+FOUND = "doc_id long, fp long, starts array<long>, stops array<long>, windows array<long>, places array<long>"
+
+
+def _extended(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """FOUND: starts and ends of the runs of each pair of documents, and the open windows' hashes and places."""
+
+    def extend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, np.empty(0, np.uint64)  # the document that is first for the rows before
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            h, ends = word_hashes(encoded(batch.column("text")))
+            at, grams = fingerprints(h, ends)
+            upto = np.searchsorted(at, ends)
+            begin, low = np.concatenate([[0], ends]), np.concatenate([[0], upto])
+            found, repeated = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+            names = zip(batch.column("d0").to_pylist(), batch.column("f0").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("fp").to_pylist(), strict=True)
+            for k, (d0, f0, d, f) in enumerate(names):
+                if (d0, f0) != last:
+                    last, y = (d0, f0), word_hashes(encoded(batch.column("text0")[k : k + 1]))[0]
+                pairs = batch.column("seeds")[k].values
+                known, at0 = (pairs.field(c).to_numpy() for c in ("gram", "at0"))
+                order = np.argsort(known)
+                known, at0 = known[order], at0[order]
+                g = grams[low[k] : low[k + 1]].view(np.int64)
+                i = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                on = known[i] == g
+                places, first = at[low[k] : low[k + 1]][on] - begin[k], at0[i[on]]
+                repeated.append(places + begin[k])
+                if (d, f) == last:
+                    places, first = places[places > first], first[places > first]
+                runs = _matches(h[begin[k] : begin[k + 1]], y, list(zip(places.tolist(), first.tolist(), strict=True)))
+                found.append(np.array(runs, np.int64).reshape(-1, 2) + begin[k])
+            runs = np.concatenate(found)
+            s, windows = _open(h, ends, np.concatenate(repeated), runs)
+            of_run, of_window = (np.searchsorted(ends, x, side="right") for x in (runs[:, 0], s))
+            lists = [(of_run, runs[:, 0] - begin[of_run]), (of_run, runs[:, 1] - begin[of_run]), (of_window, windows.view(np.int64)), (of_window, s - begin[of_window])]
+            cols = [batch.column("doc_id"), batch.column("fp")]
+            cols += [pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(ends) + 1)), pa.int32()), pa.array(v, pa.int64())) for row, v in lists]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "starts", "stops", "windows", "places"])
+
     texts = _known(docs).dropDuplicates(["doc_id", "fp"])
-    named = texts.select(F.col("doc_id").alias("d0"), F.col("fp").alias("f0"), F.col("text").alias("text0"))
-    pairs = seeds.join(texts, ["doc_id", "fp"]).join(named, ["d0", "f0"])
-    own = ((F.col("doc_id") == F.col("d0")) & (F.col("fp") == F.col("f0"))).alias("own")
-    found = batches(
-        pairs.select("doc_id", "fp", own, "seeds", "text", "text0"),
-        extend,
-        "doc_id long, fp long, runs array<struct<start: int, end: int>>",
-    )
-    found = found.filter(F.size("runs") > 0)
-    return found.groupBy("doc_id", "fp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
+    # of a document that is first for many others there is a copy for every MATCHES of them
+    busy = seeds.groupBy("d0", "f0").agg(F.ceil(F.count(F.lit(1)) / F.lit(MATCHES)).cast("int").alias("parts"))
+    busy = busy.filter("parts > 1")
+    busy = F.broadcast(busy) if few(busy) else busy  # 20 bytes each
+    dealt = seeds.join(busy, ["d0", "f0"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "fp"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    first = texts.select(F.col("doc_id").alias("d0"), F.col("fp").alias("f0"), F.col("text").alias("text0")).join(busy, ["d0", "f0"], "left")
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1).cast("array<long>"))).drop("parts")
+    pairs = dealt.join(texts, ["doc_id", "fp"]).join(first, ["d0", "f0", "part"])
+    return batches(pairs.select("doc_id", "fp", "d0", "f0", "seeds", "text", "text0"), extend, FOUND)
 
 
-def _counts(raw: bytes) -> Counter:
-    return Counter(b" ".join(w) for p in split_lines(raw) if (w := p.split()))
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, runs): the later runs, as (start, end) numbers of words, end exclusive."""
+    # one exchange, for the first places and for the join with them: the filter is what the join would infer on one side
+    rows = word_index(docs).filter("gram IS NOT NULL AND doc_id IS NOT NULL AND fp IS NOT NULL").repartition("gram")
+    seeds = materialize(_seeds(rows), "line-dedup-seeds")
+    found = materialize(_extended(docs, seeds), "line-dedup-matches")
+    place = F.struct("doc_id", "fp", "start")
+    open_ = found.select("doc_id", "fp", F.explode(F.arrays_zip("windows", "places")).alias("w"))
+    open_ = open_.select("doc_id", "fp", F.col("w.windows").alias("window"), F.col("w.places").alias("start"))
+    first = open_.groupBy("window").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p < q").select("window", "p")
+    again = open_.join(first, "window").filter(place > F.col("p"))
+    more = again.groupBy("doc_id", "fp").agg(let(F.array_sort(F.collect_set("start")), _joined).alias("runs"))
+    runs = F.zip_with("starts", "stops", lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    both = found.filter(F.size("starts") > 0).select("doc_id", "fp", runs.alias("runs")).unionByName(more)
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs"))))
+    return both.groupBy("doc_id", "fp").agg(every.alias("runs"))
+
+
+def _joined(starts: Column) -> Column:
+    """Runs of the windows of GUARANTEE words with these starts, ascending; those that overlap or meet are one."""
+    first = F.filter(starts, lambda x, k: (k == 0) | (x > F.get(starts, k - 1) + GUARANTEE))
+    last = F.filter(starts, lambda x, k: (k == F.size(starts) - 1) | (F.get(starts, k + 1) > x + GUARANTEE))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b + GUARANTEE).alias("end")))
 
 
 def cut_runs(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """The text without the runs of words, and how many of its pieces with words don't stand in it any more."""
+    """The text without the runs of words, and how many words that takes out."""
     spans, ends, line, opens = _layout(raw)
-    begins = _begins_piece(opens)
-    gone = np.zeros(len(spans), bool)
+    second = np.concatenate([[False], opens[:-1]]) & ~opens  # a line's second word
+    edge = np.zeros(len(spans) + 1, np.int64)
     for a, b in runs:
-        a, b = a + (not begins[a]), b - (not begins[b])
-        if b - a >= NOISE:
-            gone[a:b] = True
-    flips = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-    if not len(flips):
-        return raw, 0
-    kept, at, whole = [], 0, True
-    for a, b in flips.reshape(-1, 2).tolist():
-        whole &= bool(opens[a] and opens[b])
+        edge[a] += 1
+        edge[b] -= 1
+    gone = np.cumsum(edge[:-1]) > 0
+    kept, at, count = [], 0, 0
+    for a, b in np.flatnonzero(np.diff(gone, prepend=False, append=False)).reshape(-1, 2).tolist():
+        a, b = a + bool(second[a]), b - bool(second[b])
+        if b - a < NOISE:
+            continue
+        count += b - a
         high = int(ends[line[b - 1]]) if opens[b] else int(spans[b, 0])
         if opens[a]:
             low = int(ends[line[a] - 1]) if line[a] else 0
@@ -236,35 +287,32 @@ def cut_runs(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
             low, high = int(spans[a - 1, 1]), int(spans[b - 1, 1])
         kept.append(raw[at:low])
         at = high
-    text = b"".join([*kept, raw[at:]])
-    # parts of lines that come together make other pieces
-    return text, int(gone[begins[:-1]].sum()) if whole else (_counts(raw) - _counts(text)).total()
+    return b"".join([*kept, raw[at:]]), count
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with later repeated runs taken out of ``text``, and n_deleted: how many pieces with words went."""
+def dedup_lines(docs: DataFrame, count: str = "n_deleted") -> DataFrame:
+    """``docs`` with later repeated runs taken out of ``text``, and n_deleted, or another ``count``: how many words went."""
+    id_, fp, runs, gone = fresh(docs.columns, "_id", "_fp", "_runs", "_gone")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            cut = batch.column("_runs").is_valid()  # other texts pass as they are
-            texts, gone = [], np.zeros(batch.num_rows, np.int64)
+            cut = batch.column(runs).is_valid()  # other texts pass as they are
+            texts, counts = [], np.zeros(batch.num_rows, np.int64)
             for k in np.flatnonzero(cut.to_numpy(zero_copy_only=False)):
                 raw = batch.column("text")[k].as_py().encode("utf-8", "surrogatepass")
-                raw, gone[k] = cut_runs(raw, [(c["start"], c["end"]) for c in batch.column("_runs")[k].as_py()])
+                raw, counts[k] = cut_runs(raw, [(c["start"], c["end"]) for c in batch.column(runs)[k].as_py()])
                 texts.append(raw.decode("utf-8", "surrogatepass"))
             text = pc.replace_with_mask(batch.column("text"), cut, pa.array(texts, pa.string()))
-            names = [c for c in batch.schema.names if c not in ("text", "_runs")]
-            cols = [*(batch.column(c) for c in names), text, pa.array(gone)]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "text", "_gone"])
+            names = [c for c in batch.schema.names if c not in ("text", runs)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), text, pa.array(counts)], [*names, "text", gone])
 
-    runs = materialize(repeated_runs(docs).toDF("_id", "_fp", "_runs"), "line-dedup-runs")
-    size = runs.agg(F.sum(F.size("_runs"))).first()[0] or 0
+    with scratch() as keep:
+        found = keep(materialize(repeated_runs(docs).toDF(id_, fp, runs), "line-dedup-runs"))
+    size = found.agg(F.sum(F.size(runs))).first()[0] or 0
     # 24 bytes for each document and 8 for each run, checked; beyond that texts are dealt by id
-    if few(runs, 400_000) and size <= 1_000_000:
-        runs = F.broadcast(runs)
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_fp"))
-    joined = docs.join(runs, same, "left").drop("_id", "_fp")
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "_runs")]
-    out = batches(joined, run, ", ".join([*rest, "text string", "_gone long"]))
-    own = [c for c in docs.columns if c != "n_deleted"]
-    return out.select(*own, F.col("_gone").alias("n_deleted"))
+    if few(found, 400_000) and size <= 1_000_000:
+        found = F.broadcast(found)
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(fp))
+    joined = docs.join(found, same, "left").drop(id_, fp)
+    out = batches(joined, run, adding(joined, ["text", runs], f"text string, `{gone}` long"))
+    return out.select(*map(named, without(docs.columns, count)), F.col(gone).alias(count))

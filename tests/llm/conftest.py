@@ -2,7 +2,10 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component long, score double, ids string, n_deleted string"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, component long, score double, ids string, n_deleted string, "
+    "_id long, _fp string, _runs int, _gone string, _key int, _c string, Lossless string, `a.b` int, _salt int, _n int, _u int, _r int"
+)
 
 
 def odd_rows():
@@ -26,7 +29,7 @@ def odd_rows():
         (10, "1" * 3_000 + "@" * 50, None, "a"),
         (6, "another text under a known id", "en", "d"),
     ]
-    return [(*r, None if r[1] is None else len(r[1]), 5, 0.5, "x", "y") for r in rows]
+    return [(*r, None if r[1] is None else len(r[1]), 5, 0.5, "x", "y", 1, "f", 2, "g", 3, "c", "l", 4, 5, 6, 7, 8) for r in rows]
 
 
 @pytest.fixture(scope="session")
