@@ -1,16 +1,19 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The test windows (runs of WINDOW item words; a shorter item is one window) name their rarest terms,
-by counts over all documents. The index holds, for every document and such term, the list of
-positions. Lists of a window's terms are adjusted by the terms' offsets in the window and intersected,
-starting from the rarest; what is left is compared with the whole window in the text. Postings are
-rows (document, term), dealt by document, so that neither a frequent term nor a passage that many
-documents share meets in one task. Proximity matches, where a window's rarest terms stand near their
-places in any order, come from the same lists.
-
-Defined results: a null or empty text has no words, and nothing is hit; an item without words has no
-windows; rows with equal doc_id are searched each on its own; items with equal item_id count once;
-other columns are ignored; empty tables give no hits, or no rows.
+The index is cut by documents into shards. A shard has, of every term in its documents, the ascending list of
+its places in the shard's words, so any benchmark can be looked up in it; and where each document ends.
+Test windows (runs of WINDOW item words; a shorter item is one window) list their terms, the rarest in all
+documents first. A window goes to the shards that have its rarest term: windows and the shards' terms are
+joined, neither passes through the driver. There the terms' lists, less the terms' places in the window, are
+intersected from the rarest on, until all terms stand where they do in the window, within one document.
+Neither a frequent term nor a passage that many documents share meets in one task, since every shard has its
+own list. Proximity matches, where a window's rarest terms stand near their places in any order, come from the
+same lists.
+
+Words are compared by their 64-bit hashes. Defined results: a null or empty text has no words, and nothing is
+hit; an item without words has no windows; rows with equal doc_id are searched each on its own; items with
+equal item_id count once; other columns are ignored, and stay in remove_contaminated(); empty tables give no
+hits, or no rows.
 """
 
 from __future__ import annotations
@@ -23,50 +26,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHasher, batches, few, gram_hashes, join_lookup, list_array, materialize, semi_by_id
+from .common import batches, encoded, few, fresh, gram_hashes, join_lookup, list_array, materialize, scratch, word_hashes
 
 WINDOW = 10
-#: Terms of each window whose position lists are intersected.
+#: Terms of each window that a proximity match needs.
 ANCHORS = 3
-#: Terms up to which the test vocabulary goes to the tasks as one array (8 bytes each).
-VOCABULARY = 1_000_000
-#: Windows that go to the tasks at once (about 200 bytes each).
-BLOCK = 200_000
+#: Windows that are looked up in a shard at once (about 200 bytes each).
+BLOCK = 100_000
 
 #: ASCII letters and digits and all other characters make words; A-Z are lower-cased.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def match_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
-
-
-class _Terms(WordHasher):
-    """Hashes of the words that are terms of the index, 0 for others."""
-
-    def __init__(self, terms: np.ndarray | None):
-        super().__init__()
-        self.terms = None if terms is None else set(terms.tolist())
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.digest(word)
-        found = found if self.terms is None or found in self.terms else 0
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = found
-        return found
-
-
 def test_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(win, terms) of the distinct windows, and (item_id, win) of the items; win is the terms' hash."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in it:
             items, wins, terms = [], [], []
-            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
-                h = hasher.array(match_words(text.as_py()))
+            every, ends = word_hashes(encoded(batch.column("text"), _TABLE))
+            for item, h in zip(batch.column("item_id").to_pylist(), np.split(every, ends[:-1]) if len(ends) else [], strict=True):
                 for k, g in enumerate(gram_hashes(h, size)):
                     items.append(item), wins.append(g), terms.append(h[k : k + size].view(np.int64))
             found = pa.array(np.array(wins, np.uint64).view(np.int64), pa.int64())
@@ -79,193 +58,154 @@ def test_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, D
     return rows.dropDuplicates(["win"]).select("win", "terms"), rows.select("item_id", "win").distinct()
 
 
-def _vocabulary(terms: DataFrame) -> np.ndarray | None:
-    """The terms as an array if they are few, or None: then every term is kept and joined later."""
-    if not few(terms, VOCABULARY):
-        return None
-    return np.array([r[0] for r in terms.toLocalIterator()], np.int64).view(np.uint64)
+INDEX = "shard string, doc_ids array<long>, fps array<long>, ends array<long>, terms array<long>, counts array<int>, places binary"
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences of ``terms`` in all documents, summed within tasks first."""
-    vocabulary = _vocabulary(terms)
+def postings(docs: DataFrame) -> DataFrame:
+    """The index. A row is a shard: its documents with the ends of their words, its terms in unsigned order
+    with their numbers of places, and the places (32 bits), term by term. fp is the hash of a document's text.
+    """
+    part = F.spark_partition_id().cast("string").alias("part")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text", part)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Terms(vocabulary)
-        for batch in it:
-            found = [h[h != 0] for t in batch.column("text") if len(h := hasher.array(match_words(t.as_py())))]
-            if found:
-                term, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n, pa.int64())], ["term", "n"])
-
-    counts = batches(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+        for number, batch in enumerate(it):
+            if not batch.num_rows:
+                continue
+            h, ends = word_hashes(encoded(batch.column("text"), _TABLE))
+            order = np.argsort(h, kind="stable")
+            terms, counts = np.unique(h[order], return_counts=True)
+            cols = [pa.array([f"{batch.column('part')[0].as_py()}-{number}"])]
+            cols += [pa.array([batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "fp")]
+            cols += [list_array([ends], pa.int64()), list_array([terms.view(np.int64)], pa.int64())]
+            cols += [list_array([counts.astype(np.int32)], pa.int32()), pa.array([order.astype(np.int32).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "doc_ids", "fps", "ends", "terms", "counts", "places"])
+
+    return batches(rows, run, INDEX)
+
+
+def documents(index: DataFrame) -> DataFrame:
+    """(doc_id, fp, n_words) of every row that was indexed."""
+    d = index.select(F.posexplode(F.arrays_zip("doc_ids", "fps", "ends")).alias("k", "d"), "ends")
+    before = F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(F.lit(0))
+    return d.select(F.col("d.doc_ids").alias("doc_id"), F.col("d.fps").alias("fp"), (F.col("d.ends") - before).alias("n_words"))
+
+
+def ranked_windows(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """(rarest, win, len, terms): windows all of whose terms occur; terms: (n, off, term), the rarest in all documents first."""
+    places = windows.select("win", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
+    places = materialize(places, "decontamination-terms")
+    own = places.select("term").distinct()
+    own = F.broadcast(own) if few(own) else own  # 8 bytes each
+    found = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+    n = found.join(own, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    ranked = places.join(n, "term", "left").groupBy("win", "len").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("terms"))
+    rarest = F.get("terms", F.lit(0))
+    return ranked.filter(rarest["n"] > 0).select(rarest["term"].alias("rarest"), "win", "len", "terms")
 
 
-def anchors(windows: DataFrame, docs: DataFrame, count: int = ANCHORS) -> DataFrame:
-    """(term, win, len, slot, off, of): the rarest terms of each window of ``len`` words, the rarest in slot 1.
+MATCHES = "doc_id long, fp long, wins array<long>, starts array<int>, lengths array<int>"
 
-    ``of`` is the number of slots.
-    """
-    places = windows.select("win", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
-    places = materialize(places.groupBy("win", "len", "term").agg(F.min("off").alias("off")), "decontamination-terms")
-    counts = term_counts(docs, places.select("term").distinct())
-    rare = Window.partitionBy("win").orderBy("n", "off")
-    ranked = places.join(counts, "term").withColumn("slot", F.row_number().over(rare)).filter(F.col("slot") <= count)
-    return ranked.withColumn("of", F.max("slot").over(Window.partitionBy("win"))).select("term", "win", "len", "slot", "off", "of")
 
+def matches(index: DataFrame, ranked: DataFrame, count: int | None = None, slop: int = 0) -> DataFrame:
+    """MATCHES: where windows stand, word for word, in place in their document.
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: doc_id, fp (the text's hash), n_words, and lists of terms and of their positions, ascending."""
-    vocabulary = _vocabulary(terms)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Terms(vocabulary)
-        for batch in it:
-            n, found, ends, at = [], [], [], []
-            for text in batch.column("text"):
-                h = hasher.array(match_words(text.as_py()))
-                n.append(len(h))
-                place = np.flatnonzero(h)
-                place = place[np.argsort(h[place], kind="stable")]
-                term, first = np.unique(h[place], return_index=True)
-                found.append(term.view(np.int64))
-                at.append(place.astype(np.int32))
-                ends.append(np.append(first[1:], len(place)).astype(np.int32) if len(term) else np.empty(0, np.int32))
-            cols = [batch.column("doc_id"), batch.column("fp"), pa.array(n, pa.int64())]
-            cols += [list_array(found, pa.int64()), list_array(ends, pa.int32()), list_array(at, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_words", "terms", "ends", "positions"])
-
-    schema = "doc_id long, fp long, n_words long, terms array<long>, ends array<int>, positions array<int>"
-    return batches(_printed(docs), run, schema)
-
-
-def _printed(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and text; doc_id and fp together name a text, also where an id is null or comes again."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
-
-
-def candidates(index: DataFrame, anchored: DataFrame, slop: int = 0) -> DataFrame:
-    """(doc_id, fp, wins, starts, lengths): windows all of whose anchors are in place.
-
-    With a ``slop`` the other anchors may each be that many words from their places (proximity matches).
-    The windows go to the index in blocks of at most BLOCK, one scan of the index for each block.
+    With ``count`` only so many of each window's rarest terms are looked at, and with ``slop`` each but the
+    rarest may be that many words from its place (proximity matches).
     """
-    other = F.struct("slot", "term", "off")
-    rows = anchored.groupBy("win", "len").agg(F.array_sort(F.collect_list(other)).alias("anchors"))
-    blocks = max(1, -(-rows.count() // BLOCK))
-    found = None
-    for k in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k)
-        by_rarest: dict[int, list] = {}
-        for r in part.toLocalIterator():  # a block is bounded
-            first, *rest = ((a["term"], a["off"]) for a in r["anchors"])
-            by_rarest.setdefault(first[0], []).append((r["win"], r["len"], first[1], rest))
-        one = batches(index.filter(F.size("terms") > 0), _intersection(by_rarest, slop), CANDIDATES)
-        found = one if found is None else found.unionByName(one)
-    every = [F.flatten(F.collect_list(c)).alias(c) for c in ("wins", "starts", "lengths")]
-    return found.groupBy("doc_id", "fp").agg(*every)  # a text's windows of all blocks
-
-
-CANDIDATES = "doc_id long, fp long, wins array<long>, starts array<long>, lengths array<long>"
-
-
-def _intersection(by_rarest: dict[int, list], slop: int):
-    """A task's function: in each document, lists of the windows that start from the terms it has."""
-    rarest = np.array(sorted(by_rarest), np.int64)
-
-    def places(left: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if not slop:
-            return left[np.isin(left, at, assume_unique=True)]
-        near = np.searchsorted(at, left - slop)
-        return left[(near < len(at)) & (at[np.minimum(near, len(at) - 1)] <= left + slop)]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows, wins, starts, lengths = [], [], [], []
-            for i in range(batch.num_rows):
-                terms, ends, at = (batch.column(c)[i].values.to_numpy() for c in ("terms", "ends", "positions"))
-                here = terms.view(np.uint64)  # the order of the list
-                w, s, n = [], [], []
-                for term in np.intersect1d(terms, rarest, assume_unique=True):
-                    lists = {}
-
-                    def positions(term: int) -> np.ndarray:
-                        if term not in lists:
-                            k = int(np.searchsorted(here, np.int64(term).astype(np.uint64)))
-                            there = k < len(here) and terms[k] == term
-                            lists[term] = at[ends[k - 1] if k else 0 : ends[k]].astype(np.int64) if there else np.empty(0, np.int64)
-                        return lists[term]
-
-                    for win, length, off, rest in by_rarest[int(term)]:
-                        left = positions(int(term)) - off
-                        for other, by in rest:
-                            left = places(left, positions(other) - by)
-                            if not len(left):
-                                break
-                        if not slop:
-                            left = left[left >= 0]
-                        w += [win] * len(left)
-                        s += left.tolist()
-                        n += [length] * len(left)
-                if w:
-                    rows.append(i), wins.append(w), starts.append(s), lengths.append(n)
-            picked = batch.select(["doc_id", "fp"]).take(pa.array(rows, pa.int64()))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (wins, starts, lengths)]
-            yield pa.RecordBatch.from_arrays([*picked.columns, *lists], ["doc_id", "fp", "wins", "starts", "lengths"])
-
-    return run
-
-
-def phrase_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, fp, n_hit, wins) of the texts in which candidate windows stand, word for word."""
+    if count is not None:
+        ranked = ranked.withColumn("terms", F.slice("terms", 1, count))
+    there = index.select("shard", F.explode("terms").alias("rarest"))
+    todo = materialize(join_lookup(there, ranked.groupBy("rarest").agg(F.count(F.lit(1)).alias("k")), "rarest", "inner").select("shard", "rarest", "k"), "decontamination-shards")
+    # a shard's windows in so many parts that none has more than BLOCK
+    most = todo.groupBy("shard").agg(F.sum("k").alias("k")).agg(F.max("k")).first()[0] or 0
+    parts = -(-most // BLOCK) or 1
+    wins = todo.select("shard", "rarest").join(ranked, "rarest").select("shard", F.pmod(F.xxhash64("win"), F.lit(parts)).alias("part"), F.struct("win", "len", "terms").alias("w"))
+    asked = wins.groupBy("shard", "part").agg(F.collect_list("w").alias("windows"))
+    both = asked.join(index, "shard").select("windows", "doc_ids", "fps", "ends", "terms", "counts", "places")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in it:
-            rows, hits, true_wins = [], [], []
-            for i, text in enumerate(batch.column("text")):
-                h = hasher.array(match_words(text.as_py()))
-                hit, true = np.zeros(len(h), bool), set()
-                wins, starts, lengths = (batch.column(c)[i].values.to_numpy() for c in ("wins", "starts", "lengths"))
-                for n in np.unique(lengths):
-                    of = (lengths == n) & (starts + n <= len(h))
-                    if not of.any():
-                        continue
-                    w, s = wins[of], starts[of]
-                    same = gram_hashes(h, int(n))[s].view(np.int64) == w
-                    true.update(w[same].tolist())
-                    edge = np.zeros(len(h) + 1, np.int64)
-                    np.add.at(edge, s[same], 1)
-                    np.add.at(edge, s[same] + n, -1)
-                    hit |= np.cumsum(edge[:-1]) > 0
-                if true:
-                    rows.append(i), hits.append(int(hit.sum())), true_wins.append(sorted(true))
-            picked = batch.select(["doc_id", "fp"]).take(pa.array(rows, pa.int64()))
-            cols = [*picked.columns, pa.array(hits, pa.int64()), pa.array(true_wins, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_hit", "wins"])
-
-    texts = semi_by_id(_printed(docs), found.select("doc_id").distinct()).dropDuplicates(["doc_id", "fp"])
-    texts = texts.select(F.col("doc_id").alias("id"), F.col("fp").alias("f"), "text")
-    both = found.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("f")))
-    return batches(both.drop("id", "f"), run, "doc_id long, fp long, n_hit long, wins array<long>")
+            for k in range(batch.num_rows):
+                yield _matched({c: batch.column(c)[k] for c in batch.schema.names}, slop)
+
+    return batches(both, run, MATCHES)
+
+
+def _matched(row: dict[str, pa.Scalar], slop: int) -> pa.RecordBatch:
+    """The matches of one shard's windows, by document."""
+    terms = row["terms"].values.to_numpy().view(np.uint64)
+    ends = np.cumsum(row["counts"].values.to_numpy())
+    places, docs = np.frombuffer(row["places"].as_buffer(), np.int32), row["ends"].values.to_numpy()
+    lists: dict[int, np.ndarray] = {}
+
+    def of(term: np.int64) -> np.ndarray:
+        if term not in lists:
+            k = int(np.searchsorted(terms, np.uint64(term.view(np.uint64))))
+            here = k < len(terms) and terms[k] == term.view(np.uint64)
+            lists[term] = places[ends[k - 1] if k else 0 : ends[k]].astype(np.int64) if here else np.empty(0, np.int64)
+        return lists[term]
+
+    asked = row["windows"].values
+    win, length, sets = asked.field("win").to_numpy(), asked.field("len").to_numpy(), asked.field("terms")
+    bounds, offs, names = sets.offsets.to_numpy(), sets.values.field("off").to_numpy(), sets.values.field("term").to_numpy()
+    which, starts = [], []
+    for k in range(len(win)):
+        first, *rest = range(bounds[k], bounds[k + 1])
+        left = of(names[first]) - offs[first]
+        for j in rest:
+            if not len(left):
+                break
+            at = of(names[j]) - offs[j]
+            near = np.searchsorted(at, left - slop)
+            left = left[(near < len(at)) & (at[np.minimum(near, len(at) - 1)] <= left + slop)] if len(at) else at
+        which.append(np.full(len(left), k)), starts.append(left)
+    w, s = (np.concatenate([np.empty(0, np.int64), *x]) for x in (which, starts))
+    # in one document; near matches need their rarest term in it only
+    anchor = s + (offs[bounds[w]] if slop and len(w) else 0)
+    doc = np.searchsorted(docs, anchor, side="right")
+    begin = np.concatenate([[0], docs])[doc]
+    inside = np.ones(len(s), bool) if slop else (s >= begin) & (s + length[w] <= docs[np.minimum(doc, len(docs) - 1)])
+    w, s, doc, begin = w[inside], s[inside], doc[inside], begin[inside]
+    order = np.argsort(doc, kind="stable")
+    w, s, doc = w[order], (s - begin)[order], doc[order]
+    own, upto = np.unique(doc, return_index=True)
+    cut = [*upto.tolist(), len(doc)]
+    ids, fps = row["doc_ids"].values, row["fps"].values
+    cols = [x.take(pa.array(own)) for x in (ids, fps)]
+    for x, kind in ((win[w], pa.int64()), (s, pa.int32()), (length[w], pa.int32())):
+        cols.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, kind)))
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "wins", "starts", "lengths"])
+
+
+def phrase_hits(found: DataFrame) -> DataFrame:
+    """(doc_id, fp, n_hit, wins) of the texts in which windows stand: hit words and the windows."""
+    place = F.transform(F.arrays_zip("starts", "lengths"), lambda x: F.struct(x["starts"].alias("a"), (x["starts"] + x["lengths"]).alias("b")))
+    every = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(name) for x, name in ((place, "runs"), (F.col("wins"), "wins"))]
+    rows = found.groupBy("doc_id", "fp").agg(*every)  # a text's windows of all parts; no more than it has words and windows
+    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"))
+    grown = lambda s, r: F.struct(F.greatest(s["b"], r["b"]).alias("b"), (s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(s["b"], r["a"]))).alias("n"))
+    return rows.select("doc_id", "fp", F.aggregate("runs", zero, grown, lambda s: s["n"].cast("long")).alias("n_hit"), "wins")
 
 
 def _search(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, hits, items): the index of ``docs``, phrase_hits() of all windows, and the items' windows."""
+    index = materialize(postings(docs), "decontamination-index")
     windows, items = test_windows(benchmark, size)
-    anchored = materialize(anchors(windows, docs), "decontamination-anchors")
-    index = materialize(postings(docs, anchored.select("term").distinct()), "decontamination-index")
-    found = materialize(candidates(index, anchored), "decontamination-candidates")
-    return index, materialize(phrase_hits(docs, found), "decontamination-hits"), items
+    with scratch() as keep:
+        ranked = materialize(ranked_windows(windows, index), "decontamination-ranked")
+        hits = keep(materialize(phrase_hits(matches(index, ranked)), "decontamination-hits"))
+    return index, hits, items
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` whose text has no window of the benchmark."""
-    _, hits, _ = _search(docs, benchmark, size)
-    gone = hits.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
+    i, f = fresh(docs.columns, "_id", "_fp")
+    with scratch() as keep:
+        _, hits, _ = _search(docs, benchmark, size)
+        gone = keep(materialize(hits.select(F.col("doc_id").alias(i), F.col("fp").alias(f)), "decontamination-gone"))
     gone = F.broadcast(gone) if few(gone) else gone
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_fp"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(f))
     return docs.join(gone, same, "left_anti")
 
 
@@ -276,10 +216,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     by_win = items.groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     named = join_lookup(hits.select("doc_id", "fp", F.explode("wins").alias("win")), by_win, "win", "inner")
     named = named.groupBy("doc_id", "fp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
     hits = hits.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "n_hit")
-    named = named.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))).drop("d", "f")
-    named = named.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "n_hit", "ids")
-    out = index.select("doc_id", "fp", "n_words").join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f")), "left")
+    named = named.join(hits, same).select("d", "f", "n_hit", "ids")
+    out = documents(index).join(named, same, "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
@@ -292,11 +232,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, size: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id): items of which the rarest terms of a window stand within ``slop`` words of their places."""
+    """(doc_id, item_id): items of which the ANCHORS rarest terms of a window stand within ``slop`` words of their places."""
+    index = materialize(postings(docs), "decontamination-index")
     windows, items = test_windows(benchmark, size)
-    anchored = materialize(anchors(windows, docs), "decontamination-anchors")
-    index = materialize(postings(docs, anchored.select("term").distinct()), "decontamination-index")
-    found = candidates(index, anchored, slop).select("doc_id", F.explode("wins").alias("win"))
+    ranked = materialize(ranked_windows(windows, index), "decontamination-ranked")
+    found = matches(index, ranked, ANCHORS, slop).select("doc_id", F.explode("wins").alias("win"))
     by_win = items.groupBy("win").agg(F.collect_set("item_id").alias("ids"))
     named = join_lookup(found.distinct(), by_win, "win", "inner")
     return named.select("doc_id", F.explode("ids").alias("item_id")).distinct()
