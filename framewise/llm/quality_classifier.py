@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_sample, train_fold, words_of
+from .common import adding, batches, bounded_sample, train_fold, without, words_of
 
 
 @dataclass(frozen=True)
@@ -128,8 +128,9 @@ class _WordValues(dict):
         return value
 
 
-def score_texts(docs: DataFrame, model: Trained, p: SubwordClassifier = SubwordClassifier()) -> DataFrame:
-    """``docs`` with score and predicted."""
+def score_texts(docs: DataFrame, model: Trained, p: SubwordClassifier = SubwordClassifier(), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with score and predicted, under these names; they replace columns with such names in any case."""
+    kept = without(docs.columns, *names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, twice = _WordValues(model, p), complex(model.slots[repeat_slot(p)], 1)
@@ -140,12 +141,10 @@ def score_texts(docs: DataFrame, model: Trained, p: SubwordClassifier = SubwordC
                 total = sum(map(values.__getitem__, words), 0j) + twice * repeats(words)
                 z[k] = total.real / (total.imag + p.rest) + model.bias
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            names = [c for c in batch.schema.names if c not in ("score", "predicted")]
-            cols = [*(batch.column(c) for c in names), pa.array(score), pa.array((score >= p.threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "score", "predicted"])
+            cols = [*(batch.column(c) for c in kept), pa.array(score), pa.array((score >= p.threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, *names])
 
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("score", "predicted")]
-    return batches(docs, run, ", ".join([*rest, "score double", "predicted int"]))
+    return batches(docs, run, adding(docs, [c for c in docs.columns if c not in kept], f"`{names[0]}` double, `{names[1]}` int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: SubwordClassifier = SubwordClassifier(), parts: int = 5, held: int = 0) -> Trained:
