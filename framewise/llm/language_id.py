@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_sample, train_fold
+from .common import batches, bounded_sample, few, train_fold
 
 ORDER = 4
 _LETTER = re.compile(r"[^\W\d_]")
@@ -38,6 +38,7 @@ CHUNK, SLOTS = 1 << 20, 1 << 18
 class LanguageSample:
     per_language: int = 400
     max_bytes: int = 200_000
+    max_languages: int = 200  # a tree takes about a MB; more values of lang than that are an error
 
 
 def _runs(raw: bytes) -> np.ndarray:
@@ -81,7 +82,9 @@ class ContextTree:
 
 
 def learn(docs: DataFrame, sample: LanguageSample = LanguageSample(), parts: int = 5, held: int = 0) -> dict[str, ContextTree]:
-    """A tree for each value of ``lang``, from documents that are not in the held-out fold."""
+    """A tree for each value of ``lang``, from documents that are not in the held-out fold; ValueError if there are too many."""
+    if not few(docs.select("lang").filter("lang IS NOT NULL").distinct(), sample.max_languages):
+        raise ValueError(f"lang has more than {sample.max_languages} values")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
