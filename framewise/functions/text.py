@@ -88,6 +88,12 @@ def shape_text(values: Column | str) -> Column:
     return F.concat(F.lit("("), F.array_join(c.cast("array<string>"), ", "), F.lit(")"))
 
 
+def list_text(values: Column | str) -> Column:
+    """``[2.0, 2.0, 2.0]``; null for null."""
+    c = F.col(values) if isinstance(values, str) else values
+    return F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
+
+
 def range_label(lo: Column, hi: Column) -> Column:
     """``0.00–1.00``, with an en dash."""
     return F.format_string("%.2f–%.2f", lo, hi)

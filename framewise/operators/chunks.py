@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewise.operators.motion import series_window
+from framewise.operators.quantiles import quantiles
 from framewise.params import Corruption, SafeZone
 
 
@@ -106,12 +107,8 @@ def safe_chunks(series: DataFrame, keys: list[str], ordinal: str, fd: str, p: Sa
 
 def chunk_summary(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """One row: runs, chunks, and mean and median of the chunks' mean FD."""
-    return chunks.agg(
-        F.count_distinct(F.struct(*keys)).alias("n_runs"),
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.avg("chunk_mean_fd").alias("mean_fd"),
-        F.median("chunk_mean_fd").alias("median_fd"),
-    )
+    sums = chunks.agg(F.count_distinct(F.struct(*keys)).alias("n_runs"), F.count(F.lit(1)).alias("n_chunks"), F.avg("chunk_mean_fd").alias("mean_fd"))
+    return sums.crossJoin(quantiles(chunks, [], "chunk_mean_fd", {"median_fd": 0.5}))  # one row each
 
 
 def run_ranges(chunks: DataFrame, keys: list[str]) -> DataFrame:

@@ -82,6 +82,19 @@ def balanced_sample(df: DataFrame, by: str, key: str, n: int, seed: int = 42) ->
     return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
 
+def split_tables(corrupted: DataFrame, motion_free: DataFrame, split: str, key: str, seed: int = 42) -> dict[str, DataFrame]:
+    """The tables that a split keeps, by name: train has all corrupted chunks and a balanced sample for its first
+    epoch; val and test have a balanced sample only. Balanced is as many as there are motion-free chunks, or all.
+    """
+    if split not in ("train", "val", "test"):
+        raise ValueError(f"unknown split {split}")
+    n = motion_free.count()
+    balanced = seeded_rank(corrupted, key, seed, "_rank").filter(F.col("_rank") <= n).drop("_rank")
+    if split == "train":
+        return {"train_motion_free": motion_free, "train_corrupted_all": corrupted, "train_corrupted_balanced_epoch0": balanced}
+    return {f"{split}_motion_free": motion_free, f"{split}_corrupted_balanced": balanced}
+
+
 def slice_status(start: Column, end: Column, volumes: Column) -> Column:
     """``ok`` or what is wrong with the bounds of a chunk (inclusive) in a run of so many volumes."""
     bad = (start < 0) | (end >= volumes) | (start > end)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.arrays import percent_outside
+from framewise.functions.text import chunk_name, iso_seconds
+from framewise.operators.dataset import slice_status
 
 
 def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -18,12 +20,16 @@ def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(last).select(*(c if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "input_path") -> DataFrame:
-    """Old and new rows, the newer one where both have the key; rows without a key all stay."""
+def upsert(old: DataFrame, new: DataFrame, key: str = "input_path", order: list[str] | None = None) -> DataFrame:
+    """Old and new rows, the newer one where both have the key; rows without a key all stay.
+
+    Of several new (or old) rows of one key the last by ``order`` stays, by default by all columns, so that
+    the result doesn't depend on partitions.
+    """
     both = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
-    both = both.withColumn("_n", F.monotonically_increasing_id())
-    named = keep_last(both.filter(F.col(key).isNotNull() & (F.col(key) != "")), [key], ["_seq", "_n"])
-    return named.unionByName(both.filter(F.col(key).isNull() | (F.col(key) == ""))).drop("_seq", "_n")
+    rest = order or sorted(c for c in both.columns if c not in (key, "_seq"))
+    named = keep_last(both.filter(F.col(key).isNotNull() & (F.col(key) != "")), [key], ["_seq", *rest])
+    return named.unionByName(both.filter(F.col(key).isNull() | (F.col(key) == ""))).drop("_seq")
 
 
 def status_pivot(df: DataFrame, by: str, status: str, values: list[str]) -> DataFrame:
@@ -31,47 +37,74 @@ def status_pivot(df: DataFrame, by: str, status: str, values: list[str]) -> Data
     return df.groupBy(by).agg(*(F.count_if(F.col(status) == v).alias(f"n_{v}") for v in values), F.count(F.lit(1)).alias("n_all"))
 
 
-def append_row(row: dict, columns: list[str]) -> dict:
-    """A log row with every column; what is missing is empty."""
-    return {c: row.get(c, "") for c in columns}
-
+def extraction_log(chunks: DataFrame, runs: DataFrame, existing: DataFrame, folder: str, split: str, domain: str, at: Column) -> DataFrame:
+    """One log row for each chunk: ok, skipped_exists or error with its message, and the output's path unless it is an error.
 
-def extraction_status(exists: Column, slice_status: Column) -> Column:
-    """skipped_exists, error or ok."""
-    return F.when(exists, "skipped_exists").when(slice_status != "ok", "error").otherwise("ok")
+    chunks: subject_id, session_id, run_id, task, preprocessed_bold_file, chunk_start, chunk_end; runs: the same
+    preprocessed_bold_file with n_vols, n_axes and load_error; existing: the names of files that are there.
+    """
+    name = chunk_name(*(F.col(c) for c in ("subject_id", "session_id", "task", "run_id", "chunk_start", "chunk_end")))
+    j = chunks.join(runs, "preprocessed_bold_file", "left").withColumn("_name", name)
+    j = j.join(existing.select(F.col("name").alias("_name"), F.lit(True).alias("_there")).distinct(), "_name", "left")
+    sliced = slice_status(F.col("chunk_start"), F.col("chunk_end"), F.coalesce("n_vols", F.lit(0)))
+    problem = (
+        F.when(F.coalesce("load_error", F.lit("")) != "", F.concat(F.lit("Load failed: "), "load_error"))
+        .when(F.col("n_axes").isNull(), "Load failed: no such file")
+        .when(F.col("n_axes") != 4, F.concat(F.lit("Not 4D: "), F.col("n_axes").cast("string"), F.lit(" axes")))
+        .when(F.col("_there"), "")
+        .when(sliced != "ok", sliced)
+        .otherwise("")
+    )
+    status = F.when(problem != "", "error").when(F.col("_there"), "skipped_exists").otherwise("ok")
+    path = F.when(problem == "", F.concat_ws("/", F.lit(folder.rstrip("/")), "_name")).otherwise("")
+    return j.select(
+        F.lit(split).alias("split"), F.lit(domain).alias("domain"), "subject_id", "session_id", "run_id", "task", "chunk_start", "chunk_end",
+        path.alias("output_path"), status.alias("status"), problem.alias("message"), iso_seconds(at).alias("timestamp"),
+    )
 
 
 def verification(expected: DataFrame, outputs: DataFrame, path: str = "output_path") -> DataFrame:
     """Report of each expected output: MISSING without a file, else FAIL with notes, else PASS.
 
-    outputs: path, file_loadable, dims_match, n_brain_voxels, n_nonzero_outside_brain, n_outside,
-    mean_signal_brain, n_zero_volumes. The count of non-zero voxels outside the brain keeps its
-    customary name ``n_zero_outside_brain`` here.
+    outputs: path, load_error, input_shape, output_shape, n_volumes, n_brain_voxels, n_nonzero_outside_brain,
+    n_outside, mean_signal_brain, n_zero_volumes. A file that can't be loaded, or has another shape than its
+    input, is not looked at further. The count of non-zero voxels outside the brain keeps its customary name
+    ``n_zero_outside_brain`` here. A brain's mean signal must be above 1.
     """
     j = expected.join(outputs.withColumn("_has", F.lit(True)), path, "left")
     exists = F.coalesce("_has", F.lit(False))
-    pct = percent_outside(F.col("n_outside"), F.col("n_nonzero_outside_brain"))
-    notes = F.concat_ws(
-        "; ",
-        F.when(~exists, "output missing"),
-        F.when(exists & ~F.col("file_loadable"), "not loadable"),
-        F.when(F.col("file_loadable") & ~F.coalesce("dims_match", F.lit(False)), "dimensions differ"),
-        F.when(F.col("n_nonzero_outside_brain") > 0, "signal outside the brain"),
-        F.when(F.coalesce("mean_signal_brain", F.lit(1.0)) <= 0, "no signal in the brain"),
-        F.when(F.col("n_zero_volumes") > 0, "zero volumes"),
+    loaded = exists & (F.coalesce("load_error", F.lit("")) == "")
+    dims = loaded & F.coalesce(F.col("input_shape") == F.col("output_shape"), F.lit(False))
+    seen = lambda c: F.when(dims, c)
+    signal, outside, zero = F.col("mean_signal_brain"), F.col("n_nonzero_outside_brain"), F.col("n_zero_volumes")
+    notes = (
+        F.when(~exists, "")
+        .when(~loaded, F.concat(F.lit("Load error: "), "load_error"))
+        .when(~dims, F.concat(F.lit("Shape mismatch: input="), F.coalesce("input_shape", F.lit("none")), F.lit(" output="), F.coalesce("output_shape", F.lit("none"))))
+        .otherwise(
+            F.concat_ws(
+                " ",
+                F.when(outside > 0, F.format_string("Non-brain voxels not fully zeroed (%d non-zero outside brain).", outside.cast("long"))),
+                F.when(~F.coalesce(signal > 1.0, F.lit(False)), "Brain signal unexpectedly low."),
+                F.when(zero > 0, F.format_string("%d all-zero brain volume(s).", zero.cast("long"))),
+            )
+        )
     )
     status = F.when(~exists, "MISSING").when(notes != "", "FAIL").otherwise("PASS")
     return j.select(
         *expected.columns,
         exists.alias("output_exists"),
-        F.coalesce("file_loadable", F.lit(False)).alias("file_loadable"),
-        F.coalesce("dims_match", F.lit(False)).alias("dims_match"),
-        "n_brain_voxels",
-        F.col("n_nonzero_outside_brain").alias("n_zero_outside_brain"),
-        F.when(exists, F.bround(pct, 4)).alias("pct_outside_zeroed"),
-        F.bround("mean_signal_brain", 4).alias("mean_signal_brain"),
-        F.coalesce(F.col("mean_signal_brain") > 0, F.lit(False)).alias("brain_has_signal"),
-        "n_zero_volumes",
+        loaded.alias("file_loadable"),
+        dims.alias("dims_match"),
+        F.when(loaded, F.col("n_volumes")).alias("n_volumes"),
+        F.when(loaded, F.col("input_shape")).alias("input_shape"),
+        F.when(loaded, F.col("output_shape")).alias("output_shape"),
+        seen(F.col("n_brain_voxels")).alias("n_brain_voxels"),
+        seen(outside).alias("n_zero_outside_brain"),
+        seen(F.bround(percent_outside(F.col("n_outside"), outside), 2)).alias("pct_outside_zeroed"),
+        seen(F.bround(signal, 4)).alias("mean_signal_brain"),
+        (dims & F.coalesce(signal > 1.0, F.lit(False))).alias("brain_has_signal"),
+        seen(zero).alias("n_zero_volumes"),
         status.alias("status"),
         notes.alias("notes"),
     )

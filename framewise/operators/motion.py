@@ -40,10 +40,14 @@ def framewise_displacement(
     return df.withColumn("fd", F.coalesce(fd, F.lit(0.0)))
 
 
-def chunk_volumes(chunks: DataFrame, series: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """Rows of each chunk: an equi-join on the keys with the interval as the rest, so it is dealt by key."""
-    held = chunks.select(*keys, "chunk_start", "chunk_end")
-    return held.join(series, keys).filter(F.col(ordinal).between(F.col("chunk_start"), F.col("chunk_end")))
+def chunk_volumes(chunks: DataFrame, series: DataFrame, keys: list[str], ordinal: str, width: int = 64) -> DataFrame:
+    """Rows of each chunk. Chunks go to the stretches of ``width`` ordinals that they touch, so that a chunk meets
+    the rows of these stretches only, not all of its run, and a long run is dealt to many tasks.
+    """
+    stretch = F.explode(F.sequence(F.floor(F.col("chunk_start") / width), F.floor(F.col("chunk_end") / width)))
+    held = chunks.select(*keys, "chunk_start", "chunk_end", stretch.alias("_stretch"))
+    rows = series.withColumn("_stretch", F.floor(F.col(ordinal) / width))
+    return held.join(rows, [*keys, "_stretch"]).filter(F.col(ordinal).between(F.col("chunk_start"), F.col("chunk_end"))).drop("_stretch")
 
 
 def chunk_fd(chunks: DataFrame, series: DataFrame, keys: list[str], ordinal: str, fd: str = "fd") -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewise.functions.arrays import doubles, finite_or_null, finite_or_zero, mean, rms_difference
+from framewise.functions.arrays import doubles, finite_or_zero, mean, rms_difference
 from framewise.operators.motion import series_window
+from framewise.operators.quantiles import quantiles
 from framewise.params import QcLimits
 
-#: Metrics that summaries cover, where a table has them.
+# The names of the metrics that summaries cover, where a table has them.
 METRICS = (
     "csv_mean_fd csv_max_fd par_fd_mean par_fd_max par_fd_std intensity_min intensity_max intensity_mean "
     "dvars_mean dvars_max tsnr_mean tsnr_median gs_mean gs_std"
@@ -58,8 +59,9 @@ def tsnr_qc(stats: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
     """Mean and median of mean/std (0 where std is 0) over voxels above ``share`` of the mean of means."""
     level = stats.groupBy(*keys).agg(F.avg("mean").alias("_level"))
     tsnr = F.when(F.col("std_pop") > 0, F.col("mean") / F.col("std_pop")).otherwise(0.0)
-    inside = stats.join(level, keys).filter(F.col("mean") > share * F.col("_level"))
-    return inside.groupBy(*keys).agg(F.avg(tsnr).alias("tsnr_mean"), F.median(tsnr).alias("tsnr_median"))
+    inside = stats.join(level, keys).filter(F.col("mean") > share * F.col("_level")).select(*keys, tsnr.alias("_t"))
+    means = inside.groupBy(*keys).agg(F.avg("_t").alias("tsnr_mean"))
+    return means.join(quantiles(inside, keys, "_t", {"tsnr_median": 0.5}), keys)
 
 
 def tsnr_train(stats: DataFrame, keys: list[str], epsilon: float = 1e-6) -> DataFrame:
@@ -94,27 +96,18 @@ def intensity(df: DataFrame, keys: list[str], values: str) -> DataFrame:
 def distribution_summary(df: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, metric, n, mean, std, median, q25, q75, min, max) of each metric that the table has; a metric without values has no row.
 
-    Metrics become rows first, so all are summed up in one exchange; percentiles are exact.
+    Metrics become rows first, so all are summed up in one exchange; percentiles are exact. NaN don't count; infinities do.
     """
     by = by or []
     have = [m for m in metrics if m in df.columns]
     long = df.unpivot(by, [F.col(m).cast("double").alias(m) for m in have], "metric", "value")
-    v = finite_or_null(F.col("value"))
-    return (
-        long.select(*by, "metric", v.alias("v"))
-        .filter("v IS NOT NULL")
-        .groupBy(*by, "metric")
-        .agg(
-            F.count("v").alias("n"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
-            F.percentile("v", F.lit(0.5)).alias("median"),
-            F.percentile("v", F.lit(0.25)).alias("q25"),
-            F.percentile("v", F.lit(0.75)).alias("q75"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-        )
+    rows = long.select(*by, "metric", F.when(~F.isnan("value"), F.col("value")).alias("v")).filter("v IS NOT NULL")
+    key = [*by, "metric"]
+    sums = rows.groupBy(*key).agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
     )
+    middle = quantiles(rows, key, "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return sums.join(middle, key).select(*key, "n", "mean", "std", "median", "q25", "q75", "min", "max")
 
 
 def shape_report(df: DataFrame, shape: str, voxel: str, by: list[str] | None = None) -> DataFrame:
@@ -139,15 +132,23 @@ def top_shapes(df: DataFrame, shape: str, k: int = 10) -> DataFrame:
     return df.groupBy(shape).count().orderBy(F.desc("count"), shape).limit(k)
 
 
+def _shown(label: str, form: str, column: str) -> Column:
+    c = F.col(column)
+    return F.concat(F.lit(label), F.when(c == float("inf"), "inf").when(c == -float("inf"), "-inf").otherwise(F.format_string(form, c)))
+
+
 def qc_flags(df: DataFrame, p: QcLimits = QcLimits()) -> DataFrame:
-    """Flagged rows with ``qc_flags``; columns that the table lacks flag nothing. Limits themselves are not flagged."""
+    """Flagged rows with ``qc_flags``; columns that the table lacks, and NaN, flag nothing; infinities do. Limits themselves are not flagged.
+
+    The flags' texts are fixed values.
+    """
     have = set(df.columns)
     tests = {
         "has_nan": lambda: F.when(F.col("has_nan"), "has_nan"),
         "has_inf": lambda: F.when(F.col("has_inf"), "has_inf"),
         "load_error": lambda: F.when(F.col("load_error") != "", F.concat(F.lit("load_error:"), "load_error")),
-        "par_fd_mean": lambda: F.when(finite_or_null(F.col("par_fd_mean")) > p.fd, F.format_string("high_fd_mean:%.3f", "par_fd_mean")),
-        "tsnr_mean": lambda: F.when(finite_or_null(F.col("tsnr_mean")) < p.tsnr, F.format_string("low_tsnr:%.2f", "tsnr_mean")),
+        "par_fd_mean": lambda: F.when(~F.isnan("par_fd_mean") & (F.col("par_fd_mean") > p.fd), _shown("high_fd_mean:", "%.3f", "par_fd_mean")),
+        "tsnr_mean": lambda: F.when(~F.isnan("tsnr_mean") & (F.col("tsnr_mean") < p.tsnr), _shown("low_tsnr:", "%.2f", "tsnr_mean")),
     }
     found = F.concat_ws("|", *(test() for c, test in tests.items() if c in have))
     return df.withColumn("qc_flags", found).filter("qc_flags <> ''")
@@ -167,6 +168,12 @@ def bad_counts(df: DataFrame) -> DataFrame:
 
 def patch_column(df: DataFrame, column: str, value: Column) -> DataFrame:
     """Fills a column that is missing or has no value at all; any other stays as it is."""
-    if column in df.columns and not df.filter(F.col(column).isNotNull() & (F.col(column) != "")).isEmpty():
+    if column in df.columns and not df.filter(F.col(column).isNotNull() & (F.col(column).cast("string") != "")).isEmpty():
         return df
     return df.withColumn(column, value)
+
+
+def domain_reports(df: DataFrame, p: QcLimits = QcLimits()) -> dict[str, DataFrame]:
+    """The four reports of a domain's chunk metrics: the metrics, their summary, the flagged chunks and the shapes."""
+    shapes = shape_report(df, "shape", "voxel_size").withColumnRenamed("most_common_voxel_size", "most_common_vox")
+    return {"chunk_level_metrics": df, "distribution_summary": distribution_summary(df, METRICS), "qc_flags": qc_flags(df, p), "shape_report": shapes}

@@ -30,12 +30,28 @@ def seeded_rank(df: DataFrame, key: str, seed: int | str, out: str = "rank") ->
     return ranked.withColumn(out, (F.col("_s") + F.col("_r")).cast("long")).drop("_h", "_b", "_r", "_s")
 
 
-def ordered_rank(df: DataFrame, order: list[str], out: str = "rank", parts: int = 64) -> DataFrame:
-    """Adds the rank (from 1) of each row in the order of columns, which should be unique.
+def bounds(df: DataFrame, order: list[str], parts: int) -> list[tuple]:
+    """Least rows of about equal ranges of the order, ascending, as many as ``parts`` at most; they come from one pass."""
+    keys = df.select(*order)
+    least = keys.repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("m"))
+    return [tuple(r["m"]) for r in least.orderBy("m").collect()]
 
-    Rows go to ranges of the order and are ranked there; only the ranges' counts meet in one task.
+
+def range_bucket(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
+    """How many of the bounds a row has reached: the same wherever and however often it is worked out."""
+    kinds = [df.schema[c].dataType for c in order]
+    cut = [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(row, kinds, order, strict=True))) for row in cuts]
+    return F.size(F.filter(F.array(*cut), lambda x: x <= F.struct(*order))) if cut else F.lit(0)
+
+
+def ordered_rank(df: DataFrame, order: list[str], out: str = "rank", parts: int | None = None) -> DataFrame:
+    """Adds the rank (from 1) of each row in the order of columns, which should be unique; nulls are first.
+
+    Rows go to ranges of the order, by bounds that are fixed first, and are ranked there; only the ranges'
+    counts meet in one task. ``parts`` is the number of ranges, the session's shuffle partitions by default.
     """
-    dealt = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    parts = parts or min(512, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = df.withColumn("_p", range_bucket(df, order, bounds(df, order, parts)))
     counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_p", before.alias("_s"))

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from framewise.functions.arrays import bin_index, finite_or_null
 from framewise.functions.text import range_label
+from framewise.operators.quantiles import quantiles
+from framewise.operators.ranks import bounds, range_bucket
 
 
 def clean(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -97,19 +99,14 @@ def binned_boxes(df: DataFrame, x: str, y: str, by: list[str], bins: int = 8, qu
 
     Whiskers are the outermost values within 1.5 interquartile ranges of the box.
     """
-    top = df.agg(F.percentile(x, F.lit(quantile)).alias("_top"))
+    top = quantiles(df, [], x, {"_top": quantile})
     edges = [F.col("_top") * F.lit(k / bins) for k in range(bins + 1)]
     binned = df.join(F.broadcast(top)).withColumn("bin", bin_index(F.col(x), edges)).filter("bin IS NOT NULL")  # one row
     width = F.col("_top") / F.lit(float(bins))
     binned = binned.withColumn("label", range_label(F.col("bin") * width, (F.col("bin") + 1) * width))
     key = ["bin", *by]
-    boxes = binned.groupBy(*key).agg(
-        F.first("label").alias("label"),
-        F.count(F.lit(1)).alias("n"),
-        F.percentile(y, F.lit(0.25)).alias("q1"),
-        F.percentile(y, F.lit(0.5)).alias("median"),
-        F.percentile(y, F.lit(0.75)).alias("q3"),
-    )
+    boxes = binned.groupBy(*key).agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("n"))
+    boxes = boxes.join(quantiles(binned, key, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}), key)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = binned.select(*key, y).join(boxes.select(*key, "q1", "q3"), key)
     ends = inside.groupBy(*key).agg(
@@ -191,10 +188,21 @@ def density(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     return dense.join(lim, by).select(by, x, y, "density", scaled.alias("scaled"))
 
 
-def running_best(df: DataFrame, order: list[str], value: str, by: list[str]) -> DataFrame:
-    """Rows whose value is strictly above all before it in their group."""
-    before = F.max(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_best", before).filter(F.col("_best").isNull() | (F.col(value) > F.col("_best"))).drop("_best")
+def running_best(df: DataFrame, order: list[str], value: str, by: list[str], parts: int | None = None) -> DataFrame:
+    """Rows whose value is strictly above all before it in their group.
+
+    Each group is cut into ranges of the order; a range starts from the best value of those before it, of
+    which there are ``parts`` at most (by default the session's shuffle partitions), so a large group is
+    dealt to many tasks.
+    """
+    parts = parts or min(512, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cut = df.withColumn("_p", range_bucket(df, order, bounds(df, order, parts)))
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    best = cut.groupBy(*by, "_p").agg(F.max(value).alias("_m")).select(*by, "_p", F.max("_m").over(earlier).alias("_best"))
+    joined = cut.alias("c").join(best.alias("b"), [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*by, "_p"]]).select("c.*", "b._best")
+    within = F.max(value).over(Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.greatest("_best", within)  # nulls don't count
+    return joined.withColumn("_best", before).filter(F.col("_best").isNull() | (F.col(value) > F.col("_best"))).drop("_best", "_p")
 
 
 def mean_of_batch_means(df: DataFrame, epoch: list[str], batch: str, values: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Kernels on whole volumes and chunks, with numpy inside tasks.
 
 A chunk table has one row for each volume: chunk_id, vol, shape (of three axes, C order) and data
-(array<float>). Kernels that need one volume run batch by batch; those that need a chunk's whole series
+(array<float>). Kernels that need one volume run batch by batch, and Spark ends a batch at
+``spark.sql.execution.arrow.maxBytesPerBatch``; those that need a chunk's whole series
 are grouped sums by voxel and windows over volumes, so a chunk may have any number of volumes.
 """
 
@@ -15,20 +16,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framewise.functions.arrays import voxel_sizes
+from framewise.functions.text import list_text, mask_kind
+from framewise.operators.quantiles import quantiles
+
 VOLUME = "chunk_id string, vol int, shape array<int>, data array<float>"
 #: Shape that volumes are resampled to for models.
 MODEL_SHAPE = (80, 96, 72)
 
 
-def _each(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], schema: str = VOLUME) -> DataFrame:
-    """Apply ``f`` to every volume (x, y, z)."""
+def _each(df: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Apply ``f`` to every volume (x, y, z), and to its ``mean_data`` where ``df`` has that."""
+    more = ["mean_data"] if "mean_data" in df.columns else []
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            made = [f(np.asarray(d, np.float32).reshape(s)) for d, s in zip(pdf["data"], pdf["shape"], strict=True)]
-            yield pdf.assign(shape=[list(m.shape) for m in made], data=[m.ravel() for m in made])
+            shapes = [tuple(s) for s in pdf["shape"]]
+            for c in ("data", *more):
+                made = [f(np.asarray(d, np.float32).reshape(s)) for d, s in zip(pdf[c], shapes, strict=True)]
+                pdf = pdf.assign(**{"shape": [list(m.shape) for m in made], c: [m.ravel() for m in made]})
+            yield pdf
 
-    return df.select("chunk_id", "vol", "shape", "data").mapInPandas(run, schema)
+    return df.select("chunk_id", "vol", "shape", "data", *more).mapInPandas(run, VOLUME + ", mean_data array<float>" * len(more))
 
 
 def axis_weights(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +80,8 @@ def flip_x(df: DataFrame, epoch: int, seed: int, rate: float = 0.5) -> DataFrame
     """Left-right flips of the chunks whose coin, a hash of (chunk, epoch, seed), says so; a chunk's volumes all share it."""
     coin = F.conv(F.substring(F.md5(F.concat("chunk_id", F.lit(f"#{epoch}#{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     marked = df.withColumn("_flip", coin < rate)
-    whole = marked.filter("NOT _flip").select("chunk_id", "vol", "shape", "data")
+    columns = ["chunk_id", "vol", "shape", "data", *(["mean_data"] if "mean_data" in df.columns else [])]
+    whole = marked.filter("NOT _flip").select(*columns)
     return whole.unionByName(_each(marked.filter("_flip"), lambda v: v[::-1]))
 
 
@@ -105,6 +115,36 @@ def apply_mask(df: DataFrame, mask: np.ndarray) -> DataFrame:
     return _each(df, one)
 
 
+def preprocess(df: DataFrame, masks: dict[str, np.ndarray], subject: str = "subject") -> tuple[DataFrame, DataFrame]:
+    """(volumes, log): every run's volumes, zero outside the mask of its subject's age group, and one log row for each run.
+
+    df: chunk_id, ``subject``, vol, shape, data and load_error (null, or why the file couldn't be read). masks: by
+    the kinds of ``text.mask_kind``. log: chunk_id, subject, mask_used, status (processed, load_error, shape_error
+    of volumes without three axes, or shape_mismatch), n_volumes and n_brain_voxels; both null unless processed.
+    Only processed runs have volumes.
+    """
+    kind = mask_kind(F.col(subject))
+    shapes = F.map_from_arrays(F.array(*map(F.lit, masks)), F.array(*(F.array(*map(F.lit, m.shape)) for m in masks.values())))
+    brain = F.map_from_arrays(F.array(*map(F.lit, masks)), F.array(*(F.lit(int((np.asarray(m) > 0.5).sum())).cast("long") for m in masks.values())))
+    status = (
+        F.when(F.coalesce("load_error", F.lit("")) != "", "load_error")
+        .when(F.size("shape") != 3, "shape_error")
+        .when(F.col("shape") != F.element_at(shapes, kind), "shape_mismatch")
+        .otherwise("processed")
+    )
+    marked = df.withColumns({"mask_used": kind, "status": status})
+    worst = F.min_by("status", F.when(F.col("status") == "processed", 1).otherwise(0))
+    log = marked.groupBy("chunk_id", subject, "mask_used").agg(worst.alias("status"), F.count("vol").alias("_n"))
+    done = F.col("status") == "processed"
+    log = log.select("chunk_id", subject, "mask_used", "status", F.when(done, F.col("_n")).alias("n_volumes"), F.when(done, F.element_at(brain, F.col("mask_used"))).alias("n_brain_voxels"))
+    good = marked.join(log.filter(done).select("chunk_id"), "chunk_id", "left_semi")
+    parts = [apply_mask(good.filter(F.col("mask_used") == k), m) for k, m in masks.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, log
+
+
 def _voxels(df: DataFrame, *by: str) -> DataFrame:
     """One row for each voxel of each volume: ``by``, vol, k and x as a double."""
     return df.select(*by, "vol", F.posexplode("data").alias("k", "x")).withColumn("x", F.col("x").cast("double"))
@@ -149,15 +189,20 @@ def _or_null(c: Column) -> Column:
 
 
 def chunk_metrics(df: DataFrame) -> DataFrame:
-    """One row of QC metrics for each chunk; NaN and infinities count as 0 after they have been flagged."""
+    """One row of QC metrics for each chunk; NaN and infinities count as 0 after they have been flagged.
+
+    A chunk of one volume has neither changes nor tSNR. voxel_size is there where ``df`` has an affine.
+    """
     infinite = lambda x: F.abs(x) == float("inf")
     clean = F.transform(F.col("data").cast("array<double>"), lambda x: F.when(F.isnan(x) | infinite(x), 0.0).otherwise(x))
     flags = [F.exists("data", F.isnan).alias("nan"), F.exists("data", infinite).alias("inf")]
-    v = df.select("chunk_id", "vol", "shape", *flags, clean.alias("data"))
+    affine = F.col("affine") if "affine" in df.columns else F.lit(None).cast("array<double>")
+    v = df.select("chunk_id", "vol", "shape", affine.alias("affine"), *flags, clean.alias("data"))
     n = F.count(F.lit(1)).cast("int")
     each = _signals(v, "chunk_id").groupBy("chunk_id").agg(
         n.alias("n_vols"),
         F.concat(F.lit("("), F.array_join(F.concat(F.min_by("shape", "vol"), F.array(n)).cast("array<string>"), ", "), F.lit(")")).alias("shape"),
+        F.when(F.min_by("affine", "vol").isNotNull(), list_text(voxel_sizes(F.min_by("affine", "vol")))).alias("voxel_size"),
         F.bool_or("nan").alias("has_nan"),
         F.bool_or("inf").alias("has_inf"),
         F.min(F.array_min("data")).alias("intensity_min"),
@@ -168,12 +213,14 @@ def chunk_metrics(df: DataFrame) -> DataFrame:
         F.avg("signal").alias("gs_mean"),
         F.stddev_pop("signal").alias("gs_std"),
     )
-    voxels = _voxels(v, "chunk_id").groupBy("chunk_id", "k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    voxels = _voxels(v, "chunk_id").groupBy("chunk_id", "k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    voxels = voxels.filter("n > 1")
     level = voxels.groupBy("chunk_id").agg((0.1 * F.avg("m")).alias("level"))
     tsnr = F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0)
     inside = voxels.join(level, "chunk_id").filter("m > level").withColumn("t", tsnr)
-    inside = inside.groupBy("chunk_id").agg(F.avg("t").alias("tsnr_mean"), F.median("t").alias("tsnr_median"))
-    names = "chunk_id n_vols shape has_nan has_inf intensity_min intensity_max intensity_mean dvars_mean dvars_max tsnr_mean tsnr_median gs_mean gs_std".split()
+    middle = quantiles(inside, ["chunk_id"], "t", {"tsnr_median": 0.5})
+    inside = inside.groupBy("chunk_id").agg(F.avg("t").alias("tsnr_mean")).join(middle, "chunk_id")
+    names = "chunk_id n_vols shape voxel_size has_nan has_inf intensity_min intensity_max intensity_mean dvars_mean dvars_max tsnr_mean tsnr_median gs_mean gs_std".split()
     return each.join(inside, "chunk_id", "left").select(*names, F.lit(None).cast("string").alias("load_error"))
 
 
@@ -182,7 +229,7 @@ CHECKS = "chunk_id string, vol int, n_brain long, n_outside long, n_nonzero long
 
 def volume_checks(df: DataFrame, mask: np.ndarray) -> DataFrame:
     """What a verification report needs of each masked series: n_volumes, n_brain_voxels, n_outside,
-    n_nonzero_outside_brain (of the first volume only), mean_signal_brain, n_zero_volumes and dims_match.
+    n_nonzero_outside_brain (of the first volume only), mean_signal_brain, n_zero_volumes and dims_match. What is at most 1e-6 counts as zero, of a volume the mean.
 
     Volumes are looked at one by one; only a few numbers of each are exchanged.
     """
@@ -195,7 +242,7 @@ def volume_checks(df: DataFrame, mask: np.ndarray) -> DataFrame:
                 v, fits = np.asarray(data, np.float64), tuple(shape) == keep.shape
                 brain = keep.ravel() if fits else np.zeros(len(v), bool)
                 signal = float(np.abs(v[brain]).mean()) if brain.any() else None
-                out.append((name, vol, int(brain.sum()), int((~brain).sum()), int(np.count_nonzero(v[~brain])), signal, not v[brain].any(), fits))
+                out.append((name, vol, int(brain.sum()), int((~brain).sum()), int((np.abs(v[~brain]) > 1e-6).sum()), signal, signal is not None and signal < 1e-6, fits))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHECKS.split(", ")])
 
     each = df.select("chunk_id", "vol", "shape", "data").mapInPandas(run, CHECKS)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.functions import text
-from framewise.operators import dataset, manifest
+from framewise.operators import dataset, manifest, qc
 from framewise.operators.ranks import ordered_rank, seeded_rank
-from framewise.params import Split
+from framewise.params import SPLITS, Split
 from framewise.plans.series import EVENTS_SQL, event_series, table
 
 
@@ -68,21 +68,24 @@ FROM q
 
 
 def task_and_mask_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of four kinds, two of them wanted; subjects with and without the older ones' letter."""
     p = table(spark, sf_dir, "part")
-    task = F.concat(F.upper(F.substring_index("p_type", " ", 1)), F.when(F.col("p_size") % 2 == 0, "_Videos").otherwise("_Rest5"))
+    kinds = F.array(*map(F.lit, ("_Videos", "_Rest5", "_pictures", "")))
+    task = F.concat(F.upper(F.substring_index("p_type", " ", 1)), F.get(kinds, F.col("p_size") % 4))
     subject = F.concat(F.lit("ICC"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 3 == 0, "A").otherwise(""))
     return p.select("p_partkey", text.is_wanted_task(task).alias("wanted"), text.mask_kind(subject).alias("mask"))
 
 
 ROUTING = """
-SELECT p_partkey, true AS wanted, CASE WHEN p_size % 3 = 0 THEN 'older' ELSE 'younger' END AS mask FROM part
+WITH t AS (SELECT p_partkey, lower(split_part(p_type, ' ', 1) || ['_Videos', '_Rest5', '_pictures', ''][p_size % 4 + 1]) AS task,
+                  'ICC' || p_partkey || CASE WHEN p_size % 3 = 0 THEN 'A' ELSE '' END AS subject FROM part)
+SELECT p_partkey, regexp_matches(task, 'videos|rest') AS wanted, CASE WHEN subject LIKE '%A' THEN 'older' ELSE 'younger' END AS mask FROM t
 """
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"))
-    b = table(spark, sf_dir, "orders").filter("o_custkey <= 200").select(F.col("o_custkey").alias("subject"))
-    return a.union(b)
+    return a.union(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject")))
 
 
 def subject_union_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +93,7 @@ def subject_union_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLIT = """
-u AS (SELECT user_id AS subject FROM events UNION SELECT o_custkey FROM orders WHERE o_custkey <= 200),
+u AS (SELECT user_id AS subject FROM events UNION SELECT o_custkey FROM orders),
 r AS (SELECT subject, row_number() OVER (ORDER BY md5(subject::VARCHAR || '#42'), subject) AS r, count(*) OVER () AS n FROM u),
 h AS (SELECT *, ceil(n * 0.3::DECIMAL(10,4)) AS held FROM r),
 sp AS (SELECT subject, CASE WHEN r <= n - held THEN 'train' WHEN r <= n - ceil(held / 2) THEN 'val' ELSE 'test' END AS split FROM h)"""
@@ -114,6 +117,30 @@ SELECT domain, split, count(*) AS n_rows, count(DISTINCT b.subject) AS n_subject
 """
 
 
+def split_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that each split keeps: events as chunks of corrupted runs, orders of the first priority as motion-free ones."""
+    split = subject_union_split(spark, sf_dir)
+    a = table(spark, sf_dir, "events").select(F.col("event_id").alias("chunk"), F.col("user_id").alias("subject"))
+    b = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("chunk"), F.col("o_custkey").alias("subject"))
+    rows = []
+    for name in SPLITS:
+        own = split.filter(F.col("split") == name).drop("split")
+        tables = dataset.split_tables(a.join(own, "subject"), b.join(own, "subject"), name, "chunk")
+        rows += [t.select(F.lit(k).alias("table"), "chunk", "subject") for k, t in tables.items()]
+    return dataset.union_by_name(*rows)
+
+
+SPLIT_POLICY = f"""
+WITH {_SPLIT}, a AS (SELECT event_id AS chunk, user_id AS subject, split FROM events JOIN sp ON user_id = subject),
+b AS (SELECT o_orderkey AS chunk, o_custkey AS subject, split FROM orders JOIN sp ON o_custkey = subject WHERE o_orderpriority = '1-URGENT'),
+k AS (SELECT split, count(*) AS n FROM b GROUP BY split),
+c AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5(chunk::VARCHAR || '#42'), chunk) AS i FROM a)
+SELECT split || '_motion_free' AS "table", chunk, subject FROM b
+UNION ALL SELECT 'train_corrupted_all', chunk, subject FROM a WHERE split = 'train'
+UNION ALL SELECT CASE split WHEN 'train' THEN 'train_corrupted_balanced_epoch0' ELSE split || '_corrupted_balanced' END, chunk, subject FROM c JOIN k USING (split) WHERE i <= n
+"""
+
+
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", "event_id")
     return dataset.balanced_sample(e, "event_type", "event_id", 1981)
@@ -172,15 +199,17 @@ SELECT user_id, event_id, event_type, round(value, 4) AS value FROM events QUALI
 
 
 def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    old = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("input_path"), F.lit("processed").alias("status"))
-    new = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("input_path"), F.lit("skipped").alias("status"))
-    return manifest.upsert(old, new)
+    """All orders as the older manifest; the lines' orders that were returned, and keys that no order has, as the newer one."""
+    old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("input_path"), F.lit("processed").alias("status"), F.lit(0).alias("n"))
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    key = F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    return manifest.upsert(old, li.select(key.cast("string").alias("input_path"), F.lit("skipped").alias("status"), F.col("l_linenumber").alias("n")), order=["n"])
 
 
 UPSERT = """
-SELECT o_orderkey::VARCHAR AS input_path, CASE WHEN o_orderkey % 2 = 0 THEN 'skipped' ELSE 'processed' END AS status
-FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0
+WITH n AS (SELECT (CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END)::VARCHAR AS input_path, max(l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT coalesce(n.input_path, o_orderkey::VARCHAR) AS input_path, CASE WHEN n.input_path IS NULL THEN 'processed' ELSE 'skipped' END AS status, coalesce(n.n, 0)::INTEGER AS n
+FROM orders FULL JOIN n ON n.input_path = o_orderkey::VARCHAR
 """
 
 
@@ -207,34 +236,85 @@ FROM events GROUP BY event_type
 
 
 def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as expected outputs; orders' totals stand for what a volume check found."""
+    """Customers as expected outputs; numbers of their orders stand for what a volume check found."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("output_path"), F.col("c_mktsegment").alias("task"))
+    n, price = F.count(F.lit(1)), F.col("o_totalprice")
+    shape = lambda k: F.format_string("(4, 4, 4, %d)", k)
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("output_path")).agg(
-        F.lit(True).alias("file_loadable"),
-        (F.count(F.lit(1)) % 11 != 0).alias("dims_match"),
-        F.count(F.lit(1)).alias("n_brain_voxels"),
-        F.count_if(F.col("o_totalprice") > 400000).alias("n_nonzero_outside_brain"),
-        F.count_if(F.col("o_totalprice") > 100000).alias("n_outside"),
-        F.max("o_totalprice").alias("mean_signal_brain"),
-        F.count_if(F.col("o_totalprice") <= 1000).alias("n_zero_volumes"),
+        F.when(n % 13 == 0, "truncated").alias("load_error"),
+        shape(n).alias("input_shape"),
+        shape(F.when(n % 11 == 0, n - 1).otherwise(n)).alias("output_shape"),
+        n.alias("n_volumes"),
+        n.alias("n_brain_voxels"),
+        F.count_if(price > 490000).alias("n_nonzero_outside_brain"),
+        F.count_if(price > 100000).alias("n_outside"),
+        (F.min("o_totalprice") / 20000.0).alias("mean_signal_brain"),
+        F.count_if(price <= 2000).alias("n_zero_volumes"),
     )
-    return manifest.verification(c, o)
+    counts = ["n_volumes", "n_brain_voxels", "n_zero_outside_brain", "n_zero_volumes"]
+    return manifest.verification(c, o).withColumns({k: F.col(k).cast("double") for k in counts})
 
 
 VERIFICATION = """
-WITH o AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_totalprice > 400000) AS nz, count(*) FILTER (o_totalprice > 100000) AS nout,
-                  max(o_totalprice) AS m, count(*) FILTER (o_totalprice <= 1000) AS z FROM orders GROUP BY o_custkey),
-j AS (SELECT c_custkey AS output_path, c_mktsegment AS task, n IS NOT NULL AS ok, o.*, n % 11 <> 0 AS dims,
-             concat_ws('; ', CASE WHEN n IS NULL THEN 'output missing' END, CASE WHEN n % 11 = 0 THEN 'dimensions differ' END,
-                       CASE WHEN nz > 0 THEN 'signal outside the brain' END, CASE WHEN z > 0 THEN 'zero volumes' END) AS notes
-      FROM customer LEFT JOIN o ON o_custkey = c_custkey)
-SELECT output_path, task, ok AS output_exists, ok AS file_loadable, coalesce(dims, false) AS dims_match, n AS n_brain_voxels, nz AS n_zero_outside_brain,
-       CASE WHEN ok THEN round(CASE WHEN nout > 0 THEN (nout - nz) / nout * 100 ELSE 100 END, 4) END AS pct_outside_zeroed, round(m, 4) AS mean_signal_brain,
-       ok AS brain_has_signal, z AS n_zero_volumes, CASE WHEN NOT ok THEN 'MISSING' WHEN notes <> '' THEN 'FAIL' ELSE 'PASS' END AS status, notes
-FROM j
+WITH o AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_totalprice > 490000) AS nz, count(*) FILTER (o_totalprice > 100000) AS nout,
+                  min(o_totalprice) / 20000.0 AS m, count(*) FILTER (o_totalprice <= 2000) AS z FROM orders GROUP BY o_custkey),
+j AS (SELECT c_custkey AS output_path, c_mktsegment AS task, o.*, n IS NOT NULL AS there, coalesce(n % 13 <> 0, false) AS ok, coalesce(n % 13 <> 0 AND n % 11 <> 0, false) AS dims
+      FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+t AS (SELECT *, '(4, 4, 4, ' || n || ')' AS a, '(4, 4, 4, ' || (n - (n % 11 = 0)::INTEGER) || ')' AS b FROM j),
+k AS (SELECT *, CASE WHEN NOT there THEN '' WHEN NOT ok THEN 'Load error: truncated' WHEN NOT dims THEN 'Shape mismatch: input=' || a || ' output=' || b
+       ELSE concat_ws(' ', CASE WHEN nz > 0 THEN 'Non-brain voxels not fully zeroed (' || nz || ' non-zero outside brain).' END,
+                      CASE WHEN m <= 1 THEN 'Brain signal unexpectedly low.' END, CASE WHEN z > 0 THEN z || ' all-zero brain volume(s).' END) END AS notes FROM t)
+SELECT output_path, task, there AS output_exists, ok AS file_loadable, dims AS dims_match, CASE WHEN ok THEN n END::DOUBLE AS n_volumes, CASE WHEN ok THEN a END AS input_shape,
+       CASE WHEN ok THEN b END AS output_shape, CASE WHEN dims THEN n END::DOUBLE AS n_brain_voxels, CASE WHEN dims THEN nz END::DOUBLE AS n_zero_outside_brain,
+       CASE WHEN dims THEN round_even(CASE WHEN nout > 0 THEN (nout - nz) / nout * 100 ELSE 100 END, 2) END AS pct_outside_zeroed, CASE WHEN dims THEN round_even(m, 4) END AS mean_signal_brain,
+       dims AND m > 1 AS brain_has_signal, CASE WHEN dims THEN z END::DOUBLE AS n_zero_volumes, CASE WHEN NOT there THEN 'MISSING' WHEN notes <> '' THEN 'FAIL' ELSE 'PASS' END AS status, notes
+FROM k
+"""
+
+
+def extraction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as chunks of their orders' runs, of which some can't be read, some aren't 4-D and some chunks are there already."""
+    key = F.col("l_orderkey").cast("string")
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("subject_id"), F.lower("l_returnflag").alias("session_id"), F.col("l_linenumber").cast("string").alias("run_id"),
+        F.lit("rest5").alias("task"), key.alias("preprocessed_bold_file"), (F.col("l_linenumber") - 2).alias("chunk_start"), (F.col("l_linenumber") + 17).alias("chunk_end"), "l_quantity",
+    )
+    o = table(spark, sf_dir, "orders")
+    runs = o.select(
+        F.col("o_orderkey").cast("string").alias("preprocessed_bold_file"),
+        (F.col("o_custkey") % 8 + 16).alias("n_vols"),
+        F.when(F.col("o_orderstatus") == "P", 3).otherwise(4).alias("n_axes"),
+        F.when(F.col("o_totalprice") > 480000, "truncated").alias("load_error"),
+    )
+    there = li.filter("l_quantity >= 45").select(text.chunk_name(*(F.col(c) for c in ("subject_id", "session_id", "task", "run_id", "chunk_start", "chunk_end"))).alias("name"))
+    log = manifest.extraction_log(li.drop("l_quantity"), runs, there, "/out/train/A_corrupted/", "train", "A_corrupted", F.lit("2020-01-02 03:04:05").cast("timestamp"))
+    return log.groupBy(*(c for c in log.columns)).agg(F.count(F.lit(1)).alias("n"))
+
+
+EXTRACTION_LOG = """
+WITH l AS (SELECT l_orderkey, l_suppkey::VARCHAR AS subject_id, lower(l_returnflag) AS session_id, l_linenumber::VARCHAR AS run_id, 'rest5' AS task, l_linenumber - 2 AS chunk_start, l_linenumber + 17 AS chunk_end, l_quantity FROM lineitem),
+m AS (SELECT *, 'sub-' || subject_id || '_ses-' || session_id || '_task-rest5_run-' || lpad(run_id, 3, '0') || '_chunk-' || chunk_start || '-' || chunk_end || '.nii.gz' AS name FROM l),
+e AS (SELECT DISTINCT name FROM m WHERE l_quantity >= 45),
+p AS (SELECT m.*, e.name IS NOT NULL AS there, o_custkey % 8 + 16 AS n, CASE WHEN o_totalprice > 480000 THEN 'Load failed: truncated' WHEN o_orderstatus = 'P' THEN 'Not 4D: 3 axes' WHEN e.name IS NOT NULL THEN ''
+  WHEN chunk_start < 0 OR chunk_end >= o_custkey % 8 + 16 THEN 'error: invalid slice [' || chunk_start || ', ' || chunk_end || '] of ' || (o_custkey % 8 + 16) || ' volumes' ELSE '' END AS message
+  FROM m JOIN orders ON o_orderkey = l_orderkey LEFT JOIN e ON e.name = m.name)
+SELECT 'train' AS split, 'A_corrupted' AS domain, subject_id, session_id, run_id, task, chunk_start, chunk_end, CASE WHEN message = '' THEN '/out/train/A_corrupted/' || name ELSE '' END AS output_path,
+       CASE WHEN message <> '' THEN 'error' WHEN there THEN 'skipped_exists' ELSE 'ok' END AS status, message, '2020-01-02T03:04:05' AS timestamp, count(*) AS n FROM p GROUP BY ALL
 """
 
 
+def patched_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that is missing, one that is empty and one that has values, each offered the same filling."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit("").alias("empty"))
+    fill = F.concat(F.lit("/path/"), F.col("doc_id").cast("string"))
+    for c in ("missing", "empty", "lang"):
+        docs = qc.patch_column(docs, c, fill)
+    return docs
+
+
+PATCHED = "SELECT doc_id, lang, '/path/' || doc_id AS empty, '/path/' || doc_id AS missing FROM documents"
+
+
 def pair_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     a = lab.filter("quality = 1").select(F.col("doc_id").alias("a_id"))
@@ -311,6 +391,9 @@ QUERIES = {
     "task_and_mask_routing": (task_and_mask_routing, ROUTING),
     "subject_union_split": (subject_union_split, SUBJECT_SPLIT),
     "split_assign_no_leak": (split_assign_no_leak, SPLIT_ASSIGN),
+    "split_policy": (split_policy, SPLIT_POLICY),
+    "extraction_log": (extraction_log, EXTRACTION_LOG),
+    "patched_columns": (patched_columns, PATCHED),
     "balanced_sample": (balanced_sample, BALANCED),
     "semi_existing": (semi_existing, _EXISTS.format("IN")),
     "anti_existing": (anti_existing, _EXISTS.format("NOT IN")),

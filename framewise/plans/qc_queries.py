@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewise.functions import arrays, text
 from framewise.operators import chunks, losses, qc, stats, volumes
 from framewise.params import QcLimits
+from framewise.plans.motion_queries import CORRUPTED
 from framewise.plans.series import EVENT_CORRUPTION, VECTORS_SQL, event_series, table, vector_series
 
 KEY = ["run_key"]
@@ -152,7 +153,7 @@ def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.col("toxic") == 1).alias("has_nan"),
         F.when(F.col("doc_id") % 50 == 0, "truncated").alias("load_error"),
-        (F.col("doc_id") % 17 / 20).alias("par_fd_mean"),
+        F.when(F.col("doc_id") % 29 == 0, float("inf")).when(F.col("doc_id") % 31 == 0, float("nan")).otherwise(F.col("doc_id") % 17 / 20).alias("par_fd_mean"),
         (F.col("doc_id") % 23 + 0.5).cast("double").alias("tsnr_mean"),
     )
     return qc.qc_flags(m, QcLimits()).select("doc_id", "qc_flags")
@@ -160,7 +161,7 @@ def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLAGS = """
 SELECT * FROM (SELECT doc_id, concat_ws('|', CASE WHEN toxic = 1 THEN 'has_nan' END, CASE WHEN doc_id % 50 = 0 THEN 'load_error:truncated' END,
-       CASE WHEN doc_id % 17 / 20 > 0.5 THEN 'high_fd_mean:' || printf('%.3f', doc_id % 17 / 20) END,
+       CASE WHEN doc_id % 29 = 0 THEN 'high_fd_mean:inf' WHEN doc_id % 31 = 0 THEN NULL WHEN doc_id % 17 / 20 > 0.5 THEN 'high_fd_mean:' || printf('%.3f', doc_id % 17 / 20) END,
        CASE WHEN doc_id % 23 + 0.5 < 10 THEN 'low_tsnr:' || printf('%.2f', doc_id % 23 + 0.5) END) AS qc_flags FROM labels) WHERE qc_flags <> ''
 """
 
@@ -170,6 +171,13 @@ def all_null_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.all_null_columns(e, ["value", "lost", "nan", "event_type"])
 
 
+ALL_NULL = """
+WITH e AS (SELECT value, NULL::DOUBLE AS lost, 'NaN'::DOUBLE AS nan, event_type FROM events),
+c AS (SELECT count(*) FILTER (NOT isnan(value)) AS value, count(*) FILTER (NOT isnan(lost)) AS lost, count(*) FILTER (NOT isnan(nan)) AS nan, count(event_type) AS event_type FROM e)
+SELECT metric FROM (UNPIVOT c ON value, lost, nan, event_type INTO NAME metric VALUE n) WHERE n = 0
+"""
+
+
 def chunk_bad_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.bad_counts(intensity_range(spark, sf_dir))
 
@@ -279,16 +287,16 @@ SELECT l_returnflag, round(avg(q), 4) AS l_quantity, round(avg(d), 4) AS l_disco
 
 def val_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and learning rates of epochs made of lines: improvements are quantities, the ratio a price."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     ratio = arrays.ratio(F.col("l_extendedprice"), F.lit(40000.0))
     score = arrays.validation_score(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), ratio)
     rate = arrays.learning_rate(F.col("l_orderkey") % 30, 2e-4, 30)
-    return li.select("l_orderkey", F.round(score, 4).alias("score"), F.round(rate * 1e6, 4).alias("rate_micro"))
+    return li.select("l_orderkey", "l_linenumber", F.round(score, 4).alias("score"), F.round(rate * 1e6, 4).alias("rate_micro"))
 
 
 VAL_SCORE = """
-WITH l AS (SELECT *, l_extendedprice / (40000.0 + 1e-8) AS r, l_orderkey % 30 AS e FROM lineitem WHERE l_linenumber = 1)
-SELECT l_orderkey, round(l_quantity + l_discount + l_tax - 10.0 * greatest(0.0, r - 1.1), 4) AS score,
+WITH l AS (SELECT *, l_extendedprice / (40000.0 + 1e-8) AS r, l_orderkey % 30 AS e FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(l_quantity + l_discount + l_tax - 10.0 * greatest(0.0, r - 1.1), 4) AS score,
        round(200.0 * CASE WHEN e < 5 THEN 1e-6 + (1 - 1e-6) * e / 5.0 WHEN e < 20 THEN 1.0 ELSE 1 + (1e-6 - 1) * least(1.0, (e - 20) / 10.0) END, 4) AS rate_micro FROM l
 """
 
@@ -362,9 +370,8 @@ def psc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 PSC = """
 WITH v AS (SELECT label::VARCHAR AS chunk_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS vol, embedding AS x FROM embeddings),
 l AS (SELECT chunk_id, vol, unnest(range(len(x))) AS k, (unnest(x) + 2::FLOAT)::DOUBLE AS x FROM v),
-m AS (SELECT chunk_id, k, avg(x) AS m FROM l GROUP BY ALL), t AS (SELECT chunk_id, max(m) AS t FROM m GROUP BY ALL)
-SELECT chunk_id, vol, round(sum(pow(CASE WHEN m > 0.01 * t THEN (x - m) / (abs(m) + 1e-6) ELSE 0 END, 2)), 3) AS energy, true AS round_trip
-FROM l JOIN m USING (chunk_id, k) JOIN t USING (chunk_id) GROUP BY chunk_id, vol
+m AS (SELECT chunk_id, k, avg(x) AS m FROM l GROUP BY ALL), t AS (SELECT chunk_id, max(m) AS t FROM m GROUP BY ALL), p AS (SELECT chunk_id, vol, x, m, CASE WHEN m > 0.01 * t THEN (x - m) / (abs(m) + 1e-6) ELSE 0 END AS p FROM l JOIN m USING (chunk_id, k) JOIN t USING (chunk_id))
+SELECT chunk_id, vol, round(sum(p * p), 3) AS energy, max(abs(p * (abs(m) + 1e-6) + m - x)) < 1e-3 AS round_trip FROM p GROUP BY chunk_id, vol
 """
 
 
@@ -398,24 +405,53 @@ def resample_trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _volumes(spark, sf_dir)
     small = volumes.resample(v, (8, 6, 2))
     back = volumes.resample_back(small, v.select("chunk_id", F.col("shape").alias("orig_shape")).distinct())
-    total = lambda name: F.round(F.aggregate(F.col("data").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias(name)
-    a = small.select("chunk_id", "vol", text.shape_text("shape").alias("shape"), total("sum"))
-    return a.join(back.select("chunk_id", "vol", total("back_sum")), ["chunk_id", "vol"])
+    total = lambda name: F.round(F.aggregate(F.col("data").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 3) + 0.0
+    a = small.select("chunk_id", "vol", text.shape_text("shape").alias("shape"), total("sum").alias("sum"))
+    return a.join(back.select("chunk_id", "vol", total("back_sum").alias("back_sum")), ["chunk_id", "vol"])
+
+
+# the sums of both are weighted sums of the volume's values; weights multiply over the axes
+RESAMPLED = """
+WITH s AS (SELECT * FROM (VALUES (0, 8), (1, 6), (2, 2)) s(axis, m)),
+c AS (SELECT axis, m, 4 AS n, unnest(range(m)) AS i FROM s UNION ALL SELECT axis + 3, 4, m, unnest(range(4)) FROM s),
+p AS (SELECT axis, n, i, greatest(0, least(n - 1, (i + 0.5) * n / m - 0.5)) AS t FROM c),
+r AS (SELECT axis, i, floor(t)::INTEGER AS j, 1 - (t - floor(t)) AS w FROM p UNION ALL SELECT axis, i, least(floor(t)::INTEGER + 1, n - 1), t - floor(t) FROM p),
+a AS (SELECT axis, j, sum(w) AS w FROM r WHERE axis < 3 GROUP BY ALL),
+b AS (SELECT x.axis, x.j, sum(x.w * y.w) AS w FROM r x JOIN r y ON y.axis = x.axis + 3 AND y.j = x.i WHERE x.axis < 3 GROUP BY ALL),
+k AS (SELECT k, x.w * y.w * z.w AS a, u.w * v.w * t.w AS b FROM range(64) q(k) JOIN a x ON x.axis = 0 AND x.j = k // 16 JOIN a y ON y.axis = 1 AND y.j = k // 4 % 4 JOIN a z ON z.axis = 2 AND z.j = k % 4
+      JOIN b u ON u.axis = 0 AND u.j = k // 16 JOIN b v ON v.axis = 1 AND v.j = k // 4 % 4 JOIN b t ON t.axis = 2 AND t.j = k % 4),
+e AS (SELECT label::VARCHAR AS chunk_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS vol, embedding::DOUBLE[] AS x FROM embeddings),
+l AS (SELECT chunk_id, vol, unnest(range(64)) AS k, unnest(x) AS x FROM e)
+SELECT chunk_id, vol, '(8, 6, 2)' AS shape, round(sum(x * a), 3) + 0.0 AS sum, round(sum(x * b), 3) + 0.0 AS back_sum FROM l JOIN k USING (k) GROUP BY chunk_id, vol
+"""
 
 
 def chunk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QC metrics of runs as chunks of volumes."""
-    m = volumes.chunk_metrics(_volumes(spark, sf_dir))
-    return rounded(m.select("chunk_id", "n_vols", "shape", "has_nan", "has_inf", "intensity_min", "intensity_max", "intensity_mean", "dvars_mean", "dvars_max", "gs_mean", "gs_std"), digits=3)
+    """QC metrics of runs as chunks of volumes, some with NaN or infinities, and of every run's first volume as a chunk of one."""
+    v = vector_series(spark, sf_dir)
+    bad = F.when(F.col("vec_id") % 50 == 7, float("nan")).when(F.col("vec_id") % 60 == 11, float("-inf"))
+    data = F.transform("x", lambda x, k: F.coalesce(F.when(k == 3, bad), x + 1.5).cast("float"))
+    affine = F.array(*(F.lit(float(x)) for x in (-2, 0, 0, 90, 0, 3, 0, -126, 0, 4, 2, -72, 0, 0, 0, 1)))
+    shape = F.array(F.lit(4), F.lit(4), F.lit(4))
+    rows = v.select(F.col("run_key").cast("string").alias("chunk_id"), "vol", shape.alias("shape"), data.alias("data"), affine.alias("affine"))
+    one = rows.filter("vol = 0").withColumn("chunk_id", F.concat(F.lit("one-"), "chunk_id"))
+    return rounded(volumes.chunk_metrics(rows.unionByName(one)).drop("load_error"), digits=3)
 
 
 METRICS = """
-WITH v AS (SELECT label::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS vol, embedding::DOUBLE[] AS x FROM embeddings),
-i AS (SELECT chunk_id, count(*)::INTEGER AS n_vols, min(list_min(x)) AS a, max(list_max(x)) AS b, avg(list_avg(x)) AS m, stddev_pop(list_avg(x)) AS s FROM v GROUP BY chunk_id),
+WITH w AS (SELECT label::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS vol, vec_id % 50 = 7 AS nan, vec_id % 50 <> 7 AND vec_id % 60 = 11 AS inf,
+                  list_transform(embedding, lambda x: (x::DOUBLE + 1.5)::FLOAT::DOUBLE) AS y FROM embeddings),
+a AS (SELECT chunk_id, vol, nan, inf, CASE WHEN nan OR inf THEN list_concat(y[1:3], [0.0::DOUBLE], y[5:]) ELSE y END AS x FROM w),
+v AS (SELECT * FROM a UNION ALL SELECT 'one-' || chunk_id, vol, nan, inf, x FROM a WHERE vol = 0),
+i AS (SELECT chunk_id, count(*)::INTEGER AS n_vols, bool_or(nan) AS has_nan, bool_or(inf) AS has_inf, min(list_min(x)) AS a, max(list_max(x)) AS b, avg(list_avg(x)) AS m, stddev_pop(list_avg(x)) AS s FROM v GROUP BY chunk_id),
 p AS (SELECT b.chunk_id, b.vol, unnest(a.x) AS x, unnest(b.x) AS y FROM v a JOIN v b ON a.chunk_id = b.chunk_id AND b.vol = a.vol + 1),
-d AS (SELECT chunk_id, vol, sqrt(avg((x-y)*(x-y))) AS d FROM p GROUP BY ALL), e AS (SELECT chunk_id, avg(d) AS dm, max(d) AS dx FROM d GROUP BY chunk_id)
-SELECT chunk_id, n_vols, '(4, 4, 4, ' || n_vols || ')' AS shape, false AS has_nan, false AS has_inf, round(a, 3) + 0.0 AS intensity_min, round(b, 3) + 0.0 AS intensity_max,
-       round(m, 3) + 0.0 AS intensity_mean, round(dm, 3) + 0.0 AS dvars_mean, round(dx, 3) + 0.0 AS dvars_max, round(m, 3) + 0.0 AS gs_mean, round(s, 3) + 0.0 AS gs_std FROM i JOIN e USING (chunk_id)
+d AS (SELECT chunk_id, vol, sqrt(avg((x-y)*(x-y))) AS d FROM p GROUP BY ALL), e AS (SELECT chunk_id, avg(d) AS dm, max(d) AS dx FROM d GROUP BY chunk_id),
+k AS (SELECT chunk_id, unnest(range(64)) AS k, unnest(x) AS x FROM v), t AS (SELECT chunk_id, k, avg(x) AS m, stddev_pop(x) AS s FROM k GROUP BY ALL HAVING count(*) > 1),
+l AS (SELECT chunk_id, 0.1 * avg(m) AS l FROM t GROUP BY chunk_id),
+q AS (SELECT chunk_id, avg(CASE WHEN s > 0 THEN m / s ELSE 0 END) AS tm, median(CASE WHEN s > 0 THEN m / s ELSE 0 END) AS td FROM t JOIN l USING (chunk_id) WHERE m > l GROUP BY chunk_id)
+SELECT chunk_id, n_vols, '(4, 4, 4, ' || n_vols || ')' AS shape, '[' || round(sqrt(4), 3) || ', ' || round(sqrt(9 + 16), 3) || ', ' || round(sqrt(4), 3) || ']' AS voxel_size, has_nan, has_inf,
+       round(i.a, 3) + 0.0 AS intensity_min, round(i.b, 3) + 0.0 AS intensity_max, round(i.m, 3) + 0.0 AS intensity_mean, round(dm, 3) + 0.0 AS dvars_mean, round(dx, 3) + 0.0 AS dvars_max,
+       round(tm, 3) + 0.0 AS tsnr_mean, round(td, 3) + 0.0 AS tsnr_median, round(i.m, 3) + 0.0 AS gs_mean, round(i.s, 3) + 0.0 AS gs_std FROM i LEFT JOIN e USING (chunk_id) LEFT JOIN q USING (chunk_id)
 """
 
 
@@ -426,6 +462,20 @@ def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volumes.metric_bundle(v, half).select("chunk_id", "dvars_input", "dvars_improvement", "gs_std_input", "gs_std_improvement", "smoothness_ratio"), digits=3)
 
 
+BUNDLE = f"""
+WITH {VECTORS_SQL.replace("CAST(embedding AS DOUBLE[]) AS x", "embedding::DOUBLE[] AS x, list_transform(embedding, lambda y: (y * 0.5::FLOAT)::FLOAT)::DOUBLE[] AS h")},
+p AS (SELECT b.run_key, b.vol, unnest(a.x) AS x, unnest(b.x) AS y, unnest(a.h) AS g, unnest(b.h) AS h FROM v a JOIN v b ON a.run_key = b.run_key AND b.vol = a.vol + 1),
+c AS (SELECT run_key, vol, sqrt(avg((y-x)*(y-x))) AS d, sqrt(avg((h-g)*(h-g))) AS e FROM p GROUP BY ALL), d AS (SELECT run_key, avg(d) AS d, avg(e) AS e FROM c GROUP BY run_key),
+g AS (SELECT run_key, stddev_samp(list_avg(x)) AS s, stddev_samp(list_avg(h)) AS t FROM v GROUP BY run_key),
+l AS (SELECT run_key, vec_id, unnest(range(64)) AS k, x, h FROM v),
+f AS (SELECT run_key, vec_id, avg(abs(x[k+17] - x[k+1])) FILTER (k // 16 < 3) + avg(abs(x[k+5] - x[k+1])) FILTER (k // 4 % 4 < 3) + avg(abs(x[k+2] - x[k+1])) FILTER (k % 4 < 3) AS a,
+             avg(abs(h[k+17] - h[k+1])) FILTER (k // 16 < 3) + avg(abs(h[k+5] - h[k+1])) FILTER (k // 4 % 4 < 3) + avg(abs(h[k+2] - h[k+1])) FILTER (k % 4 < 3) AS b FROM l GROUP BY ALL),
+r AS (SELECT run_key, avg(b / 3) / (avg(a / 3) + 1e-8) AS r FROM f GROUP BY run_key)
+SELECT run_key::VARCHAR AS chunk_id, round(d, 3) AS dvars_input, round(d - e, 3) AS dvars_improvement, round(s, 3) AS gs_std_input, round(s - t, 3) AS gs_std_improvement, round(r, 3) AS smoothness_ratio
+FROM d JOIN g USING (run_key) JOIN r USING (run_key)
+"""
+
+
 def mask_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of every volume inside a fixed mask: even places."""
     import numpy as np
@@ -442,36 +492,89 @@ l AS (SELECT chunk_id, vol, unnest(range(64)) AS k, unnest(x) AS x FROM v) SELEC
 
 
 def volume_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verification numbers of runs masked by even places; every run's first volume has leaked at place 1."""
+    """Verification numbers of runs masked by even places; every run's first volume has leaked at place 1, and
+    negligibly at place 3, and every seventh volume is empty."""
     import numpy as np
 
     mask = (np.arange(64).reshape(4, 4, 4) % 2 == 0).astype(float)
     m = volumes.apply_mask(_volumes(spark, sf_dir), mask)
-    leak = F.transform("data", lambda x, k: F.when((k == 1) & (F.col("vol") == 0), F.lit(1.0)).otherwise(x).cast("float"))
-    return rounded(volumes.volume_checks(m.withColumn("data", leak), mask))
+    leak = lambda x, k: F.when((k == 1) & (F.col("vol") == 0), 1.0).when((k == 3) & (F.col("vol") == 0), 5e-7).when((k % 2 == 0) & (F.col("vol") % 7 == 3), 0.0).otherwise(x).cast("float")
+    return rounded(volumes.volume_checks(m.withColumn("data", F.transform("data", leak)), mask))
 
 
 CHECKS = """
 WITH v AS (SELECT label::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS vol, embedding::DOUBLE[] AS x FROM embeddings),
-l AS (SELECT chunk_id, vol, unnest(range(64)) AS k, unnest(x) AS x FROM v), s AS (SELECT chunk_id, vol, avg(abs(x)) AS s FROM l WHERE k % 2 = 0 GROUP BY ALL)
-SELECT chunk_id, count(*) AS n_volumes, 32::BIGINT AS n_brain_voxels, 32::BIGINT AS n_outside, 1::BIGINT AS n_nonzero_outside_brain, round(avg(s), 4) AS mean_signal_brain,
-       0::BIGINT AS n_zero_volumes, true AS dims_match FROM s GROUP BY chunk_id
+l AS (SELECT chunk_id, vol, len(x) AS n, unnest(range(len(x))) AS k, unnest(x) AS x FROM v),
+y AS (SELECT *, k % 2 = 0 AS brain, CASE WHEN k % 2 = 0 THEN CASE WHEN vol % 7 = 3 THEN 0 ELSE x END WHEN vol = 0 AND k = 1 THEN 1 WHEN vol = 0 AND k = 3 THEN 5e-7 ELSE 0 END AS y FROM l),
+s AS (SELECT chunk_id, vol, any_value(n) AS n, count(*) FILTER (brain) AS b, count(*) FILTER (NOT brain) AS o, count(*) FILTER (NOT brain AND abs(y) > 1e-6) AS z, avg(abs(y)) FILTER (brain) AS s FROM y GROUP BY ALL)
+SELECT chunk_id, count(*) AS n_volumes, max(b) FILTER (vol = 0) AS n_brain_voxels, max(o) FILTER (vol = 0) AS n_outside, max(z) FILTER (vol = 0) AS n_nonzero_outside_brain, round(avg(s), 4) AS mean_signal_brain,
+       count(*) FILTER (s < 1e-6) AS n_zero_volumes, bool_and(n = 64) AS dims_match FROM s GROUP BY chunk_id
+"""
+
+
+def _age_masks():
+    import numpy as np
+
+    place = np.arange(64).reshape(4, 4, 4)
+    return {"younger": (place % 2 == 0).astype(float), "older": (place < 40).astype(float)}
+
+
+def _runs_to_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of younger and older subjects; one can't be read, one has volumes of another shape, one of two axes."""
+    v = _volumes(spark, sf_dir)
+    label = F.col("chunk_id").cast("int")
+    shape = lambda *n: F.array(*map(F.lit, n))
+    return v.withColumns(
+        {
+            "subject": F.concat(F.lit("ICC"), "chunk_id", F.when(label % 2 == 1, "A").otherwise("")),
+            "load_error": F.when(label == 3, "truncated"),
+            "shape": F.when(label == 5, shape(8, 4, 2)).when(label == 7, shape(8, 8)).otherwise(F.col("shape")),
+        }
+    )
+
+
+def preprocess_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each volume's sum after the mask of its subject's age group."""
+    out, _ = volumes.preprocess(_runs_to_mask(spark, sf_dir), _age_masks())
+    return out.select("chunk_id", "vol", F.round(F.aggregate(F.col("data").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("sum"))
+
+
+def preprocess_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log rows of the same runs."""
+    log = volumes.preprocess(_runs_to_mask(spark, sf_dir), _age_masks())[1]
+    return log.withColumns({c: F.col(c).cast("double") for c in ("n_volumes", "n_brain_voxels")})
+
+
+PREPROCESS_MASKS = """
+WITH v AS (SELECT label::VARCHAR AS chunk_id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS vol, embedding::DOUBLE[] AS x FROM embeddings WHERE label NOT IN (3, 5, 7)),
+l AS (SELECT chunk_id, label, vol, unnest(range(64)) AS k, unnest(x) AS x FROM v)
+SELECT chunk_id, vol, round(sum(x) FILTER (CASE WHEN label % 2 = 1 THEN k < 40 ELSE k % 2 = 0 END), 4) AS sum FROM l GROUP BY chunk_id, vol
+"""
+
+PREPROCESS_LOG = """
+SELECT label::VARCHAR AS chunk_id, 'ICC' || label || CASE WHEN label % 2 = 1 THEN 'A' ELSE '' END AS subject, CASE WHEN label % 2 = 1 THEN 'older' ELSE 'younger' END AS mask_used,
+       CASE label WHEN 3 THEN 'load_error' WHEN 5 THEN 'shape_mismatch' WHEN 7 THEN 'shape_error' ELSE 'processed' END AS status,
+       CASE WHEN label NOT IN (3, 5, 7) THEN count(*) END::DOUBLE AS n_volumes,
+       CASE WHEN label NOT IN (3, 5, 7) THEN (SELECT count(*) FILTER (CASE WHEN label % 2 = 1 THEN k < 40 ELSE k % 2 = 0 END) FROM range(64) q(k)) END::DOUBLE AS n_brain_voxels
+FROM embeddings GROUP BY label
 """
 
 
 def psc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range, deviation, asymmetry and coverage of normalised runs, odd and even ones as domains."""
-    raw = _volumes(spark, sf_dir).withColumn("data", F.transform("data", lambda x: (x + F.lit(2).cast("float")).cast("float")))
+    raw = _volumes(spark, sf_dir).withColumn("data", F.transform("data", lambda x, k: F.when(k % 8 == 5, 0.0).otherwise(x + F.lit(2).cast("float")).cast("float")))
     psc = volumes.percent_signal_change(raw).withColumn("domain", (F.col("chunk_id").cast("int") % 2).cast("string"))
     return rounded(volumes.psc_report(psc, "domain"), digits=3)
 
 
 PSC_REPORT = """
 WITH v AS (SELECT label::VARCHAR AS chunk_id, vec_id, embedding AS x FROM embeddings),
-l AS (SELECT chunk_id, vec_id, unnest(range(len(x))) AS k, (unnest(x) + 2::FLOAT)::DOUBLE AS x FROM v), m AS (SELECT chunk_id, k, avg(x) AS m FROM l GROUP BY ALL),
-p AS (SELECT (chunk_id::INTEGER % 2)::VARCHAR AS domain, (x - m) / (abs(m) + 1e-6) AS p FROM l JOIN m USING (chunk_id, k)),
-q AS (SELECT domain, avg(p) AS a, stddev_pop(p) AS s FROM p GROUP BY domain)
-SELECT domain, round(min(p), 3) AS min, round(max(p), 3) AS max, round(any_value(s), 3) AS std, round(avg(pow((p - a) / s, 3)), 3) AS asymmetry, 1.0::DOUBLE AS coverage FROM p JOIN q USING (domain) GROUP BY domain
+w AS (SELECT chunk_id, vec_id, unnest(range(len(x))) AS k, (unnest(x) + 2::FLOAT)::DOUBLE AS x FROM v), l AS (SELECT chunk_id, vec_id, k, CASE WHEN k % 8 = 5 THEN 0 ELSE x END AS x FROM w), m AS (SELECT chunk_id, k, avg(x) AS m FROM l GROUP BY ALL),
+t AS (SELECT chunk_id, max(m) AS t FROM m GROUP BY ALL),
+p AS (SELECT (chunk_id::INTEGER % 2)::VARCHAR AS domain, CASE WHEN m > 0.01 * t THEN (x - m) / (abs(m) + 1e-6) ELSE 0 END AS p FROM l JOIN m USING (chunk_id, k) JOIN t USING (chunk_id)),
+q AS (SELECT domain, avg(p) FILTER (p <> 0) AS a, stddev_pop(p) FILTER (p <> 0) AS s FROM p GROUP BY domain)
+SELECT domain, round(min(p) FILTER (p <> 0), 3) AS min, round(max(p) FILTER (p <> 0), 3) AS max, round(any_value(s), 3) AS std, round(avg(pow((p - a) / s, 3)) FILTER (p <> 0), 3) AS asymmetry,
+       round(count(*) FILTER (p <> 0) / count(*), 3) AS coverage FROM p JOIN q USING (domain) GROUP BY domain
 """
 
 
@@ -490,15 +593,17 @@ SELECT o_orderkey, round((o_totalprice - lo) / (hi - lo + 1e-9), 4) AS scaled FR
 
 
 def chunk_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes of each run's second chunk of five."""
+    """Volumes of every full chunk of five, one after another, of each run."""
     v = _volumes(spark, sf_dir).withColumnRenamed("chunk_id", "run_key")
-    c = v.select("run_key").distinct().select("run_key", F.concat("run_key", F.lit("-5-9")).alias("chunk_id"), F.lit(5).alias("chunk_start"), F.lit(9).alias("chunk_end"))
+    runs = v.groupBy("run_key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    c = runs.select("run_key", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 5).cast("int") * 5 - 5, F.lit(5))).alias("chunk_start")).withColumn("chunk_end", F.col("chunk_start") + 4)
+    c = c.withColumn("chunk_id", F.concat_ws("-", "run_key", "chunk_start", "chunk_end"))
     return volumes.extract_chunks(v, c).select("chunk_id", "vol", F.round(F.get("data", F.lit(0)).cast("double"), 4).alias("first"))
 
 
 EXTRACTION = """
-WITH v AS (SELECT label::VARCHAR AS r, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS vol, embedding::DOUBLE[] AS x FROM embeddings)
-SELECT r || '-5-9' AS chunk_id, vol - 5 AS vol, round(x[1], 4) AS first FROM v WHERE vol BETWEEN 5 AND 9
+WITH v AS (SELECT label::VARCHAR AS r, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS vol, count(*) OVER (PARTITION BY label) AS n, embedding::DOUBLE[] AS x FROM embeddings)
+SELECT r || '-' || (vol // 5 * 5) || '-' || (vol // 5 * 5 + 4) AS chunk_id, (vol % 5)::INTEGER AS vol, round(x[1], 4) AS first FROM v WHERE vol // 5 < n // 5
 """
 
 
@@ -508,6 +613,13 @@ def corrupted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(qc.distribution_summary(c, ["chunk_mean_fd", "chunk_max_fd"]), digits=3)
 
 
+CORRUPTED_SUMMARY = f"""
+WITH w AS ({CORRUPTED.replace("round(m, 4)", "m").replace("round(x, 4)", "x")}), l AS (UNPIVOT (SELECT chunk_mean_fd, chunk_max_fd FROM w) ON chunk_mean_fd, chunk_max_fd INTO NAME metric VALUE v)
+SELECT metric, count(v) AS n, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS std, round(median(v), 3) AS median, round(quantile_cont(v, 0.25), 3) AS q25, round(quantile_cont(v, 0.75), 3) AS q75,
+       round(min(v), 3) AS min, round(max(v), 3) AS max FROM l GROUP BY metric
+"""
+
+
 QUERIES = {
     "dvars": (dvars, DVARS),
     "voxel_stats": (voxel_stats, VOXELS),
@@ -517,11 +629,11 @@ QUERIES = {
     "intensity_range": (intensity_range, INTENSITY),
     "temporal_diff": (temporal_diff, TEMPORAL),
     "distribution_summary": (distribution_summary, SUMMARY),
-    "corrupted_summary": (corrupted_summary, None),
+    "corrupted_summary": (corrupted_summary, CORRUPTED_SUMMARY),
     "shape_report": (shape_report, SHAPES),
     "top_shapes": (top_shapes, TOP),
     "qc_flags": (qc_flags, FLAGS),
-    "all_null_columns": (all_null_columns, "SELECT unnest(['lost', 'nan']) AS metric"),
+    "all_null_columns": (all_null_columns, ALL_NULL),
     "chunk_bad_counts": (
         chunk_bad_counts,
         "SELECT count(*) FILTER (vec_id % 7 = 0) AS n_nan, count(*) FILTER (vec_id % 7 <> 0 AND vec_id % 11 = 0) AS n_inf, count(*) AS n_chunks FROM embeddings",
@@ -543,11 +655,13 @@ QUERIES = {
     "psc_normalise": (psc_normalise, PSC),
     "smoothness": (smoothness, SMOOTH),
     "lr_flip": (lr_flip, FLIP),
-    "resample_trilinear": (resample_trilinear, None),
+    "resample_trilinear": (resample_trilinear, RESAMPLED),
     "chunk_metrics": (chunk_metrics, METRICS),
-    "metric_bundle": (metric_bundle, None),
+    "metric_bundle": (metric_bundle, BUNDLE),
     "mask_volumes": (mask_volumes, MASK),
     "volume_checks": (volume_checks, CHECKS),
+    "preprocess_masks": (preprocess_masks, PREPROCESS_MASKS),
+    "preprocess_log": (preprocess_log, PREPROCESS_LOG),
     "psc_report": (psc_report, PSC_REPORT),
     "minmax_scaled": (minmax_scaled, MINMAX),
     "chunk_extraction": (chunk_extraction, EXTRACTION),

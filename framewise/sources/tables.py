@@ -47,6 +47,13 @@ def write_by_domain(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split", "domain").parquet(path)
 
 
+def write_reports(reports: dict[str, DataFrame], folder: str, split: str, domain: str) -> None:
+    """A domain's reports as CSV, each a folder ``{split}_{name}.csv`` under the domain's; what isn't flat is written as JSON."""
+    for name, df in reports.items():
+        flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("map", "array", "struct") else F.col(f.name) for f in df.schema]
+        write_csv(df.select(*flat), f"{folder.rstrip('/')}/{domain}/{split}_{name}.csv", name != "chunk_level_metrics")
+
+
 def append_log(df: DataFrame, path: str, columns: list[str]) -> None:
     """Appends rows with the given columns; what a row lacks is empty."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
@@ -61,11 +68,11 @@ def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).withColumn("split", F.lit(split))
 
 
-def resolve_paths(root: str | None, split: str, corrupted: str | None = None, motion_free: str | None = None) -> tuple[str, str]:
-    """The two domains' metric tables: both given, or both by the root's convention."""
+def resolve_paths(qc_dir: str | None, split: str, corrupted: str | None = None, motion_free: str | None = None) -> tuple[str, str]:
+    """The two domains' metric tables: those of the folder with the reports, or else both given."""
+    if qc_dir:
+        base = f"{qc_dir.rstrip('/')}/analysis_output"
+        return f"{base}/corrupted/{split}_chunk_level_metrics.csv", f"{base}/motion_free/{split}_chunk_level_metrics.csv"
     if corrupted and motion_free:
         return corrupted, motion_free
-    if not root:
-        raise ValueError("give a root folder, or both tables")
-    base = f"{root.rstrip('/')}/{split}_qc/analysis_output"
-    return f"{base}/corrupted/{split}_chunk_metrics.csv", f"{base}/motion_free/{split}_chunk_metrics.csv"
+    raise ValueError("give the folder with the reports, or both tables")

@@ -108,9 +108,23 @@ def test_manifest_upsert(spark):
     old = spark.createDataFrame([("p1", "processed", 20), ("", "error", None)], "input_path string, status string, n int")
     new = spark.createDataFrame([("p1", "skipped", None), ("p2", "processed", 20), ("", "error", None)], "input_path string, status string, n int")
     got = sorted((r.input_path, r.status) for r in manifest.upsert(old, new).collect())
+    twice = spark.createDataFrame([("p1", "b", 1), ("p1", "a", 2)], "input_path string, status string, n int")
+    for parts in (1, 5):
+        assert [r.status for r in manifest.upsert(old.limit(0), twice.repartition(parts), order=["n"]).collect()] == ["a"]
     assert got == [("", "error"), ("", "error"), ("p1", "skipped"), ("p2", "processed")]
 
 
+def test_verification_limits(spark):
+    """Mean signal must be above 1; a shape that differs ends the checks; nothing is said of a file that isn't there."""
+    schema = "output_path string, load_error string, input_shape string, output_shape string, n_volumes long, n_brain_voxels long, n_nonzero_outside_brain long, n_outside long, mean_signal_brain double, n_zero_volumes long"
+    rows = [(p, e, "(2, 2)", s, 5, 3, z, 4, m, 0) for p, e, s, z, m in (("a", None, "(2, 2)", 0, 1.5), ("b", None, "(2, 2)", 0, 1.0), ("c", None, "(2, 3)", 9, 0.0), ("d", "bad", None, 0, 2.0), ("e", "", "(2, 2)", 1, 0.5))]
+    expected = spark.createDataFrame([(x,) for x in "abcdef"], "output_path string")
+    got = {r.output_path: r for r in manifest.verification(expected, spark.createDataFrame(rows, schema)).collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "PASS", "b": "FAIL", "c": "FAIL", "d": "FAIL", "e": "FAIL", "f": "MISSING"}
+    assert got["b"].notes == "Brain signal unexpectedly low." and got["c"].notes == "Shape mismatch: input=(2, 2) output=(2, 3)" and got["c"].mean_signal_brain is None
+    assert got["d"].notes == "Load error: bad" and got["f"].notes == "" and got["e"].pct_outside_zeroed == 75.0
+
+
 def test_summary(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 4.0, 8.0, math.nan)], "m double")
     r = qc.distribution_summary(df, ["m", "absent"]).first()
@@ -192,11 +206,57 @@ def test_motion_files(spark, tmp_path):
     (tmp_path / "a.par").write_bytes(b"# head\r\n0 0 0 0 0 0\r\n\r\n 1e-2\t0 0  .5 0 0 \r\n")
     (tmp_path / "b.par").write_text("1 2 3 4 5 6")
     (tmp_path / "c.par").write_text("1 2 3 4 5\n1 2 3 4 5\n")
-    got = motion_params.read_motion_parameters(spark, str(tmp_path)).collect()
+    got = motion_params.read_motion_parameters(spark, str(tmp_path), "skip").collect()
     rows = sorted((r.path[-5], r.vol, r.rot_x, r.trans_x) for r in got)
     assert rows == [("a", 0, 0.0, 0.0), ("a", 1, 0.01, 0.5), ("b", 0, 1.0, 4.0)]
-    lenient = motion_params.read_motion_parameters(spark, str(tmp_path), lenient=True)
-    assert lenient.count() == 5 and lenient.filter("rot_x IS NULL").count() == 2
+    null = motion_params.read_motion_parameters(spark, str(tmp_path), "null")
+    assert null.count() == 5 and null.filter("rot_x IS NULL").count() == 2
+    assert [(r.path[-5:], r.problem) for r in motion_params.bad_files(spark, str(tmp_path)).collect()] == [("c.par", "not six columns")]
+    with pytest.raises(Exception, match="six columns"):
+        motion_params.read_motion_parameters(spark, str(tmp_path)).collect()
+    (tmp_path / "c.par").write_text("1 2 3 4 5 x\n1 2 3 4 5 6\n")
+    assert motion_params.read_motion_parameters(spark, str(tmp_path), "null").filter("rot_x IS NULL").count() == 2  # the whole file
+
+
+def test_ranks_of_rows_with_payload(spark):
+    """Ranks are 1..n whatever other columns there are, ties of partitions, nulls and strings included."""
+    from framewise.operators.ranks import ordered_rank
+
+    df = spark.range(50_000).selectExpr("xxhash64(id) % 30000 AS a", "CASE WHEN id % 7 > 0 THEN md5(string(id)) END AS b", "id AS c", "repeat('x', 20) AS more")
+    got = ordered_rank(df, ["a", "b", "c"], parts=23).toPandas()
+    assert sorted(got["rank"]) == list(range(1, 50_001))
+    keys = [(a, b is not None, b or "", c) for a, b, c in got.sort_values("rank")[["a", "b", "c"]].astype(object).itertuples(index=False, name=None)]
+    assert keys == sorted(keys)
+    assert ordered_rank(df.limit(0), ["a"]).count() == 0
+
+
+def test_quantiles_beyond_one_task(spark):
+    from framewise.operators.quantiles import quantiles
+
+    df = spark.range(5_000).selectExpr("id % 3 AS g", "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 2 = 0 THEN 7.0 ELSE double(xxhash64(id) % 1000) END AS v")
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
+    for by in (["g"], []):
+        small = sorted(map(tuple, quantiles(df, by, "v", shares).collect()))
+        large = sorted(map(tuple, quantiles(df, by, "v", shares, small=10).collect()))
+        assert len(small) == len(large) and all(x == pytest.approx(y) for x, y in zip(small, large, strict=True))
+
+
+def test_running_best_in_ranges(spark):
+    df = spark.range(3_000).selectExpr("id % 4 AS g", "id AS k", "double(xxhash64(id) % 500) AS v", "'x' AS more")
+    got = sorted(map(tuple, stats.running_best(df, ["k"], "v", ["g"], parts=17).select("g", "k").collect()))
+    best, want = {}, []
+    for r in df.orderBy("k").collect():
+        if r.v > best.get(r.g, float("-inf")):
+            best[r.g] = r.v
+            want.append((r.g, r.k))
+    assert got == sorted(want)
+
+
+def test_infinities_are_flagged_and_summed_up(spark):
+    df = spark.createDataFrame([(math.inf, -math.inf), (0.1, 20.0), (math.nan, math.nan)], "par_fd_mean double, tsnr_mean double")
+    assert [r.qc_flags for r in qc.qc_flags(df).collect()] == ["high_fd_mean:inf|low_tsnr:-inf"]
+    r = qc.distribution_summary(df, ["par_fd_mean"]).first()
+    assert (r.n, r["max"], r["min"]) == (2, math.inf, 0.1)
 
 
 def test_safe_chunks_hold_no_spike(spark):

@@ -1,5 +1,7 @@
 """Volume kernels against plain numpy, and NIfTI round trips."""
 
+import struct
+
 import numpy as np
 import pytest
 
@@ -74,6 +76,49 @@ def test_series_of_a_chunk_is_not_stacked(spark, chunk):
     assert r.dvars_improvement == pytest.approx(i["dvars"] - o["dvars"]) and r.tsnr_improvement == pytest.approx(o["tsnr"] - i["tsnr"])
 
 
+def test_single_volumes_have_no_changes(spark, chunk):
+    r = volumes.chunk_metrics(frame(spark, chunk[:1])).first()
+    assert (r.dvars_mean, r.dvars_max, r.tsnr_mean, r.tsnr_median, r.voxel_size) == (None,) * 5 and r.n_vols == 1
+
+
+def test_mean_volumes_go_along(spark, chunk):
+    psc = volumes.percent_signal_change(frame(spark, chunk))
+    mean = lambda df: np.array(df.first()["mean_data"]).reshape(df.first()["shape"])
+    assert np.array_equal(mean(volumes.flip_x(psc, 1, 2, rate=1.0)), mean(psc)[::-1])
+    assert mean(volumes.resample(psc, (8, 3, 6))).shape == (8, 3, 6)
+
+
+def test_reports_and_logs(spark, tmp_path):
+    from framewise.operators import qc
+    from framewise.streaming.monitor import flag_stream
+
+    rows = [("c1", 0.9, 20.0, "(4, 4, 4, 2)", "[2.0, 2.0, 2.0]"), ("c2", 0.1, 5.0, "(4, 4, 4, 2)", "[2.0, 2.0, 2.0]"), ("c3", 0.2, 20.0, "(4, 4, 4, 3)", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, par_fd_mean double, tsnr_mean double, shape string, voxel_size string")
+    reports = qc.domain_reports(df)
+    tables.write_reports(reports, str(tmp_path), "val", "corrupted")
+    read = lambda n: spark.read.option("header", True).csv(str(tmp_path / "corrupted" / f"val_{n}.csv"))
+    assert read("chunk_level_metrics").count() == 3 and {r.metric for r in read("distribution_summary").collect()} == {"par_fd_mean", "tsnr_mean"}
+    assert sorted(r.qc_flags for r in read("qc_flags").collect()) == ["high_fd_mean:0.900", "low_tsnr:5.00"] == sorted(r.qc_flags for r in flag_stream(df).collect())
+    r = read("shape_report").first()
+    assert (r.n_chunks, r.unique_shapes, r.most_common_shape, r.unique_voxsizes, r.most_common_vox, r.shape_inconsistent) == ("3", "2", "(4, 4, 4, 2)", "1", "[2.0, 2.0, 2.0]", "true")
+    for status in ("ok", "error"):
+        tables.append_log(spark.createDataFrame([("s", status)], "subject_id string, status string"), str(tmp_path / "log"), ["subject_id", "status", "message"])
+    assert sorted(tuple(x) for x in spark.read.option("header", True).csv(str(tmp_path / "log")).collect()) == [("s", "error", None), ("s", "ok", None)]
+    tables.write_by_domain(df.selectExpr("*", "'val' AS split", "'A_corrupted' AS domain"), str(tmp_path / "by"))
+    assert spark.read.parquet(str(tmp_path / "by")).filter("split = 'val' AND domain = 'A_corrupted'").count() == 3
+
+
+def test_split_tables_are_read(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    for name, schema in (("train_corrupted_all", tables.CORRUPTED), ("train_motion_free", tables.MOTION_FREE)):
+        kinds = StructType.fromDDL(schema)
+        row = tuple({"string": "001", "integer": 1, "double": 0.5}[f.dataType.typeName()] for f in kinds)
+        tables.write_csv(spark.createDataFrame([row], kinds), str(tmp_path / f"{name}.csv"), one_file=True)
+    got = tables.read_split(spark, str(tmp_path), "train").collect()
+    assert sorted((r.domain, r.split, r.subject_id) for r in got) == [("A_corrupted", "train", "001"), ("B_motion_free", "train", "001")]
+
+
 def test_mask_checks_shapes(spark, chunk):
     mask = np.zeros((4, 5, 3))
     mask[1] = 1
@@ -95,6 +140,17 @@ def test_nifti_round_trip(spark, chunk, tmp_path):
     assert good.count() == 6 and v.filter("load_error IS NOT NULL").count() == 1
     rows = good.selectExpr("'c' AS chunk_id", "vol", "shape", "data")
     assert np.array_equal(back(rows), chunk)
+    stepped = bytearray(nifti.header_of(nifti.render(np.moveaxis(chunk, 0, -1), affine)))
+    struct.pack_into("<f", stepped, 92, 2.5)  # the time step
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "run.nii.gz").write_bytes(nifti.render(np.moveaxis(chunk, 0, -1), affine, header=bytes(stepped) + b"kept"))
+    kept = nifti.read_volumes(spark, str(tmp_path / "h")).filter("vol BETWEEN 1 AND 3").selectExpr("'k' AS chunk_id", "vol", "shape", "data", "header")
+    content = bytes(nifti.encode_chunks(kept).first().content)
+    head = nifti.header_of(content)
+    assert struct.unpack_from("<f", head, 92)[0] == 2.5 and head[-4:] == b"kept" and struct.unpack_from("<8h", head, 40)[4] == 3
+    assert np.array_equal(nifti.parse(content)[0], np.moveaxis(chunk[1:4], 0, -1)) and np.allclose(nifti.parse(content)[1], affine)
+    with pytest.raises(ValueError):
+        nifti.encode_chunks(rows)
     out = tmp_path / "out"
     first = nifti.write_files(nifti.encode_chunks(rows, affine), str(out)).collect()
     assert [r.status for r in first] == ["ok"]
@@ -112,7 +168,7 @@ def test_mask_file_and_paths(spark, tmp_path):
     (tmp_path / "m.nii.gz").write_bytes(nifti.render(np.array([[[0.4, 0.6], [1.0, 0.5]]], np.float32), np.eye(4)))
     assert nifti.read_mask(spark, str(tmp_path / "m.nii.gz")).tolist() == [[[False, True], [True, False]]]
     assert tables.resolve_paths(None, "val", "a", "b") == ("a", "b")
-    assert tables.resolve_paths("/r/", "val")[0].startswith("/r/val_qc/")
+    assert tables.resolve_paths("/r/", "val", "a", "b") == tuple(f"/r/analysis_output/{d}/val_chunk_level_metrics.csv" for d in ("corrupted", "motion_free"))
     with pytest.raises(ValueError):
         tables.resolve_paths(None, "val")
 
@@ -149,12 +205,12 @@ def test_stream_of_windows(spark, sf_dir):
 
 
 def test_manifest_stream(spark, tmp_path):
-    from framewise.streaming.monitor import manifest_sink
+    from framewise.streaming.monitor import manifest_sink, read_manifest
 
     schema = "input_path string, status string"
     for k, rows in enumerate([[("p1", "processed")], [("p1", "skipped"), ("p2", "processed")]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         manifest_sink(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
-    last = sorted((tmp_path / "out").iterdir())[-1]
-    assert sorted(map(tuple, spark.read.parquet(str(last)).collect())) == [("p1", "skipped"), ("p2", "processed")]
+    assert sorted(map(tuple, read_manifest(spark, str(tmp_path / "out"), schema).collect())) == [("p1", "skipped"), ("p2", "processed")]
+    assert read_manifest(spark, str(tmp_path / "nothing"), schema).count() == 0
