@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, encoded, few, fresh, gram_hashes, join_lookup, list_array, materialize, scratch, word_hashes
+from .common import batches, encoded, few, fresh, gram_hashes, join_lookup, list_array, materialize, scratch, shared_table, word_hashes
 
 WINDOW = 10
 #: Terms of each window that a proximity match needs.
@@ -84,6 +84,12 @@ def postings(docs: DataFrame) -> DataFrame:
     return batches(rows, run, INDEX)
 
 
+def shared_index(docs: DataFrame) -> DataFrame:
+    """The index, written in buckets of shards: windows come to it, it doesn't move."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shared_table(postings(docs), "decontamination-index", "shard", max(buckets, 32))
+
+
 def documents(index: DataFrame) -> DataFrame:
     """(doc_id, fp, n_words) of every row that was indexed."""
     d = index.select(F.posexplode(F.arrays_zip("doc_ids", "fps", "ends")).alias("k", "d"), "ends")
@@ -99,7 +105,7 @@ def ranked_windows(windows: DataFrame, index: DataFrame) -> DataFrame:
     own = F.broadcast(own) if few(own) else own  # 8 bytes each
     found = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
     n = found.join(own, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
-    ranked = places.join(n, "term", "left").groupBy("win", "len").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("terms"))
+    ranked = join_lookup(places, n, "term").groupBy("win", "len").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("terms"))
     rarest = F.get("terms", F.lit(0))
     return ranked.filter(rarest["n"] > 0).select(rarest["term"].alias("rarest"), "win", "len", "terms")
 
@@ -190,7 +196,7 @@ def phrase_hits(found: DataFrame) -> DataFrame:
 
 def _search(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, hits, items): the index of ``docs``, phrase_hits() of all windows, and the items' windows."""
-    index = materialize(postings(docs), "decontamination-index")
+    index = shared_index(docs)
     windows, items = test_windows(benchmark, size)
     with scratch() as keep:
         ranked = materialize(ranked_windows(windows, index), "decontamination-ranked")
@@ -233,7 +239,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, size: int = WINDOW) -> DataFrame:
     """(doc_id, item_id): items of which the ANCHORS rarest terms of a window stand within ``slop`` words of their places."""
-    index = materialize(postings(docs), "decontamination-index")
+    index = shared_index(docs)
     windows, items = test_windows(benchmark, size)
     ranked = materialize(ranked_windows(windows, index), "decontamination-ranked")
     found = matches(index, ranked, ANCHORS, slop).select("doc_id", F.explode("wins").alias("win"))
