@@ -246,3 +246,21 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, size
     by_win = items.groupBy("win").agg(F.collect_set("item_id").alias("ids"))
     named = join_lookup(found.distinct(), by_win, "win", "inner")
     return named.select("doc_id", F.explode("ids").alias("item_id")).distinct()
+
+
+#: Equivalent DuckDB SQL: every window of every text, joined with the items' windows.
+DECONTAMINATION_SQL = r"""
+WITH t AS (
+  SELECT doc_id, NULL AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda k: array_to_string(ws[k:k+9], ' '))) AS g FROM b WHERE len(ws) > 0),
+s AS (SELECT DISTINCT n FROM i),
+d AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS k, ws FROM t, s WHERE len(ws) >= n),
+g AS (SELECT doc_id, n, k, array_to_string(ws[k:k+n-1], ' ') AS g FROM d),
+h AS (SELECT doc_id, g.n, k, item_id FROM g JOIN i ON i.g = g.g AND i.n = g.n),
+x AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS v FROM h) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM t LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+"""

@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHasher, batches, gram_hashes, join_lookup, list_array, materialize, mix64, semi_by_id, words_of
+from .common import LOWER, batches, encoded, gram_hashes, join_lookup, list_array, materialize, mix64, scratch, semi_by_id, word_hashes
 from .components import connected_components
 
 BANDS, ROWS = 32, 5
+#: Pairs of one class, and classes of one bucket, that go to one task.
+PAIRS, MEMBERS = 200, 2_000
 
 
 @dataclass(frozen=True)
@@ -41,9 +43,10 @@ class NearDup:
     slack: float = 0.15  # by how much a signature's estimate may fall short; about five deviations
 
 
-def shingle_set(hasher: WordHasher, text: str | None, words: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of lower-cased words."""
-    return np.unique(gram_hashes(hasher.array(words_of(text, lower=True)), words))
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Of each text, the sorted 64-bit hashes of the distinct shingles of lower-cased words."""
+    h, ends = word_hashes(encoded(texts, LOWER))
+    return (np.unique(gram_hashes(own, words)) for own in (np.split(h, ends[:-1]) if len(ends) else []))
 
 
 def _universal() -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +77,10 @@ def features(docs: DataFrame, p: NearDup) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hasher = WordHasher()
         tags = mix64(np.arange(BANDS, dtype=np.uint64))
         for batch in it:
             n, digests, bands, sigs = [], [], [], []
-            for text in batch.column("text"):
-                s = shingle_set(hasher, text.as_py(), p.words)
+            for s in shingle_sets(batch.column("text"), p.words):
                 n.append(len(s))
                 if not len(s):
                     digests.append(None), bands.append(np.empty(0, np.int64)), sigs.append(None)
@@ -100,46 +101,59 @@ def features(docs: DataFrame, p: NearDup) -> DataFrame:
     return batches(ids, run, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
+def _paired(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with the values of both, as x and y; rows: rep and the value.
+
+    Of each pair, the end that is in more pairs is its hub. The other end's value comes first and then goes
+    with the pair to the hub, of whose value there is one copy for every PAIRS pairs; so a hub's value is
+    not sent with each of its pairs, nor do all of them meet in one task.
+    """
+    n = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    n = materialize(n, "near-dedup-hubs")
+    both = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    first = F.col("na") >= F.col("nb")
+    both = both.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("rep"), F.ceil(F.greatest("na", "nb") / F.lit(PAIRS)).alias("parts"))
+    both = both.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    values = rows.select("rep", F.col(value).alias("y"))
+    copies = rows.join(n, "rep").select(F.col("rep").alias("hub"), F.col(value).alias("x"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(PAIRS)) - 1)).alias("part"))
+    return both.join(values, "rep").select("a", "b", "hub", "part", "y").join(copies, ["hub", "part"]).select("a", "b", "x", "y")
+
+
 def _alike(pairs: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
     """Pairs (a, b) whose signatures agree enough, with their agreement ``est``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sa", "sb"))
-            est = (a == b).mean(axis=1)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
+            est = (x == y).mean(axis=1)
             keep = pa.array(est >= p.percent / 100 - p.slack)
             cols = [batch.column("a"), batch.column("b"), pa.array(est, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, ["a", "b", "est"]).filter(keep)
 
-    sides = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
-    sides = sides.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    return batches(sides, run, "a long, b long, est double")
+    return batches(_paired(pairs, sigs, "sig"), run, "a long, b long, est double")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs (a, b) whose whole shingle sets are similar enough."""
+    """Pairs (a, b) whose whole shingle sets are similar enough; of ids with several texts, those of any."""
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in it:
-            found = [shingle_set(hasher, t.as_py(), p.words).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "set"])
+            found = [x.tobytes() for x in shingle_sets(batch.column("text"), p.words)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["rep", "set"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             keep = []
-            for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= p.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    found = batches(semi_by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids), sets, "doc_id long, set binary")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    found = batches(semi_by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids), sets, "rep long, set binary")
     found = materialize(found, "near-dedup-sets")
-    sides = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), "a")
-    sides = sides.join(found.select(F.col("doc_id").alias("b"), F.col("set").alias("xb")), "b")
-    return batches(sides.select("a", "b", "xa", "xb"), run, "a long, b long").distinct()
+    return batches(_paired(pairs, found, "set"), run, "a long, b long").distinct()
 
 
 def _with_component(df: DataFrame, node: str, comps: DataFrame, out: str) -> DataFrame:
@@ -160,13 +174,17 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDup) -> DataFrame:
     reps = materialize(reps, "near-dedup-classes")
     sigs = reps.select("rep", "sig")
     slots = reps.select("rep", F.explode("bands").alias("key"))
-    sizes = slots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # apart from the join, so that adaptive execution can split a large bucket in it
+    sizes = materialize(slots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-dedup-sizes")
     members = materialize(slots.join(sizes, "key"), "near-dedup-buckets")
     # hubs are the classes that share most bands with others: what copies were made from, not a copy
     central = members.groupBy("rep").agg((-F.sum("n")).alias("o"))
     members = members.join(central, "rep")
-    hubs = members.groupBy("key").agg(F.min(F.struct("o", "rep")).alias("h")).select("key", F.col("h.rep").alias("hub"))
-    members = materialize(members.join(hubs, "key"), "near-dedup-buckets")
+    hubs = members.groupBy("key", "n").agg(F.min(F.struct("o", "rep")).alias("h")).select("key", "n", F.col("h.rep").alias("hub"))
+    parts = F.ceil(F.col("n") / F.lit(MEMBERS))
+    hubs = hubs.select("key", "hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).join(hubs, ["key", "part"]).drop("part")
+    members = materialize(members, "near-dedup-buckets")
     pair = lambda df, x, y: df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     cand = materialize(_alike(pair(members, "hub", "rep"), sigs, p), "near-dedup-pairs")
     # the best pair of each class first; what is then still open after that
@@ -203,9 +221,8 @@ def _unsettled(docs: DataFrame, members: DataFrame, comps: DataFrame, p: NearDup
         return None
 
     def shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in it:
-            found = [shingle_set(hasher, t.as_py(), p.words).view(np.int64) for t in batch.column("text")]
+            found = [x.view(np.int64) for x in shingle_sets(batch.column("text"), p.words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(found, pa.int64())], ["rep", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -227,7 +244,8 @@ def _unsettled(docs: DataFrame, members: DataFrame, comps: DataFrame, p: NearDup
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept (it is that one)."""
     feats = materialize(features(docs, p), "near-dedup-features")
-    comps = links(docs, feats, p)
+    with scratch() as keep:
+        comps = keep(materialize(links(docs, feats, p), "near-dedup-components"))
     known = feats.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     moved = _with_component(classes, "rep", comps, "component").filter("component <> rep OR rep <> last").select("digest", "component")
@@ -235,3 +253,20 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     found = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     found = F.when(F.col("doc_id").isNotNull(), found)
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+#: Equivalent DuckDB SQL for shingles of four words: every pair with a common shingle, and components by walking the links.
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
+"""

@@ -90,5 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.QUALITY_RULES_SQL,
+    "op2_near_dedup": near_dedup.NEAR_DEDUP_SQL,
+    "op3_decontamination": decontamination.DECONTAMINATION_SQL,
     "op6_chat_format": chat_format.CHAT_FORMAT_SQL,
 }
