@@ -248,7 +248,7 @@ def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.alias("n_brain_voxels"),
         F.count_if(price > 490000).alias("n_nonzero_outside_brain"),
         F.count_if(price > 100000).alias("n_outside"),
-        (F.min("o_totalprice") / 20000.0).alias("mean_signal_brain"),
+        (F.min("o_totalprice") / 30000.0).alias("mean_signal_brain"),
         F.count_if(price <= 2000).alias("n_zero_volumes"),
     )
     counts = ["n_volumes", "n_brain_voxels", "n_zero_outside_brain", "n_zero_volumes"]
@@ -257,7 +257,7 @@ def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VERIFICATION = """
 WITH o AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_totalprice > 490000) AS nz, count(*) FILTER (o_totalprice > 100000) AS nout,
-                  min(o_totalprice) / 20000.0 AS m, count(*) FILTER (o_totalprice <= 2000) AS z FROM orders GROUP BY o_custkey),
+                  min(o_totalprice) / 30000.0 AS m, count(*) FILTER (o_totalprice <= 2000) AS z FROM orders GROUP BY o_custkey),
 j AS (SELECT c_custkey AS output_path, c_mktsegment AS task, o.*, n IS NOT NULL AS there, coalesce(n % 13 <> 0, false) AS ok, coalesce(n % 13 <> 0 AND n % 11 <> 0, false) AS dims
       FROM customer LEFT JOIN o ON o_custkey = c_custkey),
 t AS (SELECT *, '(4, 4, 4, ' || n || ')' AS a, '(4, 4, 4, ' || (n - (n % 11 = 0)::INTEGER) || ')' AS b FROM j),
