@@ -1,15 +1,19 @@
-"""A word bigram model by deleted interpolation, learned from and applied to whole corpora.
-
-The probability of a token w after v is  l2 c(vw)/c(v) + l1 c(w)/N + l0/(V+1), where the weights
-depend on the bucket of c(v), its binary magnitude. They are learned by expectation-maximisation: the
-estimates then come from the training documents without those of one fold, and the weights are fitted
-to the tokens of that held-out fold. Scores use the counts of all training documents.
-
-Counting and looking up are one exchange. Documents are taken in blocks of a few million tokens. Each
-block sends its distinct words and word pairs, as sorted 64-bit hashes with their counts, to the slice
-of hash values that they fall in; a slice adds up the counts and answers every block in the order asked.
-No table of the vocabulary is ever broadcast or gathered, and a frequent word or pair is one key per
-block, so no slice is hot. The number of slices follows the size of the text.
+"""A word n-gram model by deleted interpolation, learned from and applied to whole corpora.
+
+The probability of a token is a mixture of maximum-likelihood estimates: with ``order`` 3, of w after u v,
+l3 c(uvw)/c(uv) + l2 c(vw)/c(v) + l1 c(w)/N + l0/(V+1). The weights depend on the bucket of the longest
+context that was seen: its length and its count's binary magnitude. They are learned by
+expectation-maximisation: the estimates then come from the training documents without those of one fold, and
+the weights are fitted to the tokens of that held-out fold. Scores use the counts of all training documents.
+
+Counting and looking up are one exchange for each length. Documents are taken in blocks of some million
+tokens. Each block sends its distinct n-grams, as sorted 64-bit hashes with their counts, to the slice of hash
+values that they fall in; a slice adds up the counts and answers every block in the order asked. What occurs
+once in all documents needs no count in the answer, since the block that asked has it. Longer n-grams are
+asked for only where both shorter ones within occur twice or more; elsewhere they occur once, which is known.
+No table of the vocabulary is ever broadcast or gathered, and a frequent n-gram is one key per block, so no
+slice is hot. Blocks and slices both grow with the square root of the text beyond a GB, up to GROWTH times, so
+that messages become larger and their number grows with the text and not with its square.
 
 Defined results: a null or empty text is one token, the end; a null doc_id is in no fold and trains;
 repeated rows count each time; other columns are ignored; an empty table gives no rows; without training
@@ -19,16 +23,19 @@ documents all counts are 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, batches, list_array, materialize, mix64, shared_table, train_fold, words_of
+from .common import LOWER, batches, encoded, list_array, materialize, mix64, shared_table, train_fold, word_hashes
 
+#: How many times larger than at first blocks and slices become.
+GROWTH = 4
 END = np.uint64(0x656E64)  # stands for the end of a text, which is also what is before its first word
 
 
@@ -37,10 +44,11 @@ class Interpolation:
     parts: int = 7
     test: int = 2  # documents of this fold don't train
     held: int = 3  # of those that train, this fold fits the weights
+    order: int = 3
     block_tokens: int = 1_200_000
     slice_bytes: int = 24_000_000  # of text for each slice
     rounds: int = 60
-    steps: int = 8  # cells for each factor of two, in the table that the weights are fitted to
+    steps: int = 4  # cells for each factor of two, in the table that the weights are fitted to
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -61,7 +69,6 @@ def token_blocks(docs: DataFrame, p: Interpolation) -> DataFrame:
     rows = docs.select("doc_id", "text", F.coalesce(train_fold("doc_id", p.parts), F.lit(-1)).cast("int").alias("fold"), tag.alias("part"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         ids, folds, parts, count, made = [], [], [], 0, 0
         part = ""
 
@@ -78,10 +85,11 @@ def token_blocks(docs: DataFrame, p: Interpolation) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "folds", "ends", "words", "tokens"])
 
         for batch in it:
-            for doc, text, fold, at in zip(*(batch.column(c) for c in ("doc_id", "text", "fold", "part")), strict=True):
-                part = at.as_py()
-                h = np.append(hasher.array(words_of(text.as_py(), lower=True)), END)
-                ids.append(doc.as_py()), folds.append(fold.as_py()), parts.append(h)
+            every, upto = word_hashes(encoded(batch.column("text"), LOWER))
+            own = np.split(every, upto[:-1]) if len(upto) else []
+            for doc, fold, at, h in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fold", "part")), own, strict=True):
+                part, h = at, np.append(h, END)
+                ids.append(doc), folds.append(fold), parts.append(h)
                 count += len(h)
                 if count >= p.block_tokens:
                     yield block()
@@ -92,151 +100,257 @@ def token_blocks(docs: DataFrame, p: Interpolation) -> DataFrame:
 
 
 class _Block:
-    """A block's tokens as distinct words (kind 0) and pairs (kind 1), each sorted by hash."""
+    """A block's tokens as distinct n-grams (of n - 1 = kind words before the token), each kind sorted by hash."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, p: Interpolation):
         words = np.frombuffer(row["words"], np.uint64)
         self.h = words[_numbers(row["tokens"])]
         self.ids, self.ends = row["doc_ids"], np.array(row["ends"], np.int64)
         self.folds = np.array(row["folds"], np.int64)
-        self.fold = np.repeat(self.folds, np.diff(self.ends, prepend=0))
-
-    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes, and each token's place among them."""
-        if kind == 0:
-            return np.unique(mix64(self.h), return_inverse=True)
-        before = np.concatenate([[END], self.h[:-1]])  # a text's first token follows the end of the one before
+        size = np.diff(self.ends, prepend=0)
+        fold = np.repeat(self.folds, size)
+        #: 1 for tokens that are in all estimates, 2 for those held out from the weights' ones, 3 for those of the test
+        self.use = np.where(fold == p.test, 3, np.where(fold == p.held, 2, 1)).astype(np.uint8)
+        self.offset = np.arange(len(self.h)) - np.repeat(self.ends - size, size)
+
+    def keys(self, kind: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, and the place among them of each token, or of those at the places ``at``."""
+        at = np.arange(len(self.h)) if at is None else at
+        found = None
         with np.errstate(over="ignore"):
-            return np.unique(mix64(mix64(before) + self.h), return_inverse=True)
+            for back in range(kind, -1, -1):
+                # before a text's first word there are only ends
+                word = np.where(self.offset[at] >= back, self.h[np.maximum(at - back, 0)], END) if back else self.h[at]
+                found = mix64(word if found is None else found + word)
+        return np.unique(found, return_inverse=True)
 
 
-def _requests(blocks: DataFrame, slices: int, p: Interpolation) -> DataFrame:
-    edges = np.array([(k << 64) // slices for k in range(1, slices)], np.uint64) if slices > 1 else np.empty(0, np.uint64)
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers from 0 to 3, four to a byte."""
+    c = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint8)]).reshape(-1, 4)
+    return (c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).astype(np.uint8).tobytes()
+
+
+def _codes(raw: bytes, n: int) -> np.ndarray:
+    c = np.frombuffer(raw, np.uint8)
+    return ((c[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).ravel()[:n]
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, by bytes of the same rank; the upper ones are mostly 0."""
+    d = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(d.T).tobytes()
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for row in batch.to_pylist():
-                b = _Block(row)
-                kept, held = (b.fold != p.test) & (b.fold != p.held), b.fold == p.held
-                for kind in (0, 1):
-                    keys, inv = b.keys(kind)
-                    n = [np.bincount(inv[on], minlength=len(keys)).astype(np.uint32) for on in (kept, held)]
-                    cut = [0, *np.searchsorted(keys, edges), len(keys)]
-                    at = [k for k in range(slices) if cut[k] < cut[k + 1]]
-                    part = lambda a: pa.array([a[cut[k] : cut[k + 1]].tobytes() for k in at], pa.binary())  # noqa: B023, E731
-                    cols = [pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([row["block"]] * len(at)), part(keys), part(n[0]), part(n[1])]
-                    yield pa.RecordBatch.from_arrays(cols, ["kind", "slice", "block", "keys", "kept", "held"])
 
-    return batches(blocks, run, "kind int, slice int, block string, keys binary, kept binary, held binary")
+def _keys(raw: bytes) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+REQUEST = "kind int, slice int, block string, n int, keys binary, once binary, counts binary"
+
+
+def _asked(b: _Block, block: str, kind: int, at: np.ndarray | None, edges: np.ndarray) -> pa.RecordBatch:
+    """REQUEST rows of a block's n-grams, one for each slice: keys; of what comes once the token's use, else 0; counts of each use of the rest."""
+    keys, inv = b.keys(kind, at)
+    use = b.use if at is None else b.use[at]
+    n = np.stack([np.bincount(inv[use == u], minlength=len(keys)) for u in (1, 2, 3)])
+    once = np.where(n.sum(axis=0) == 1, n.argmax(axis=0) + 1, 0).astype(np.uint8)
+    cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    rows = [(k, slice(cut[k], cut[k + 1])) for k in range(len(cut) - 1) if cut[k] < cut[k + 1]]
+    cols = [pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows)), pa.array([s.stop - s.start for _, s in rows], pa.int32())]
+    cols.append(pa.array([_steps(keys[s]) for _, s in rows], pa.binary()))
+    cols.append(pa.array([_packed(once[s]) for _, s in rows], pa.binary()))
+    cols.append(pa.array([_planes(n[:, s][:, once[s] == 0].ravel()) for _, s in rows], pa.binary()))
+    return pa.RecordBatch.from_arrays(cols, ["kind", "slice", "block", "n", "keys", "once", "counts"])
+
+
+ANSWER = "kind int, slice int, block string, n int, more binary, kept binary, every binary, stats array<double>"
 
 
 def _answers(requests: DataFrame) -> DataFrame:
-    """Totals for every request, in its order; and, with a null block, each slice's tokens and distinct tokens."""
+    """ANSWER rows: for every request, in its order, which n-grams come twice or more in all documents, and those ones'
+    totals; and, with a null block, each slice's tokens and distinct tokens in both sets of estimates."""
 
     def run(t: pa.Table) -> pa.Table:
         kind, at = t.column("kind")[0].as_py(), t.column("slice")[0].as_py()
-        get = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]
-        keys = get("keys", np.uint64)
-        distinct, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(inv, np.concatenate(get(c, np.uint32)), len(distinct)) for c in ("kept", "held")]
-        every = sums[0] + sums[1]
+        parts = [_keys(x.as_buffer()) for x in t.column("keys")]
+        ends = np.cumsum([len(x) for x in parts])
+        distinct, inv = np.unique(np.concatenate(parts), return_inverse=True)
+        del parts
+        sums = np.zeros((3, len(distinct)), np.int64)
+        for upto, n, once, counts in zip(ends.tolist(), *(t.column(c) for c in ("n", "once", "counts")), strict=True):
+            n = n.as_py()
+            own, codes = inv[upto - n : upto], _codes(once.as_buffer(), n)
+            several = _numbers(counts.as_buffer()).reshape(3, -1)
+            for u in range(3):
+                sums[u, own[codes == u + 1]] += 1
+                sums[u, own[codes == 0]] += several[u]
+        more, every = sums.sum(axis=0) > 1, sums[0] + sums[1]
         stats = [float(sums[0].sum()), float((sums[0] > 0).sum()), float(every.sum()), float((every > 0).sum())]
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        out = [[_planes(x) for x in np.split(s[inv].astype(np.uint32), cut)] for s in (sums[0], every)]
+        out: list[list[bytes]] = [[], [], []]
+        for a, b in zip([0, *ends.tolist()], ends.tolist()):
+            own = inv[a:b]
+            many = own[more[own]]
+            for x, raw in zip(out, (np.packbits(more[own]).tobytes(), _planes(sums[0][many]), _planes(every[many])), strict=True):
+                x.append(raw)
         n = t.num_rows + 1
         cols = [pa.array([kind] * n, pa.int32()), pa.array([at] * n, pa.int32()), pa.array([*t.column("block").to_pylist(), None], pa.string())]
-        cols += [pa.array([*x, None], pa.binary()) for x in out] + [pa.array([None] * (n - 1) + [stats], pa.list_(pa.float64()))]
-        return pa.Table.from_arrays(cols, ["kind", "slice", "block", "kept", "every", "stats"])
-
-    schema = "kind int, slice int, block string, kept binary, every binary, stats array<double>"
-    return requests.groupBy("kind", "slice").applyInArrow(run, schema)
-
-
-def _counts(b: _Block, answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """c(v), c(w) and c(vw) of every token w after v."""
-    rows = answers.select(["kind", "slice", column]).sort_by("slice")
-    kinds = rows.column("kind").to_pylist()
-    out = []
-    for kind in (0, 1):
-        raw = [_numbers(x.as_py()) for k, x in zip(kinds, rows.column(column), strict=True) if k == kind]
-        keys, inv = b.keys(kind)
-        found = np.concatenate(raw)
-        if kind == 0:
-            end = found[np.searchsorted(keys, mix64(np.array([END])))[0]]
-            out.append(np.concatenate([[end], found[inv[:-1]]]).astype(np.float64))
-        out.append(found[inv].astype(np.float64))
-    return out[0], out[1], out[2]
-
-
-def bucket(context: np.ndarray) -> np.ndarray:
-    """The binary magnitude of a context's count: 0, 1, 2-3, 4-7 and so on, 31 at most."""
-    return np.minimum(np.ceil(np.log2(context + 1)), 31).astype(np.int64)
+        cols += [pa.array([*t.column("n").to_pylist(), None], pa.int32()), *(pa.array([*x, None], pa.binary()) for x in out)]
+        cols.append(pa.array([None] * (n - 1) + [stats], pa.list_(pa.float64())))
+        return pa.Table.from_arrays(cols, [c.split()[0] for c in ANSWER.split(", ")])
+
+    return requests.groupBy("kind", "slice").applyInArrow(run, ANSWER)
+
+
+def _totals(b: _Block, answers: pa.Table, kind: int, column: str, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token's n-gram, or of those at the places ``at``: whether it comes twice or more, and its count in the estimates."""
+    rows = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("slice")
+    keys, inv = b.keys(kind, at)
+    several = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n.as_py()).astype(bool) for x, n in zip(rows.column("more"), rows.column("n"), strict=True)]
+    more = np.concatenate([np.empty(0, bool), *several])
+    counts = np.zeros(len(keys), np.float64)
+    counts[more] = np.concatenate([np.empty(0, np.uint32), *(_numbers(x.as_buffer()) for x in rows.column(column))])
+    use = b.use if at is None else b.use[at]
+    alone = use == 1 if column == "kept" else use <= 2
+    return more[inv], np.where(more[inv], counts[inv], alone)
+
+
+def _open(b: _Block, more: np.ndarray) -> np.ndarray:
+    """Places of the tokens whose n-gram, and the one before it in the text, come twice or more: only there a longer one can."""
+    before = np.concatenate([[True], more[:-1]]) | (b.offset == 0)
+    return np.flatnonzero(more & before)
+
+
+def _counts(b: _Block, answers: pa.Table, column: str, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of every token, the counts of its n-grams of each length from 1 on, and of the contexts of those from 2 on."""
+    grams, contexts, at = [], [], None
+    start = b.offset == 0
+    for kind in range(order):
+        found, n = _totals(b, answers, kind, column, at)
+        if at is None:
+            more, count = found, n
+        else:
+            more, count = np.zeros(len(b.h), bool), (b.use == 1 if column == "kept" else b.use <= 2).astype(np.float64)
+            more[at], count[at] = found, n
+        if kind == 0:  # texts begin after as many ends as there are texts
+            end = count[np.flatnonzero(b.h == END)[0]]
+        grams.append(count)
+        contexts.append(np.where(start, end, np.concatenate([[end], count[:-1]])))
+        if kind:
+            at = _open(b, more)
+    return grams, contexts[:-1]
+
+
+def bucket(contexts: list[np.ndarray]) -> np.ndarray:
+    """Of the longest context with a count, 32 times its length and the count's binary magnitude: 1, 2-3, 4-7 and so on; 0 if there is none."""
+    out = np.zeros(len(contexts[0]), np.int64) if contexts else 0
+    for k, n in enumerate(contexts):
+        out = np.where(n > 0, 32 * (k + 1) + np.minimum(np.ceil(np.log2(n + 1)), 31).astype(np.int64), out)
+    return out
 
 
 def fit_weights(cells: pd.DataFrame, p: Interpolation, floor: float) -> np.ndarray:
-    """Weights (bucket, order 0 to 2) by expectation-maximisation on held-out tokens.
+    """Weights (bucket, order from 0 on) by expectation-maximisation on held-out tokens.
 
-    cells: bucket, q1 and q2 (steps of the logarithm of each estimate; q2 null for 0), n tokens.
+    cells: bucket, q1, q2 and so on (steps of the logarithm of each estimate; -1e9 for 0), n tokens.
     """
-    out = np.tile([0.2, 0.4, 0.4], (32, 1))
-    out[0] = [0.5, 0.5, 0]
+    known = np.maximum(np.arange(32 * p.order) // 32, 0)[:, None] + 1 >= np.arange(p.order + 1)  # estimates whose context was seen
+    out = known / known.sum(axis=1, keepdims=True)
     for k, of in cells.groupby("bucket"):
-        f = np.stack([np.full(len(of), floor), 2.0 ** (of.q1.to_numpy(float) / p.steps), 2.0 ** (of.q2.to_numpy(float) / p.steps)], 1)
-        f = np.nan_to_num(f, nan=0.0)
+        f = np.stack([np.full(len(of), floor), *(2.0 ** (of[f"q{j}"].to_numpy(float) / p.steps) for j in range(1, p.order + 1))], 1)
         n = of.n.to_numpy(float)[:, None]
         for _ in range(p.rounds):
             share = f * out[k]
             share /= share.sum(axis=1, keepdims=True)
-            got = (share * n).sum(axis=0) + [1.0, 0.5, 0.5 * (k > 0)]  # every order keeps some weight
+            got = (share * n).sum(axis=0) + 0.5 * known[k]  # every order keeps some weight
             out[k] = got / got.sum()
     return out
 
 
+def estimates(grams: list[np.ndarray], contexts: list[np.ndarray], total: float) -> list[np.ndarray]:
+    """Maximum-likelihood estimates of each order from 1 on; 0 without the context."""
+    return [g / np.maximum(c, 1) for g, c in zip(grams, [np.full(len(grams[0]), max(total, 1.0)), *contexts], strict=True)]
+
+
 def interpolated_scores(docs: DataFrame, p: Interpolation = Interpolation()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(8, -(-size // p.slice_bytes))
+    grown = min(max(1.0, (size / 1e9) ** 0.5), GROWTH)
+    slices = max(8, -(-size // int(p.slice_bytes * grown)))
+    edges = np.array([(k << 64) // slices for k in range(1, slices)], np.uint64)
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = shared_table(token_blocks(docs, p), "lm-blocks", "block", max(shuffles, slices))
-    answers = materialize(_answers(_requests(blocks, slices, p)), "lm-answers")
+    made = token_blocks(docs, replace(p, block_tokens=int(p.block_tokens * grown)))
+    blocks = shared_table(made, "lm-blocks", "block", max(shuffles, slices))
+
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for row in batch.to_pylist():
+                b = _Block(row, p)
+                for kind in range(min(2, p.order)):
+                    yield _asked(b, row["block"], kind, None, edges)
+
+    answers = materialize(_answers(batches(blocks, first, REQUEST)), "lm-answers")
     total = answers.filter("kind = 0 AND stats IS NOT NULL").select(*(F.sum(F.get("stats", k)) for k in range(4))).first()
     kept_n, kept_v, all_n, all_v = (x or 0.0 for x in total)
-    by_block = answers.filter("block IS NOT NULL").drop("stats")
+    answers = answers.filter("block IS NOT NULL").drop("stats")
+
+    def joined(f, schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, schema)
+
+    def longer(kind: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            for row in left.to_pylist():
+                b, at = _Block(row, p), None
+                for k in range(1, kind):
+                    more = np.zeros(len(b.h), bool)
+                    more[slice(None) if at is None else at] = _totals(b, right, k, "kept", at)[0]
+                    at = _open(b, more)
+                out.append(_asked(b, row["block"], kind, at, edges))
+            return pa.Table.from_batches(out)
+
+        return run
+
+    for kind in range(2, p.order):
+        more = materialize(_answers(joined(longer(kind), REQUEST)), "lm-answers")
+        answers = answers.unionByName(more.filter("block IS NOT NULL").drop("stats"))
+
+    names = ["bucket", *(f"q{j}" for j in range(1, p.order + 1))]
 
     def held_out(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for row in left.to_pylist():
-            b = _Block(row)
-            v, w, vw = (x[b.fold == p.held] for x in _counts(b, right, "kept"))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                q1 = np.round(np.log2(w / max(kept_n, 1)) * p.steps)
-                q2 = np.round(np.log2(vw / v) * p.steps)
-            rows.append(pd.DataFrame({"bucket": bucket(v), "q1": q1, "q2": np.where(vw > 0, q2, -np.inf)}))
-        cells = pd.concat(rows).replace(-np.inf, -1e4).groupby(["bucket", "q1", "q2"]).size().reset_index(name="n")
-        return pa.Table.from_pandas(cells.astype({"bucket": "int32", "q1": "int32", "q2": "int32", "n": "int64"}), preserve_index=False)
+            b = _Block(row, p)
+            grams, contexts = _counts(b, right, "kept", p.order)
+            on = b.use == 2
+            grams, contexts = [x[on] for x in grams], [x[on] for x in contexts]
+            with np.errstate(divide="ignore"):
+                q = [np.round(np.log2(f) * p.steps) for f in estimates(grams, contexts, kept_n)]
+            at = bucket(contexts) if contexts else np.zeros(on.sum(), np.int64)
+            rows.append(pd.DataFrame(dict(zip(names, [at, *q], strict=True))))
+        cells = pd.concat(rows).replace(-np.inf, -1e9).groupby(names).size().reset_index(name="n")
+        return pa.Table.from_pandas(cells.astype({c: "int32" for c in names} | {"n": "int64"}), preserve_index=False)
+
+    cells = joined(held_out, ", ".join(f"{c} int" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    # the cells are bounded by the logarithms of the counts, not by the tokens
+    weights = fit_weights(cells.toPandas(), p, 1 / (kept_v + 1))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            b = _Block(row)
-            v, w, vw = _counts(b, right, "every")
-            l = weights[bucket(v)]  # noqa: E741
-            with np.errstate(divide="ignore", invalid="ignore"):
-                f2 = np.where(v > 0, vw / np.maximum(v, 1), 0)
-            token = np.log10(l[:, 0] / (all_v + 1) + l[:, 1] * w / max(all_n, 1) + l[:, 2] * f2)
-            base = np.log10((w + 1) / (all_n + all_v + 1))
-            first = np.concatenate([[0], b.ends[:-1]])
-            add = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
+            b = _Block(row, p)
+            grams, contexts = _counts(b, right, "every", p.order)
+            l = weights[bucket(contexts) if contexts else np.zeros(len(b.h), np.int64)]  # noqa: E741
+            token = l[:, 0] / (all_v + 1)
+            for k, f in enumerate(estimates(grams, contexts, all_n)):
+                token += l[:, k + 1] * f
+            base = np.log10((grams[0] + 1) / (all_n + all_v + 1))
+            start = np.concatenate([[0], b.ends[:-1]])
+            add = lambda x: np.add.reduceat(x, start)  # noqa: B023, E731
             cols = {"doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.folds == p.test), "n_tokens": pa.array(np.diff(b.ends, prepend=0))}
-            cols |= {"n_known": pa.array(add((w > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(b.ids), int(all_n)))}
-            out.append(pa.table(cols | {"base_score": pa.array(add(base)), "score": pa.array(add(token))}))
+            cols |= {"n_known": pa.array(add((grams[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(b.ids), int(all_n)))}
+            out.append(pa.table(cols | {"base_score": pa.array(add(base)), "score": pa.array(add(np.log10(token)))}))
         return pa.concat_tables(out)
 
-    def joined(f, schema: str) -> DataFrame:
-        return blocks.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(f, schema)
-
-    cells = joined(held_out, "bucket int, q1 int, q2 int, n long").groupBy("bucket", "q1", "q2").agg(F.sum("n").alias("n"))
-    # the cells are bounded by the logarithms of the counts, not by the tokens
-    weights = fit_weights(cells.toPandas(), p, 1 / (kept_v + 1))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return joined(scored, schema)
+    return joined(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
