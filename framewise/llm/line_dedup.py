@@ -255,7 +255,18 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     runs = F.zip_with("starts", "stops", lambda a, b: F.struct(a.alias("start"), b.alias("end")))
     both = found.filter(F.size("starts") > 0).select("doc_id", "fp", runs.alias("runs")).unionByName(more)
     every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs"))))
-    return both.groupBy("doc_id", "fp").agg(every.alias("runs"))
+    return both.groupBy("doc_id", "fp").agg(every.alias("runs")).withColumn("runs", _merged("runs"))
+
+
+def _merged(runs: str) -> Column:
+    """Sorted runs, those that overlap or meet as one."""
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when(r["start"] > last["end"], F.concat(done, F.array(r))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer)))
+
+    return F.aggregate(F.slice(runs, 2, 1 << 30), F.slice(runs, 1, 1), add)
 
 
 def _joined(starts: Column) -> Column:
