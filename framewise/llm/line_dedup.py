@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, adding, batches, encoded, few, fresh, let, materialize, mix64, named, scratch, without, word_hashes
+from .common import SPACE, adding, batches, encoded, few, fresh, let, materialize, mix64, named, scratch, semi_by_id, without, word_hashes
 
 NOISE, GUARANTEE = 15, 25
 #: Matches with one document that go to one task.
@@ -228,13 +228,15 @@ def _extended(docs: DataFrame, seeds: DataFrame) -> DataFrame:
             cols += [pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(ends) + 1)), pa.int32()), pa.array(v, pa.int64())) for row, v in lists]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "starts", "stops", "windows", "places"])
 
-    texts = _known(docs).dropDuplicates(["doc_id", "fp"])
+    # only documents in pairs are dealt out, and of these only those that are first for others once more
+    firsts = seeds.select(F.col("d0").alias("doc_id")).distinct()
+    texts = semi_by_id(_known(docs), seeds.select("doc_id").unionByName(firsts).distinct()).dropDuplicates(["doc_id", "fp"])
     # of a document that is first for many others there is a copy for every MATCHES of them
     busy = seeds.groupBy("d0", "f0").agg(F.ceil(F.count(F.lit(1)) / F.lit(MATCHES)).cast("int").alias("parts"))
     busy = busy.filter("parts > 1")
     busy = F.broadcast(busy) if few(busy) else busy  # 20 bytes each
     dealt = seeds.join(busy, ["d0", "f0"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "fp"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    first = texts.select(F.col("doc_id").alias("d0"), F.col("fp").alias("f0"), F.col("text").alias("text0")).join(busy, ["d0", "f0"], "left")
+    first = semi_by_id(texts, firsts).select(F.col("doc_id").alias("d0"), F.col("fp").alias("f0"), F.col("text").alias("text0")).join(busy, ["d0", "f0"], "left")
     first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1).cast("array<long>"))).drop("parts")
     pairs = dealt.join(texts, ["doc_id", "fp"]).join(first, ["d0", "f0", "part"])
     return batches(pairs.select("doc_id", "fp", "d0", "f0", "seeds", "text", "text0"), extend, FOUND)
