@@ -50,25 +50,22 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def _universal() -> tuple[np.ndarray, np.ndarray]:
-    """Fixed multipliers (odd) and addends of the hash functions h(x) = (a x + b mod 2^64) >> 32."""
-    seeds = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
-    return seeds[::2] | np.uint64(1), seeds[1::2]
+    """Fixed multipliers (odd) and addends of the hash functions h(x) = a x + b mod 2^32."""
+    seeds = (mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    return seeds[::2] | np.uint32(1), seeds[1::2]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minima; shingles are taken in blocks, which keeps the work in the cache."""
+    """The minima over the upper 32 bits of shingles; all functions at once for a block of these, which keeps the work in the cache."""
     a, b = _universal()
-    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    block = np.empty(8192, np.uint64)
+    out = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 8192):
-            part = shingles[at : at + 8192]
-            now = block[: len(part)]
-            for k in range(len(a)):
-                np.multiply(part, a[k], out=now)
-                now += b[k]
-                out[k] = min(out[k], now.min())
-    return (out >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(x), 512):
+            now = np.multiply.outer(a, x[at : at + 512])
+            now += b[:, None]
+            np.minimum(out, now.min(axis=1), out=out)
+    return out
 
 
 def features(docs: DataFrame, p: NearDup) -> DataFrame:
