@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     chat_format,
     decontamination,
+    filter_audit,
     language_id,
     language_model,
     line_dedup,
@@ -75,6 +76,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_dedup": op2_near_dedup,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +99,5 @@ ORACLES: dict[str, str] = {
     "op2_near_dedup": near_dedup.NEAR_DEDUP_SQL,
     "op3_decontamination": decontamination.DECONTAMINATION_SQL,
     "op6_chat_format": chat_format.CHAT_FORMAT_SQL,
+    "op12_filter_audit": filter_audit.FILTER_AUDIT_SQL,
 }
