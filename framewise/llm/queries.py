@@ -14,6 +14,7 @@ from . import (
     filter_audit,
     language_id,
     language_model,
+    lexical_search,
     line_dedup,
     near_dedup,
     personal_data,
@@ -77,6 +78,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_lexical_search": op11_lexical_search,
     "op12_filter_audit": op12_filter_audit,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
@@ -105,5 +111,6 @@ ORACLES: dict[str, str] = {
     "op2_near_dedup": near_dedup.NEAR_DEDUP_SQL,
     "op3_decontamination": decontamination.DECONTAMINATION_SQL,
     "op6_chat_format": chat_format.CHAT_FORMAT_SQL,
+    "op11_lexical_search": lexical_search.LEXICAL_SEARCH_SQL,
     "op12_filter_audit": filter_audit.FILTER_AUDIT_SQL,
 }
