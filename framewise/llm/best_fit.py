@@ -49,6 +49,11 @@ MODEL, SETTING = "/opt/tokenizers/byte_bpe_50k.json", "framewise.bytebpe.model"
 END = 0
 #: Parts whose ids a worker remembers (about 200 bytes each), and texts that are tokenized together.
 PARTS, TEXTS = 500_000, 250
+#: Latin letters with marks after them: two units for the tokenizer's model, wherever they stand.
+WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]{0,8})")
+#: What stands for a byte in a byte-level vocabulary: itself if it is visible, else the characters from 256 on in turn.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+AS_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 @dataclass(frozen=True)
@@ -72,6 +77,16 @@ def cost(length: int) -> int:
     return length * (length + 1) // 2
 
 
+class _Known(dict):
+    """Ids of parts. Of one that isn't known it gives an empty place, which gets its ids later."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, bytearray] = {}
+
+    def __missing__(self, part: str) -> bytearray:
+        return self.places.setdefault(part, bytearray())
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit numbers."""
 
@@ -79,10 +94,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks have a core each
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(spec), {}
+        self.tokenizer, self.known = Tokenizer.from_str(spec), _Known()
+        self.model = self.tokenizer.model
+        self.words, self.marks = {}, {}
         said = json.loads(spec)
         pre = said.get("pre_tokenizer") or {}
         plain = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True), said.get("normalizer")) == ("ByteLevel", False, True, None)
+        model = said["model"]
+        plain &= model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         added = [re.escape(t["content"]) for t in said.get("added_tokens") or []]
         #: Texts that are not cut: with an added token, which takes the spaces around it apart; or all.
         self.whole = re.compile("|".join(added) if added else r"(?!)") if plain else re.compile("")
@@ -100,23 +119,52 @@ class Encoder:
         left = [k for k in range(len(texts)) if out[k] is None]
         parts = [self.cut.split(texts[k]) if self.odd.search(texts[k]) else texts[k].split(" ") for k in left]
         heads = self._encoded([p[0] for p in parts])
-        new: set[str] = set()
         for p in parts:
-            new.update(p)
-        new.difference_update(self.known)
-        names = list(new)
-        found = dict(zip(names, self._encoded([" " + w for w in names]), strict=True))
-        if len(self.known) + len(found) <= PARTS:
-            self.known.update(found)
-            of = self.known.__getitem__
-        else:  # what comes early comes often; the rest is forgotten after these texts
-            known = self.known
-            of = lambda w: known[w] if w in known else found[w]
-        for k, head, p in zip(left, heads, parts, strict=True):
             p[0] = ""
-            out[k] = head + b"".join(map(of, p[1:]))
+        self.known[""] = b""
+        found = [[*map(self.known.__getitem__, p)] for p in parts]
+        self._fill()
+        for k, head, f in zip(left, heads, found, strict=True):
+            out[k] = head + b"".join(f)
         return out
 
+    def _fill(self) -> None:
+        """The ids of all parts that have an empty place; they are known from now on, if there is room: what comes early comes often."""
+        places, self.known.places = self.known.places, {}
+        others = []
+        for part, place in places.items():
+            if found := WORD.fullmatch(part):
+                place += self._word(" ", found[1])
+                place += self._marks(found[2])
+            elif len(lines := [*map(WORD.fullmatch, part.split("\n"))]) > 1 and all(lines):
+                for k, found in enumerate(lines):
+                    place += self._marks("\n") + self._word("", found[1]) if k else self._word(" ", found[1])
+                    place += self._marks(found[2])
+            else:
+                others.append(part)
+        for part, raw in zip(others, self._encoded([" " + x for x in others]), strict=True):
+            places[part] += raw
+        if len(self.known) + len(places) <= PARTS:
+            self.known.update((part, bytes(place)) for part, place in places.items())
+
+    def _word(self, space: str, word: str) -> bytes:
+        if (raw := self.words.get(space + word)) is None:
+            raw = self._of_model(space + word)
+            if len(self.words) < PARTS:
+                self.words[space + word] = raw
+        return raw
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= PARTS:
+                self.marks.clear()
+            self.marks[marks] = self._of_model(marks)
+        return self.marks[marks]
+
+    def _of_model(self, unit: str) -> bytes:
+        """The ids of what is one unit for the model, which sees its bytes as characters."""
+        return array("I", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(AS_CHARACTERS))]).tobytes() if unit else b""
+
 
 _encoders: dict[int, Encoder] = {}
 
