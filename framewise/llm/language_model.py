@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batches, encoded, list_array, materialize, mix64, shared_table, train_fold, word_hashes
+from .common import LOWER, batches, encoded, few, list_array, materialize, mix64, shared_table, train_fold, word_hashes
 
 #: How many times larger than at first blocks and slices become.
 GROWTH = 4
@@ -48,7 +48,8 @@ class Interpolation:
     block_tokens: int = 1_200_000
     slice_bytes: int = 24_000_000  # of text for each slice
     rounds: int = 60
-    steps: int = 4  # cells for each factor of two, in the table that the weights are fitted to
+    steps: int = 8  # cells for each factor of two, in the table that the weights are fitted to
+    cells: int = 1_000_000  # that are fitted on the driver (about 80 bytes each); more are fitted in Spark
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -250,15 +251,22 @@ def bucket(contexts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _first_weights(p: Interpolation) -> tuple[np.ndarray, np.ndarray]:
+    """The estimates whose context was seen, by bucket, and equal weights of these."""
+    known = np.maximum(np.arange(32 * p.order) // 32, 0)[:, None] + 1 >= np.arange(p.order + 1)
+    return known, known / known.sum(axis=1, keepdims=True)
+
+
 def fit_weights(cells: pd.DataFrame, p: Interpolation, floor: float) -> np.ndarray:
     """Weights (bucket, order from 0 on) by expectation-maximisation on held-out tokens.
 
-    cells: bucket, q1, q2 and so on (steps of the logarithm of each estimate; -1e9 for 0), n tokens.
+    cells: bucket, n tokens, and f1, f2 and so on, the sums of their estimates; or q1, q2 and so on, the
+    logarithms of one token's estimates in steps.
     """
-    known = np.maximum(np.arange(32 * p.order) // 32, 0)[:, None] + 1 >= np.arange(p.order + 1)  # estimates whose context was seen
-    out = known / known.sum(axis=1, keepdims=True)
+    known, out = _first_weights(p)
+    of_one = lambda own, j: own[f"f{j}"].to_numpy(float) / own.n.to_numpy(float) if f"f{j}" in own else 2.0 ** (own[f"q{j}"].to_numpy(float) / p.steps)
     for k, of in cells.groupby("bucket"):
-        f = np.stack([np.full(len(of), floor), *(2.0 ** (of[f"q{j}"].to_numpy(float) / p.steps) for j in range(1, p.order + 1))], 1)
+        f = np.stack([np.full(len(of), floor), *(of_one(of, j) for j in range(1, p.order + 1))], 1)
         n = of.n.to_numpy(float)[:, None]
         for _ in range(p.rounds):
             share = f * out[k]
@@ -268,6 +276,19 @@ def fit_weights(cells: pd.DataFrame, p: Interpolation, floor: float) -> np.ndarr
     return out
 
 
+def fit_weights_by_rounds(cells: DataFrame, p: Interpolation, floor: float) -> np.ndarray:
+    """fit_weights() on a table of any size: a round is one aggregate over all cells, of which a row for each bucket comes back."""
+    known, out = _first_weights(p)
+    for _ in range(p.rounds):
+        flat = F.array(*map(F.lit, out.ravel().tolist()))
+        parts = [F.get(flat, F.col("bucket") * (p.order + 1) + j) * (F.col(f"f{j}") / F.col("n") if j else F.lit(floor)) for j in range(p.order + 1)]
+        share = [F.sum(F.col("n") * x / sum(parts[1:], parts[0])).alias(f"s{j}") for j, x in enumerate(parts)]
+        for r in cells.groupBy("bucket").agg(*share).collect():
+            got = np.array(r[1:], float) + 0.5 * known[r["bucket"]]
+            out[r["bucket"]] = got / got.sum()
+    return out
+
+
 def estimates(grams: list[np.ndarray], contexts: list[np.ndarray], total: float) -> list[np.ndarray]:
     """Maximum-likelihood estimates of each order from 1 on; 0 without the context."""
     return [g / np.maximum(c, 1) for g, c in zip(grams, [np.full(len(grams[0]), max(total, 1.0)), *contexts], strict=True)]
@@ -316,7 +337,7 @@ def interpolated_scores(docs: DataFrame, p: Interpolation = Interpolation()) ->
         more = materialize(_answers(joined(longer(kind), REQUEST)), "lm-answers")
         answers = answers.unionByName(more.filter("block IS NOT NULL").drop("stats"))
 
-    names = ["bucket", *(f"q{j}" for j in range(1, p.order + 1))]
+    names, sums = ["bucket", *(f"q{j}" for j in range(1, p.order + 1))], [*(f"f{j}" for j in range(1, p.order + 1)), "n"]
 
     def held_out(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -326,15 +347,18 @@ def interpolated_scores(docs: DataFrame, p: Interpolation = Interpolation()) ->
             on = b.use == 2
             grams, contexts = [x[on] for x in grams], [x[on] for x in contexts]
             with np.errstate(divide="ignore"):
-                q = [np.round(np.log2(f) * p.steps) for f in estimates(grams, contexts, kept_n)]
+                every = estimates(grams, contexts, kept_n)
+                q = [np.round(np.log2(f) * p.steps) for f in every]
             at = bucket(contexts) if contexts else np.zeros(on.sum(), np.int64)
-            rows.append(pd.DataFrame(dict(zip(names, [at, *q], strict=True))))
-        cells = pd.concat(rows).replace(-np.inf, -1e9).groupby(names).size().reset_index(name="n")
+            rows.append(pd.DataFrame(dict(zip([*names, *sums], [at, *q, *every, np.ones(len(at), np.int64)], strict=True))))
+        cells = pd.concat(rows).replace(-np.inf, -1e9).groupby(names)[sums].sum().reset_index()
         return pa.Table.from_pandas(cells.astype({c: "int32" for c in names} | {"n": "int64"}), preserve_index=False)
 
-    cells = joined(held_out, ", ".join(f"{c} int" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
-    # the cells are bounded by the logarithms of the counts, not by the tokens
-    weights = fit_weights(cells.toPandas(), p, 1 / (kept_v + 1))
+    # tokens with about equal estimates are one cell, which stands for their means
+    schema = ", ".join([*(f"{c} int" for c in names), *(f"{c} {'long' if c == 'n' else 'double'}" for c in sums)])
+    cells = materialize(joined(held_out, schema).groupBy(*names).agg(*(F.sum(c).alias(c) for c in sums)).select("bucket", *sums), "lm-cells")
+    here = few(cells, p.cells)
+    weights = fit_weights(cells.toPandas(), p, 1 / (kept_v + 1)) if here else fit_weights_by_rounds(cells, p, 1 / (kept_v + 1))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []

@@ -108,6 +108,26 @@ def test_weights_are_maximum_likelihood():
     assert w[2] == pytest.approx(best, abs=0.02)
 
 
+def test_weights_fitted_in_spark_are_the_same(spark, documents, monkeypatch):
+    """Beyond the bound on cells, rounds of Spark aggregates give the weights that the driver's rounds give."""
+    docs, seen = documents.select("doc_id", "text"), {}
+    fitted = language_model.fit_weights
+    monkeypatch.setattr(language_model, "fit_weights", lambda cells, p, floor: seen.setdefault("here", fitted(cells, p, floor)))
+    rounds = language_model.fit_weights_by_rounds
+    monkeypatch.setattr(language_model, "fit_weights_by_rounds", lambda cells, p, floor: seen.setdefault("spark", rounds(cells, p, floor)))
+    p = language_model.Interpolation(rounds=12)
+    a = {r.doc_id: r.score for r in language_model.interpolated_scores(docs, p).collect()}
+    b = {r.doc_id: r.score for r in language_model.interpolated_scores(docs, replace(p, cells=10)).collect()}
+    assert np.allclose(seen["here"], seen["spark"], atol=1e-9) and all(a[i] == pytest.approx(b[i], rel=1e-7) for i in a)
+
+
+def test_means_of_cells_keep_scores(spark, documents):
+    """Scores with weights fitted to cells are those of weights fitted to nearly single estimates, for every document."""
+    docs = documents.select("doc_id", "text")
+    a, b = ({r.doc_id: r.score for r in language_model.interpolated_scores(docs, language_model.Interpolation(steps=k)).collect()} for k in (8, 400))
+    assert max(abs(a[i] / b[i] - 1) for i in a) < 1e-4
+
+
 def test_language_model_of_odd_rows(odd, none):
     got = language_model.interpolated_scores(odd).collect()
     assert len(got) == odd.count() and all(r.n_tokens >= 1 and math.isfinite(r.score) and r.score <= 0 for r in got)
