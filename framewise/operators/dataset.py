@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framewise.functions.permutation import permuted
 from framewise.operators.ranks import ordered_rank, seeded, seeded_rank
 from framewise.params import Split
 
@@ -151,3 +152,85 @@ def loader(a: DataFrame, b: DataFrame | None, split: str, key: str, batch: int,
     other = seeded_rank(b.select(F.col(key).alias("b_key")), "b_key", f"{seed}#{epoch}")
     pairs = queue.select(key, (F.col("slot") + 1).alias("rank")).join(other, "rank")
     return batches(pairs, batch, True)
+
+
+def indexed(df: DataFrame, order: list[str], out: str = "ordinal") -> DataFrame:
+    """Adds the ordinal (from 0) of each row in the order of columns. Write it once: every epoch is then a map over it."""
+    return ordered_rank(df, order, out).withColumn(out, F.col(out) - 1)
+
+
+def count_column(df: DataFrame, column: str) -> DataFrame:
+    """Adds the number of rows as ``column``, within the plan: a one-row aggregate is joined."""
+    return df.join(F.broadcast(df.agg(F.count(F.lit(1)).alias(column))))  # one row
+
+
+def epoch_slots(pool: DataFrame, n: Column | int, per_epoch: Column | int, epoch: int, cycle: int, first: int, seed: int | str = 42, out: str = "slot") -> DataFrame:
+    """Rows of one epoch with their slot (from 0), of a pool with ``ordinal``: a filter and a map, without any exchange.
+
+    The cycle's permutation orders the pool; the epoch is the (epoch - first)th run of ``per_epoch`` places. A pool
+    smaller than an epoch is gone through as often as needed.
+    """
+    n, per = (F.lit(x).cast("long") if isinstance(x, int) else x.cast("long") for x in (n, per_epoch))
+    place = permuted(F.col("ordinal"), n, f"{seed}#{cycle}") - F.when(n >= per, (epoch - first) * per).otherwise(0)
+    rows = pool.withColumn("_at", place).filter((F.col("_at") >= 0) & (F.col("_at") < per))
+    return rows.withColumn(out, F.explode(repeats(F.col("_at"), n, per))).drop("_at")
+
+
+def repeats(place: Column, n: Column, total: Column) -> Column:
+    """The places below ``total`` that a row at ``place`` has when n rows are gone through again and again; at least its own."""
+    more = F.floor((total - 1 - place) / F.greatest(n, F.lit(1).cast("long")))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(more, F.lit(0).cast("long"))), lambda k: place + k * n)
+
+
+def epochs_per_cycle(n: int, per_epoch: int) -> int:
+    """Epochs that one shuffle of the pool lasts."""
+    return max(1, n // max(1, per_epoch))
+
+
+def shards(rows: DataFrame, place: Column, n: Column | int, world: int, batch: int, drop_last: bool) -> DataFrame:
+    """Adds shard, slot and batch: place p of n rows is slot p // world of shard p % world; a map, with one explode for padding.
+
+    All shards are equal in length. With drop_last the tail beyond a multiple of ``world`` goes, and so does every
+    shard's last, incomplete batch; without, the first rows come again at the end until the shards are equal.
+    """
+    if world < 1 or batch < 1:
+        raise ValueError("world and batch must be positive")
+    n = F.lit(n).cast("long") if isinstance(n, int) else n.cast("long")
+    at = rows.withColumn("_place", place.cast("long")).filter((F.col("_place") >= 0) & (F.col("_place") < n))
+    if drop_last:
+        each = F.floor(n / F.lit(world))
+        kept = at.filter(F.col("_place") < F.floor(each / F.lit(batch)) * F.lit(batch * world))
+    else:
+        total = F.ceil(n / F.lit(world)) * world
+        kept = at.withColumn("_place", F.explode(repeats(F.col("_place"), n, total)))
+    out = kept.withColumns({"shard": (F.col("_place") % world).cast("int"), "slot": F.floor(F.col("_place") / world)})
+    return out.withColumn("batch", F.floor(F.col("slot") / batch)).drop("_place")
+
+
+def sharded_loader(
+    a: DataFrame, b: DataFrame | None, split: str, key: str, batch: int, world: int, epoch: int = 0, seed: int = 42, sizes: tuple[int, int] | None = None
+) -> DataFrame:
+    """The rows of a split's loader in ``world`` processes: shard, slot, batch, key and, but for test, b_key.
+
+    a and b have ``key`` and, from indexed(), ``ordinal``; sizes are their rows, which are counted if not given.
+    train: the epoch's slots of a meet b's order of that epoch, pairs are shuffled over the shards and incomplete
+    tails go. val: a in order with b in seeded order, as many as the shorter has, padded by the first pairs. test:
+    a alone in order; every process has all of it, as shard 0. Orders are permutations of ordinals; what moves is
+    the join of the two domains by slot.
+    """
+    if split not in ("train", "val", "test"):
+        raise ValueError(f"unknown split {split}")
+    if split != "test" and b is None:
+        raise ValueError("train and val need both domains")
+    na, nb = sizes or (a.count(), 0 if b is None else b.count())
+    own = a.select(key, "ordinal")
+    if split == "test":
+        return shards(own, F.col("ordinal"), na, 1, batch, False).select("shard", "slot", "batch", key)
+    other = b.select(F.col(key).alias("b_key"), F.col("ordinal").alias("b_ordinal"))
+    if split == "val":
+        pairs = own.withColumnRenamed("ordinal", "_slot").join(other.select("b_key", permuted(F.col("b_ordinal"), nb, f"{seed}#val").alias("_slot")), "_slot")
+        return shards(pairs, F.col("_slot"), min(na, nb), world, batch, False).select("shard", "slot", "batch", key, "b_key")
+    per = epochs_per_cycle(na, nb)
+    left = epoch_slots(own, na, nb, epoch, epoch // per, epoch // per * per, seed, "_slot")
+    pairs = left.join(other.select("b_key", permuted(F.col("b_ordinal"), nb, f"{seed}#b#{epoch}").alias("_slot")), "_slot")
+    return shards(pairs, permuted(F.col("_slot"), nb, f"{seed}#sampler#{epoch}"), nb, world, batch, True).select("shard", "slot", "batch", key, "b_key")
