@@ -49,7 +49,7 @@ class Interpolation:
     slice_bytes: int = 24_000_000  # of text for each slice
     rounds: int = 60
     steps: int = 8  # cells for each factor of two, in the table that the weights are fitted to
-    cells: int = 1_000_000  # that are fitted on the driver (about 80 bytes each); more are fitted in Spark
+    cells: int = 500_000  # that are fitted on the driver (about 80 bytes each); more are fitted in Spark
 
 
 def _planes(a: np.ndarray) -> bytes:
