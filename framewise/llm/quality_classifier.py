@@ -152,8 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: SubwordClassifier = SubwordClassi
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(train_fold("doc_id", parts) != held)
     chosen = bounded_sample(known.select("doc_id", "quality"), "quality", p.per_class)
     texts = docs.filter(F.octet_length("text") <= p.max_bytes).select("doc_id", "text")
-    # the sample is bounded by per_class
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").dropDuplicates().toPandas()
+    # of several texts under one id the one with the least hash: no more texts than chosen labels, each of max_bytes at most
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(one).toPandas()
     rows = rows.sort_values(["doc_id", "quality", "text"])
     return train(rows.text.tolist(), rows.quality.tolist(), p)
 
