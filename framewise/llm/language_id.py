@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import batches, bounded_sample, few, train_fold
 
@@ -38,7 +39,9 @@ CHUNK, SLOTS = 1 << 20, 1 << 18
 class LanguageSample:
     per_language: int = 400
     max_bytes: int = 200_000
-    max_languages: int = 200  # a tree takes about a MB; more values of lang than that are an error
+    max_languages: int = 200  # more values of lang than that are an error
+    language_bytes: int = 4_000_000  # of the chosen texts of a language
+    total_bytes: int = 16_000_000  # of those of all languages, which share it; a tree has no more runs than bytes
 
 
 def _runs(raw: bytes) -> np.ndarray:
@@ -83,7 +86,8 @@ class ContextTree:
 
 def learn(docs: DataFrame, sample: LanguageSample = LanguageSample(), parts: int = 5, held: int = 0) -> dict[str, ContextTree]:
     """A tree for each value of ``lang``, from documents that are not in the held-out fold; ValueError if there are too many."""
-    if not few(docs.select("lang").filter("lang IS NOT NULL").distinct(), sample.max_languages):
+    languages = docs.select("lang").filter("lang IS NOT NULL").distinct()
+    if not few(languages, sample.max_languages):
         raise ValueError(f"lang has more than {sample.max_languages} values")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +101,13 @@ def learn(docs: DataFrame, sample: LanguageSample = LanguageSample(), parts: int
 
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(train_fold("doc_id", parts) != held)
     known = known.filter(F.octet_length("text").between(1, sample.max_bytes)).select("doc_id", "lang", "text")
-    chosen = bounded_sample(known, "lang", sample.per_language).select("lang", "text")
+    chosen = bounded_sample(known, "lang", sample.per_language)
+    share = min(sample.language_bytes, sample.total_bytes // max(1, languages.count()))
+    # in the sample's order, as many texts as have room; the sample's bound is the window's
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text"))
+    chosen = chosen.withColumn("upto", upto).filter(F.col("upto") <= share).select("lang", "text")
     counts = batches(chosen, count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
-    table = counts.toPandas()  # bounded by the sample
+    table = counts.toPandas()  # no more rows than total_bytes
     return {k: ContextTree(g.run.to_numpy().view(np.uint64), g.n.to_numpy(float)) for k, g in table.sort_values("lang").groupby("lang")}
 
 
