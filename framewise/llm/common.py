@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: What the enclosing scratch() blocks have written.
-_made: list[list[tuple[SparkSession, str, str | None]]] = []
+#: What the enclosing scratch() blocks have written; each thread, and each context, has its own.
+_made: ContextVar[tuple[list[tuple[SparkSession, str, str | None]], ...]] = ContextVar("_made", default=())
 
 
 def _remove(spark: SparkSession, path: str, name: str | None = None) -> None:
@@ -54,8 +55,8 @@ def _remove(spark: SparkSession, path: str, name: str | None = None) -> None:
 
 
 def _written(spark: SparkSession, path: str, name: str | None = None) -> None:
-    if _made:
-        _made[-1].append((spark, path, name))
+    if _made.get():
+        _made.get()[-1].append((spark, path, name))
     else:
         atexit.register(_remove, spark, path, name)
 
@@ -70,11 +71,11 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(df._shared_path)  # what materialize() returned, itself
         return df
 
-    _made.append(own)
+    before = _made.set((*_made.get(), own))
     try:
         yield keep
     finally:
-        _made.pop()
+        _made.reset(before)
         for spark, path, name in own:
             if path in kept:
                 _written(spark, path, name)

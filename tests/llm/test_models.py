@@ -528,3 +528,52 @@ def test_texts_under_one_id_stay(spark, sf_dir):
     for parts in (1, 7):
         got = cp.near_duplicates(spark, df.repartition(parts), sf_dir)
         assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(set(rows))
+
+
+def test_texts_that_train_are_bounded(spark, monkeypatch):
+    """20,000 texts under one labelled id: one of them comes to the driver."""
+    docs = spark.range(20_000).selectExpr("cast(1 AS long) AS doc_id", "concat('text ', id) AS text").unionByName(spark.range(2, 40).selectExpr("id AS doc_id", "concat('other ', id) AS text"))
+    labels = spark.range(1, 40).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality").unionByName(spark.range(1, 3).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality"))
+    seen = []
+    monkeypatch.setattr(quality_classifier, "train", lambda texts, quality, p: seen.append((texts, quality)))
+    quality_classifier.fit(docs, labels, parts=1, held=5)
+    ((texts, quality),) = seen
+    assert len(texts) == len(quality) == 39 and sum(t.startswith("text ") for t in texts) == 1
+
+
+def test_bytes_of_languages_are_bounded(spark):
+    sample = language_id.LanguageSample(language_bytes=3_000, total_bytes=40_000)
+    docs = spark.range(4_000).selectExpr("id AS doc_id", "concat('l', id % 40) AS lang", "repeat(concat(char(97 + id % 20), char(98 + id % 13), ' '), 200) AS text")
+    size = lambda tree: tree.orders[0][1].sum()
+    trees = language_id.learn(docs, sample)
+    assert len(trees) == 40 and all(500 < size(t) <= 1_000 for t in trees.values())
+    two = language_id.learn(docs.filter("lang IN ('l1', 'l2')"), sample)
+    assert len(two) == 2 and all(2_400 <= size(t) <= 3_000 for t in two.values())
+    with pytest.raises(ValueError):
+        language_id.learn(docs, language_id.LanguageSample(max_languages=39))
+
+
+def test_scratch_of_two_threads(spark):
+    """What one thread's block has written stays when another's ends."""
+    import threading
+
+    from framewise.llm.common import materialize, scratch
+
+    ready, ended, out = threading.Event(), threading.Event(), {}
+
+    def other():
+        ready.wait(60)
+        with scratch():
+            out["other"] = materialize(spark.range(5), "thread")
+        ended.set()
+
+    t = threading.Thread(target=other)
+    t.start()
+    with scratch():
+        own = materialize(spark.range(7), "thread")
+        ready.set()
+        assert ended.wait(60)
+        assert own.count() == 7
+    t.join()
+    with pytest.raises(Exception):
+        out["other"].count()
