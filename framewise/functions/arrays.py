@@ -10,6 +10,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` worked out once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def exact_round(x: Column | str, digits: int) -> Column:
+    """x rounded to so many decimals as Python's ``round`` does: the exact binary value, halves to the even digit.
+
+    x * 10^digits is split without error into the rounded product and what it lacks (Dekker's product), so whether
+    it is above, at or below a half is exact; the quotient by 10^digits is then the double next to that decimal.
+    NaN, infinities and numbers too large to have such decimals stay as they are.
+    """
+    if not 0 <= digits <= 15:
+        raise ValueError("digits must be from 0 to 15")
+    scale, cut = 10.0**digits, 134217729.0  # 2^27 + 1 halves a double's digits
+    big = scale * cut - (scale * cut - scale)
+    small = scale - big
+
+    def rounded(x: Column) -> Column:
+        return let(
+            F.struct(F.abs(x).alias("x"), (F.abs(x) * cut - (F.abs(x) * cut - F.abs(x))).alias("hi"), (F.abs(x) * scale).alias("p")),
+            lambda v: let(
+                F.struct(
+                    F.floor(v["p"]).cast("double").alias("whole"),
+                    (v["p"] - F.floor(v["p"]).cast("double") - 0.5 + (v["hi"] * big - v["p"] + v["hi"] * small + (v["x"] - v["hi"]) * big + (v["x"] - v["hi"]) * small)).alias("over"),
+                ),
+                lambda w: (w["whole"] + F.when((w["over"] > 0) | ((w["over"] == 0) & (w["whole"] % 2 == 1)), 1.0).otherwise(0.0)) / scale,
+            ),
+        )
+
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    far = lambda v: F.isnan(v) | (F.abs(v) * scale >= float(1 << 53))
+    return let(x, lambda v: F.when(v.isNull() | far(v), v).when(v < 0, -rounded(v)).otherwise(rounded(v)))
+
+
 def doubles(a: Column | str) -> Column:
     return (F.col(a) if isinstance(a, str) else a).cast("array<double>")
 
@@ -60,7 +95,7 @@ def masked(a: Column, mask: Column) -> Column:
 def voxel_sizes(affine: Column) -> Column:
     """Column norms of the upper left 3 x 3 of a row-major 4 x 4 affine, to 3 decimals."""
     at = lambda r, c: F.get(affine, F.lit(4 * r + c))
-    norm = lambda c: F.bround(F.sqrt(sum((at(r, c) * at(r, c) for r in (1, 2)), at(0, c) * at(0, c))), 3)
+    norm = lambda c: exact_round(F.sqrt(sum((at(r, c) * at(r, c) for r in (1, 2)), at(0, c) * at(0, c))), 3)
     return F.array(norm(0), norm(1), norm(2))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framewise.functions.arrays import exact_round
 from framewise.operators.motion import series_window
 from framewise.operators.quantiles import quantiles
 from framewise.params import Corruption, SafeZone
@@ -105,6 +106,12 @@ def safe_chunks(series: DataFrame, keys: list[str], ordinal: str, fd: str, p: Sa
     return out.filter(F.col("_n") == p.size).drop("_island", "_chunk", "_n")
 
 
+def reported(chunks: DataFrame) -> DataFrame:
+    """Chunks with the digits that their tables have: means and maxima to 6 decimals, shares to 4, as Python rounds."""
+    digits = {"chunk_mean_fd": 6, "chunk_max_fd": 6, "frac_vols_above_thr": 4}
+    return chunks.withColumns({c: exact_round(c, d) for c, d in digits.items() if c in chunks.columns})
+
+
 def chunk_summary(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """One row: runs, chunks, and mean and median of the chunks' mean FD."""
     sums = chunks.agg(F.count_distinct(F.struct(*keys)).alias("n_runs"), F.count(F.lit(1)).alias("n_chunks"), F.avg("chunk_mean_fd").alias("mean_fd"))

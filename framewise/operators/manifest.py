@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.arrays import percent_outside
+from framewise.functions.arrays import exact_round, percent_outside
 from framewise.functions.text import chunk_name, iso_seconds
 from framewise.operators.dataset import slice_status
 
@@ -67,23 +67,31 @@ def verification(expected: DataFrame, outputs: DataFrame, path: str = "output_pa
     """Report of each expected output: MISSING without a file, else FAIL with notes, else PASS.
 
     outputs: path, load_error, input_shape, output_shape, n_volumes, n_brain_voxels, n_nonzero_outside_brain,
-    n_outside, mean_signal_brain, n_zero_volumes. A file that can't be loaded, or has another shape than its
-    input, is not looked at further. The count of non-zero voxels outside the brain keeps its customary name
-    ``n_zero_outside_brain`` here. A brain's mean signal must be above 1.
+    n_outside, mean_signal_brain, n_zero_volumes and, where there are such, input_error and mask_error. A file that
+    can't be loaded, or has another shape than its input, is not looked at further; without its input it is, and
+    fails with a note; without its mask nothing more can be said. The count of non-zero voxels outside the brain
+    keeps its customary name ``n_zero_outside_brain`` here. A brain's mean signal must be above 1.
     """
+    error = lambda c: F.coalesce(F.col(c), F.lit("")) if c in outputs.columns else F.lit("")
     j = expected.join(outputs.withColumn("_has", F.lit(True)), path, "left")
     exists = F.coalesce("_has", F.lit(False))
     loaded = exists & (F.coalesce("load_error", F.lit("")) == "")
-    dims = loaded & F.coalesce(F.col("input_shape") == F.col("output_shape"), F.lit(False))
-    seen = lambda c: F.when(dims, c)
+    no_input = loaded & (error("input_error") != "")
+    dims = loaded & ~no_input & F.coalesce(F.col("input_shape") == F.col("output_shape"), F.lit(False))
+    no_mask = (dims | no_input) & (error("mask_error") != "")
+    looked = (dims | no_input) & ~no_mask
+    seen = lambda c: F.when(looked, c)
     signal, outside, zero = F.col("mean_signal_brain"), F.col("n_nonzero_outside_brain"), F.col("n_zero_volumes")
+    # the report's texts are fixed values
     notes = (
         F.when(~exists, "")
         .when(~loaded, F.concat(F.lit("Load error: "), "load_error"))
-        .when(~dims, F.concat(F.lit("Shape mismatch: input="), F.coalesce("input_shape", F.lit("none")), F.lit(" output="), F.coalesce("output_shape", F.lit("none"))))
+        .when(~dims & ~no_input, F.concat(F.lit("Shape mismatch: input="), F.coalesce("input_shape", F.lit("none")), F.lit(" output="), F.coalesce("output_shape", F.lit("none"))))
+        .when(no_mask, F.concat(F.lit("Mask load error: "), error("mask_error")))
         .otherwise(
             F.concat_ws(
                 " ",
+                F.when(no_input, F.concat(F.lit("Input load error: "), error("input_error"))),
                 F.when(outside > 0, F.format_string("Non-brain voxels not fully zeroed (%d non-zero outside brain).", outside.cast("long"))),
                 F.when(~F.coalesce(signal > 1.0, F.lit(False)), "Brain signal unexpectedly low."),
                 F.when(zero > 0, F.format_string("%d all-zero brain volume(s).", zero.cast("long"))),
@@ -97,13 +105,13 @@ def verification(expected: DataFrame, outputs: DataFrame, path: str = "output_pa
         loaded.alias("file_loadable"),
         dims.alias("dims_match"),
         F.when(loaded, F.col("n_volumes")).alias("n_volumes"),
-        F.when(loaded, F.col("input_shape")).alias("input_shape"),
+        F.when(loaded & ~no_input, F.col("input_shape")).alias("input_shape"),
         F.when(loaded, F.col("output_shape")).alias("output_shape"),
         seen(F.col("n_brain_voxels")).alias("n_brain_voxels"),
         seen(outside).alias("n_zero_outside_brain"),
-        seen(F.bround(percent_outside(F.col("n_outside"), outside), 2)).alias("pct_outside_zeroed"),
-        seen(F.bround(signal, 4)).alias("mean_signal_brain"),
-        (dims & F.coalesce(signal > 1.0, F.lit(False))).alias("brain_has_signal"),
+        seen(exact_round(percent_outside(F.col("n_outside"), outside), 2)).alias("pct_outside_zeroed"),
+        seen(exact_round(signal, 4)).alias("mean_signal_brain"),
+        (looked & F.coalesce(signal > 1.0, F.lit(False))).alias("brain_has_signal"),
         seen(zero).alias("n_zero_volumes"),
         status.alias("status"),
         notes.alias("notes"),

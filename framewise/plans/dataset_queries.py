@@ -266,12 +266,48 @@ k AS (SELECT *, CASE WHEN NOT there THEN '' WHEN NOT ok THEN 'Load error: trunca
                       CASE WHEN m <= 1 THEN 'Brain signal unexpectedly low.' END, CASE WHEN z > 0 THEN z || ' all-zero brain volume(s).' END) END AS notes FROM t)
 SELECT output_path, task, there AS output_exists, ok AS file_loadable, dims AS dims_match, CASE WHEN ok THEN n END::DOUBLE AS n_volumes, CASE WHEN ok THEN a END AS input_shape,
        CASE WHEN ok THEN b END AS output_shape, CASE WHEN dims THEN n END::DOUBLE AS n_brain_voxels, CASE WHEN dims THEN nz END::DOUBLE AS n_zero_outside_brain,
-       CASE WHEN dims THEN round_even(CASE WHEN nout > 0 THEN (nout - nz) / nout * 100 ELSE 100 END, 2) END AS pct_outside_zeroed, CASE WHEN dims THEN round_even(m, 4) END AS mean_signal_brain,
+       CASE WHEN dims THEN format('{:.2f}', (CASE WHEN nout > 0 THEN (nout - nz) / nout * 100 ELSE 100 END)::DOUBLE)::DOUBLE END AS pct_outside_zeroed, CASE WHEN dims THEN format('{:.4f}', m)::DOUBLE END AS mean_signal_brain,
        dims AND m > 1 AS brain_has_signal, CASE WHEN dims THEN z END::DOUBLE AS n_zero_volumes, CASE WHEN NOT there THEN 'MISSING' WHEN notes <> '' THEN 'FAIL' ELSE 'PASS' END AS status, notes
 FROM k
 """
 
 
+def verification_load_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As verification_report, with inputs and masks that can't be read."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("output_path"))
+    n = F.count(F.lit(1))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("output_path")).agg(
+        F.when(n % 13 == 0, "truncated").alias("load_error"),
+        F.when(n % 3 == 0, "no such input").alias("input_error"),
+        F.when(n % 5 == 0, "no such mask").alias("mask_error"),
+        F.format_string("(4, 4, 4, %d)", n).alias("input_shape"),
+        F.format_string("(4, 4, 4, %d)", F.when(n % 11 == 0, n - 1).otherwise(n)).alias("output_shape"),
+        n.alias("n_volumes"),
+        n.alias("n_brain_voxels"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_nonzero_outside_brain"),
+        (n + 5).alias("n_outside"),
+        (F.min("o_totalprice") / 3000.0).alias("mean_signal_brain"),
+        F.count_if(F.col("o_orderstatus") == "P").alias("n_zero_volumes"),
+    )
+    kept = ["output_path", "file_loadable", "dims_match", "input_shape", "pct_outside_zeroed", "mean_signal_brain", "brain_has_signal", "status", "notes"]
+    return manifest.verification(c, o).select(*kept)
+
+
+VERIFICATION_ERRORS = """
+WITH o AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS nz, min(o_totalprice) / 3000.0 AS m, count(*) FILTER (o_orderstatus = 'P') AS z FROM orders GROUP BY o_custkey),
+j AS (SELECT c_custkey AS output_path, o.*, n IS NOT NULL AS there, coalesce(n % 13 <> 0, false) AS ok, coalesce(n % 3 = 0, false) AS noin, coalesce(n % 5 = 0, false) AS nomask FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+t AS (SELECT *, ok AND NOT noin AND n % 11 <> 0 AS dims, ok AND NOT nomask AND (noin OR n % 11 <> 0) AS seen FROM j),
+k AS (SELECT *, CASE WHEN NOT there THEN '' WHEN NOT ok THEN 'Load error: truncated'
+       WHEN NOT dims AND NOT noin THEN 'Shape mismatch: input=(4, 4, 4, ' || n || ') output=(4, 4, 4, ' || (n - 1) || ')' WHEN nomask THEN 'Mask load error: no such mask'
+       ELSE concat_ws(' ', CASE WHEN noin THEN 'Input load error: no such input' END, CASE WHEN nz > 0 THEN 'Non-brain voxels not fully zeroed (' || nz || ' non-zero outside brain).' END,
+                      CASE WHEN m <= 1 THEN 'Brain signal unexpectedly low.' END, CASE WHEN z > 0 THEN z || ' all-zero brain volume(s).' END) END AS notes FROM t)
+SELECT output_path, ok AS file_loadable, dims AS dims_match, CASE WHEN ok AND NOT noin THEN '(4, 4, 4, ' || n || ')' END AS input_shape,
+       CASE WHEN seen THEN format('{:.2f}', (n + 5 - nz) / (n + 5)::DOUBLE * 100)::DOUBLE END AS pct_outside_zeroed, CASE WHEN seen THEN format('{:.4f}', m)::DOUBLE END AS mean_signal_brain,
+       coalesce(seen AND m > 1, false) AS brain_has_signal, CASE WHEN NOT there THEN 'MISSING' WHEN notes <> '' THEN 'FAIL' ELSE 'PASS' END AS status, notes
+FROM k
+"""
+
+
 def extraction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as chunks of their orders' runs, of which some can't be read, some aren't 4-D and some chunks are there already."""
     key = F.col("l_orderkey").cast("string")
@@ -392,6 +428,7 @@ QUERIES = {
     "subject_union_split": (subject_union_split, SUBJECT_SPLIT),
     "split_assign_no_leak": (split_assign_no_leak, SPLIT_ASSIGN),
     "split_policy": (split_policy, SPLIT_POLICY),
+    "verification_load_errors": (verification_load_errors, VERIFICATION_ERRORS),
     "extraction_log": (extraction_log, EXTRACTION_LOG),
     "patched_columns": (patched_columns, PATCHED),
     "balanced_sample": (balanced_sample, BALANCED),

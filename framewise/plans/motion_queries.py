@@ -51,6 +51,15 @@ FROM w JOIN n USING (run_key) WHERE a >= 10 AND streak >= 3 AND m >= 50 AND x <
 """
 
 
+def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of both kinds of chunks with their digits, rounded as Python does."""
+    series = event_series(spark, sf_dir)
+    corrupted = chunks.reported(chunks.corrupted_chunks(series, KEY, "vol", "fd", EVENT_CORRUPTION))
+    safe = chunks.reported(chunks.safe_chunks(series, KEY, "vol", "fd", EVENT_SAFE)).withColumn("frac_vols_above_thr", F.lit(0.0))
+    kept = ["run_key", "chunk_start", "chunk_end", "chunk_mean_fd", "chunk_max_fd", "frac_vols_above_thr"]
+    return corrupted.select(F.lit("A_corrupted").alias("domain"), *kept).unionByName(safe.select(F.lit("B_motion_free").alias("domain"), *kept))
+
+
 def safe_zone_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.safe_chunks(event_series(spark, sf_dir), KEY, "vol", "fd", EVENT_SAFE)
     return _rounded(out, ["chunk_mean_fd", "chunk_max_fd"])
@@ -73,6 +82,15 @@ FROM g JOIN sc USING (run_key) JOIN c USING (run_key) WHERE g.n = 5
 """
 
 
+#: A number printed to so many places is rounded by its exact binary value, halves to the even digit.
+CHUNK_REPORT = f"""
+WITH a AS ({CORRUPTED.replace("round(m, 4)", "format('{:.6f}', m)::DOUBLE").replace("round(x, 4)", "format('{:.6f}', x)::DOUBLE").replace("round(a / 20, 4)", "format('{:.4f}', a / 20)::DOUBLE")}),
+b AS ({SAFE_ZONE.replace("round(m, 4)", "format('{:.6f}', m)::DOUBLE").replace("round(x, 4)", "format('{:.6f}', x)::DOUBLE")})
+SELECT 'A_corrupted' AS domain, run_key, chunk_start, chunk_end, chunk_mean_fd, chunk_max_fd, frac_vols_above_thr FROM a
+UNION ALL SELECT 'B_motion_free', run_key, chunk_start, chunk_end, chunk_mean_fd, chunk_max_fd, 0.0::DOUBLE FROM b
+"""
+
+
 def safe_volume_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.safe_counts(event_series(spark, sf_dir), KEY, "vol", "fd", EVENT_SAFE)
 
@@ -164,6 +182,7 @@ QUERIES = {
     "fd_6dof": (fd_6dof, FD_6DOF),
     "corrupted_windows": (corrupted_windows, CORRUPTED),
     "sliding_window_step": (sliding_window_step, WINDOW_STEP),
+    "chunk_report": (chunk_report, CHUNK_REPORT),
     "safe_zone_chunks": (safe_zone_chunks, SAFE_ZONE),
     "safe_volume_counts": (safe_volume_counts, SAFE_COUNTS),
     "chunk_local_vs_run_fd": (chunk_local_vs_run_fd, CHUNK_FD),

@@ -196,7 +196,28 @@ def ols_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits with their p-values and formatted p: small samples of lineitem by supplier."""
     li = table(spark, sf_dir, "lineitem")
     fit = stats.regression(li, "l_quantity", "l_discount", ["l_suppkey"])
-    return fit.withColumn("p_text", text.p_text(F.col("p")))
+    return rounded(fit.withColumn("p_text", text.p_text(F.col("p"))), digits=6)
+
+
+#: The continued fraction by a recursive table, a row for each group and term.
+OLS_P = """
+WITH RECURSIVE f AS (
+  SELECT l_suppkey, count(*) AS n, regr_slope(l_discount, l_quantity) AS slope, regr_intercept(l_discount, l_quantity) AS intercept, corr(l_discount, l_quantity) AS r, regr_r2(l_discount, l_quantity) AS r2
+  FROM lineitem GROUP BY l_suppkey),
+g AS (SELECT *, (n - 2) / 2 AS a0, r * r AS y0, 1 - r * r AS x0 FROM f),
+o AS (SELECT *, x0 < (a0 + 1) / (a0 + 2.5) AS low, exp(lgamma(a0 + 0.5) - lgamma(a0) - lgamma(0.5) + a0 * ln(x0) + 0.5 * ln(y0)) AS front FROM g WHERE n > 2 AND y0 > 0 AND y0 < 1),
+s AS (SELECT l_suppkey, CASE WHEN low THEN x0 ELSE y0 END AS x, CASE WHEN low THEN a0 ELSE 0.5 END::DOUBLE AS a, CASE WHEN low THEN 0.5 ELSE a0 END::DOUBLE AS b FROM o),
+t AS (
+  SELECT l_suppkey, x, a, b, 1::DOUBLE AS m, 1::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM s
+  UNION ALL
+  SELECT l_suppkey, x, a, b, m + 1, 1 + v / c1, 1 / (1 + v * d1), h * c1 * d1 * (1 + v / c1) / (1 + v * d1)
+  FROM (SELECT *, 1 + u / c AS c1, 1 / (1 + u * d) AS d1 FROM (
+    SELECT *, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) AS u, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) AS v FROM t WHERE m <= 400))),
+e AS (SELECT l_suppkey, arg_max(h, m) AS h FROM t GROUP BY l_suppkey),
+p AS (SELECT g.*, CASE WHEN g.y0 <= 0 THEN 1 WHEN g.y0 >= 1 THEN 0 WHEN low THEN front * h / o.a0 ELSE 1 - front * h / 0.5 END AS p FROM g LEFT JOIN o USING (l_suppkey) LEFT JOIN e USING (l_suppkey))
+SELECT l_suppkey, n, round(slope, 6) + 0.0 AS slope, round(intercept, 6) + 0.0 AS intercept, round(r, 6) + 0.0 AS r, round(r2, 6) + 0.0 AS r2, round(p, 6) + 0.0 AS p, CASE WHEN p < 0.001 THEN 'p<0.001' ELSE printf('p=%.3f', p) END AS p_text
+FROM p
+"""
 
 
 def regression_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -639,7 +660,7 @@ QUERIES = {
         "SELECT count(*) FILTER (vec_id % 7 = 0) AS n_nan, count(*) FILTER (vec_id % 7 <> 0 AND vec_id % 11 = 0) AS n_inf, count(*) AS n_chunks FROM embeddings",
     ),
     "ols_fd_dvars": (ols_fd_dvars, OLS),
-    "ols_p_value": (ols_p_value, None),
+    "ols_p_value": (ols_p_value, OLS_P),
     "regression_points": (regression_points, POINTS),
     "spread_summary": (spread_summary, SPREAD),
     "finite_and_clipped": (finite_and_clipped, CLIPPED),
