@@ -178,11 +178,18 @@ def _open(h: np.ndarray, ends: np.ndarray, places: np.ndarray, runs: np.ndarray)
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
-    """(doc_id, fp, d0, f0, seeds): the repeated grams of each document, by the document where they stand first."""
+    """(doc_id, fp, d0, f0, seeds): the repeated grams of each document, by the document where they stand first.
+
+    Most grams stand in one place: they are left out before anything is sorted, and what stays is written, so
+    that a common gram's rows can be dealt to several tasks where they meet its first place.
+    """
     place = F.struct("doc_id", "fp", "at")
-    first = rows.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("again").alias("r"))
-    first = first.filter("p < q OR r").select("gram", "p")
-    later = rows.join(first, "gram").filter((place > F.col("p")) | F.col("again"))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("doc_id", "fp", "at") for name, f in (("least", F.min), ("most", F.max))]
+    places = rows.groupBy("gram").agg(*ends, F.max(F.col("again").cast("int")).alias("r"))  # numbers only, so nothing is sorted
+    several = places.filter("least_doc_id < most_doc_id OR least_fp < most_fp OR least_at < most_at OR r > 0").select("gram").hint("shuffle_hash")
+    kept = materialize(rows.join(several, "gram", "left_semi"), "line-dedup-repeated")
+    first = kept.groupBy("gram").agg(F.min(place).alias("p"))
+    later = kept.join(first, "gram").filter((place > F.col("p")) | F.col("again"))
     anchor = [F.col("p.doc_id").alias("d0"), F.col("p.fp").alias("f0")]
     return later.groupBy("doc_id", "fp", *anchor).agg(F.collect_set(F.struct("gram", F.col("p.at").cast("int").alias("at0"))).alias("seeds"))
 
@@ -244,7 +251,7 @@ def _extended(docs: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, runs): the later runs, as (start, end) numbers of words, end exclusive."""
-    # one exchange, for the first places and for the join with them: the filter is what the join would infer on one side
+    # one exchange, for the grams' places and for the join with them: the filter is what the join would infer on one side
     rows = word_index(docs).filter("gram IS NOT NULL AND doc_id IS NOT NULL AND fp IS NOT NULL").repartition("gram")
     seeds = materialize(_seeds(rows), "line-dedup-seeds")
     found = materialize(_extended(docs, seeds), "line-dedup-matches")
