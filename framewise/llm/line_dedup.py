@@ -187,7 +187,7 @@ def _seeds(rows: DataFrame) -> DataFrame:
     ends = [f(c).alias(f"{name}_{c}") for c in ("doc_id", "fp", "at") for name, f in (("least", F.min), ("most", F.max))]
     places = rows.groupBy("gram").agg(*ends, F.max(F.col("again").cast("int")).alias("r"))  # numbers only, so nothing is sorted
     several = places.filter("least_doc_id < most_doc_id OR least_fp < most_fp OR least_at < most_at OR r > 0").select("gram").hint("shuffle_hash")
-    kept = materialize(rows.join(several, "gram", "left_semi"), "line-dedup-repeated")
+    kept = materialize(rows.join(several, "gram"), "line-dedup-repeated")  # by rows of one gram each; an inner join reads the same exchange
     first = kept.groupBy("gram").agg(F.min(place).alias("p"))
     later = kept.join(first, "gram").filter((place > F.col("p")) | F.col("again"))
     anchor = [F.col("p.doc_id").alias("d0"), F.col("p.fp").alias("f0")]
@@ -210,10 +210,14 @@ def _extended(docs: DataFrame, seeds: DataFrame) -> DataFrame:
             upto = np.searchsorted(at, ends)
             begin, low = np.concatenate([[0], ends]), np.concatenate([[0], upto])
             found, repeated = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
-            names = zip(batch.column("d0").to_pylist(), batch.column("f0").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("fp").to_pylist(), strict=True)
+            names = [*zip(*(batch.column(c).to_pylist() for c in ("d0", "f0", "doc_id", "fp")), strict=True)]
+            # the first documents of these rows, each once where it comes several times in a row
+            fresh_ = [k for k, x in enumerate(names) if x[:2] != (names[k - 1][:2] if k else last)]
+            h0, ends0 = word_hashes(encoded(batch.column("text0").take(pa.array(fresh_, pa.int64()))))
+            firsts = iter(np.split(h0, ends0[:-1]) if len(fresh_) else [])
             for k, (d0, f0, d, f) in enumerate(names):
                 if (d0, f0) != last:
-                    last, y = (d0, f0), word_hashes(encoded(batch.column("text0")[k : k + 1]))[0]
+                    last, y = (d0, f0), next(firsts)
                 pairs = batch.column("seeds")[k].values
                 known, at0 = (pairs.field(c).to_numpy() for c in ("gram", "at0"))
                 order = np.argsort(known)
