@@ -44,6 +44,23 @@ def test_near_duplicates(documents, texts, n):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_signatures_find_pairs_just_above_the_bound():
+    """Of pairs with a similarity from 0.80 to 0.85 nearly all share a band, and the estimate keeps them."""
+    import numpy as np
+
+    rng, p, found, pairs = np.random.default_rng(5), near_dedup.NearDup(), 0, 0
+    while pairs < 4000:
+        union = int(rng.integers(30, 400))
+        both = int(np.ceil(rng.uniform(0.80, 0.85) * union))
+        if both > 0.85 * union:
+            continue
+        s, own = rng.integers(0, 2**64, size=union, dtype=np.uint64), int(rng.integers(0, union - both + 1))
+        x, y = (near_dedup.signature(np.sort(v)) for v in (s[: both + own], np.concatenate([s[:both], s[both + own :]])))
+        pairs += 1
+        found += (x.reshape(near_dedup.BANDS, -1) == y.reshape(near_dedup.BANDS, -1)).all(axis=1).any() and (x == y).mean() >= p.percent / 100 - p.slack
+    assert found >= 0.999 * pairs
+
+
 def test_star_of_copies_with_strangers(spark):
     """Copies that are linked only through what they were made from, and others just too far from it."""
     rnd = random.Random(5)
@@ -177,6 +194,13 @@ def test_busy_first_documents_are_copied(spark, monkeypatch):
     assert got[0] == 0 and all(got[k] >= 55 for k in range(1, 40))
 
 
+def test_line_ends_are_the_pattern_s():
+    rnd = random.Random(2)
+    for _ in range(4000):
+        raw = bytes(rnd.choice(b"ab.!? \t\r\n\x0b") for _ in range(rnd.randint(0, 40)))
+        assert line_dedup.line_ends(raw).tolist() == [m.end() for m in line_dedup._CUT.finditer(raw)]
+
+
 def test_first_place_stays_and_context_is_kept(spark):
     passage = " ".join(f"common{k}" for k in range(55)) + ".\n"
     rows = [(3, "Own three.\n" + passage + "After three."), (1, "Own one.\n" + passage + "After one."), (2, "Nothing shared here.")]

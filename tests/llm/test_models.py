@@ -215,6 +215,57 @@ def test_quality_accuracy(spark, documents):
     assert {r.doc_id: r.score for r in got} == {r.doc_id: r.score for r in again}
 
 
+def score_by_definition(text, model, p):
+    """The logistic function of the mean of all features' numbers, counted one by one."""
+    words = (text or "").encode().split()
+    slots = []
+    for w in words:
+        marked = b"<" + w + b">"
+        slots.append(zlib.crc32(w, 1) % p.table)
+        slots += [zlib.crc32(marked[k : k + n]) % p.table for n in (2, 3, 4) for k in range(len(marked) - n + 1)]
+    slots += [zlib.crc32(b"a bigram of a word with itself") % p.table for a, b in zip(words, words[1:]) if a == b]
+    return 1 / (1 + math.exp(-(sum(model.slots[s] for s in slots) / (len(slots) + p.rest) + model.bias)))
+
+
+def test_training_is_gradient_descent():
+    """Every step follows the loss's slope, measured by differences, in all vectors, weights and biases."""
+    p = quality_classifier.SubwordClassifier(table=16, dim=2, rest=3, epochs=2, rate=0.5)
+    texts, labels = ["a b b", "c c c d", "a d", "", "b c a a"], [1, 0, 1, 0, 0]
+    rng = np.random.default_rng(p.seed)
+    state = {"v": rng.uniform(-1 / p.dim, 1 / p.dim, (p.table, p.dim)), "w": np.zeros((p.dim, 2)), "b": np.zeros(2)}
+    share = np.bincount(labels) / len(labels)
+
+    def features(text):
+        words = text.encode().split()
+        out = [s for w in words for s in quality_classifier.word_features(w, p)] + [quality_classifier.repeat_slot(p)] * quality_classifier.repeats(words)
+        return np.bincount(out, minlength=p.table) / (len(out) + p.rest)
+
+    def loss(k):
+        z = features(texts[k]) @ state["v"] @ state["w"] + state["b"]
+        return (np.log(np.exp(z).sum()) - z[labels[k]]) * 0.5 / share[labels[k]]
+
+    done, steps = 0, p.epochs * len(texts)
+    for _ in range(p.epochs):
+        for k in rng.permutation(len(texts)):
+            rate, done = p.rate * (1 - done / steps), done + 1
+            if not texts[k]:
+                continue
+            slopes = {}
+            for name, x in state.items():
+                slopes[name] = np.zeros_like(x)
+                for at in np.ndindex(x.shape):
+                    kept = x[at]
+                    x[at] = kept + 1e-6
+                    up = loss(k)
+                    x[at] = kept - 1e-6
+                    slopes[name][at] = (up - loss(k)) / 2e-6
+                    x[at] = kept
+            for name, factor in (("v", 1), ("w", 1), ("b", 0.1)):
+                state[name] -= factor * rate * slopes[name]
+    got = quality_classifier.train(texts, labels, p)
+    assert np.allclose(got.slots, state["v"] @ (state["w"][:, 1] - state["w"][:, 0]), atol=1e-6) and got.bias == pytest.approx(state["b"][1] - state["b"][0], abs=1e-6)
+
+
 def test_quality_scores_by_the_definition(spark, odd):
     """Scores are a logistic function of the mean of all features' numbers, counted one by one."""
     p = quality_classifier.SubwordClassifier(table=1 << 10, epochs=3, rate=0.1)
@@ -224,21 +275,11 @@ def test_quality_scores_by_the_definition(spark, odd):
     model = quality_classifier.train(texts, labels, p)
     docs = {r.doc_id: r.text for r in odd.filter("doc_id IS NOT NULL AND doc_id <> 6").collect()} | dict(enumerate(texts, 100))
 
-    def score(text):
-        words = (text or "").encode().split()
-        slots = []
-        for w in words:
-            marked = b"<" + w + b">"
-            slots.append(zlib.crc32(w, 1) % p.table)
-            slots += [zlib.crc32(marked[k : k + n]) % p.table for n in (2, 3, 4) for k in range(len(marked) - n + 1)]
-        slots += [zlib.crc32(b"a bigram of a word with itself") % p.table for a, b in zip(words, words[1:]) if a == b]
-        return 1 / (1 + math.exp(-(sum(model.slots[s] for s in slots) / (len(slots) + p.rest) + model.bias)))
-
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in docs.items()], "doc_id long, text string, Score int, `a.b` int")
     got = quality_classifier.score_texts(df, model, p, names=("_score", "_predicted")).collect()
     assert len(got) == len(docs) and all(r.Score == 1 and r["a.b"] == 2 for r in got)
     for r in got:
-        assert r._score == pytest.approx(score(docs[r.doc_id]), rel=1e-9) and r._predicted == int(r._score >= p.threshold)
+        assert r._score == pytest.approx(score_by_definition(docs[r.doc_id], model, p), rel=1e-9) and r._predicted == int(r._score >= p.threshold)
 
 
 def test_quality_of_odd_rows(spark, odd, none):
@@ -490,8 +531,16 @@ def test_pipeline(spark, sf_dir, documents, texts):
             assert docs.columns == documents.columns and docs.schema == documents.schema
     left = {n: {r.doc_id: r.text for r in d.collect()} for n, d in seen[:-1]}
     assert set(left["near duplicates"]) <= set(left["line dedup"]) <= set(left["quality classifier"]) <= set(texts)
-    from .test_duplicates import brute_components, brute_hits
-
+    from .test_duplicates import brute_components, brute_hits, check_line_dedup, words_left
+
+    # stage 1: texts whose score by the definition is below the threshold go
+    p = quality_classifier.SubwordClassifier()
+    model = quality_classifier.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert set(left["quality classifier"]) == {i for i, t in texts.items() if score_by_definition(t, model, p) >= p.threshold}
+    # stage 2: all runs of GUARANTEE words of an earlier place go, and nothing that doesn't stand in one
+    before, _, runs = check_line_dedup(seen[0][1].select("doc_id", "text"))
+    after = {i: words_left(t, runs[i]) for i, t in before.items()}
+    assert {i: t.encode().split() for i, t in left["line dedup"].items()} == {i: w for i, w in after.items() if w or not before[i].split()}
     comps, _ = brute_components(left["line dedup"], 5)
     assert set(left["near duplicates"]) == {i for i, c in comps.items() if i == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
