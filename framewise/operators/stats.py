@@ -223,6 +223,38 @@ def density(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     return dense.join(lim, by).select(by, x, y, "density", scaled.alias("scaled"))
 
 
+#: Nodes of a violin's grid for each bandwidth, and bandwidths beyond which a node doesn't count (below 1e-14 of the peak).
+FINE, FAR = 64, 8
+
+
+def violin(df: DataFrame, value: str, by: list[str], points: int = 100) -> DataFrame:
+    """(by, k, x, density): the Gaussian density of each group at ``points`` places from its least to its largest value.
+
+    Scott's bandwidth. Finite values count; a group of one value, or of equal ones, has no density. Values are
+    counted at the nodes of a grid of FINE nodes a bandwidth, shared between their two neighbours, so a group is
+    as many rows as its grid has nodes however large it is; a node then adds to the places within FAR bandwidths.
+    The error is below 1e-4 of the density's peak.
+    """
+    x = F.col(value).cast("double")
+    rows = df.select(*by, finite_or_null(x).alias("_x")).filter("_x IS NOT NULL")
+    m = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.stddev_samp("_x").alias("_sd"))
+    m = m.filter((F.col("_n") > 1) & (F.col("_hi") > F.col("_lo"))).withColumn("_h", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd"))
+    m = m.withColumn("_w", (F.col("_hi") - F.col("_lo")) / F.ceil(FINE * (F.col("_hi") - F.col("_lo")) / F.col("_h")))
+    same = lambda a, b: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    at = rows.alias("a").join(m.alias("b"), same("a", "b")).select("b.*", ((F.col("_x") - F.col("_lo")) / F.col("_w")).alias("_at"))
+    cells = at.withColumn("_i", F.floor("_at")).groupBy(*m.columns, "_i").agg(F.count(F.lit(1)).alias("_k"), F.sum(F.col("_at") - F.floor("_at")).alias("_f"))
+    shared = F.explode(F.array(F.struct(F.col("_i").alias("i"), (F.col("_k") - F.col("_f")).alias("c")), F.struct((F.col("_i") + 1).alias("i"), F.col("_f").alias("c"))))
+    nodes = cells.select(*m.columns, shared.alias("_s")).groupBy(*m.columns, F.col("_s.i").alias("_i")).agg(F.sum("_s.c").alias("_c"))
+    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
+    middle = F.col("_i") * F.col("_w")  # from the least value on
+    first = F.greatest(F.lit(0), F.ceil((middle - FAR * F.col("_h")) / step).cast("int"))
+    last = F.least(F.lit(points - 1), F.floor((middle + FAR * F.col("_h")) / step).cast("int"))
+    near = nodes.withColumn("k", F.explode(F.sequence(first, last)))
+    apart = (F.col("k") * step - middle) / F.col("_h")
+    total = F.sum(F.col("_c") * F.exp(-0.5 * apart * apart)) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    return near.groupBy(*m.columns, "k").agg(total.alias("density")).select(*by, "k", (F.col("_lo") + F.col("k") * step).alias("x"), "density")
+
+
 def running_best(df: DataFrame, order: list[str], value: str, by: list[str], parts: int | None = None) -> DataFrame:
     """Rows whose value is strictly above all before it in their group.
 

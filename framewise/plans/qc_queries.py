@@ -231,6 +231,23 @@ SELECT l_returnflag, round(50.0 * k / 199, 2) AS x, round(i + s * (50.0 * k / 19
 """
 
 
+def violin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities of the events' values by type, at a hundred places each."""
+    return rounded(stats.violin(table(spark, sf_dir, "events"), "value", ["event_type"]), digits=8)
+
+
+VIOLIN = """
+WITH m AS (SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) * pow(count(*)::DOUBLE, -0.2) AS h FROM events GROUP BY event_type),
+g AS (SELECT *, (hi - lo) / ceil(64 * (hi - lo) / h) AS w FROM m WHERE n > 1 AND hi > lo),
+v AS (SELECT g.*, (value - lo) / w AS at FROM events JOIN g USING (event_type)),
+c AS (SELECT event_type, floor(at) AS i, 1 - (at - floor(at)) AS c FROM v UNION ALL SELECT event_type, floor(at) + 1, at - floor(at) FROM v),
+d AS (SELECT event_type, i, sum(c) AS c FROM c GROUP BY ALL),
+p AS (SELECT g.*, k, (hi - lo) / 99 * k AS x FROM g, range(100) t(k))
+SELECT event_type, k::INT AS k, round(lo + x, 8) + 0.0 AS x, round(sum(c * exp(-0.5 * ((x - i * w) / h) * ((x - i * w) / h))) / (n * h * sqrt(2 * pi())), 8) + 0.0 AS density
+FROM p JOIN d USING (event_type) GROUP BY event_type, k, lo, x, n, h
+"""
+
+
 def spread_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.spread_summary(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], ["l_linestatus"]))
 
@@ -660,6 +677,7 @@ QUERIES = {
         "SELECT count(*) FILTER (vec_id % 7 = 0) AS n_nan, count(*) FILTER (vec_id % 7 <> 0 AND vec_id % 11 = 0) AS n_inf, count(*) AS n_chunks FROM embeddings",
     ),
     "ols_fd_dvars": (ols_fd_dvars, OLS),
+    "violin_density": (violin_density, VIOLIN),
     "ols_p_value": (ols_p_value, OLS_P),
     "regression_points": (regression_points, POINTS),
     "spread_summary": (spread_summary, SPREAD),

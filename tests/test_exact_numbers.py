@@ -55,3 +55,20 @@ def test_quantiles_beyond_the_bound_read_their_input_once(spark, tmp_path):
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert str(tmp_path) not in plan  # only the counts are read from here on
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.99}).collect()}
+
+
+def test_violin_against_all_pairs(spark):
+    rnd = random.Random(3)
+    groups = {"a": [rnd.gauss(0, 1) for _ in range(500)], "b": [rnd.expovariate(0.1) for _ in range(300)] + [500.0], None: [1.0, 2.0], "one": [3.0], "same": [4.0] * 9}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("a", None), ("a", float("nan")), ("a", float("inf")), ("nothing", None)]
+    got = stats.violin(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], 50).collect()
+    assert {r.g for r in got} == {"a", "b", None} and len(got) == 150
+    for g in ("a", "b", None):
+        xs = groups[g]
+        n, mean = len(xs), sum(xs) / len(xs)
+        h = n**-0.2 * math.sqrt(sum((x - mean) ** 2 for x in xs) / (n - 1))
+        full = lambda at: sum(math.exp(-0.5 * ((at - x) / h) ** 2) for x in xs) / (n * h * math.sqrt(2 * math.pi))  # noqa: B023, E731
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.k)
+        peak = max(full(r.x) for r in own)
+        assert [r.k for r in own] == list(range(50)) and own[0].x == min(xs) and own[-1].x == pytest.approx(max(xs))
+        assert all(abs(r.density - full(r.x)) < 1e-4 * peak for r in own)
