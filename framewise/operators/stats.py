@@ -251,8 +251,10 @@ def violin(df: DataFrame, value: str, by: list[str], points: int = 100) -> DataF
     last = F.least(F.lit(points - 1), F.floor((middle + FAR * F.col("_h")) / step).cast("int"))
     near = nodes.withColumn("k", F.explode(F.sequence(first, last)))
     apart = (F.col("k") * step - middle) / F.col("_h")
-    total = F.sum(F.col("_c") * F.exp(-0.5 * apart * apart)) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
-    return near.groupBy(*m.columns, "k").agg(total.alias("density")).select(*by, "k", (F.col("_lo") + F.col("k") * step).alias("x"), "density")
+    adds = near.select(*m.columns, "k", (F.col("_c") * F.exp(-0.5 * apart * apart)).alias("_v"))
+    every = m.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), F.lit(0.0).alias("_v"))  # places without a node near
+    total = F.sum("_v") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    return adds.unionByName(every).groupBy(*m.columns, "k").agg(total.alias("density")).select(*by, "k", (F.col("_lo") + F.col("k") * step).alias("x"), "density")
 
 
 def running_best(df: DataFrame, order: list[str], value: str, by: list[str], parts: int | None = None) -> DataFrame:

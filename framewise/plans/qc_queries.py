@@ -239,8 +239,8 @@ def violin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIOLIN = """
 WITH m AS (SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) * pow(count(*)::DOUBLE, -0.2) AS h FROM events GROUP BY event_type),
 g AS (SELECT *, (hi - lo) / ceil(64 * (hi - lo) / h) AS w FROM m WHERE n > 1 AND hi > lo),
-v AS (SELECT g.*, (value - lo) / w AS at FROM events JOIN g USING (event_type)),
-c AS (SELECT event_type, floor(at) AS i, 1 - (at - floor(at)) AS c FROM v UNION ALL SELECT event_type, floor(at) + 1, at - floor(at) FROM v),
+v AS (SELECT g.*, (value - lo) / w AS u FROM events JOIN g USING (event_type)),
+c AS (SELECT event_type, floor(u) AS i, 1 - (u - floor(u)) AS c FROM v UNION ALL SELECT event_type, floor(u) + 1, u - floor(u) FROM v),
 d AS (SELECT event_type, i, sum(c) AS c FROM c GROUP BY ALL),
 p AS (SELECT g.*, k, (hi - lo) / 99 * k AS x FROM g, range(100) t(k))
 SELECT event_type, k::INT AS k, round(lo + x, 8) + 0.0 AS x, round(sum(c * exp(-0.5 * ((x - i * w) / h) * ((x - i * w) / h))) / (n * h * sqrt(2 * pi())), 8) + 0.0 AS density

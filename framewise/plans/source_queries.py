@@ -23,7 +23,7 @@ def csv_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     rows = li.select(
         text("l_orderkey").alias("subject_id"), text("l_linenumber").alias("session_id"), text("l_suppkey").alias("run_id"), F.lit("rest5").alias("task"),
-        F.concat(F.lit('a "quoted", '), "l_shipmode").alias("bold_file"), F.lit(None).cast("string").alias("motion_parameter_file"),
+        F.concat(F.lit('a "quoted", '), "l_linestatus").alias("bold_file"), F.lit(None).cast("string").alias("motion_parameter_file"),
         F.col("l_linenumber").cast("int").alias("chunk_start"), (F.col("l_linenumber") + 19).cast("int").alias("chunk_end"),
         (F.col("l_extendedprice") / 7).alias("chunk_mean_fd"), F.col("l_extendedprice").alias("chunk_max_fd"), F.col("l_quantity").cast("int").alias("n_vols_above_thr"),
         F.col("l_discount").cast("double").alias("frac_vols_above_thr"), F.lit(3).alias("max_sustained_streak"), F.lit(200).alias("n_total_vols_in_run"),
@@ -34,7 +34,7 @@ def csv_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CSV_CHUNKS = """
-SELECT l_orderkey::VARCHAR AS subject_id, l_linenumber::VARCHAR AS session_id, l_suppkey::VARCHAR AS run_id, 'a "quoted", ' || l_shipmode AS bold_file, true AS no_file,
+SELECT l_orderkey::VARCHAR AS subject_id, l_linenumber::VARCHAR AS session_id, l_suppkey::VARCHAR AS run_id, 'a "quoted", ' || l_linestatus AS bold_file, true AS no_file,
        (l_linenumber + 19)::INT AS chunk_end, round(l_extendedprice / 7, 4) AS chunk_mean_fd, l_quantity::INT AS n_vols_above_thr FROM lineitem
 """
 
