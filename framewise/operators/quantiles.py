@@ -22,7 +22,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str,
     """
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     names, shares = list(probabilities), [float(x) for x in probabilities.values()]
-    if rows.limit(small + 1).count() <= small:
+    if rows.count() <= small:  # a limit would bring that many rows to one task
         found = rows.groupBy(*by).agg(F.percentile("_v", F.array(*map(F.lit, shares))).alias("_q"))
         return found.select(*by, *(F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(names)))
     counted = stored(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "quantiles")
