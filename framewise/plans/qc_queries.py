@@ -648,13 +648,13 @@ SELECT r || '-' || (vol // 5 * 5) || '-' || (vol // 5 * 5 + 4) AS chunk_id, (vol
 def corrupted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution of the selected chunks' statistics."""
     c = chunks.corrupted_chunks(event_series(spark, sf_dir), KEY, "vol", "fd", EVENT_CORRUPTION)
-    return rounded(qc.distribution_summary(c, ["chunk_mean_fd", "chunk_max_fd"]), digits=3)
+    return rounded(qc.distribution_summary(c, ["chunk_mean_fd", "chunk_max_fd"]), digits=6)
 
 
 CORRUPTED_SUMMARY = f"""
 WITH w AS ({CORRUPTED.replace("round(m, 4)", "m").replace("round(x, 4)", "x")}), l AS (UNPIVOT (SELECT chunk_mean_fd, chunk_max_fd FROM w) ON chunk_mean_fd, chunk_max_fd INTO NAME metric VALUE v)
-SELECT metric, count(v) AS n, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS std, round(median(v), 3) AS median, round(quantile_cont(v, 0.25), 3) AS q25, round(quantile_cont(v, 0.75), 3) AS q75,
-       round(min(v), 3) AS min, round(max(v), 3) AS max FROM l GROUP BY metric
+SELECT metric, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(median(v), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.75), 6) AS q75,
+       round(min(v), 6) AS min, round(max(v), 6) AS max FROM l GROUP BY metric
 """
 
 
