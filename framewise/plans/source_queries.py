@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewise.operators.motion import series_window
 from framewise.operators.storage import shared_dir
 from framewise.plans.series import VECTORS_SQL, table, vector_series
 from framewise.sources import tables
@@ -42,13 +43,13 @@ SELECT l_orderkey::VARCHAR AS subject_id, l_linenumber::VARCHAR AS session_id, l
 def motion_parameter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors' first six values as motion-parameter files, a comment in front; every third run has a line too short and is left out."""
     where = _folder(spark, "motion")
-    v = vector_series(spark, sf_dir)
-    lines = v.select("run_key", "vol", F.array_join(F.transform(F.slice("x", 1, 6), lambda x: x.cast("string")), "   ").alias("value"))
-    runs = v.select("run_key").distinct()
-    extra = runs.select("run_key", F.lit(-1).alias("vol"), F.lit("# rotations, then translations").alias("value"))
-    short = runs.filter(F.col("run_key") % 3 == 2).select("run_key", F.lit(1_000_000).alias("vol"), F.lit("0.5 1.5").alias("value"))
-    every = lines.unionByName(extra).unionByName(short)
-    every.repartition("run_key").sortWithinPartitions("run_key", "vol").select("value", "run_key").write.partitionBy("run_key").text(where)
+    v = vector_series(spark, sf_dir).withColumn("next", F.lead("vol").over(series_window(["run_key"], "vol")))
+    line = F.array_join(F.transform(F.slice("x", 1, 6), lambda x: x.cast("string")), "   ")
+    front = F.when(F.col("vol") == 0, "# rotations, then translations")
+    short = F.when(F.col("next").isNull() & (F.col("run_key") % 3 == 2), "0.5 1.5")
+    # each line comes from its volume's row: a union of tables dealt by run_key is not dealt anew, and left a run's lines in several files
+    every = v.select("run_key", "vol", F.posexplode(F.array_compact(F.array(front, line, short))).alias("place", "value"))
+    every.repartition("run_key").sortWithinPartitions("run_key", "vol", "place").select("value", "run_key").write.partitionBy("run_key").text(where)
     key = F.regexp_extract("path", r"run_key=(-?\d+)", 1).cast("int").alias("run_key")
     good = read_motion_parameters(spark, f"{where}/run_key=*", "skip").select(key, "vol", *(F.round(c, 6).alias(c) for c in NAMES))
     bad = bad_files(spark, f"{where}/run_key=*").select(key, F.lit(-1).alias("vol"), *(F.lit(0.0).alias(c) for c in NAMES))
