@@ -1,7 +1,7 @@
 """A Spark data source of files of volumes: ``spark.read.format("volumes")`` and ``df.write.format("volumes")``.
 
 Register it with ``register(spark)``. Reading deals a file's volumes to several tasks by ranges, of which each
-decodes its own (see volume_files); the options first and last, and with the option pushdown filters on vol and
+decodes its own (see volume_files), and small files to a task by many; the options first and last, and with the option pushdown filters on vol and
 path, leave out the others before anything is decoded. pushdown needs the session's
 ``spark.sql.python.filterPushdown.enabled``. Writing makes a file of each path: rows must come by path, and in
 the order of volumes (``repartition("path").sortWithinPartitions("path", "vol")``). Tasks write to a folder of
@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from framewise.sources.nifti import VOLUMES
 from framewise.sources.volume_files import VolumeFile, as_stored, file_header, member, store_of
 
-#: Bytes of volumes, as floats, of a task.
-TASK_BYTES = 64 << 20
+#: Bytes of volumes, as floats, of a task; ranges of several files that a task may have; headers that the driver reads at once.
+TASK_BYTES, TASK_RANGES, PROBES = 64 << 20, 256, 16
 _NAMES = [f.split()[0] for f in VOLUMES.split(", ")]
 _KINDS = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.binary(), pa.string()]
 
@@ -46,6 +47,26 @@ class Range(InputPartition):
         super().__init__((self.path, self.first, self.last))
 
 
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[Range]
+
+    def __post_init__(self) -> None:
+        super().__init__(tuple(r.value for r in self.ranges))
+
+
+def packed(sized: Iterable[tuple[Range, int]], most: int) -> list[InputPartition]:
+    """Ranges with their bytes, in their order, to tasks of ``most`` bytes and TASK_RANGES ranges; a larger one is a task's by itself."""
+    tasks, held = [], 0
+    for r, size in sized:
+        if not tasks or held + size > most or len(tasks[-1]) == TASK_RANGES:
+            tasks.append([])
+            held = 0
+        tasks[-1].append(r)
+        held += size
+    return [t[0] if len(t) == 1 else Ranges(t) for t in tasks]
+
+
 class VolumeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
@@ -67,33 +88,36 @@ class VolumeReader(DataSourceReader):
         return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(self.suffixes) and inside(f.path))
 
     def partitions(self) -> list[InputPartition]:
-        """Ranges of volumes; a header is read of each file, and of files of one foreign stream a task takes all."""
-        store, _ = store_of(self.root)
-        out: list[InputPartition] = []
-        for path in self.files():
-            if self.paths is not None and path not in self.paths:
-                continue
-            try:
-                with VolumeFile(store, path) as f:
-                    end, each = f.layout.volumes, max(1, self.bytes // (4 * int(np.prod(f.layout.shape)) or 1))
-                    each = end if f.packed and not f.own else each
-            except Exception:  # the task that reads it says what is wrong
-                out.append(Range(path, 0, None))
-                continue
-            end = end if self.last is None else min(end, self.last + 1)
-            out += [Range(path, a, min(a + each, end) - 1) for a in range(max(self.first, 0), end, max(each, 1))]
-        return out or [Range("", 0, -1)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+        """Tasks of about as many bytes: ranges of the volumes of large files, many small files.
+
+        A header is read of each file, several at a time; of files of one foreign stream a task takes all.
+        """
         store, _ = store_of(self.root)
+        paths = [p for p in self.files() if self.paths is None or p in self.paths]
+        with ThreadPoolExecutor(PROBES) as pool:
+            tasks = packed((r for found in pool.map(lambda p: self._ranges(store, p), paths) for r in found), self.bytes)
+        return tasks or [Ranges([])]
+
+    def _ranges(self, store, path: str) -> list[tuple[Range, int]]:
         try:
-            with VolumeFile(store, part.path) as f:
-                for t, values in f.volumes(part.first, part.last):
-                    yield row(part.path, t, f.layout.shape, values, f.layout.affine, f.header, None)
-        except Exception as e:  # a file that can't be read, or not to its end, is a row that says so
-            yield row(part.path, None, None, None, None, None, str(e)[:200] or type(e).__name__)
+            with VolumeFile(store, path) as f:
+                end, size = f.layout.volumes, 4 * int(np.prod(f.layout.shape))
+                each = end if f.packed and not f.own else max(1, self.bytes // (size or 1))
+        except Exception:  # the task that reads it says what is wrong
+            return [(Range(path, 0, None), self.bytes)]
+        end, each = end if self.last is None else min(end, self.last + 1), max(each, 1)
+        lasts = ((a, min(a + each, end) - 1) for a in range(max(self.first, 0), end, each))
+        return [(Range(path, a, b), (b - a + 1) * size) for a, b in lasts]
+
+    def read(self, part: Range | Ranges) -> Iterator[pa.RecordBatch]:
+        store, _ = store_of(self.root)
+        for r in part.ranges if isinstance(part, Ranges) else [part]:
+            try:
+                with VolumeFile(store, r.path) as f:
+                    for t, values in f.volumes(r.first, r.last):
+                        yield row(r.path, t, f.layout.shape, values, f.layout.affine, f.header, None)
+            except Exception as e:  # a file that can't be read, or not to its end, is a row that says so
+                yield row(r.path, None, None, None, None, None, str(e)[:200] or type(e).__name__)
 
 
 class PushingReader(VolumeReader):
