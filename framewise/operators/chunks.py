@@ -21,6 +21,17 @@ def longest_streak(values: Column, threshold: float) -> Column:
     return F.aggregate(values, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), step, lambda s: s["best"])
 
 
+def border_mean(mean: Column, values: Column, border: float) -> Column:
+    """The mean; where it is so near the border that the order of adding would decide, that of the values' decimals.
+
+    A double counts as the shortest decimal that stands for it. Their sum is exact, so the mean is the same in any order.
+    """
+    kind = "decimal(37,17)"
+    total = F.aggregate(values, F.lit(0).cast(kind), lambda s, x: (s + x.try_cast(kind)).try_cast(kind), lambda s: s.cast("double"))
+    near = F.abs(mean - border) <= 1e-9 * abs(border)
+    return F.when(near, F.coalesce(total / F.size(values), mean)).otherwise(mean)
+
+
 def sliding_windows(series: DataFrame, keys: list[str], ordinal: str, fd: str, p: Corruption = Corruption()) -> DataFrame:
     """Each full window that starts at a multiple of the step: bounds, statistics and the values themselves.
 
@@ -55,12 +66,14 @@ def sliding_windows(series: DataFrame, keys: list[str], ordinal: str, fd: str, p
 def corrupted_chunks(series: DataFrame, keys: list[str], ordinal: str, fd: str, p: Corruption = Corruption()) -> DataFrame:
     """Windows with enough high volumes, a long enough streak and mean, and no volume at the limit or above.
 
-    The streak is worked out only for windows that pass the cheap tests.
+    A mean at the limit passes whatever the order of adding (see border_mean). The streak is worked out only for
+    windows that pass the cheap tests.
     """
     cheap = (
-        (F.col("frac_vols_above_thr") >= p.min_fraction) & (F.col("chunk_mean_fd") >= p.min_mean) & (F.col("chunk_max_fd") < p.max_fd)
+        (F.col("frac_vols_above_thr") >= p.min_fraction) & (F.col("chunk_mean_fd") >= p.min_mean - 1e-9 * abs(p.min_mean)) & (F.col("chunk_max_fd") < p.max_fd)
     )
-    passed = sliding_windows(series, keys, ordinal, fd, p).filter(cheap)
+    windows = sliding_windows(series, keys, ordinal, fd, p).filter(cheap)
+    passed = windows.withColumn("chunk_mean_fd", border_mean(F.col("chunk_mean_fd"), F.col("values"), p.min_mean)).filter(F.col("chunk_mean_fd") >= p.min_mean)
     streak = passed.withColumn("max_sustained_streak", longest_streak(F.col("values"), p.threshold))
     return streak.filter(F.col("max_sustained_streak") >= p.min_streak).drop("values")
 
