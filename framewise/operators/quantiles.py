@@ -17,8 +17,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str,
 
     Up to ``small`` rows, one buffer serves all probabilities of a group. Beyond, values are counted first, in
     as many tasks as there are, and the counts are written, so that ``df`` is read once; ranges of the distinct
-    values, from an approximate pass, have their rows summed, and only the ranges that hold a wanted place are
-    gone through in order.
+    values, from an approximate pass whose result is written too, have their rows summed, and only the ranges that
+    hold a wanted place are gone through in order.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     names, shares = list(probabilities), [float(x) for x in probabilities.values()]
@@ -27,6 +27,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str,
         return found.select(*by, *(F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(names)))
     counted = stored(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "quantiles")
     cuts = counted.groupBy(*by).agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    cuts = stored(cuts, "quantiles")  # approximate ones depend on the order of merging; both uses below need the same
     keyed = (lambda a, b: a.join(F.broadcast(b))) if not by else (lambda a, b: a.join(b, by))  # one row without groups
     ranged = keyed(counted, cuts).withColumn("_r", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
     sums = ranged.groupBy(*by, "_r", "_n").agg(F.sum("_c").alias("_s"))

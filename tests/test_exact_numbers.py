@@ -57,6 +57,22 @@ def test_quantiles_beyond_the_bound_read_their_input_once(spark, tmp_path):
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.99}).collect()}
 
 
+def _unsteady(of, kind: str):
+    """A function of a group's values whose last digits differ each time that it is worked out, as those do that depend on the order of merging."""
+    return F.udf(of, kind).asNondeterministic()
+
+
+def test_quantiles_hold_when_the_cuts_come_out_otherwise_each_time(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("id % 3 AS k", "cast((id * 7919) % 2003 AS double) AS v")
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.75, "e": 0.99}
+    want = {by: sorted(map(tuple, quantiles(df, list(by), "v", shares).collect())) for by in ((), ("k",))}
+    cuts = _unsteady(lambda xs: sorted(random.sample(xs, 63)), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda c, *_: cuts(F.collect_list(c)))
+    for by, rows in want.items():
+        got = sorted(map(tuple, quantiles(df, list(by), "v", shares, small=10).collect()))
+        assert len(got) == len(rows) and all(x == pytest.approx(y) for x, y in zip(got, rows, strict=True))
+
+
 def test_violin_against_all_pairs(spark):
     rnd = random.Random(3)
     groups = {"a": [rnd.gauss(0, 1) for _ in range(500)], "b": [rnd.expovariate(0.1) for _ in range(300)] + [500.0], None: [1.0, 2.0], "one": [3.0], "same": [4.0] * 9}
