@@ -15,6 +15,7 @@ from framewise.functions.arrays import bin_index, finite_or_null, let
 from framewise.functions.text import range_label
 from framewise.operators.quantiles import quantiles
 from framewise.operators.ranks import bounds, range_bucket
+from framewise.operators.storage import stored
 
 
 def clean(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -240,6 +241,7 @@ def violin(df: DataFrame, value: str, by: list[str], points: int = 100) -> DataF
     m = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.stddev_samp("_x").alias("_sd"))
     m = m.filter((F.col("_n") > 1) & (F.col("_hi") > F.col("_lo"))).withColumn("_h", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd"))
     m = m.withColumn("_w", (F.col("_hi") - F.col("_lo")) / F.ceil(FINE * (F.col("_hi") - F.col("_lo")) / F.col("_h")))
+    m = stored(m, "violin")  # the deviation's last digits depend on the order of merging; both uses below need the same
     same = lambda a, b: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
     at = rows.alias("a").join(m.alias("b"), same("a", "b")).select("b.*", ((F.col("_x") - F.col("_lo")) / F.col("_w")).alias("_at"))
     cells = at.withColumn("_i", F.floor("_at")).groupBy(*m.columns, "_i").agg(F.count(F.lit(1)).alias("_k"), F.sum(F.col("_at") - F.floor("_at")).alias("_f"))

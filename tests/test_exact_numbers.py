@@ -88,3 +88,12 @@ def test_violin_against_all_pairs(spark):
         peak = max(full(r.x) for r in own)
         assert [r.k for r in own] == list(range(50)) and own[0].x == min(xs) and own[-1].x == pytest.approx(max(xs))
         assert all(abs(r.density - full(r.x)) < 1e-4 * peak for r in own)
+
+
+def test_violin_has_each_place_once_when_the_deviation_comes_out_otherwise_each_time(spark, monkeypatch):
+    df = spark.range(2000).selectExpr("id % 3 AS g", "cast((id * 7919) % 1009 AS double) AS v")
+    want = {(r.g, r.k): r.density for r in stats.violin(df, "v", ["g"], 20).collect()}
+    deviation, near = F.stddev_samp, _unsteady(lambda x: x * (1 + random.randint(1, 10**6) * 2**-50), "double")
+    monkeypatch.setattr(F, "stddev_samp", lambda c: near(deviation(c)))
+    got = stats.violin(df, "v", ["g"], 20).collect()
+    assert len(got) == len(want) == 60 and all(r.density == pytest.approx(want[r.g, r.k], rel=1e-6) for r in got)
