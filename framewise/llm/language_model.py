@@ -358,7 +358,8 @@ def interpolated_scores(docs: DataFrame, p: Interpolation = Interpolation()) ->
     schema = ", ".join([*(f"{c} int" for c in names), *(f"{c} {'long' if c == 'n' else 'double'}" for c in sums)])
     cells = materialize(joined(held_out, schema).groupBy(*names).agg(*(F.sum(c).alias(c) for c in sums)).select("bucket", *sums), "lm-cells")
     here = few(cells, p.cells)
-    weights = fit_weights(cells.toPandas(), p, 1 / (kept_v + 1)) if here else fit_weights_by_rounds(cells, p, 1 / (kept_v + 1))
+    # as columns: Python's rows would take several hundred bytes a cell
+    weights = fit_weights(cells.toArrow().to_pandas(), p, 1 / (kept_v + 1)) if here else fit_weights_by_rounds(cells, p, 1 / (kept_v + 1))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []

@@ -121,6 +121,17 @@ def test_weights_fitted_in_spark_are_the_same(spark, documents, monkeypatch):
     assert np.allclose(seen["here"], seen["spark"], atol=1e-9) and all(a[i] == pytest.approx(b[i], rel=1e-7) for i in a)
 
 
+def test_cells_come_to_the_driver_as_columns(spark, documents, monkeypatch):
+    """No collect() of a row for each cell, which took several hundred bytes of the driver's memory each."""
+    docs = documents.select("doc_id", "text")
+    rows, fitted, cells = [], language_model.fit_weights, []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: (got := collect(self), rows.append(len(got)))[0])
+    monkeypatch.setattr(language_model, "fit_weights", lambda own, p, floor: (cells.append(len(own)), fitted(own, p, floor))[1])
+    language_model.interpolated_scores(docs, language_model.Interpolation(rounds=2))
+    assert cells and cells[0] > 100 and max(rows, default=0) < 100
+
+
 def test_means_of_cells_keep_scores(spark, documents):
     """Scores with weights fitted to cells are those of weights fitted to nearly single estimates, for every document."""
     docs = documents.select("doc_id", "text")
