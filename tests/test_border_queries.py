@@ -11,7 +11,7 @@ from framewise.plans import registry
 from .conftest import rows_of
 
 
-@pytest.mark.parametrize("name", ["corrupted_windows", "chunk_report", "corrupted_summary"])
+@pytest.mark.parametrize("name", ["corrupted_windows", "chunk_report", "corrupted_summary", "chunk_summary"])
 def test_queries_equal_sql_with_exact_sums(spark, tmp_path, name):
     """Runs whose first twenty values add up to 1000.00, to a cent less or to more: the rows of the SQL, if it adds decimals instead of doubles."""
     rng, rows, start = random.Random(2), [], datetime.datetime(2024, 1, 1)
